@@ -121,7 +121,7 @@ def splice(text: Column, matches: Column, replacement: str) -> Column:
             _between(text, _end_before(matches, i), m["start"]), m[replacement]
         ),
     )
-    last_end = F.element_at(matches, -1)["end"]
+    last_end = F.try_element_at(matches, F.lit(-1))["end"]
     tail = F.substring(text, last_end + 1, F.length(text))
     return F.when(
         F.size(matches) > 0, F.concat(F.array_join(pieces, ""), tail)
@@ -130,7 +130,7 @@ def splice(text: Column, matches: Column, replacement: str) -> Column:
 
 def _end_before(matches: Column, index: Column) -> Column:
     return F.when(index == 0, F.lit(0)).otherwise(
-        F.element_at(matches, F.greatest(index, F.lit(1)))["end"]
+        F.try_element_at(matches, F.greatest(index, F.lit(1)))["end"]
     )
 
 
