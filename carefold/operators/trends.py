@@ -78,20 +78,18 @@ def merge_series(history: DataFrame, current: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- rules
-def in_range(value: Column, low: Column, high: Column) -> Column:
-    return ~(F.coalesce(value < low, F.lit(False)) | F.coalesce(value > high, F.lit(False)))
-
-
-def has_range(low: Column, high: Column) -> Column:
-    return low.isNotNull() | high.isNotNull()
+def side(value: Column, low: Column, high: Column) -> Column:
+    """1 above the range, -1 below it, 0 inside; a missing bound is no bound."""
+    return F.when(value > high, 1).when(value < low, -1).otherwise(0)
 
 
 def is_crossing(previous: Column, value: Column, low: Column, high: Column) -> Column:
-    """The pair changes between inside and outside of the current point's range."""
-    return F.coalesce(
-        has_range(low, high) & (in_range(previous, low, high) != in_range(value, low, high))
-        & previous.isNotNull(),
-        F.lit(False),
+    """The pair changes between inside and outside of the current point's range.
+
+    Without a range both sides are inside, so such pairs never cross.
+    """
+    return previous.isNotNull() & (
+        (side(previous, low, high) == 0) != (side(value, low, high) == 0)
     )
 
 
@@ -103,7 +101,7 @@ def crossing_type(value: Column, low: Column, high: Column) -> Column:
 
 def is_abnormal(value: Column, low: Column, high: Column) -> Column:
     """Outside its range; a point without a range is not."""
-    return has_range(low, high) & ~in_range(value, low, high)
+    return side(value, low, high) != 0
 
 
 def direction(first: Column, last: Column, count: Column, band: float = settings.STABLE_BAND_PCT) -> Column:
@@ -196,10 +194,13 @@ def stitch_slices(slices: DataFrame) -> DataFrame:
         .withColumn("edge_gap", days_between(F.col("first_point.ts"), F.col("before.ts")))
         .withColumn(
             "edge_crossing",
-            is_crossing(
-                F.col("before.value"), F.col("first_point.value"),
-                F.col("first_point.low"), F.col("first_point.high"),
-            ).cast("int"),
+            F.when(
+                is_crossing(
+                    F.col("before.value"), F.col("first_point.value"),
+                    F.col("first_point.low"), F.col("first_point.high"),
+                ),
+                1,
+            ).otherwise(0),
         )
     )
     return linked.groupBy(*KEYS).agg(
@@ -336,13 +337,15 @@ def threshold_crossings(
 ) -> DataFrame:
     """One row per consecutive pair that enters or leaves the reference range."""
     value, low, high = F.col("value"), F.col("low"), F.col("high")
+    previous = F.col("previous_value")
     return (
         linked_points(observations, hot_rows)
-        .filter(is_crossing(F.col("previous_value"), value, low, high))
+        .filter(is_crossing(previous, value, low, high))
         .select(
             *KEYS, "entity_id", "ts",
-            F.col("previous_value").alias("from_value"), value.alias("to_value"),
-            F.when(in_range(F.col("previous_value"), low, high), "exited_range")
+            previous.alias("from_value"), value.alias("to_value"),
+            # The pair crosses, so the current side alone tells the direction.
+            F.when(is_abnormal(value, low, high), "exited_range")
             .otherwise("entered_range")
             .alias("direction"),
             crossing_type(value, low, high).alias("crossing_type"),
