@@ -1,0 +1,23 @@
+"""Vector expressions over array columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(
+        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
+        F.lit(0.0),
+        lambda total, x: total + x,
+    )
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays of equal length; null when one has no length."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
