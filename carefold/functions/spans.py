@@ -6,7 +6,7 @@ extraction need no shuffle. Offsets count code points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCH_TYPE = "array<struct<start:int,end:int,value:string>>"
@@ -136,3 +136,14 @@ def _end_before(matches: Column, index: Column) -> Column:
 
 def _between(text: Column, begin: Column, end: Column) -> Column:
     return F.substring(text, begin + 1, end - begin)
+
+
+def explode_found(df: DataFrame, keep: list[str], found: Column, name: str) -> DataFrame:
+    """One row per array element, as ``explode``.
+
+    A plain ``explode`` makes the optimizer filter by the array's size first,
+    which computes an expensive array twice. Here the filter follows the
+    explode and stays there.
+    """
+    rows = df.select(*keep, F.explode_outer(found).alias(name))
+    return rows.filter(F.col(name).isNotNull())

@@ -162,9 +162,8 @@ def mentions(spans: DataFrame, dictionary: Dictionary, keep: list[str]) -> DataF
     hits = spans
     for domain in DOMAINS:
         hits = hits.withColumn(f"_{domain}", alias_hits(F.col("text"), dictionary, domain))
-    rows = hits.select(
-        *keep, "text", F.explode(F.concat(*[F.col(f"_{d}") for d in DOMAINS])).alias("h")
-    ).select(
+    found = F.concat(*[F.col(f"_{d}") for d in DOMAINS])
+    rows = sp.explode_found(hits, [*keep, "text"], found, "h").select(
         *keep, "text", "h.domain", "h.form",
         F.col("h.start").alias("mention_start"), F.col("h.end").alias("mention_end"),
         F.col("h.value").alias("matched_text"),

@@ -146,7 +146,7 @@ def mask(
 def token_map(masked: DataFrame, key: str = "document_id") -> DataFrame:
     """Distinct ``(document, token, value, category)``; equal mentions collapse map-side."""
     return (
-        masked.select(key, F.explode("matches").alias("m"))
+        sp.explode_found(masked, [key], F.col("matches"), "m")
         .select(key, "m.token", "m.value", "m.category")
         .distinct()
     )
@@ -179,9 +179,7 @@ def restore(
     texts without a token are passed by.
     """
     on = ["token"] if document is None else [document, "token"]
-    tokens = df.filter(F.col(text).rlike(pattern)).select(
-        *keys, F.explode(sp.find_matches(F.col(text), pattern)).alias("t")
-    )
+    tokens = sp.explode_found(df, keys, sp.find_matches(F.col(text), pattern), "t")
     known = mapping.select(*on, F.col("value").alias("_value")).dropDuplicates(on)
     values = (
         tokens.select(*keys, "t.start", "t.end", F.col("t.value").alias("token"))
@@ -306,9 +304,8 @@ def guard_map(
 ) -> DataFrame:
     """Tokens with their expiry time."""
     return (
-        guarded.select(
-            *keys, F.explode("guard_tokens").alias("t"), created_at.alias("created_at")
-        )
+        sp.explode_found(guarded, keys, F.col("guard_tokens"), "t")
+        .withColumn("created_at", created_at)
         .groupBy("t.token")
         .agg(F.max("t.value").alias("value"), F.max("created_at").alias("created_at"))
         .withColumn("expires_at", F.col("created_at") + F.expr(f"interval {ttl} seconds"))
