@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from carefold.plans import masking_queries, trend_queries  # noqa: F401
+from carefold.plans import extraction_queries, masking_queries, trend_queries  # noqa: F401
 from carefold.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

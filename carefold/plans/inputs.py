@@ -61,6 +61,12 @@ NOTES = {
             + " ".join(f"WHEN {i} THEN {line}" for i, line in enumerate(NOTE_LINES)) + " END",
 }
 
+# documents with a report line at their end
+DOCUMENT_LINE = (
+    NOTES["text"].replace("event_id", "doc_id").replace("user_id", "(doc_id % 150)")
+    .replace(_V, "CAST(n_chars / 10e0 AS string)")
+)
+
 # conversations as ordered spans
 SPANS = {
     "document_id": "CAST(conv_id AS string)",
@@ -197,6 +203,11 @@ class Inputs:
     def texts(self) -> DataFrame:
         return self.table("documents").selectExpr("CAST(doc_id AS string) AS document_id", "text")
 
+    def reports(self) -> DataFrame:
+        return self.table("documents").selectExpr(
+            "CAST(doc_id AS string) AS document_id", f"text || chr(10) || ({DOCUMENT_LINE}) AS text"
+        )
+
     def entities(self) -> DataFrame:
         return self.derive("lineitem", ENTITIES)
 
