@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from carefold.plans import extraction_queries, masking_queries, trend_queries  # noqa: F401
+from carefold.plans import (  # noqa: F401
+    extraction_queries,
+    intake_queries,
+    masking_queries,
+    report_queries,
+    trend_queries,
+)
 from carefold.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
