@@ -40,6 +40,11 @@ def iso_date(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
 
+def fixed_point(value: Column, digits: int) -> Column:
+    """A double with ``digits`` decimals, ties to even."""
+    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+
+
 def literal_map(pairs: dict[str, str]) -> Column:
     """A small constant map; meant for tables of a few dozen entries."""
     flat: list[Column] = []

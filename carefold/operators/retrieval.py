@@ -180,6 +180,10 @@ def blocked_top_k(
     group, so a hot group becomes many cells. A cell multiplies two blocks and
     gives k rows per query; no pair leaves it. Ties go to the lower passage id.
     """
+    # Fresh attributes, as both sides may come from one table.
+    queries = queries.select(*[F.col(c).alias(c) for c in ("query_id", by, "vector")])
+    passages = passages.select(*[F.col(c).alias(c) for c in ("passage_id", by, "vector")])
+
     def blocks(side: DataFrame) -> DataFrame:
         return side.groupBy(by).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n"))
 

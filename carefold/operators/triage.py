@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carefold import settings
-from carefold.functions.text import literal_map
+from carefold.functions.text import fixed_point, literal_map
 
 # ---------------------------------------------------------------------------
 # Accepted types, their leading bytes, name hints.
@@ -122,7 +122,8 @@ def rejection_reason(flags: Column, score: Column) -> Column:
         F.transform(flags, lambda f: F.element_at(literal_map(REASONS), f))
     )
     by_score = F.format_string(
-        f"The quality score %.2f is below {settings.REJECT_QUALITY_THRESHOLD}.", score
+        f"The quality score %s is below {settings.REJECT_QUALITY_THRESHOLD}.",
+        fixed_point(score, 2),
     )
     return F.when(F.size(sentences) > 0, F.array_join(sentences, " ")).otherwise(by_score)
 

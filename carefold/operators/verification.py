@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carefold import settings
-from carefold.functions.text import literal_map
+from carefold.functions.text import fixed_point, literal_map
 
 # Verdict to stored status.
 STORED_STATUS = {
@@ -109,8 +109,9 @@ def verify(
         " ",
         F.format_string(
             "%d of %d assertion(s) hold against the cited evidence "
-            "(coverage=%.2f, mean confidence=%.2f).",
-            "verified_count", "total_count", "coverage", "mean_verified",
+            "(coverage=%s, mean confidence=%s).",
+            "verified_count", "total_count",
+            fixed_point(F.col("coverage"), 2), fixed_point(F.col("mean_verified"), 2),
         ),
         F.when(F.col("contradicted"), "Some evidence conflicts with an assertion."),
         F.when(F.trim("overall_rationale") != "", F.trim("overall_rationale")),

@@ -3,6 +3,7 @@
 from carefold.plans import (  # noqa: F401
     extraction_queries,
     intake_queries,
+    knowledge_queries,
     masking_queries,
     report_queries,
     trend_queries,
