@@ -40,9 +40,31 @@ def iso_date(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
 
+def exact_round(value: Column, digits: int) -> Column:
+    """Rounds the binary value of a double correctly, true ties to even.
+
+    ``round`` and ``bround`` look at the shortest decimal text instead, which
+    differs where that text ends in a 5. The product with the power of ten is
+    split into its rounded value and the exact rest; at a half the sign of the
+    rest decides.
+    """
+    scale = F.lit(float(10**digits))
+    product = value * scale
+    spread = value * 134217729.0
+    high = spread - (spread - value)
+    rest = (high * scale - product) + (value - high) * scale
+    half = product - F.floor(product) == 0.5
+    whole = (
+        F.when(half & (rest > 0), F.ceil(product).cast("double"))
+        .when(half & (rest < 0), F.floor(product).cast("double"))
+        .otherwise(F.rint(product))
+    )
+    return F.when(F.abs(product) < 4503599627370496.0, whole / scale).otherwise(value)
+
+
 def fixed_point(value: Column, digits: int) -> Column:
-    """A double with ``digits`` decimals, ties to even."""
-    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+    """A double as text with ``digits`` decimals."""
+    return F.format_string(f"%.{digits}f", exact_round(value, digits))
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
@@ -69,7 +91,7 @@ def significant(value: Column, digits: int = 4) -> Column:
     fixed = F.lit(None).cast("string")
     for power in range(-4, digits):
         fixed = F.when(
-            exponent == power, F.format_string(f"%.{digits - 1 - power}f", value)
+            exponent == power, fixed_point(value, digits - 1 - power)
         ).otherwise(fixed)
     return (
         F.when(value == 0, F.lit("0"))

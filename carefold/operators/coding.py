@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from carefold import settings
 from carefold.functions import units as un
 from carefold.functions.similarity import best_alias
-from carefold.functions.text import strict_number
+from carefold.functions.text import exact_round, strict_number
 from carefold.operators.entities import Dictionary
 from carefold.session import small_side
 from carefold.sources.knowledge import local_frame
@@ -86,7 +86,7 @@ def with_codes(
         .when(F.col("n_code").isNotNull(), "fuzzy")
         .alias("coding_method"),
         F.when(F.col("x_key").isNotNull(), settings.EXACT_CODING_CONFIDENCE)
-        .otherwise(F.round("near.score", 4))
+        .otherwise(exact_round(F.col("near.score"), 4))
         .alias("base_confidence"),
     )
 
@@ -220,7 +220,7 @@ def code_entities(
         is_lab & clash,
         F.greatest(
             F.lit(settings.MIN_CODING_CONFIDENCE),
-            F.round(F.col("base_confidence") - settings.UNIT_MISMATCH_PENALTY, 4),
+            exact_round(F.col("base_confidence") - settings.UNIT_MISMATCH_PENALTY, 4),
         ),
     ).otherwise(F.col("base_confidence"))
     system = F.lit(None).cast("string")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from carefold.functions import spans as sp
 from carefold.functions.ids import stable_key
-from carefold.functions.text import NUMBER, empty_to_null
+from carefold.functions.text import NUMBER, empty_to_null, exact_round
 from carefold.session import small_side
 from carefold.sources import knowledge, knowledge_values
 
@@ -307,6 +307,14 @@ def extract(
         )
         .withColumn("assertion_status", assertion_status(F.col("before"), F.col("after")))
         .withColumn("ambiguity_flag", is_family_history(F.col("before")))
+        .withColumn(
+            "certainty",
+            match_confidence(
+                F.col("domain"), F.col("matched_text"),
+                F.coalesce(F.col("dose.text"), F.col("frequency")).isNotNull(),
+            ),
+        )
+        .withColumn("combined", F.col("confidence") * F.col("certainty"))
     )
     entity_type = (
         F.when(
@@ -317,10 +325,6 @@ def extract(
         )
         .otherwise(F.col("domain"))
     )
-    certainty = match_confidence(
-        F.col("domain"), F.col("matched_text"),
-        F.coalesce(F.col("dose.text"), F.col("frequency")).isNotNull(),
-    )
     begin = F.col("start") + F.col("mention_start")
     end = F.col("start") + F.col("entity_end")
     negated = (
@@ -339,9 +343,9 @@ def extract(
         F.lit(None).cast("timestamp").alias("entity_date"),
         begin.cast("int").alias("source_span_start"),
         end.cast("int").alias("source_span_end"),
-        F.round("confidence", 4).alias("ocr_confidence"),
-        F.round(certainty, 4).alias("ner_confidence"),
-        F.round(F.col("confidence") * certainty, 4).alias("combined_confidence"),
+        exact_round(F.col("confidence"), 4).alias("ocr_confidence"),
+        exact_round(F.col("certainty"), 4).alias("ner_confidence"),
+        exact_round(F.col("combined"), 4).alias("combined_confidence"),
         negated.alias("is_negated"),
         "assertion_status",
         "ambiguity_flag",
@@ -466,7 +470,7 @@ def overlap_confidence(
     return (
         entities.join(weighted, ["document_id", "temp_id"], "left")
         .join(fallback.select("document_id", "avg_confidence"), "document_id", "left")
-        .withColumn("ocr_confidence", F.round(F.coalesce("weighted", "avg_confidence"), 4))
+        .withColumn("ocr_confidence", exact_round(F.coalesce("weighted", "avg_confidence"), 4))
         .drop("weighted", "avg_confidence")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from carefold import settings
 from carefold.functions.ids import stable_key
+from carefold.functions.text import exact_round
 
 # Severities, lowest first.
 SEVERITIES = ("informational", "low", "moderate", "high", "critical")
@@ -89,7 +90,7 @@ def screen_candidates(
         F.when(F.col("severity").isin(*SEVERITIES), F.col("severity"))
         .otherwise("informational")
         .alias("severity"),
-        F.round("confidence", 4).alias("confidence"),
+        exact_round(F.col("confidence"), 4).alias("confidence"),
         "patient_facing_text", "clinician_facing_text", "insight_type",
     )
 

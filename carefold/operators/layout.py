@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carefold import settings
+from carefold.functions.text import exact_round
 
 BLOCK_SPANS = 4096
 
@@ -121,7 +122,7 @@ def mean_confidence(documents: DataFrame, spans: DataFrame) -> DataFrame:
     )
     return documents.select("document_id").join(means, "document_id", "left").select(
         "document_id",
-        F.round(F.coalesce("m", F.lit(0.0)), 4).alias("avg_confidence"),
+        exact_round(F.coalesce("m", F.lit(0.0)), 4).alias("avg_confidence"),
         F.coalesce("span_count", F.lit(0)).alias("span_count"),
     )
 

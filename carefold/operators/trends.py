@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from carefold import settings
 from carefold.functions.ids import entity_uuid
-from carefold.functions.text import days_between, first_number
+from carefold.functions.text import days_between, exact_round, first_number
 from carefold.operators import series
 from carefold.session import small_side
 
@@ -272,7 +272,7 @@ def finish_trends(
         )
         .withColumn(
             "statistical_confidence",
-            F.round(F.col("confidence_sum") / F.col("data_point_count"), 4),
+            exact_round(F.col("confidence_sum") / F.col("data_point_count"), 4),
         )
         .withColumn(
             "clinical_significance_reason",

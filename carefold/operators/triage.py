@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carefold import settings
-from carefold.functions.text import fixed_point, literal_map
+from carefold.functions.text import exact_round, fixed_point, literal_map
 
 # ---------------------------------------------------------------------------
 # Accepted types, their leading bytes, name hints.
@@ -213,7 +213,7 @@ def triage(documents: DataFrame) -> DataFrame:
     return judged.select(
         "document_id", "patient_id", "storage_path",
         F.col("verdict.kind").alias("document_type"),
-        F.round("verdict.score", 4).alias("quality_score"),
+        exact_round(F.col("verdict.score"), 4).alias("quality_score"),
         F.col("verdict.flags").alias("quality_flags"),
         route.alias("routing"),
         F.when(

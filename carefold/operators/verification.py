@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carefold import settings
-from carefold.functions.text import fixed_point, literal_map
+from carefold.functions.text import exact_round, fixed_point, literal_map
 
 # Verdict to stored status.
 STORED_STATUS = {
@@ -66,7 +66,7 @@ def screen_assertions(assertions: DataFrame, drafts: DataFrame, used: DataFrame)
             "supporting_evidence_ids", lambda e: F.array_contains(F.col("cited_ids"), e)
         ).alias("supporting"),
         F.coalesce("contradicting", F.array().cast("array<string>")).alias("contradicting"),
-        F.round("confidence", 4).alias("confidence"),
+        exact_round(F.col("confidence"), 4).alias("confidence"),
     )
 
 
@@ -80,7 +80,7 @@ def score_drafts(screened: DataFrame) -> DataFrame:
     )
     coverage = F.col("verified_count") / F.col("total_count")
     return scored.withColumn("coverage", coverage).withColumn(
-        "verification_confidence", F.round(coverage * F.col("mean_verified"), 4)
+        "verification_confidence", exact_round(coverage * F.col("mean_verified"), 4)
     )
 
 
