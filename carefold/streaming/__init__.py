@@ -1 +1 @@
-
+"""Structured Streaming: continuous intake and running trends."""
