@@ -275,18 +275,21 @@ def match_confidence(domain: Column, matched_text: Column, has_dose: Column) ->
 def extract(
     spans: DataFrame,
     dictionary: Dictionary,
-    keep: tuple[str, ...] = ("document_id", "patient_id", "span_pos", "start", "confidence"),
+    offsets: DataFrame | None = None,
+    keep: tuple[str, ...] = ("document_id", "patient_id", "span_pos"),
     treat_absent_as_negated: bool = False,
 ) -> DataFrame:
     """Entities of every span.
 
-    ``start`` is the span's offset in its document and ``confidence`` the
-    recognition confidence. An entity lies within one span, so that span's
+    ``offsets`` (document_id, span_pos, start) moves positions into the
+    document; it joins the few entities, so the texts are scanned in place and
+    never shuffled. Without it a span is a document of its own. An entity lies
+    within one span, so that span's
     confidence is its recognition confidence. A blank text yields no rows, and
     a lab without a number on its line is not an entity.
     """
     found = (
-        mentions(spans, dictionary, list(keep))
+        mentions(spans, dictionary, [*keep, "confidence"])
         .withColumn("window", line_after(F.col("text"), F.col("mention_end")))
         .withColumn("lab", F.when(F.col("domain") == "lab", lab_value(F.col("window"))))
         .filter((F.col("domain") != "lab") | F.col("lab").isNotNull())
@@ -315,7 +318,14 @@ def extract(
             ),
         )
         .withColumn("combined", F.col("confidence") * F.col("certainty"))
+        .drop("text", "window", "near", "before", "after")
     )
+    if offsets is None:
+        found = found.withColumn("start", F.lit(0))
+    else:
+        found = found.join(
+            offsets.select("document_id", "span_pos", "start"), ["document_id", "span_pos"]
+        )
     entity_type = (
         F.when(
             F.col("domain") == "lab",
@@ -330,9 +340,8 @@ def extract(
     negated = (
         (F.col("assertion_status") == "absent") if treat_absent_as_negated else F.lit(False)
     )
-    others = [c for c in keep if c not in ("start", "confidence")]
     return found.select(
-        *others,
+        *keep,
         stable_key(F.col("document_id"), entity_type, begin, end).alias("temp_id"),
         entity_type.alias("entity_type"),
         F.coalesce("lab.value", "display", "key").alias("raw_value"),

@@ -89,29 +89,32 @@ def span_offsets(spans: DataFrame, block_spans: int = BLOCK_SPANS) -> DataFrame:
 
     A running sum within blocks of ``block_spans`` spans plus the running sum
     of the block totals, so that one huge document spreads over many tasks.
+    Only lengths enter the sums: a caller that selects no text shuffles none.
     """
-    width = F.length("text") + 1
-    blocked = spans.withColumn("block", F.floor(F.col("span_pos") / block_spans))
-    before_block = Window.partitionBy("document_id").orderBy("block").rowsBetween(
+    blocked = spans.withColumn("_len", F.length("text")).withColumn(
+        "_block", F.floor(F.col("span_pos") / block_spans)
+    )
+    width = F.col("_len") + 1
+    before_block = Window.partitionBy("document_id").orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
     bases = (
-        blocked.groupBy("document_id", "block")
-        .agg(F.sum(width).alias("block_width"))
+        blocked.groupBy("document_id", "_block")
+        .agg(F.sum(width).alias("_width"))
         .select(
-            "document_id", "block",
-            F.coalesce(F.sum("block_width").over(before_block), F.lit(0)).alias("base"),
+            "document_id", "_block",
+            F.coalesce(F.sum("_width").over(before_block), F.lit(0)).alias("_base"),
         )
     )
-    before_span = Window.partitionBy("document_id", "block").orderBy("span_pos").rowsBetween(
+    before_span = Window.partitionBy("document_id", "_block").orderBy("span_pos").rowsBetween(
         Window.unboundedPreceding, -1
     )
     return (
-        blocked.withColumn("inner", F.coalesce(F.sum(width).over(before_span), F.lit(0)))
-        .join(bases, ["document_id", "block"])
-        .withColumn("start", (F.col("base") + F.col("inner")).cast("int"))
-        .withColumn("end", F.col("start") + F.length("text"))
-        .drop("block", "inner", "base")
+        blocked.withColumn("_inner", F.coalesce(F.sum(width).over(before_span), F.lit(0)))
+        .join(bases, ["document_id", "_block"])
+        .withColumn("start", (F.col("_base") + F.col("_inner")).cast("int"))
+        .withColumn("end", F.col("start") + F.col("_len"))
+        .drop("_block", "_inner", "_base", "_len")
     )
 
 

@@ -234,7 +234,8 @@ sents AS (SELECT document_id, sentence_pos, s, e, substr(text, s + 1, e - s) AS
 
 
 def extracted(i: Inputs) -> DataFrame:
-    return entities.extract(layout.span_offsets(i.notes()), DICTIONARY)
+    notes = i.notes()
+    return entities.extract(notes, DICTIONARY, layout.span_offsets(notes))
 
 
 @query("alias_mentions", ENTITY_SQL.replace("ent AS (", "ignored AS (") + """

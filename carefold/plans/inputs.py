@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carefold.session import spread
+
 TIMESTAMPS = {"events": ["ts"], "orders": ["o_orderdate"], "lineitem": ["l_shipdate"]}
 AS_OF = "2024-06-09 00:00:00"
 
@@ -195,18 +197,20 @@ class Inputs:
         return self.derive("events", OBSERVATIONS)
 
     def notes(self) -> DataFrame:
-        return self.derive("events", NOTES)
+        return spread(self.derive("events", NOTES))
 
     def spans(self) -> DataFrame:
-        return self.derive("conversations", SPANS)
+        return spread(self.derive("conversations", SPANS))
 
     def texts(self) -> DataFrame:
-        return self.table("documents").selectExpr("CAST(doc_id AS string) AS document_id", "text")
+        return spread(
+            self.table("documents").selectExpr("CAST(doc_id AS string) AS document_id", "text")
+        )
 
     def reports(self) -> DataFrame:
-        return self.table("documents").selectExpr(
+        return spread(self.table("documents").selectExpr(
             "CAST(doc_id AS string) AS document_id", f"text || chr(10) || ({DOCUMENT_LINE}) AS text"
-        )
+        ))
 
     def entities(self) -> DataFrame:
         return self.derive("lineitem", ENTITIES)

@@ -276,12 +276,12 @@ def uncoded_evidence(i: Inputs) -> DataFrame:
 
 @query("trend_evidence", TREND_SQL + f"SELECT patient_id, evidence_id, source_type, source_ref, text, relevance_score FROM ({_TREND_EV}) t")
 def trend_evidence(i: Inputs) -> DataFrame:
-    return _flat_evidence(evidence.trend_evidence(trend_table(i)))
+    return _flat_evidence(evidence.trend_evidence(trend_table(i)).filter("branch = 1"))
 
 
 @query("gap_evidence", TREND_SQL + f"SELECT patient_id, evidence_id, source_type, source_ref, text, relevance_score FROM ({_GAP_EV}) t")
 def gap_evidence(i: Inputs) -> DataFrame:
-    return _flat_evidence(evidence.gap_evidence(trend_table(i)))
+    return _flat_evidence(evidence.trend_evidence(trend_table(i)).filter("branch = 2"))
 
 
 @query("guideline_evidence", f"""WITH {_RANKED}
@@ -299,15 +299,19 @@ pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, ev
 
 
 def evidence_pool(i: Inputs) -> DataFrame:
-    trends = trend_table(i)
-    again = evidence.trend_evidence(trends).filter("patient_id % 10 = 0").withColumn(
-        "source_ref", F.regexp_replace("source_ref", "^trend:", "note:")
-    ).withColumn("text", F.lit("Noted again")).withColumn("relevance_score", F.lit(0.9)).withColumn(
-        "branch", F.lit(3)
-    )
-    return evidence.pool(
-        evidence.trend_evidence(trends), evidence.gap_evidence(trends), again, min_relevance=0.7
+    """Trend and gap items, and for some patients a later item of the same id."""
+    items = evidence.trend_evidence(trend_table(i))
+    repeated = (F.col("patient_id") % 10 == 0) & (F.col("branch") == 1)
+    again = F.struct(
+        F.regexp_replace("source_ref", "^trend:", "note:").alias("source_ref"),
+        F.lit("Noted again").alias("text"), F.lit(0.9).alias("relevance_score"),
+        F.lit(3).alias("branch"),
     )
+    own = F.struct("source_ref", "text", "relevance_score", "branch")
+    both = items.withColumn(
+        "v", F.explode(F.array_compact(F.array(own, F.when(repeated, again))))
+    ).select("patient_id", "evidence_id", "source_type", "v.*", "entity_ids")
+    return evidence.pool(both, min_relevance=0.7)
 
 
 @query("evidence_pool", TREND_SQL + f", {_POOL} SELECT patient_id, evidence_id, source_type, source_ref, text, round(relevance_score, 4) AS relevance_score FROM pool")
@@ -429,7 +433,9 @@ def _assertions(i: Inputs) -> DataFrame:
 
 
 def _used(i: Inputs) -> DataFrame:
-    return evidence.trend_evidence(trend_table(i)).select("patient_id", "evidence_id")
+    return evidence.trend_evidence(trend_table(i)).filter("branch = 1").select(
+        "patient_id", "evidence_id"
+    )
 
 
 _VERIFY = f"""used AS (SELECT patient_id, 'trend-' || code AS evidence_id FROM tr),

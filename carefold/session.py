@@ -65,3 +65,14 @@ def small_side(df: DataFrame, limit: int = settings.BROADCAST_LIMIT_BYTES) -> Da
     adaptive execution, which shuffles it and splits skewed partitions.
     """
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Gives a scan at least one partition per core before row-local text work.
+
+    A table that comes in fewer splits than the cluster has cores would leave
+    cores idle. Tables of ordinary size have more splits and pass unchanged, so
+    no shuffle is added where it would cost anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
