@@ -83,7 +83,7 @@ ENTITIES = {
     "document_id": "CAST(l_orderkey AS string)",
     "patient_id": "l_suppkey",
     "temp_id": "CAST(l_orderkey AS string) || '-' || CAST(l_linenumber AS string) || '-' "
-               "|| CAST(l_partkey AS string) || '-' || CAST(l_suppkey AS string)",
+               "|| CAST(l_partkey AS string) || '-' || CAST(l_suppkey AS string) || '-' || CAST(l_quantity AS string)",
     "entity_type": "CASE l_partkey % 5 WHEN 0 THEN 'lab_value' WHEN 1 THEN 'vital_sign' "
                    "WHEN 2 THEN 'medication' WHEN 3 THEN 'diagnosis' ELSE 'procedure' END",
     "raw_value": "CASE WHEN l_partkey % 5 < 2 THEN CAST(l_quantity AS string) "

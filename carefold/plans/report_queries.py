@@ -147,7 +147,7 @@ def review_queue(i: Inputs) -> DataFrame:
 
 _ACTIONS = {
     "insight_id": "l_orderkey",
-    "action_id": "CAST(l_linenumber AS string) || '-' || CAST(l_partkey AS string) || '-' || CAST(l_suppkey AS string)",
+    "action_id": "CAST(l_linenumber AS string) || '-' || CAST(l_partkey AS string) || '-' || CAST(l_suppkey AS string) || '-' || CAST(l_quantity AS string)",
     "action": "CASE l_linenumber % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'modified' END",
     "modified_text": "CASE WHEN l_linenumber % 2 = 0 THEN 'Changed ' || CAST(l_partkey AS string) END",
     "reviewer": "'r' || CAST(l_suppkey % 9 AS string)",
@@ -171,9 +171,9 @@ def applied_reviews(i: Inputs) -> DataFrame:
 
 _CORRECTIONS = {
     "correction_id": "CAST(l_orderkey AS string) || '-' || CAST(l_linenumber AS string) || '-' || CAST(l_partkey AS string) "
-                     "|| '-' || CAST(l_suppkey AS string)",
+                     "|| '-' || CAST(l_suppkey AS string) || '-' || CAST(l_quantity AS string)",
     "entity_id": "CAST(l_orderkey AS string) || '-' || CAST(l_linenumber AS string) || '-' || CAST(l_partkey AS string) "
-                 "|| '-' || CAST(l_suppkey AS string)",
+                 "|| '-' || CAST(l_suppkey AS string) || '-' || CAST(l_quantity AS string)",
     "patient_id": "l_suppkey",
     "correction_type": "CASE l_linenumber % 3 WHEN 0 THEN 'ocr_error' WHEN 1 THEN 'unit_error' ELSE 'date_error' END",
     "original_value": "CAST(l_quantity AS string)",

@@ -73,7 +73,7 @@ def test_patient_vectors_round_trip(spark, tmp_path):
 
 def test_broadcast_only_when_proven_small(spark):
     small = knowledge.builtin_metrics(spark)
-    assert "strategy=broadcast" in small_side(small)._jdf.queryExecution().logical().toString()
+    assert "strategy=broadcast" in small_side(small)._jdf.queryExecution().analyzed().toString()
     assert small_side(small, limit=1) is small
 
 
