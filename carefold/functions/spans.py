@@ -42,6 +42,30 @@ def find_matches(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), offsets).otherwise(empty_array(MATCH_TYPE))
 
 
+def pieces_between(text: Column, pattern: str) -> Column:
+    """The texts between the matches of ``pattern`` with their offsets.
+
+    The pieces come out of the split as they are, so a long text is not cut
+    again piece by piece.
+    """
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(
+        F.split(text, pattern, -1), hits,
+        lambda piece, hit: F.struct(piece.alias("piece"), hit.alias("hit")),
+    )
+    start = F.struct(F.lit(0).cast("int").alias("pos"), empty_array(MATCH_TYPE).alias("found"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        end = acc["pos"] + F.length(pair["piece"])
+        piece = F.struct(acc["pos"].alias("start"), end.alias("end"), pair["piece"].alias("value"))
+        return F.struct(
+            (end + F.coalesce(F.length(pair["hit"]), F.lit(0))).alias("pos"),
+            F.concat(acc["found"], F.array(piece)).alias("found"),
+        )
+
+    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (a["end"] > b["start"])
 

@@ -137,6 +137,15 @@ class Dictionary:
         return bounded(long, "(?iu)"), bounded(short, "")
 
 
+def text_before(text: Column, start: Column) -> Column:
+    size = F.least(start, F.lit(BEFORE_WINDOW))
+    return F.substring(text, start - size + 1, size)
+
+
+def text_after(text: Column, end: Column) -> Column:
+    return F.substring(text, end + 1, F.lit(VALUE_WINDOW + AFTER_WINDOW))
+
+
 def alias_hits(text: Column, dictionary: Dictionary, domain: str) -> Column:
     """Alias spans of one domain: long aliases first, short ones where text is unclaimed."""
     long, short = dictionary.patterns(domain)
@@ -148,6 +157,8 @@ def alias_hits(text: Column, dictionary: Dictionary, domain: str) -> Column:
         lambda m: F.struct(
             m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"),
             F.lit(form).alias("form"), F.lit(domain).alias("domain"),
+            text_before(text, m["start"]).alias("before"),
+            text_after(text, m["end"]).alias("after"),
         ),
     )
     return F.concat(tag(first, "lower"), tag(sp.drop_claimed(second, first), "exact"))
@@ -156,15 +167,17 @@ def alias_hits(text: Column, dictionary: Dictionary, domain: str) -> Column:
 def mentions(spans: DataFrame, dictionary: Dictionary, keep: list[str]) -> DataFrame:
     """One row per dictionary mention, with the entry it names.
 
-    The three domains are matched independently, so one text range may give a
-    lab and a diagnosis.
+    A row carries the few characters around its mention instead of the text,
+    so a long text is not repeated per mention. The three domains are matched
+    independently, so one text range may give a lab and a diagnosis.
     """
     hits = spans
     for domain in DOMAINS:
         hits = hits.withColumn(f"_{domain}", alias_hits(F.col("text"), dictionary, domain))
     found = F.concat(*[F.col(f"_{d}") for d in DOMAINS])
-    rows = sp.explode_found(hits, [*keep, "text"], found, "h").select(
-        *keep, "text", "h.domain", "h.form",
+    rows = sp.explode_found(hits, keep, found, "h").select(
+        *keep, "h.domain", "h.form", F.col("h.before").alias("text_before"),
+        F.col("h.after").alias("text_after"),
         F.col("h.start").alias("mention_start"), F.col("h.end").alias("mention_end"),
         F.col("h.value").alias("matched_text"),
         F.when(F.col("h.form") == "lower", F.lower("h.value"))
@@ -180,9 +193,9 @@ def mentions(spans: DataFrame, dictionary: Dictionary, keep: list[str]) -> DataF
 
 
 # --------------------------------------------------------------------------- values
-def line_after(text: Column, end: Column) -> Column:
-    """The rest of the line behind ``end``, at most ``VALUE_WINDOW`` characters."""
-    return F.substring_index(F.substring(text, end + 1, VALUE_WINDOW), "\n", 1)
+def line_after(after: Column) -> Column:
+    """The rest of the mention's line, at most ``VALUE_WINDOW`` characters."""
+    return F.substring_index(F.substring(after, 1, VALUE_WINDOW), "\n", 1)
 
 
 def lab_value(window: Column) -> Column:
@@ -224,18 +237,20 @@ def frequency(near: Column) -> Column:
 
 
 # --------------------------------------------------------------------------- assertion
-def before_in_sentence(text: Column, start: Column) -> Column:
-    """At most ``BEFORE_WINDOW`` characters before ``start``, not past the sentence's begin."""
-    size = F.least(start, F.lit(BEFORE_WINDOW))
-    head = F.substring(text, start - size + 1, size)
-    return F.element_at(F.split(head, SENTENCE_BREAK, -1), -1)
+def before_in_sentence(before: Column) -> Column:
+    """The part of the text before a mention that lies in its sentence."""
+    return F.element_at(F.split(before, SENTENCE_BREAK, -1), -1)
 
 
-def after_in_sentence(text: Column, start: Column, end: Column) -> Column:
-    """At most ``AFTER_WINDOW`` characters behind ``end`` within the sentence of ``start``."""
-    reach = F.substring(text, start + 1, end - start + AFTER_WINDOW)
-    sentence = F.split(reach, SENTENCE_BREAK, -1)[0]
-    return F.substring(sentence, end - start + 1, AFTER_WINDOW)
+def after_in_sentence(matched: Column, after: Column, length: Column) -> Column:
+    """At most ``AFTER_WINDOW`` characters behind the entity within the mention's sentence.
+
+    ``length`` is that of the entity from the begin of its mention.
+    """
+    reach = F.substring(F.concat(matched, after), F.lit(1), length + AFTER_WINDOW)
+    return F.substring(
+        F.split(reach, SENTENCE_BREAK, -1)[0], length + 1, F.lit(AFTER_WINDOW)
+    )
 
 
 def assertion_status(before: Column, after: Column) -> Column:
@@ -290,7 +305,7 @@ def extract(
     """
     found = (
         mentions(spans, dictionary, [*keep, "confidence"])
-        .withColumn("window", line_after(F.col("text"), F.col("mention_end")))
+        .withColumn("window", line_after(F.col("text_after")))
         .withColumn("lab", F.when(F.col("domain") == "lab", lab_value(F.col("window"))))
         .filter((F.col("domain") != "lab") | F.col("lab").isNotNull())
         .withColumn("dose", F.when(F.col("domain") == "medication", dose(F.col("window"))))
@@ -303,10 +318,13 @@ def extract(
             F.col("mention_end")
             + F.coalesce(F.col("lab.length"), F.col("dose.length"), F.lit(0)),
         )
-        .withColumn("before", before_in_sentence(F.col("text"), F.col("mention_start")))
+        .withColumn("before", before_in_sentence(F.col("text_before")))
         .withColumn(
             "after",
-            after_in_sentence(F.col("text"), F.col("mention_start"), F.col("entity_end")),
+            after_in_sentence(
+                F.col("matched_text"), F.col("text_after"),
+                F.col("entity_end") - F.col("mention_start"),
+            ),
         )
         .withColumn("assertion_status", assertion_status(F.col("before"), F.col("after")))
         .withColumn("ambiguity_flag", is_family_history(F.col("before")))
@@ -318,7 +336,7 @@ def extract(
             ),
         )
         .withColumn("combined", F.col("confidence") * F.col("certainty"))
-        .drop("text", "window", "near", "before", "after")
+        .drop("text_before", "text_after", "window", "near", "before", "after")
     )
     if offsets is None:
         found = found.withColumn("start", F.lit(0))
@@ -365,33 +383,12 @@ def extract(
 # --------------------------------------------------------------------------- sentences
 def sentences(documents: DataFrame, key: str = "document_id") -> DataFrame:
     """Sentences with offsets; blank ones are dropped."""
-    text = F.col("text")
-    breaks = sp.find_matches(text, SENTENCE_BREAK)
-    bounds = F.concat(
-        F.transform(
-            F.col("_breaks"),
-            lambda m, i: F.struct(
-                F.when(i == 0, F.lit(0))
-                .otherwise(F.element_at("_breaks", F.greatest(i, F.lit(1)))["end"])
-                .alias("start"),
-                m["start"].alias("end"),
-            ),
-        ),
-        F.array(
-            F.struct(
-                F.coalesce(F.try_element_at("_breaks", F.lit(-1))["end"], F.lit(0)).alias("start"),
-                F.length(text).alias("end"),
-            )
-        ),
-    )
-    pieces = documents.withColumn("_breaks", breaks).select(
-        key, text.alias("text"), F.posexplode(bounds).alias("sentence_pos", "b")
+    found = sp.pieces_between(F.col("text"), SENTENCE_BREAK)
+    return (
+        documents.select(key, F.posexplode(found).alias("sentence_pos", "b"))
+        .select(key, "sentence_pos", "b.start", "b.end", F.col("b.value").alias("sentence"))
+        .filter(F.col("sentence").rlike(r"\S"))
     )
-    sentence = F.substring(F.col("text"), F.col("b.start") + 1, F.col("b.end") - F.col("b.start"))
-    return pieces.select(
-        key, "sentence_pos", F.col("b.start").alias("start"), F.col("b.end").alias("end"),
-        sentence.alias("sentence"),
-    ).filter(F.col("sentence").rlike(r"\S"))
 
 
 def sentence_of(mentions_: DataFrame, sentence_table: DataFrame, bin_width: int = 512) -> DataFrame:

@@ -75,13 +75,21 @@ def recogniser_spans(blocks: DataFrame) -> DataFrame:
     )
 
 
-def full_text(spans: DataFrame) -> DataFrame:
-    """Spans of each document joined by newlines. A document is at most the intake limit."""
-    return spans.groupBy("document_id").agg(
-        F.array_join(
-            F.array_sort(F.collect_list(F.struct("span_pos", "text")))["text"], "\n"
-        ).alias("full_text")
+def full_text(spans: DataFrame, block_spans: int = BLOCK_SPANS) -> DataFrame:
+    """Spans of each document joined by newlines.
+
+    Blocks of spans are joined first and then the few blocks of a document,
+    whose text the intake limit bounds.
+    """
+    def joined(order: str, text: str) -> Column:
+        return F.array_join(F.array_sort(F.collect_list(F.struct(order, text)))[text], "\n")
+
+    blocks = (
+        spans.withColumn("block", F.floor(F.col("span_pos") / block_spans))
+        .groupBy("document_id", "block")
+        .agg(joined("span_pos", "text").alias("block_text"))
     )
+    return blocks.groupBy("document_id").agg(joined("block", "block_text").alias("full_text"))
 
 
 def span_offsets(spans: DataFrame, block_spans: int = BLOCK_SPANS) -> DataFrame:

@@ -43,7 +43,7 @@ def _usable(coded: DataFrame, *types: str) -> DataFrame:
     )
 
 
-def _queries(df: DataFrame, branch: int, *specs: tuple[Column, Column, str, int]) -> DataFrame:
+def _queries(df: DataFrame, branch: int | Column, *specs: tuple[Column, Column, str, int]) -> DataFrame:
     """One row per spec whose condition holds, in spec order within the source row."""
     options = F.array(
         *[
@@ -57,53 +57,81 @@ def _queries(df: DataFrame, branch: int, *specs: tuple[Column, Column, str, int]
             for i, (condition, text, category, priority) in enumerate(specs)
         ]
     )
+    place = F.lit(branch) if isinstance(branch, int) else branch
     return df.select(
-        "patient_id", "source_entity_ids", "arrival", F.explode(F.array_compact(options)).alias("q")
+        "patient_id", "source_entity_ids", "arrival", place.alias("branch"),
+        F.explode(F.array_compact(options)).alias("q"),
     ).select(
         "patient_id", F.col("q.text").alias("text"), F.col("q.category").alias("category"),
         "source_entity_ids", F.col("q.priority").alias("priority"),
         F.struct(
-            F.lit(branch).alias("branch"), F.col("arrival").alias("arrival"),
-            F.col("q.part").alias("part"),
+            F.col("branch"), F.col("arrival"), F.col("q.part").alias("part"),
         ).alias("pos"),
     )
 
 
-def lab_queries(coded: DataFrame) -> DataFrame:
-    """Interpretation of every lab; its range where a bound is missing."""
-    labs = _usable(coded, "lab_value").withColumn("source_entity_ids", F.array("temp_id"))
+def _lab_specs() -> list[tuple[Column, Column, str, int]]:
+    is_lab = F.col("entity_type") == "lab_value"
     unit = F.coalesce(F.concat(F.lit(" "), empty_to_null(F.col("unit_canonical"))), F.lit(""))
     open_range = F.col("reference_range_low").isNull() | F.col("reference_range_high").isNull()
-    return _queries(
-        labs, 0,
-        (F.lit(True),
-         F.concat(F.lit("clinical interpretation of "), "name", unit, F.lit(" lab result")),
+    return [
+        (is_lab, F.concat(F.lit("clinical interpretation of "), "name", unit, F.lit(" lab result")),
          "lab_interpretation", 2),
-        (open_range, F.concat(F.lit("normal reference range for "), "name"), "reference_range", 1),
-    )
+        (is_lab & open_range, F.concat(F.lit("normal reference range for "), "name"),
+         "reference_range", 1),
+    ]
 
 
-def disease_queries(coded: DataFrame) -> DataFrame:
-    rows = _usable(coded, *DISEASE_TYPES).withColumn("source_entity_ids", F.array("temp_id"))
-    return _queries(
-        rows, 1,
-        (F.lit(True),
-         F.concat(F.lit("clinical practice guideline for "), "name", F.lit(" management")),
+def _disease_specs() -> list[tuple[Column, Column, str, int]]:
+    is_disease = F.col("entity_type").isin(*DISEASE_TYPES)
+    return [
+        (is_disease, F.concat(F.lit("clinical practice guideline for "), "name", F.lit(" management")),
          "disease_guideline", 3),
-        (F.lit(True), F.concat(F.lit("diagnostic criteria for "), "name"),
-         "diagnostic_criteria", 1),
-    )
+        (is_disease, F.concat(F.lit("diagnostic criteria for "), "name"), "diagnostic_criteria", 1),
+    ]
 
 
-def medication_queries(coded: DataFrame) -> DataFrame:
-    rows = _usable(coded, "medication").withColumn("source_entity_ids", F.array("temp_id"))
-    return _queries(
-        rows, 2,
-        (F.lit(True), F.concat(F.lit("dosing and monitoring guidance for "), "name"),
+def _medication_specs() -> list[tuple[Column, Column, str, int]]:
+    is_drug = F.col("entity_type") == "medication"
+    return [
+        (is_drug, F.concat(F.lit("dosing and monitoring guidance for "), "name"),
          "medication_guidance", 2),
-        (F.lit(True), F.concat(F.lit("contraindications and precautions for "), "name"),
+        (is_drug, F.concat(F.lit("contraindications and precautions for "), "name"),
          "contraindication", 1),
+    ]
+
+
+def _with_source(coded: DataFrame, *types: str) -> DataFrame:
+    return _usable(coded, *types).withColumn("source_entity_ids", F.array("temp_id"))
+
+
+def lab_queries(coded: DataFrame) -> DataFrame:
+    """Interpretation of every lab; its range where a bound is missing."""
+    return _queries(_with_source(coded, "lab_value"), 0, *_lab_specs())
+
+
+def disease_queries(coded: DataFrame) -> DataFrame:
+    """Guideline and criteria of every diagnosis and procedure."""
+    return _queries(_with_source(coded, *DISEASE_TYPES), 1, *_disease_specs())
+
+
+def medication_queries(coded: DataFrame) -> DataFrame:
+    """Guidance and contraindications of every drug."""
+    return _queries(_with_source(coded, "medication"), 2, *_medication_specs())
+
+
+def entity_queries(coded: DataFrame) -> DataFrame:
+    """Lab, disease and medication queries in one pass over the entities.
+
+    An entity has one type, so its type gives the branch its queries belong to.
+    """
+    rows = _with_source(coded, "lab_value", *DISEASE_TYPES, "medication")
+    branch = (
+        F.when(F.col("entity_type") == "lab_value", 0)
+        .when(F.col("entity_type").isin(*DISEASE_TYPES), 1)
+        .otherwise(2)
     )
+    return _queries(rows, branch, *_lab_specs(), *_disease_specs(), *_medication_specs())
 
 
 def trend_queries(trends: DataFrame) -> DataFrame:
@@ -172,6 +200,7 @@ def blocked_top_k(
     min_score: float | None = None,
     by: str = "category",
     block_rows: int = settings.VECTOR_BLOCK_ROWS,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Exact cosine top-k of each query among the passages of its group ``by``.
 
@@ -179,6 +208,8 @@ def blocked_top_k(
     vector. Both sides are cut into blocks of about ``block_rows`` rows within a
     group, so a hot group becomes many cells. A cell multiplies two blocks and
     gives k rows per query; no pair leaves it. Ties go to the lower passage id.
+    With ``few_groups`` the groups are a closed set and their block counts are
+    broadcast; otherwise they are joined.
     """
     # Fresh attributes, as both sides may come from one table.
     queries = queries.select(*[F.col(c).alias(c) for c in ("query_id", by, "vector")])
@@ -190,7 +221,8 @@ def blocked_top_k(
     cells = blocks(queries).withColumnRenamed("n", "nq").join(
         blocks(passages).withColumnRenamed("n", "np"), by
     )
-    # One row per group of the search; groups are categories or patients' shards.
+    if few_groups:
+        cells = F.broadcast(cells)
     left = (
         queries.join(cells, by)
         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")))
@@ -262,7 +294,7 @@ def search_knowledge(
     general = queries.filter(F.col("category") == GENERAL)
     everywhere = passages.withColumn("category", F.lit(GENERAL))
     return blocked_top_k(
-        filtered.unionByName(general), passages.unionByName(everywhere), top_k
+        filtered.unionByName(general), passages.unionByName(everywhere), top_k, few_groups=True
     )
 
 

@@ -281,7 +281,7 @@ def vital_signs(i: Inputs) -> DataFrame:
 @query("lab_values", ENTITY_SQL + "SELECT document_id, span_pos, key, lv AS value, lu AS unit, ll AS length FROM ent WHERE domain = 'lab'")
 def lab_values(i: Inputs) -> DataFrame:
     found = entities.mentions(i.notes(), DICTIONARY, ["document_id", "span_pos"]).filter("domain = 'lab'")
-    value = entities.lab_value(entities.line_after(F.col("text"), F.col("mention_end")))
+    value = entities.lab_value(entities.line_after(F.col("text_after")))
     return found.withColumn("v", value).filter("v IS NOT NULL").select(
         "document_id", "span_pos", "key", "v.value", "v.unit", "v.length"
     )
@@ -290,14 +290,14 @@ def lab_values(i: Inputs) -> DataFrame:
 @query("doses", ENTITY_SQL + "SELECT document_id, span_pos, key, nullif(dv || du, '') AS dose FROM ent WHERE domain = 'medication'")
 def doses(i: Inputs) -> DataFrame:
     found = entities.mentions(i.notes(), DICTIONARY, ["document_id", "span_pos"]).filter("domain = 'medication'")
-    d = entities.dose(entities.line_after(F.col("text"), F.col("mention_end")))
+    d = entities.dose(entities.line_after(F.col("text_after")))
     return found.withColumn("d", d).select("document_id", "span_pos", "key", F.col("d.text").alias("dose"))
 
 
 @query("frequencies", ENTITY_SQL + "SELECT document_id, span_pos, key, fq AS frequency FROM ent WHERE domain = 'medication'")
 def frequencies(i: Inputs) -> DataFrame:
     found = entities.mentions(i.notes(), DICTIONARY, ["document_id", "span_pos"]).filter("domain = 'medication'")
-    window = entities.line_after(F.col("text"), F.col("mention_end"))
+    window = entities.line_after(F.col("text_after"))
     return (
         found.withColumn("w", window)
         .withColumn("n", entities.frequency_window(F.col("w"), entities.dose(F.col("w"))["length"]))

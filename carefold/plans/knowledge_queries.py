@@ -69,10 +69,8 @@ k AS (SELECT *, category || ':' || lower(trim(text)) AS key,
 r AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY priority DESC, pos) AS rank FROM k WHERE dup = 1)
 SELECT patient_id, rank, text, category, priority, source FROM r WHERE rank <= 6""")
 def planned_queries(i: Inputs) -> DataFrame:
-    e = i.entities()
     planned = retrieval.plan_queries(
-        retrieval.lab_queries(e), retrieval.disease_queries(e), retrieval.medication_queries(e),
-        retrieval.trend_queries(trend_table(i)), retrieval.context_queries(_contexts(i)),
+        retrieval.entity_queries(i.entities()), retrieval.trend_queries(trend_table(i)), retrieval.context_queries(_contexts(i)),
     )
     return planned.select(
         "patient_id", "rank", "text", "category", "priority",
