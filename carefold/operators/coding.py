@@ -46,12 +46,12 @@ def with_codes(
         )
     )
     typed = entities.withColumn("domain", domain_of(F.col("entity_type")))
-    exact = typed.alias("e").join(
-        entries.alias("o"),
-        (F.col("e.domain") == F.col("o.domain")) & (F.col("e.entity_label") == F.col("o.key")),
+    exact = typed.alias("_entity").join(
+        entries.alias("_entry"),
+        (F.col("_entity.domain") == F.col("_entry.domain")) & (F.col("_entity.entity_label") == F.col("_entry.key")),
         "left",
-    ).select("e.*", *[F.col(f"o.{c}").alias(f"x_{c}") for c in ("code", "display", "unit_canonical")],
-             F.col("o.key").alias("x_key"))
+    ).select("_entity.*", *[F.col(f"_entry.{c}").alias(f"x_{c}") for c in ("code", "display", "unit_canonical")],
+             F.col("_entry.key").alias("x_key"))
     key_of: dict[str, dict[str, str]] = {}
     for entry in dictionary.entries:
         for alias in [entry["key"], *entry["aliases"]]:

@@ -122,6 +122,24 @@ class Dictionary:
     def ontology(self, spark: SparkSession) -> DataFrame:
         return knowledge.local_frame(spark, self.entries, knowledge.ONTOLOGY_SCHEMA)
 
+    def names(self, spark: SparkSession) -> DataFrame:
+        """Every alias, as written and lower-cased, with its entry; the last definition wins."""
+        named: dict[tuple[str, str, str], dict] = {}
+        for entry in self.entries:
+            for alias in [entry["key"], *entry["aliases"]]:
+                for form, text in (("exact", alias), ("lower", alias.lower())):
+                    named[(entry["domain"], form, text)] = entry
+        fields = ("key", "code", "display", "unit_canonical", "drug_class")
+        rows = [
+            dict(domain=d, form=form, alias=text, **{f: e.get(f) for f in fields})
+            for (d, form, text), e in named.items()
+        ]
+        return knowledge.local_frame(
+            spark, rows,
+            "domain string, form string, alias string, key string, code string, display string, "
+            "unit_canonical string, drug_class string",
+        )
+
     def patterns(self, domain: str) -> tuple[str | None, str | None]:
         """Case-insensitive pattern of the long aliases, exact one of the short ones."""
         names = list(dict.fromkeys(self.aliases[domain]))
@@ -184,11 +202,7 @@ def mentions(spans: DataFrame, dictionary: Dictionary, keep: list[str]) -> DataF
         .otherwise(F.col("h.value"))
         .alias("alias"),
     )
-    ontology = dictionary.ontology(spans.sparkSession)
-    names = knowledge.build_aliases(ontology).join(
-        ontology.select("domain", "key", "code", "display", "unit_canonical", "drug_class"),
-        ["domain", "key"],
-    )
+    names = dictionary.names(spans.sparkSession)
     return rows.join(small_side(names), ["domain", "form", "alias"]).drop("form", "alias")
 
 
@@ -406,16 +420,16 @@ def sentence_of(mentions_: DataFrame, sentence_table: DataFrame, bin_width: int
         ),
     )
     binned = mentions_.withColumn("bin", F.floor(F.col("offset") / bin_width))
-    inside = binned.alias("m").join(
-        binned_sentences.alias("s"),
-        (F.col("m.document_id") == F.col("s.document_id"))
-        & (F.col("m.bin") == F.col("s.bin"))
-        & (F.col("s.start") <= F.col("m.offset"))
-        & (F.col("m.offset") < F.col("s.end")),
+    inside = binned.alias("_mention").join(
+        binned_sentences.alias("_sentence"),
+        (F.col("_mention.document_id") == F.col("_sentence.document_id"))
+        & (F.col("_mention.bin") == F.col("_sentence.bin"))
+        & (F.col("_sentence.start") <= F.col("_mention.offset"))
+        & (F.col("_mention.offset") < F.col("_sentence.end")),
         "left",
     ).select(
-        "m.document_id", "m.mention_id", "m.offset",
-        F.col("s.sentence_pos").alias("hit_pos"), F.col("s.sentence").alias("hit"),
+        "_mention.document_id", "_mention.mention_id", "_mention.offset",
+        F.col("_sentence.sentence_pos").alias("hit_pos"), F.col("_sentence.sentence").alias("hit"),
     )
     last = sentence_table.groupBy("document_id").agg(
         F.max("sentence_pos").alias("last_pos"),

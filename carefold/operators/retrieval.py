@@ -429,6 +429,43 @@ def to_knowledge_items(ranked: DataFrame) -> DataFrame:
     )
 
 
+PAYLOAD = (
+    "guideline_id", "source", "evidence_source", "section", "condition", "title", "display_name",
+    "metric_name", "category", "citation", "text", "reference_range_low", "reference_range_high",
+    "reference_range_unit",
+)
+
+
+def retrieve(
+    planned: DataFrame,
+    passages: DataFrame,
+    encode: Callable[[list[str]], np.ndarray],
+    top_k: int = settings.SEARCH_TOP_K,
+) -> DataFrame:
+    """Knowledge items of each patient from planned queries and embedded passages.
+
+    ``passages`` hold passage_id, category, vector and payload columns. Patients
+    share many query texts, so each distinct text is embedded and searched once.
+    """
+    query_id = F.md5(F.concat_ws("|", "category", "text"))
+    asked = planned.withColumn("query_id", query_id)
+    distinct = asked.select("query_id", "category", "text").distinct()
+    embedded = embed_texts(distinct, encode).select("query_id", "category", "vector")
+    hits = search_knowledge(
+        embedded, passages.select("passage_id", "category", "vector"), top_k
+    )
+    payload = passages.select(
+        "passage_id",
+        *[F.col(c) if c in passages.columns else F.lit(None).cast("string").alias(c)
+          for c in PAYLOAD],
+    )
+    found = asked.select(
+        "patient_id", "query_id", "rank", F.col("category").alias("query_category"),
+        F.col("text").alias("query_text"),
+    ).join(hits, "query_id").withColumn("arrival", F.struct("rank", "hit_rank"))
+    return to_knowledge_items(rank_candidates(to_candidates(attach_payload(found, payload))))
+
+
 def attach_payload(hits: DataFrame, passages: DataFrame) -> DataFrame:
     """Payload columns of the passages for the few hits that survived the search."""
     return hits.join(small_side(passages), "passage_id")
