@@ -48,7 +48,10 @@ def exact_round(value: Column, digits: int) -> Column:
     split into its rounded value and the exact rest; at a half the sign of the
     rest decides.
     """
-    scale = F.lit(float(10**digits))
+    return _round_at(value, F.lit(float(10**digits)))
+
+
+def _round_at(value: Column, scale: Column) -> Column:
     product = value * scale
     spread = value * 134217729.0
     high = spread - (spread - value)
@@ -88,11 +91,9 @@ def significant(value: Column, digits: int = 4) -> Column:
     trim = lambda c: F.when(
         F.contains(c, F.lit(".")), F.regexp_replace(c, r"\.?0+$", "")
     ).otherwise(c)
-    fixed = F.lit(None).cast("string")
-    for power in range(-4, digits):
-        fixed = F.when(
-            exponent == power, fixed_point(value, digits - 1 - power)
-        ).otherwise(fixed)
+    # At most digits + 3 decimals are left, and the trim drops the zeros behind them.
+    rounded = _round_at(value, F.pow(F.lit(10.0), (F.lit(digits - 1) - exponent).cast("double")))
+    fixed = F.format_string(f"%.{digits + 3}f", rounded)
     return (
         F.when(value == 0, F.lit("0"))
         .when(

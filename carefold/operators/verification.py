@@ -45,27 +45,41 @@ def screen_assertions(assertions: DataFrame, drafts: DataFrame, used: DataFrame)
     Support must be cited by the insight itself; a contradiction may come from
     any evidence of the patient. The checker's verdict decides ``verified``.
     """
-    known = resolvable(drafts, used).select("patient_id", "draft_id", "cited_ids")
-    scoped = assertions.join(known, "draft_id")
-    contradicting = (
-        scoped.select(
-            "patient_id", "draft_id", "pos",
-            F.posexplode("contradicting_evidence_ids").alias("cite_pos", "evidence_id"),
-        )
+    # Citations (at position -1) and contradictions meet the evidence in one join.
+    owners = drafts.select("draft_id", "patient_id", "supporting_evidence_ids")
+    cites = owners.select(
+        "patient_id", "draft_id", F.lit(-1).alias("pos"),
+        F.posexplode("supporting_evidence_ids").alias("cite_pos", "evidence_id"),
+    )
+    conflicts = assertions.select("draft_id", "pos", "contradicting_evidence_ids").join(
+        owners.select("draft_id", "patient_id"), "draft_id"
+    ).select(
+        "patient_id", "draft_id", "pos",
+        F.posexplode("contradicting_evidence_ids").alias("cite_pos", "evidence_id"),
+    )
+    known = (
+        cites.unionByName(conflicts)
         .join(used.select("patient_id", "evidence_id"), ["patient_id", "evidence_id"])
-        .groupBy("draft_id", "pos")
+        .groupBy("patient_id", "draft_id")
         .agg(
-            F.array_sort(F.collect_list(F.struct("cite_pos", "evidence_id"))).alias("c")
+            F.collect_set(F.when(F.col("pos") < 0, F.col("evidence_id"))).alias("cited_ids"),
+            F.array_sort(
+                F.collect_list(
+                    F.when(F.col("pos") >= 0, F.struct("pos", "cite_pos", "evidence_id"))
+                )
+            ).alias("conflicts"),
         )
-        .select("draft_id", "pos", F.col("c.evidence_id").alias("contradicting"))
+        .filter(F.size("cited_ids") > 0)
     )
-    return scoped.join(contradicting, ["draft_id", "pos"], "left").select(
+    return assertions.join(known, "draft_id").select(
         "patient_id", "draft_id", "pos", "assertion_text",
         F.coalesce(F.col("supported"), F.lit(False)).alias("verified"),
         F.filter(
             "supporting_evidence_ids", lambda e: F.array_contains(F.col("cited_ids"), e)
         ).alias("supporting"),
-        F.coalesce("contradicting", F.array().cast("array<string>")).alias("contradicting"),
+        F.transform(
+            F.filter("conflicts", lambda c: c["pos"] == F.col("pos")), lambda c: c["evidence_id"]
+        ).alias("contradicting"),
         exact_round(F.col("confidence"), 4).alias("confidence"),
     )
 
