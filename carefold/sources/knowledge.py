@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carefold.functions.text import empty_to_null
 from carefold.sources import knowledge_values as kv
@@ -38,9 +39,8 @@ METRIC_SCHEMA = "code string, metric_name string, higher_is_better boolean, inte
 
 def local_frame(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """A local relation (exact size statistics) holding constant rows."""
-    empty = spark.createDataFrame([], ddl)
     arrow_schema = pa.schema(
-        [pa.field(f.name, _arrow_type(f.dataType.simpleString())) for f in empty.schema]
+        [pa.field(f.name, _arrow_type(f.dataType.simpleString())) for f in T.StructType.fromDDL(ddl)]
     )
     table = pa.Table.from_pylist(
         [{name: row.get(name) for name in arrow_schema.names} for row in rows], arrow_schema
