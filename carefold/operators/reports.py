@@ -181,6 +181,7 @@ def page(df: DataFrame, order: list[Column], page_no: int, size: int) -> DataFra
     """
     rows = df.orderBy(*order).offset((page_no - 1) * size).limit(size)
     total = df.agg(F.count("*").alias("total"))
+    # A page of rows beside a single row.
     return rows.join(F.broadcast(total)).select(
         "*", F.lit(page_no).alias("page"), F.lit(size).alias("size"),
         F.ceil(F.col("total") / size).cast("long").alias("pages"),
