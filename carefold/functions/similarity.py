@@ -37,13 +37,6 @@ def best_alias(aliases: dict[str, list[str]], cutoff: float):
     return score
 
 
-def length_bound(a: Column, b: Column) -> Column:
-    """The highest ratio two texts of these lengths can reach."""
-    return 2.0 * F.least(F.length(a), F.length(b)) / F.nullif(
-        F.length(a) + F.length(b), F.lit(0)
-    )
-
-
 def trigrams(text: Column) -> Column:
     """Distinct three-letter pieces of each word, padded by two blanks and one."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

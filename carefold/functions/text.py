@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 NUMBER = r"[-+]?\d+(?:\.\d+)?"
 
 
-def blank_to_null(value: Column) -> Column:
-    return F.when(F.trim(value) != "", value)
-
-
 def empty_to_null(value: Column) -> Column:
     return F.when(value != "", value)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carefold.operators import layout, reports, triage
-from carefold.session import small_side
+from carefold.session import cut_lineage, shared_folder, small_side
 from carefold.sources import documents, knowledge, tables
 
 
@@ -133,3 +133,11 @@ def test_snapshot_pages_hold_everything(spark):
     assert sorted(i for r in state for i in r["items"]) == sorted(
         '{"document_id":"d%d","filename":"f","processing_status":"queued"}' % k for k in range(25))
     assert all(r.page_count == 3 for r in state)
+
+
+def test_lineage_is_cut_in_the_shared_folder(spark):
+    df = spark.range(5).withColumn("x", F.col("id") * 2)
+    cut = cut_lineage(df)
+    assert cut.agg(F.sum("x")).first()[0] == 20
+    assert "Range" not in cut._jdf.queryExecution().logical().toString()
+    assert shared_folder(spark) == shared_folder(spark)
