@@ -147,7 +147,7 @@ def write(df: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int =
         shard = TaskContext.get().partitionId()
         name = f"ids-{shard:06d}-{uuid.uuid4().hex}.planes"
         writer = sink = None
-        for batch in common.slices(batches, "text", 4 * common.SLICE_BYTES):
+        for batch in common.slices(batches, "text", 2 * common.SLICE_BYTES):
             if writer is None:
                 filesystem, path = fs.FileSystem.from_uri(folder)
                 filesystem.create_dir(path, recursive=True)

@@ -12,6 +12,7 @@ gives an empty table. Control strings such as ``<|endoftext|>`` inside a text ar
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +25,20 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 from carefold.llm import common
+from carefold.llm.words import hash_spans
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Matches, and pieces, that a worker remembers before it starts afresh.
-CACHED = 700_000
+#: Matches of the pattern that a worker remembers in each of two generations.
+CACHED_MATCHES = 150_000
+#: A worker remembers at most 2 to this power pieces, about 40 bytes each.
+CACHE_BITS = 21
 _WS = r"[\s\v\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]"
 #: A space with other white space, or an end of the text, on both sides: a cut there could part one match.
 UNSAFE = rf"{_WS} (?:{_WS}|$)|^ (?:{_WS}|$)"
 LATIN = "\u024f"
 
-_LOADED: dict[tuple, "Encoder"] = {}
+_LOADED: dict[str, "Encoder"] = {}
+_DECODERS: dict[str, "Decoder"] = {}
 
 
 def byte_characters() -> list[str]:
@@ -68,11 +73,17 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return pairs
 
 
+def written_vocabulary(ranks: dict[bytes, int]) -> dict[str, int]:
+    """The vocabulary with every byte written as its printable character."""
+    shown = byte_characters()
+    return {"".join(shown[b] for b in token): rank for token, rank in ranks.items()}
+
+
 def build_tokenizer(ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> Tokenizer:
     shown = byte_characters()
     text = lambda token: "".join(shown[b] for b in token)
     tokenizer = Tokenizer(models.BPE(
-        vocab={text(token): rank for token, rank in ranks.items()},
+        vocab=written_vocabulary(ranks),
         merges=[(text(a), text(b)) for a, b in merges_of(ranks)],
     ))
     tokenizer.pre_tokenizer = pre_tokenizers.Sequence([
@@ -83,6 +94,55 @@ def build_tokenizer(ranks: dict[bytes, int], pattern: str = public_tokenizers.PA
     return tokenizer
 
 
+class PieceCache:
+    """Ids of pieces already seen, in flat arrays: a slot per hash, overwritten by later pieces of the same slot.
+
+    A hit needs the same 64-bit hash, the same length and the same first 8 bytes.
+    """
+
+    def __init__(self, bits: int = CACHE_BITS):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.limit = 6 << bits
+        self.clear()
+
+    def clear(self) -> None:
+        slots = int(self.mask) + 1
+        self.hash, self.head = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.size = np.full(slots, -1, np.int32)
+        self.begin, self.count = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def keys(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+        data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[: ends[-1]]
+        starts, ends = ends[:-1], ends[1:]
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        head = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[starts]
+        size = ends - starts
+        head &= ~np.uint64(0) >> (np.uint64(8) * (8 - size.clip(1, 8)).astype(np.uint64))
+        head[size == 0] = 0
+        return hash_spans(data, starts, ends), head, size.astype(np.int32)
+
+    def missing(self, keys: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        slot = keys[0] & self.mask
+        return np.flatnonzero((self.hash[slot] != keys[0]) | (self.head[slot] != keys[1]) | (self.size[slot] != keys[2]))
+
+    def put(self, keys: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, counts: np.ndarray) -> None:
+        if self.used + len(ids) > self.limit:
+            self.clear()
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), "<u4")])
+        self.ids[self.used : self.used + len(ids)] = ids
+        slot = keys[0] & self.mask
+        # of several pieces for one slot the last stays, in every array alike
+        slot, last = np.unique(slot[::-1], return_index=True)
+        last = len(keys[0]) - 1 - last
+        self.hash[slot], self.head[slot], self.size[slot] = keys[0][last], keys[1][last], keys[2][last]
+        self.begin[slot] = self.used + (np.cumsum(counts) - counts)[last]
+        self.count[slot] = counts[last]
+        self.used += len(ids)
+
+
 class Encoder:
     """Encodes Arrow arrays of texts; every match of the split pattern goes through the library once per worker.
 
@@ -96,14 +156,14 @@ class Encoder:
         tokenizer.no_truncation()
         self.tokenizer = tokenizer
         #: The same model without its own split, for strings that are one match already.
-        self.matches = Tokenizer.from_str(tokenizer.to_str())
-        self.matches.encode_special_tokens = True
+        self.matches = Tokenizer(tokenizer.model)
         self.matches.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.find = regex.compile(pattern).findall
         #: Whether characters beyond Latin are split by the library's own copy of the pattern and its Unicode tables.
         self.own_split = own_split
-        self.by_match: dict[str, bytes] = {}
-        self.by_piece: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pieces = PieceCache()
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -115,8 +175,8 @@ class Encoder:
                 _LOADED[path] = cls(build_tokenizer(load_ranks(path)))
         return _LOADED[path]
 
-    def _strings(self, strings: list[str]) -> list[bytes]:
-        """Packed ids of any strings: split by the pattern, unseen matches through the library in one batch."""
+    def _strings(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any strings in a row and their counts: split by the pattern, unseen matches through the library."""
         found: list[list[str]] = []
         whole: list[int] = []
         for at, string in enumerate(strings):
@@ -125,17 +185,25 @@ class Encoder:
                 found.append([])
             else:
                 found.append(self.find(string))
-        known = self.by_match
-        if len(known) > CACHED:
-            known = self.by_match = {}
-        new = [m for m in set().union(*found) if m not in known] if found else []
-        for match, made in zip(new, self.matches.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[match] = np.array(made.ids, "<u4").tobytes()
+        known = {}
+        new = []
+        for match in set().union(*found) if found else ():
+            ids = self.young.get(match)
+            if ids is None and (ids := self.old.get(match)) is None:
+                new.append(match)
+            else:
+                known[match] = ids
+        for at in range(0, len(new), 8192):
+            part = new[at : at + 8192]
+            for match, made in zip(part, self.matches.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[match] = array("I", made.ids).tobytes()
+        self.young.update(known)
+        if len(self.young) > CACHED_MATCHES:
+            self.old, self.young = self.young, {}
         out = [b"".join([known[m] for m in matches]) for matches in found]
-        if whole:
-            for at, made in zip(whole, self.tokenizer.encode_batch_fast([strings[i] for i in whole], add_special_tokens=False), strict=True):
-                out[at] = np.array(made.ids, "<u4").tobytes()
-        return out
+        for at in whole:
+            out[at] = array("I", self.tokenizer.encode(strings[at], add_special_tokens=False).ids).tobytes()
+        return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row as unsigned 32-bit integers, and how many each text has."""
@@ -146,21 +214,28 @@ class Encoder:
         lists = pc.split_pattern(pc.if_else(unsafe, "", texts), " ")
         first = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        pieces, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        known = self.by_piece
-        if len(known) > CACHED:
-            known = self.by_piece = {}
-        new = [p for p in pieces if p not in known]
-        known.update(zip(new, self._strings([" " + p for p in new]), strict=True))
-        opening = pc.if_else(unsafe, texts, coded.dictionary.take(coded.indices.take(pa.array(first))))
-        packed = [known[p] for p in pieces] + self._strings(opening.to_pylist())
-        index[first] = np.arange(len(pieces), len(pieces) + rows)
-        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        begins, ids = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(packed), "<u4")
+        index, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        opening = pc.if_else(unsafe, texts, names.take(coded.indices.take(pa.array(first))))
+        cache = self.pieces
+        keys = cache.keys(names)
+        missing = cache.missing(keys)
+        new_ids, new_counts = self._strings([" " + p for p in names.take(pa.array(missing)).to_pylist()])
+        own_ids, own_counts = self._strings(opening.to_pylist())
+        slot = keys[0] & cache.mask
+        # ids lie in three rows one after the other: those remembered, the new pieces, the openings of texts
+        begins = np.concatenate([cache.begin[slot], np.zeros(rows, np.int64)])
+        lengths = np.concatenate([cache.count[slot], own_counts]).astype(np.int64)
+        begins[missing] = cache.used + np.cumsum(new_counts) - new_counts
+        lengths[missing] = new_counts
+        begins[len(names) :] = cache.used + len(new_ids) + np.cumsum(own_counts) - own_counts
+        pool = np.concatenate([cache.ids[: cache.used], new_ids, own_ids])
+        cache.put(tuple(k[missing] for k in keys), new_ids, new_counts)
+        index[first] = np.arange(len(names), len(names) + rows)
         counts = lengths[index]
         ends = np.cumsum(counts)
-        places = np.arange(ends[-1]) + np.repeat(begins[index] - (ends - counts), counts)
-        return ids[places], np.add.reduceat(counts, first)
+        places = np.repeat(begins[index] - (ends - counts), counts)
+        places += np.arange(ends[-1])
+        return pool[places], np.add.reduceat(counts, first)
 
     def encode_with_offsets(self, texts: list[str]) -> tuple[list[list[int]], list[list[tuple[int, int]]]]:
         """Ids, and each id's begin and end in code points; ids that share a character share its place."""
@@ -173,12 +248,20 @@ class Decoder:
 
     def __init__(self, path: str):
         shown = {c: b for b, c in enumerate(byte_characters())}
-        tokenizer = Encoder.of(path).tokenizer
-        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        if path.endswith(".json"):
+            vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+        else:
+            vocabulary = written_vocabulary(load_ranks(path))
         self.tokens = [b""] * (max(vocabulary.values()) + 1)
         for token, number in vocabulary.items():
             self.tokens[number] = bytes(shown[c] for c in token) if all(c in shown for c in token) else token.encode()
 
+    @classmethod
+    def of(cls, path: str) -> "Decoder":
+        if path not in _DECODERS:
+            _DECODERS[path] = cls(path)
+        return _DECODERS[path]
+
     def bytes_of(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
@@ -231,7 +314,7 @@ def decode(df: DataFrame, path: str = RANKS, keep: tuple[str, ...] = ("doc_id",)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(path)
+        decoder = Decoder.of(path)
         for batch in batches:
             lists = batch.column(len(keep))
             decoded = [decoder.bytes_of(x.values.to_numpy()) if x.is_valid else b"" for x in lists]
