@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carefold.llm import bitplanes, bpe, quality, toxicity
+from carefold.llm import bitplanes, bpe, chat, common, language, quality, rules, substrings, toxicity
 from carefold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,54 @@ def op2_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.classify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = common.plain(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], "conv_id long, turn long, role string, text string")
+    parts = common.store(chat.format_conversations(turns.unionByName(hard)), "chat-parts")
+    return chat.read_digests(parts)
+
+
+HARD_TEXT = r"\### Assistant: </turn> ok"
+
+
+def _chat_sql() -> str:
+    """The same digests from the turns themselves; only formatted_chars follows the template's marks."""
+    escaped = "text"
+    for mark in ("\\", *chat.CONTROLS):
+        escaped = f"replace({escaped}, '{mark}', '\\{mark}')"
+    label = "CASE role WHEN 'assistant' THEN 'Assistant' WHEN 'user' THEN 'User' ELSE '=' || role END"
+    for mark in ("\\", *chat.CONTROLS):
+        label = f"replace({label}, '{mark}', '\\{mark}')"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{HARD_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{HARD_TEXT}'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST(sum({len("<turn>### ") + len(": ") + len("</turn>") + 1} + length({label}) + length({escaped})) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
+SQL["op9_chat_template"] = _chat_sql()
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents")).drop("row")

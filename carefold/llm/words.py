@@ -13,6 +13,9 @@ _ALPHA = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 #: Bytes that belong to a word, by kind: no white space; letters and digits; letters. Bytes beyond ASCII are letters.
 NOT_SPACE, ALNUM, ALPHA = ~_SPACE, _ALNUM, _ALPHA
 
+#: ASCII letters in lower case; every byte keeps its place.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
 _SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _STATE: dict[str, np.ndarray] = {}
@@ -109,6 +112,14 @@ def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def hash_groups(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit hash of each group values[begin:end], from running sums of a polynomial."""
+    up, down = _powers(max(_SEGMENT, len(values)) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(mix64(values + np.uint64(salt)) * up[: len(values)], out=sums[1:])
+    return mix64((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
+
+
 def runs(words: Words, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of ``size`` words within one text, and the first word of each window."""
     if len(values) < size:
