@@ -102,7 +102,7 @@ class PieceCache:
 
     def __init__(self, bits: int = CACHE_BITS):
         self.mask = np.uint64((1 << bits) - 1)
-        self.limit = 6 << bits
+        self.limit = 4 << bits
         self.clear()
 
     def clear(self) -> None:
@@ -265,6 +265,10 @@ class Decoder:
     def bytes_of(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
+    def lists(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids; a null list has none."""
+        return pa.array([self.bytes_of(x.values.to_numpy()) if x.is_valid else b"" for x in ids], pa.binary())
+
 
 def decode_stream(pieces: Iterator[bytes]) -> Iterator[str]:
     """Text of a stream of decoded tokens; a character that is split over tokens appears once its last byte is there."""
@@ -283,29 +287,36 @@ def id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view("<i4")))
 
 
-def encode(df: DataFrame, path: str = RANKS, offsets: bool = False, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and ``ids`` (array of int) of every whole text, with ``offsets`` also ``begins`` and ``ends``.
+def encode(
+    df: DataFrame, path: str = RANKS, offsets: bool = False, decoded: bool = False, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """Columns ``keep`` and ``ids`` (array of int) of every whole text.
 
-    Begins and ends count code points of the text. An id that holds only part of a character has the place of the whole
-    character. Row-local: no shuffle, and the text itself does not leave the worker again.
+    With ``offsets`` also ``begins`` and ``ends`` in code points of the text; an id that holds only part of a character has
+    the place of the whole character. With ``decoded`` also the bytes that the ids decode to, taken in the same pass.
+    Row-local: no shuffle.
     """
     source = common.plain(df, *keep, text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in common.plain(df, *keep).schema)
-    schema += ", ids array<int>" + (", begins array<int>, ends array<int>" if offsets else "")
+    schema += ", ids array<int>" + (", begins array<int>, ends array<int>" if offsets else "") + (", decoded binary" if decoded else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
-        for batch in common.slices(batches, text, 2 * common.SLICE_BYTES):
+        encoder, decoder = Encoder.of(path), Decoder.of(path) if decoded else None
+        for batch in common.slices(batches, text):
             texts = common.text_column(batch, text)
-            kept = [batch.column(i) for i in range(len(keep))]
+            columns = dict(zip(keep, batch.columns, strict=False))
             if offsets:
                 ids, spans = encoder.encode_with_offsets(texts.to_pylist())
-                sides = [pa.array([[s[side] for s in row] for row in spans], pa.list_(pa.int32())) for side in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.list_(pa.int32())), *sides], [*keep, "ids", "begins", "ends"])
+                columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
+                for side, name in enumerate(("begins", "ends")):
+                    columns[name] = pa.array([[s[side] for s in row] for row in spans], pa.list_(pa.int32()))
             else:
-                yield pa.RecordBatch.from_arrays([*kept, id_lists(*encoder.encode(texts))], [*keep, "ids"])
+                columns["ids"] = id_lists(*encoder.encode(texts))
+            if decoder is not None:
+                columns["decoded"] = decoder.lists(columns["ids"])
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return source.mapInArrow(run, schema)
+    return common.map_arrow(source, run, schema)
 
 
 def decode(df: DataFrame, path: str = RANKS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -316,17 +327,14 @@ def decode(df: DataFrame, path: str = RANKS, keep: tuple[str, ...] = ("doc_id",)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder.of(path)
         for batch in batches:
-            lists = batch.column(len(keep))
-            decoded = [decoder.bytes_of(x.values.to_numpy()) if x.is_valid else b"" for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*keep, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoder.lists(batch.column(len(keep)))], [*keep, "ids", "decoded"])
 
-    return source.mapInArrow(run, schema)
+    return common.map_arrow(source, run, schema)
 
 
 def digests(df: DataFrame, path: str = RANKS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded and decoded texts."""
-    back = decode(encode(df, path), path)
-    return back.select(
+    return encode(df, path, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

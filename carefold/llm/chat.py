@@ -420,7 +420,7 @@ def render_turns(turns: DataFrame, source: str = TEMPLATE, controls: tuple[str,
                  pa.array(masks, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))],
                 ["conv_id", "turn", "role", "body", "text", "mask"])
 
-    return common.plain(turns, "conv_id", "turn", "role", "text").mapInArrow(run, schema)
+    return common.map_arrow(common.plain(turns, "conv_id", "turn", "role", "text"), run, schema)
 
 
 def format_conversations(turns: DataFrame, source: str = TEMPLATE, controls: tuple[str, ...] = CONTROLS) -> DataFrame:
@@ -462,7 +462,7 @@ def format_conversations(turns: DataFrame, source: str = TEMPLATE, controls: tup
         close()
         yield emit()
 
-    return dealt.mapInArrow(run, _PARTS)
+    return common.map_arrow(dealt, run, _PARTS)
 
 
 def turn_reader(controls: tuple[str, ...] = CONTROLS) -> Callable[[str], list[tuple[str, str]]]:
@@ -527,4 +527,4 @@ def read_digests(parts: DataFrame, controls: tuple[str, ...] = CONTROLS) -> Data
         close()
         yield emit()
 
-    return dealt.mapInArrow(run, schema)
+    return common.map_arrow(dealt, run, schema)

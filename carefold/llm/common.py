@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from carefold.session import shared_folder
 
 #: Texts are worked on in slices of about so many bytes, so that a task's memory does not follow its partition.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch that Spark hands to a worker.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +69,14 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = S
         yield batch.slice(begin)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over batches of bounded bytes, so that long rows do not make large batches."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def plain(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; columns of other names cannot clash with derived ones."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -68,6 +68,6 @@ def count_rows(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             made = counts(common.text_column(batch)).clip(max=65535).astype("<u2")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in made], pa.binary())], ["doc_id", "label", "counts"])
 
-    rows = sorted((r.doc_id, r.label, bytes(r.counts)) for r in sample.mapInArrow(run, "doc_id long, label int, counts binary").toLocalIterator())
+    rows = sorted((r.doc_id, r.label, bytes(r.counts)) for r in common.map_arrow(sample, run, "doc_id long, label int, counts binary").toLocalIterator())
     matrix = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(len(rows), -1)
     return matrix, np.array([r[1] for r in rows], np.int64)

@@ -121,7 +121,7 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int = PE
 
     totals: dict[str, np.ndarray] = {}
     summed = (
-        sample.mapInArrow(add, "learned string, sums array<double>")
+        common.map_arrow(sample, add, "learned string, sums array<double>")
         .select("learned", F.posexplode("sums").alias("bin", "n")).groupBy("learned", "bin").agg(F.sum("n").alias("n"))
     )
     for r in summed.toLocalIterator():
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             mixed = pa.array([list(s.items()) for s in sets], pa.map_(pa.string(), pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores), mixed], ["doc_id", "lang_pred", "score", "mixture"])
 
-    return common.plain(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, mixture map<string,double>")
+    return common.map_arrow(common.plain(docs, "doc_id", "text"), run, "doc_id long, lang_pred string, score double, mixture map<string,double>")
 
 
 def classify(docs: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = sent.value.score(features.counts(common.text_column(batch)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
-    return common.plain(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return common.map_arrow(common.plain(docs, "doc_id", "text"), run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

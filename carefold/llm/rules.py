@@ -147,7 +147,7 @@ def judge(docs: DataFrame, model: Model | None, limit: float = LIMIT) -> DataFra
 
     schema = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
               "base_failed boolean, probability double, kept boolean")
-    return common.plain(docs, "doc_id", "text").mapInArrow(run, schema)
+    return common.map_arrow(common.plain(docs, "doc_id", "text"), run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def units(docs: DataFrame) -> DataFrame:
             whole = pa.table({"doc_id": batch.column(0).take(at), "row": tags.take(at)} | {k: pa.array(v if k[0] == "h" else v.astype(np.int32)) for k, v in found.items()})
             yield from whole.to_batches(100_000)
 
-    return common.plain(docs, "doc_id", "text").mapInArrow(run, _UNITS)
+    return common.map_arrow(common.plain(docs, "doc_id", "text"), run, _UNITS)
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -113,7 +113,7 @@ def tagged(docs: DataFrame, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags)], [*batch.schema.names, name])
 
     docs_text = docs.columns[place]
-    return docs.mapInArrow(run, schema)
+    return common.map_arrow(docs, run, schema)
 
 
 def remove(docs: DataFrame, passages: DataFrame) -> DataFrame:

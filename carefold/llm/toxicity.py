@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "positive", "found"])
 
     texts = common.plain(docs, "doc_id", "text").join(F.broadcast(keys), "doc_id").select("doc_id", "text", "positive")
-    sample = common.store(texts.mapInArrow(extract, "doc_id long, positive int, found array<long>"), "toxicity-sample")
+    sample = common.store(common.map_arrow(texts, extract, "doc_id long, positive int, found array<long>"), "toxicity-sample")
     sizes = {r.positive: r.n for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_u:
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) ->
                 rows.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "positive", "bits"])
 
-    rows = sorted((r.doc_id, r.positive, bytes(r.bits)) for r in sample.mapInArrow(index, "doc_id long, positive int, bits binary").toLocalIterator())
+    rows = sorted((r.doc_id, r.positive, bytes(r.bits)) for r in common.map_arrow(sample, index, "doc_id long, positive int, bits binary").toLocalIterator())
     bits = np.unpackbits(np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, : len(hashes)]
     positive = np.array([r[1] for r in rows]) == 1
     weights, bias = train(bits[positive], bits[~positive], prior)
@@ -147,7 +147,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in common.slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.score(common.text_column(batch)))], ["doc_id", "score"])
 
-    return common.plain(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return common.map_arrow(common.plain(docs, "doc_id", "text"), run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -170,4 +170,4 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
             kept = sent.value.score(common.text_column(batch, batch.schema.names[place])) < limit
             yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_arrow(docs, run, docs.schema)
