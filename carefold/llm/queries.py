@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carefold.llm import bitplanes, bpe, chat, common, decontaminate, language, quality, rules, substrings, toxicity
+from carefold.llm import bitplanes, bpe, chat, common, decontaminate, language, neardup, quality, rules, substrings, toxicity
 from carefold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_benchmark_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
