@@ -83,10 +83,10 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     """
     found = common.store(units(docs), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "unit")
-    firsts = (
+    # stored, so that the join below has a shuffle of its own on both sides, which adaptive execution can split
+    firsts = common.store(
         found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").select("h1", "h2", "first")
-    )
+        .filter("n > 1").select("h1", "h2", "first"), "repeated-units")
     repeats = found.join(firsts, ["h1", "h2"]).filter(rank != F.col("first"))
     # the rows of one document may be alike: each unit once
     order = Window.partitionBy("doc_id", "row").orderBy("unit")
