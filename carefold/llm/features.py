@@ -41,10 +41,20 @@ def unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norm > 0, norm, 1)
 
 
+def low_hash(key: Column, size: int, total: int) -> Column:
+    """Whether a 64-bit hash lies so low that about four times ``size`` of ``total`` rows pass.
+
+    The rows of the ``size`` smallest hashes are among them, so a top-k by the hash stays the same while each task gives
+    only a few rows to it.
+    """
+    return key <= min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * min(1.0, 4 * size / max(total, 1))))
+
+
 def sample_keys(table: DataFrame, size: int, salt: int) -> DataFrame:
     """At most ``size`` doc_ids, the first by a hash: the same at every run, spread over the whole table."""
     key = F.xxhash64(F.col("doc_id"), F.lit(salt))
-    return table.filter("doc_id IS NOT NULL").orderBy(key, "doc_id").limit(size)
+    known = table.filter("doc_id IS NOT NULL")
+    return known.filter(low_hash(key, size, known.count())).orderBy(key, "doc_id").limit(size)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: int) -> DataFrame:

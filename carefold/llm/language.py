@@ -98,13 +98,17 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int = PE
     """Sums the trigrams of a bounded sample per language in Spark; the driver gets one row of ``BINS`` sums a language."""
     learn = docs.select("doc_id", "lang").filter((common.fold(F.col("doc_id"), modulus) != held) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     # the most frequent languages: a bound for the model, far above the number of written languages with large corpora
-    known = [r.lang for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    known = {r.lang: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not known:
         return Model([], np.zeros((0, BINS), np.float32))
-    # Spark cuts each language to its first rows by hash before the shuffle, so a language with most rows stays small
-    spread = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id")
+    # each language is cut to its lowest hashes first, so that one with most rows gives few to its window
+    key = F.xxhash64(F.col("doc_id"), F.lit(3))
+    low = None
+    for name, count in known.items():
+        part = (F.col("lang") == name) & features.low_hash(key, per_language, count)
+        low = part if low is None else low | part
     keys = (
-        learn.filter(F.col("lang").isin(known)).withColumn("place", F.row_number().over(spread))
+        learn.filter(low).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id")))
         .filter(F.col("place") <= per_language).select("doc_id", F.col("lang").alias("learned"))
     )
     sample = common.plain(docs, "doc_id", "text").join(F.broadcast(keys), "doc_id").select("text", "learned")
