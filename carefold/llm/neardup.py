@@ -9,8 +9,9 @@ a probability above 0.9999.
 
 Within buckets no pairs are formed at first. Each bucket's most central node (largest sum of its buckets' sizes) is compared
 with the others, then a second one with the nodes that are still apart, and only nodes of a bucket in different components
-are then compared with each other. Compared pairs need 0.6 of the signature to agree (0.8 lies over four standard
-deviations above) and then an exact Jaccard similarity of the shingle sets of at least ``SIMILARITY``. Components of the
+are then compared with each other, if they share ``SHARED`` buckets (a passage that many texts have in common seldom gives
+two). Compared pairs need ``LIKELY`` of the signature to agree (0.8 lies over four standard deviations above) and then an
+exact Jaccard similarity of the shingle sets of at least ``SIMILARITY``. Components of the
 verified links are the classes; a class is named by its smallest doc_id.
 
 Null texts, and texts without a word, have no shingle and are classes of their own. Null doc_ids count as larger than
@@ -32,10 +33,12 @@ from carefold.llm import common, substrings
 from carefold.llm.words import ALNUM, Words, hash_groups, mix64, runs
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 40, 6
 SIZE = BANDS * ROWS
 #: Least share of equal components for a pair to be verified.
-LIKELY = 0.6
+LIKELY = 0.68
+#: Buckets that two nodes still apart after the leaders must share to be compared.
+SHARED = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,7 +80,7 @@ def signatures(elements: np.ndarray, weights: np.ndarray, rows: np.ndarray, n_ro
 
 
 def sketch(texts: pa.Array) -> dict[str, np.ndarray]:
-    """Per text: node name, number of shingles, band keys and 16 bits of every component; only rows with a shingle."""
+    """Per text: node name, number of shingles, band keys and 8 bits of every component; only rows with a shingle."""
     words = Words(texts, ALNUM, lower=True)
     found, times, rows = shingles(words)
     signed = signatures(found, 1 + np.log(times), rows, words.rows)
@@ -89,7 +92,7 @@ def sketch(texts: pa.Array) -> dict[str, np.ndarray]:
     keys = mix64(keys + np.arange(BANDS, dtype=np.uint64) * _STEP)
     return {
         "has": np.diff(begin) > 0, "node": node.view(np.int64), "n": np.diff(begin), "tag": substrings.row_tags(Words(texts, ALNUM)),
-        "keys": keys.view(np.int64), "marks": (signed & np.uint64(0xFFFF)).astype("<u2"),
+        "keys": keys.view(np.int64), "marks": (signed & np.uint64(0xFF)).astype(np.uint8),
     }
 
 
@@ -120,7 +123,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, SIZE) for c in (batch.column(2), batch.column(3)))
+            left, right = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SIZE) for c in (batch.column(2), batch.column(3)))
             keep = (left == right).mean(axis=1) >= LIKELY
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
@@ -189,13 +192,13 @@ def node_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
         labels = components(links)
         known = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        open_ = common.store(known.join(mixed, "key").join(nodes.select("node", "n"), "node"), "open-members")
+        open_ = common.store(known.join(mixed, "key").join(nodes.select("node", "n", "keys"), "node"), "open-members")
         if turn == "second":
             other = open_.groupBy("key").agg(F.max_by(F.struct("node", "label"), F.xxhash64("node", "key")).alias("lead"))
             pairs = open_.join(other, "key").filter(F.col("label") != F.col("lead.label")).select("node", F.col("lead.node").alias("lead"))
         else:
-            right = open_.toDF("lead", "key", "label_b", "n_b").withColumnRenamed("key", "key_b")
-            fits = F.least("n", "n_b") >= SIMILARITY * F.greatest("n", "n_b")
+            right = open_.toDF("lead", "key_b", "label_b", "n_b", "keys_b")
+            fits = (F.least("n", "n_b") >= SIMILARITY * F.greatest("n", "n_b")) & (F.size(F.array_intersect("keys", "keys_b")) >= SHARED)
             pairs = open_.join(right, (F.col("key") == F.col("key_b")) & (F.col("label") < F.col("label_b")) & fits).select("node", "lead")
         pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = common.store(pairs, "tried")
