@@ -1,9 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents and unlabelled text of the learning folds, at most ``POSITIVE`` and ``UNLABELLED`` of them,
-train a linear classifier over the presence of words and word beginnings. The risk is corrected by the class prior (the
-share of toxic documents among the labels to learn from): prior * risk of the positives + what the unlabelled risk holds
-beyond the positives' share, which may not fall below zero.
+Confirmed toxic documents, and text whose labels are not looked at, at most ``POSITIVE`` and ``UNLABELLED`` of them, train
+a linear classifier over the presence of words and word beginnings. Both come from the documents of ``labels`` in the
+learning folds, so that the two samples differ in toxicity alone and not in how documents came to be labelled. The risk
+is corrected by the class prior (the share of toxic documents among the labels to learn from): prior * risk of the
+positives + what the unlabelled risk holds beyond the positives' share, which may not fall below zero.
 
 Null and empty texts hold no feature and get the bias alone. Without positive or without unlabelled rows every score is
 the prior. Repeated rows are scored alike, an empty table gives an empty table, other columns are ignored.
@@ -25,8 +26,8 @@ from carefold.llm.words import ALPHA, Words
 POSITIVE, UNLABELLED, FEATURES = 3000, 6000, 768
 #: Byte lengths of the word beginnings; 0 is the whole word.
 PREFIXES = (0, 4, 5, 6)
-#: A feature must stand in so many sampled documents.
-LEAST = 4
+#: A feature must stand in so many sampled documents, and its shares differ by so many standard errors.
+LEAST, LEAST_Z = 4, 3.5
 _FILTER_BITS = 20
 
 
@@ -98,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) ->
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
     prior = min(max(prior, 0.001), 0.5)
     keys = features.sample_keys(known.filter("toxic = 1").select("doc_id", F.lit(1).alias("positive")), POSITIVE, 1).unionAll(
-        features.sample_keys(docs.filter(learn).select("doc_id", F.lit(0).alias("positive")), UNLABELLED, 2))
+        features.sample_keys(known.select("doc_id", F.lit(0).alias("positive")), UNLABELLED, 2))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -119,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) ->
         .agg(F.sum("positive").cast("long").alias("p"), F.sum(1 - F.col("positive")).cast("long").alias("u"))
         .filter(F.col("p") + F.col("u") >= LEAST)
         .withColumn("z", F.abs(share_p - share_u) / spread)
-        .orderBy(F.desc("z"), "key").limit(FEATURES)
+        .filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "key").limit(FEATURES)
     )
     hashes = np.sort(np.array([r.key for r in chosen.select("key").collect()], np.int64).view(np.uint64))
     order = spark.sparkContext.broadcast(hashes)
