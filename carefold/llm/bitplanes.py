@@ -138,7 +138,9 @@ def write(df: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int =
     """
     spark = df.sparkSession
     source = common.plain(df, "doc_id", "text")
-    shards = max(2 * spark.sparkContext.defaultParallelism, -(-estimated_bytes(source) // shard_bytes))
+    size = estimated_bytes(source)
+    # the optimizer gives a size near the largest integer where it knows none
+    shards = max(2 * spark.sparkContext.defaultParallelism, -(-size // shard_bytes) if size < 1 << 55 else 0)
     key = F.col("doc_id").asc_nulls_first()
     dealt = source.repartitionByRange(shards, key, F.xxhash64("text")).sortWithinPartitions(key, F.xxhash64("text"), "text")
 

@@ -57,15 +57,15 @@ def sample_keys(table: DataFrame, size: int, salt: int) -> DataFrame:
     return known.filter(low_hash(key, size, known.count())).orderBy(key, "doc_id").limit(size)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: int) -> DataFrame:
-    """text and ``label`` (0 or 1) of at most ``per_class`` labelled documents of each class among the rows to learn from.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: tuple[int, int]) -> DataFrame:
+    """text and ``label`` of at most ``per_class`` labelled documents of label 0 and of label 1, of the rows to learn from.
 
-    The keys are at most twice ``per_class`` rows, so they are broadcast to the documents.
+    The keys are at most so many rows, so they are broadcast to the documents.
     """
     known = labels.select("doc_id", F.col(column).cast("int").alias("label")).filter(learn)
     keys = None
     for value in (0, 1):
-        part = sample_keys(known.filter(F.col("label") == value), per_class, value)
+        part = sample_keys(known.filter(F.col("label") == value), per_class[value], value)
         keys = part if keys is None else keys.unionAll(part)
     return common.plain(docs, "doc_id", "text").join(F.broadcast(keys), "doc_id").select("doc_id", "text", "label")
 
@@ -79,5 +79,5 @@ def count_rows(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in made], pa.binary())], ["doc_id", "label", "counts"])
 
     rows = sorted((r.doc_id, r.label, bytes(r.counts)) for r in common.map_arrow(sample, run, "doc_id long, label int, counts binary").toLocalIterator())
-    matrix = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(len(rows), -1)
+    matrix = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(len(rows), CHAR_BINS + WORD_BINS)
     return matrix, np.array([r[1] for r in rows], np.int64)

@@ -1,11 +1,11 @@
 """Quality by nearest neighbours: labelled latent-semantic vectors vote, weighted by their cosine to the document.
 
-Fitted on at most ``PER_CLASS`` labelled documents of each class: log counts of hashed byte trigrams and words, weighted
-by inverse document frequency, cut to ``RANK`` dimensions by a singular value decomposition. Every whole text of the
+Fitted on at most ``PER_CLASS`` labelled documents of either class: log counts of hashed byte trigrams and words, brought
+to length 1, centred, cut to ``RANK`` dimensions by a singular value decomposition. Every whole text of the
 table is projected and multiplied with all labelled vectors in blocks; the nearest ``NEIGHBOURS`` vote.
 
-Null and empty texts have no direction; their score is the vote of all labelled vectors at weight one, as is that of a
-text whose cosines are all zero or less. Without labelled rows every score is 0.5. Rows repeat as they come, ties between
+Null and empty texts hold nothing but their distance from the mean and are voted on like others; a text whose cosines are
+all zero or less gets the share of good labels. Without labelled rows every score is 0.5. Rows repeat as they come, ties between
 neighbours are broken by the order of doc_id, an empty table gives an empty table.
 """
 
@@ -21,32 +21,35 @@ from pyspark.sql import functions as F
 
 from carefold.llm import common, features
 
-PER_CLASS, RANK, NEIGHBOURS, POWER = 1000, 64, 40, 4
+#: Labelled documents of label 0 and of label 1.
+PER_CLASS = (1000, 2000)
+RANK, NEIGHBOURS, POWER = 32, 15, 4
 
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    mean: np.ndarray
     projection: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
 
     @classmethod
     def fit(cls, counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> "Model":
-        weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.05)
-        x = features.unit(np.log1p(counts.astype(np.float32)) * weights)
+        x = features.unit(np.log1p(counts.astype(np.float32)))
+        mean = x.mean(axis=0)
+        x = features.unit(x - mean)
         values, left = np.linalg.eigh((x @ x.T).astype(np.float64))
         best = np.argsort(-values, kind="stable")[: min(rank, len(x))]
         best = best[values[best] > 1e-8]
         projection = (x.T @ (left[:, best] / np.sqrt(values[best]))).astype(np.float32)
-        return cls(weights, projection, features.unit(x @ projection), labels)
+        return cls(mean, projection, features.unit(x @ projection), labels)
 
     def score(self, counts: np.ndarray, neighbours: int = NEIGHBOURS, block: int = 512) -> np.ndarray:
         rest = float(self.labels.mean()) if len(self.labels) else 0.5
         out = np.full(len(counts), rest)
         if not len(self.labels):
             return out
-        own = features.unit((features.unit(np.log1p(counts) * self.weights)) @ self.projection)
+        own = features.unit((features.unit(np.log1p(counts)) - self.mean) @ self.projection)
         take = min(neighbours, len(self.labels))
         for at in range(0, len(own), block):
             cosine = own[at : at + block] @ self.vectors.T
@@ -58,7 +61,7 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, per_class: int = PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, per_class: tuple[int, int] = PER_CLASS) -> Model:
     """Learns from labelled rows outside the held-out fold: crc32(doc_id) mod ``modulus`` is not ``held``."""
     learn = common.fold(F.col("doc_id"), modulus) != held
     counts, values = features.count_rows(features.labelled_sample(docs, labels, "quality", learn, per_class))

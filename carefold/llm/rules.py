@@ -25,7 +25,7 @@ from carefold.llm import common, features
 from carefold.llm.words import NOT_SPACE, Words, runs
 
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 5, 10, 20
-PER_CLASS, LIMIT = 1500, 0.5
+PER_CLASS, LIMIT = (1500, 1500), 0.5
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _SPACES = " \t\n\v\f\r"
 
@@ -123,7 +123,7 @@ def _logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int,
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model | None:
     shares = {r.quality: r.n for r in labels.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     good, bad = shares.get(1, 0), shares.get(0, 0)
     if not good or not bad:
