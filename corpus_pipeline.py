@@ -1,26 +1,54 @@
-"""A corpus pipeline of the operators in carefold.llm: each stage takes what the stage before it kept."""
+"""A corpus pipeline of the operators in carefold.llm: each stage takes what the stage before it kept.
+
+Stages keep every column of ``documents``; only the last one returns ids instead of texts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from carefold.llm import bpe, common
+from carefold.llm import bpe, common, decontaminate, neardup, substrings, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below one half, by a classifier fitted on these documents and ``labels``."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of every near-duplicate class."""
+    return neardup.keep_one(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that an earlier one holds; a text may become empty, the document stays."""
+    return substrings.remove(docs, substrings.repeated_passages(docs))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no verified item of ``benchmark``."""
+    return decontaminate.keep_clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every text that is left."""
-    return bpe.encode(docs, keep=("doc_id", "lang", "source"))
+    """doc_id, lang, source, the byte-level BPE ids of the text that is left, and their number."""
+    return bpe.encode(docs, keep=("doc_id", "lang", "source")).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", keep_one_of_near_copies),
+    ("repeated_passages", cut_repeated_passages),
+    ("decontamination", drop_contaminated),
     ("byte_bpe", encode),
 ]
 
-#: No stage but the last has a form in SQL that gives the same rows; tests/llm hold the stages against plain versions.
+#: Learned scores and token ids have no form in SQL; tests/llm hold the stages against plain versions of them.
 ORACLE_SQL: str | None = None
 
 
