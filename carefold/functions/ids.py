@@ -36,13 +36,17 @@ def entity_uuid(document_id: Column, temp_id: Column, prefix: str = "entity") ->
     )
 
 
+def _framed(parts: tuple[Column, ...]) -> Column:
+    """The parts in one string that tells them apart: each with its length, a null as ``-``."""
+    text = [p.cast("string") for p in parts]
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.length(p), F.lit(":"), p), F.lit("-")) for p in text])
+
+
 def stable_key(*parts: Column) -> Column:
     """32 hex digits from the parts; replaces random ids so that retries agree."""
-    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    return F.md5(_framed(parts))
 
 
 def digest(*parts: Column) -> Column:
     """SHA-256 over the parts, as kept for audit input and output hashes."""
-    return F.sha2(
-        F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256
-    )
+    return F.sha2(_framed(parts), 256)

@@ -105,9 +105,25 @@ def detect(
     df: DataFrame, identifiers: tuple[Identifier, ...] = IDENTIFIERS, text: str = "text"
 ) -> DataFrame:
     """Adds ``matches``: the accepted identifier spans of each text, with tokens."""
-    candidates = F.concat(
-        *[detect_category(F.col(text), spec, i) for i, spec in enumerate(identifiers)]
-    )
+    # One array of what each category found, so that offsets are one expression for all of them.
+    cuts = F.array(*[
+        F.struct(
+            F.lit(spec.category).alias("category"), F.lit(spec.prefix).alias("prefix"),
+            F.lit(spec.priority).alias("priority"), F.lit(i).alias("ordinal"),
+            sp.cut(F.col(text), spec.pattern).alias("cut"),
+        )
+        for i, spec in enumerate(identifiers)
+    ])
+    candidates = F.flatten(F.transform(
+        F.filter(cuts, lambda c: c["cut"].isNotNull()),
+        lambda c: F.transform(
+            sp.matches_of(c["cut"]),
+            lambda m: F.struct(
+                m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"),
+                *[c[name].alias(name) for name in ("category", "prefix", "priority", "ordinal")],
+            ),
+        ),
+    ))
     # Two steps, so that the candidates are computed once.
     found = df.withColumn("_candidates", candidates)
     chosen = F.when(
@@ -169,16 +185,16 @@ def restore(
     df: DataFrame,
     mapping: DataFrame,
     keys: list[str],
-    document: str | None = "document_id",
+    scope: tuple[str, ...] = ("document_id",),
     text: str = "text",
     pattern: str = TOKEN_PATTERN,
 ) -> DataFrame:
     """Puts original values back; a token without a mapping stays as it is.
 
-    ``keys`` identify a row. Only the tokens travel to the join with the map;
-    texts without a token are passed by.
+    ``keys`` identify a row, ``scope`` the columns of it within which a token stands for one value. Only the tokens
+    travel to the join with the map; texts without a token are passed by.
     """
-    on = ["token"] if document is None else [document, "token"]
+    on = [*scope, "token"]
     tokens = sp.explode_found(df, keys, sp.find_matches(F.col(text), pattern), "t")
     known = mapping.select(*on, F.col("value").alias("_value")).dropDuplicates(on)
     values = (
@@ -268,33 +284,43 @@ GUARD_PATTERNS = (
 GUARD_TOKEN_PATTERN = r"\[PHI_[A-Z]+_[A-F0-9]{8}\]"
 
 
-def guard(df: DataFrame, text: str = "text", enabled: bool = True) -> DataFrame:
+def guard(
+    df: DataFrame, keys: list[str], text: str = "text", enabled: bool = True, secret: str = ""
+) -> DataFrame:
     """Masks the guard categories in sequence, each over the text so far.
 
-    ``guard_tokens`` holds what was replaced. The suffix is a hash of the value
-    where a random one would break retries.
+    ``guard_tokens`` holds what was replaced. A token belongs to its record, named by ``keys``: its suffix is a digest
+    of ``secret``, record and category, with the number of the match in it, where a random one would break retries. So
+    no two values of a record share a token, and a suffix tells nothing about the value.
     """
-    kind = "array<struct<start:int,end:int,value:string,category:string,token:string>>"
+    kind = "array<struct<value:string,category:string,token:string>>"
     out = df.withColumn("guard_tokens", sp.empty_array(kind))
     if not enabled:
         return out
+    record = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
     for category, pattern in GUARD_PATTERNS:
+        seed = F.conv(
+            F.substring(F.sha2(F.concat_ws("|", F.lit(secret), F.lit(category), *record), 256), 1, 8), 16, 10
+        ).cast("long")
+        out = out.withColumn("_cut", sp.cut(F.col(text), pattern)).withColumn("_seed", F.when(F.col("_cut").isNotNull(), seed))
         hits = F.transform(
-            sp.find_matches(F.col(text), pattern),
-            lambda m: F.struct(
-                m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"),
-                F.lit(category).alias("category"),
+            F.col("_cut.hits"),
+            lambda value, i: F.struct(
+                value.alias("value"), F.lit(category).alias("category"),
                 F.concat(
                     F.lit(f"[PHI_{category}_"),
-                    F.upper(F.substring(F.sha1(m["value"]), 1, 8)), F.lit("]"),
+                    F.lpad(F.hex(F.col("_seed").bitwiseXOR(i.cast("long"))), 8, "0"), F.lit("]"),
                 ).alias("token"),
             ),
         )
+        out = out.withColumn("_hits", hits)
+        masked = F.array_join(
+            F.zip_with(F.col("_cut.gaps"), F.col("_hits"), lambda gap, hit: F.concat(gap, F.coalesce(hit["token"], F.lit("")))), ""
+        )
         out = (
-            out.withColumn("_hits", hits)
-            .withColumn(text, sp.splice(F.col(text), F.col("_hits"), "token"))
-            .withColumn("guard_tokens", F.concat("guard_tokens", "_hits"))
-            .drop("_hits")
+            out.withColumn(text, F.coalesce(masked, F.col(text)))
+            .withColumn("guard_tokens", F.when(F.col("_hits").isNull(), F.col("guard_tokens")).otherwise(F.concat("guard_tokens", "_hits")))
+            .drop("_hits", "_cut", "_seed")
         )
     return out
 
@@ -302,12 +328,10 @@ def guard(df: DataFrame, text: str = "text", enabled: bool = True) -> DataFrame:
 def guard_map(
     guarded: DataFrame, keys: list[str], created_at: Column, ttl: int = settings.TOKEN_TTL_SECONDS
 ) -> DataFrame:
-    """Tokens with their expiry time."""
+    """The tokens of each record with their expiry time; every token is one row."""
     return (
         sp.explode_found(guarded, keys, F.col("guard_tokens"), "t")
-        .withColumn("created_at", created_at)
-        .groupBy("t.token")
-        .agg(F.max("t.value").alias("value"), F.max("created_at").alias("created_at"))
+        .select(*keys, "t.token", "t.value", created_at.alias("created_at"))
         .withColumn("expires_at", F.col("created_at") + F.expr(f"interval {ttl} seconds"))
     )
 
@@ -319,10 +343,9 @@ def live_tokens(mapping: DataFrame, as_of: Column) -> DataFrame:
 def guard_restore(
     df: DataFrame, given: DataFrame, stored: DataFrame, keys: list[str], text: str = "text"
 ) -> DataFrame:
-    """Restores guard tokens from the given map first and the store after it."""
-    first = given.select("token", F.col("value").alias("a"))
-    second = stored.select("token", F.col("value").alias("b"))
-    merged = first.join(second, "token", "full_outer").select(
-        "token", F.coalesce("a", "b").alias("value")
+    """Restores the guard tokens of each record from the given map first and the store after it."""
+    both = given.select(*keys, "token", "value", F.lit(0).alias("_place")).unionByName(
+        stored.select(*keys, "token", "value", F.lit(1).alias("_place"))
     )
-    return restore(df, merged, keys, document=None, text=text, pattern=GUARD_TOKEN_PATTERN)
+    merged = both.groupBy(*keys, "token").agg(F.min_by("value", "_place").alias("value"))
+    return restore(df, merged, keys, scope=tuple(keys), text=text, pattern=GUARD_TOKEN_PATTERN)

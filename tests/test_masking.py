@@ -1,6 +1,7 @@
 """Masking against a plain reading of the rules on small texts."""
 
 import random
+import time
 import re
 import uuid
 
@@ -108,7 +109,7 @@ def test_offsets_count_code_points(spark):
 def test_guard_is_sequential_and_reversible(spark):
     text = "MRN: 1234567 SSN 123-45-6789 Dr. Omar Faruk, Accession: AB12CD34, mail a@b.org"
     df = spark.createDataFrame([(1, text)], "id int, text string")
-    guarded = masking.guard(df)
+    guarded = masking.guard(df, ["id"])
     row = guarded.first()
     assert len(row.guard_tokens) == 5 and "1234567" not in row.text
     tokens = masking.guard_map(guarded, ["id"], F.lit("2024-01-01 00:00:00").cast("timestamp"))
@@ -128,3 +129,31 @@ def test_store(spark, spans):
     assert masking.save_mapping(tokens, tokens).count() == tokens.count()
     gone = spark.createDataFrame([("d1",)], "document_id string")
     assert masking.purge_mapping(tokens, gone).count() == 0
+
+
+def test_equal_tokens_of_two_records_stay_apart(spark):
+    texts = {"a": "MRN 10026956 here", "b": "MRN 10050615 here"}
+    df = spark.createDataFrame(list(texts.items()), "id string, text string")
+    guarded = masking.guard(df, ["id"])
+    tokens = masking.guard_map(guarded, ["id"], F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    # the same token in both records, each with its own value
+    same = tokens.withColumn("token", F.lit("[PHI_MRN_00000001]"))
+    clashing = guarded.withColumn("text", F.regexp_replace("text", masking.GUARD_TOKEN_PATTERN, "[PHI_MRN_00000001]"))
+    back = masking.guard_restore(clashing.drop("guard_tokens"), same.limit(0), same, ["id"])
+    assert {r.id: r.text for r in back.collect()} == texts
+
+
+def test_equal_values_of_a_record_have_tokens_of_their_own(spark):
+    text = " ".join(["MRN 12345678"] * 300 + ["123-45-6789"] * 300)
+    guarded = masking.guard(spark.createDataFrame([(1, text)], "id int, text string"), ["id"]).first()
+    tokens = [t.token for t in guarded.guard_tokens]
+    assert len(set(tokens)) == len(tokens) == 600
+    assert all(t in guarded.text for t in tokens)
+
+
+def test_very_many_matches_take_linear_time(spark):
+    n = 50_000
+    df = spark.range(1).select(F.expr(f"repeat('MRN: 1234567 then a@b.org ', {n})").alias("text"))
+    begin = time.time()
+    row = masking.mask(df).select(F.size("matches").alias("n"), F.expr("regexp_count(text, 'PHI:')").alias("shown")).first()
+    assert (row.n, row.shown) == (2 * n, 2 * n) and time.time() - begin < 60
