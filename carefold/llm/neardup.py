@@ -9,8 +9,8 @@ a probability above 0.9999.
 
 Within buckets no pairs are formed at first. Each bucket's most central node (largest sum of its buckets' sizes) is compared
 with the others, then a second one with the nodes that are still apart, and only nodes of a bucket in different components
-are then compared with each other, if they share ``SHARED`` buckets (a passage that many texts have in common seldom gives
-two). Compared pairs need ``LIKELY`` of the signature to agree (0.8 lies over four standard deviations above) and then an
+are then compared with each other, if at most ``FLIPPED`` of the bits that stand for the components differ (four standard
+deviations above what 0.8 gives; a passage that many texts have in common does not pass). Compared pairs need ``LIKELY`` of the signature to agree (0.8 lies over four standard deviations above) and then an
 exact Jaccard similarity of the shingle sets of at least ``SIMILARITY``. Components of the
 verified links are the classes; a class is named by its smallest doc_id.
 
@@ -37,8 +37,9 @@ BANDS, ROWS = 40, 6
 SIZE = BANDS * ROWS
 #: Least share of equal components for a pair to be verified.
 LIKELY = 0.68
-#: Buckets that two nodes still apart after the leaders must share to be compared.
-SHARED = 2
+#: Of one bit of every component, two unlike components differ in half: so many bits may differ, 24 are expected at 0.8.
+FLIPPED = 45
+_WORDS = -(-SIZE // 64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,24 +93,32 @@ def sketch(texts: pa.Array) -> dict[str, np.ndarray]:
     keys = mix64(keys + np.arange(BANDS, dtype=np.uint64) * _STEP)
     return {
         "has": np.diff(begin) > 0, "node": node.view(np.int64), "n": np.diff(begin), "tag": substrings.row_tags(Words(texts, ALNUM)),
-        "keys": keys.view(np.int64), "marks": (signed & np.uint64(0xFF)).astype(np.uint8),
+        "keys": keys.view(np.int64), "bits": _packed(signed), "marks": (signed & np.uint64(0xFF)).astype(np.uint8),
     }
 
 
+def _packed(signed: np.ndarray) -> np.ndarray:
+    """The lowest bit of every component, as 64-bit words."""
+    bits = np.zeros((len(signed), _WORDS * 64), np.uint8)
+    bits[:, :SIZE] = signed & np.uint64(1)
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(len(signed), _WORDS)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, tag of the text, node (null without a shingle), n, keys and marks of every document."""
+    """doc_id, tag of the text, node (null without a shingle), n, keys, bits and marks of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             made = sketch(common.text_column(batch))
             none = pa.array(~made["has"])
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(made["keys"].reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
+            keys, bits = (
+                pa.FixedSizeListArray.from_arrays(pa.array(made[k].reshape(-1)), made[k].shape[1]).cast(pa.list_(pa.int64())) for k in ("keys", "bits"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(made["tag"]), pa.array(made["node"], mask=~made["has"]), pa.array(made["n"].astype(np.int32)), lists,
+                [batch.column(0), pa.array(made["tag"]), pa.array(made["node"], mask=~made["has"]), pa.array(made["n"].astype(np.int32)), keys, bits,
                  pa.array([m.tobytes() for m in made["marks"]], pa.binary())],
-                ["doc_id", "tag", "node", "n", "keys", "marks"])
+                ["doc_id", "tag", "node", "n", "keys", "bits", "marks"])
 
-    return common.map_arrow(common.plain(docs, "doc_id", "text"), run, "doc_id long, tag int, node long, n int, keys array<long>, marks binary")
+    return common.map_arrow(common.plain(docs, "doc_id", "text"), run, "doc_id long, tag int, node long, n int, keys array<long>, bits array<long>, marks binary")
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -179,7 +188,7 @@ def node_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     """node and label of every node that has a link to another one."""
     nodes = common.store(
         found.filter("node IS NOT NULL").groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("marks").alias("marks")), "nodes")
+        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("marks").alias("marks")), "nodes")
     placed = nodes.select(F.explode("keys").alias("key"), "node")
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = common.store(placed.join(sizes, "key"), "members")
@@ -192,13 +201,14 @@ def node_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
         labels = components(links)
         known = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        open_ = common.store(known.join(mixed, "key").join(nodes.select("node", "n", "keys"), "node"), "open-members")
+        open_ = common.store(known.join(mixed, "key").join(nodes.select("node", "n", "bits"), "node"), "open-members")
         if turn == "second":
             other = open_.groupBy("key").agg(F.max_by(F.struct("node", "label"), F.xxhash64("node", "key")).alias("lead"))
             pairs = open_.join(other, "key").filter(F.col("label") != F.col("lead.label")).select("node", F.col("lead.node").alias("lead"))
         else:
-            right = open_.toDF("lead", "key_b", "label_b", "n_b", "keys_b")
-            fits = (F.least("n", "n_b") >= SIMILARITY * F.greatest("n", "n_b")) & (F.size(F.array_intersect("keys", "keys_b")) >= SHARED)
+            right = open_.toDF("lead", "key_b", "label_b", "n_b", "bits_b")
+            flipped = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(1, _WORDS)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bits_b")[0])))
+            fits = (F.least("n", "n_b") >= SIMILARITY * F.greatest("n", "n_b")) & (flipped <= FLIPPED)
             pairs = open_.join(right, (F.col("key") == F.col("key_b")) & (F.col("label") < F.col("label_b")) & fits).select("node", "lead")
         pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = common.store(pairs, "tried")
