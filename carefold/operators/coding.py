@@ -14,7 +14,6 @@ from carefold.functions import units as un
 from carefold.functions.similarity import best_alias
 from carefold.functions.text import exact_round, strict_number
 from carefold.operators.entities import Dictionary
-from carefold.session import small_side
 from carefold.sources.knowledge import local_frame
 
 # Coding systems, and the readings that name the normal band.
@@ -39,7 +38,7 @@ def with_codes(
     approximate match: a lab by its label, drugs and diagnoses by their value.
     """
     spark = entities.sparkSession
-    entries = small_side(
+    entries = (
         dictionary.ontology(spark).select(
             F.col("domain"), F.col("key"), F.col("code"), F.col("display"),
             F.col("unit_canonical"),
@@ -73,7 +72,7 @@ def with_codes(
                 F.col("unit_canonical").alias("n_unit"))
     )
     joined = scored.join(
-        small_side(near_entries),
+        near_entries,
         (F.col("domain") == F.col("n_domain")) & (F.col("near.alias") == F.col("n_alias")),
         "left",
     )
@@ -115,7 +114,7 @@ def with_reference_band(df: DataFrame, bands: DataFrame, code: str = "code") ->
     when the sex is unknown, or the first.
     """
     wide = df.join(
-        small_side(
+        (
             bands_by_code(bands).select(
                 F.col("code").alias("_code"), F.col("unit").alias("_unit"), "bands"
             )
@@ -201,7 +200,9 @@ def code_entities(
     A lab must be a number that is not negative. Labs whose unit measures the
     quantity in another system keep their value and lose confidence.
     """
-    at = as_of if as_of is not None else F.current_timestamp()
+    if patients is not None and as_of is None:
+        raise ValueError("ages are taken at as_of")
+    at = F.lit(None).cast("timestamp") if as_of is None else as_of
     coded = with_codes(with_patient_context(entities, patients, at), dictionary)
     number = strict_number(F.col("raw_value"))
     is_lab = F.col("domain") == "lab"

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from carefold.functions import spans as sp
 from carefold.functions.ids import stable_key
 from carefold.functions.text import NUMBER, empty_to_null, exact_round
-from carefold.session import small_side
 from carefold.sources import knowledge, knowledge_values
 
 # ---------------------------------------------------------------------------
@@ -43,7 +42,7 @@ VALUE_WINDOW = 60
 FREQUENCY_WINDOW = 20
 BEFORE_WINDOW = 45
 AFTER_WINDOW = 25
-SENTENCE_BREAK = r"(?<=[.!?])\s+|\n+"
+SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+|\n+"
 
 FAMILY_HISTORY = (
     r"\bfamily history of\b", r"\bmother has\b", r"\bfather has\b", r"\bsibling with\b",
@@ -203,7 +202,7 @@ def mentions(spans: DataFrame, dictionary: Dictionary, keep: list[str]) -> DataF
         .alias("alias"),
     )
     names = dictionary.names(spans.sparkSession)
-    return rows.join(small_side(names), ["domain", "form", "alias"]).drop("form", "alias")
+    return rows.join(names, ["domain", "form", "alias"]).drop("form", "alias")
 
 
 # --------------------------------------------------------------------------- values

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carefold.functions.text import days_between
-from carefold.session import small_side
 
 
 def convert_units(values: DataFrame, factors: DataFrame) -> DataFrame:
@@ -14,7 +13,7 @@ def convert_units(values: DataFrame, factors: DataFrame) -> DataFrame:
 
     Equal units keep the value; a pair without a factor gives null.
     """
-    known = small_side(
+    known = (
         factors.select(
             "analyte", F.col("from_unit").alias("unit"), F.col("to_unit").alias("target_unit"),
             "slope", "offset",
@@ -34,7 +33,7 @@ def convert_units(values: DataFrame, factors: DataFrame) -> DataFrame:
 
 def critical_values(observations: DataFrame, rules: DataFrame) -> DataFrame:
     """Observations that break a critical rule of their code, one row per rule broken."""
-    limits = small_side(
+    limits = (
         rules.select(
             F.col("metric_code").alias("code"), "condition", "threshold", "action", "reason"
         )
@@ -51,7 +50,7 @@ def flag_critical(observations: DataFrame, rules: DataFrame) -> DataFrame:
     The rules of a code fold into one low and one high limit, so no observation
     is repeated.
     """
-    limits = small_side(
+    limits = (
         rules.groupBy(F.col("metric_code").alias("code")).agg(
             F.max(F.when(F.col("condition") == "low", F.col("threshold"))).alias("_low"),
             F.min(F.when(F.col("condition") == "high", F.col("threshold"))).alias("_high"),
@@ -74,7 +73,7 @@ def interpretation(observations: DataFrame, bands: DataFrame) -> DataFrame:
     ``observations`` carry ``code, sex, age, value``; a null sex or age matches
     every band. The bands come as one array per code, so a row stays one row.
     """
-    arrays = small_side(
+    arrays = (
         bands.groupBy("code").agg(
             F.array_sort(
                 F.collect_list(
@@ -118,7 +117,7 @@ def overdue_monitoring(
     )
     if "stage" not in conditions.columns:
         coded = coded.withColumn("stage", F.lit(None).cast("string"))
-    wanted = small_side(
+    wanted = (
         guidelines.select(
             F.explode("icd10_codes").alias("icd"), "condition", "metric_code", "metric_name",
             "interval_days",
@@ -130,7 +129,7 @@ def overdue_monitoring(
         .distinct()
     )
     if stage_intervals is not None:
-        stages = small_side(
+        stages = (
             stage_intervals.select(
                 "condition", "metric_code", "stage", F.col("interval_days").alias("_stage_days")
             )

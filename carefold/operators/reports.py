@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from carefold.functions.ids import digest
 from carefold.functions.text import empty_to_null, title_words
 from carefold.operators.insights import SEVERITIES
-from carefold.session import small_side
 from carefold.sources.knowledge import local_frame
 
 # ---------------------------------------------------------------------------
@@ -166,7 +165,7 @@ def document_progress(documents: DataFrame) -> DataFrame:
         documents.sparkSession, [dict(zip(names, row)) for row in PROGRESS],
         "processing_status string, progress_percentage int, current_step string",
     )
-    return documents.join(small_side(steps), "processing_status", "left").select(
+    return documents.join(steps, "processing_status", "left").select(
         "document_id", "processing_status",
         F.coalesce("current_step", F.lit("Unknown")).alias("current_step"),
         F.coalesce("progress_percentage", F.lit(0)).alias("progress_percentage"),

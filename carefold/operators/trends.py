@@ -18,7 +18,6 @@ from carefold import settings
 from carefold.functions.ids import entity_uuid
 from carefold.functions.text import days_between, exact_round, first_number
 from carefold.operators import series
-from carefold.session import small_side
 
 KEYS = ["patient_id", "code"]
 ORDER = ["ts", "ord", "entity_id"]
@@ -224,7 +223,7 @@ def finish_trends(
     stitched: DataFrame, metrics: DataFrame, as_of: Column, tolerance: float = settings.GAP_TOLERANCE
 ) -> DataFrame:
     """Rates, labels, flags and reasons of each stitched series."""
-    named = stitched.join(small_side(metrics), "code", "left").select(
+    named = stitched.join(metrics, "code", "left").select(
         stitched["*"],
         F.coalesce("metric_name", "code").alias("metric_name"),
         "higher_is_better",

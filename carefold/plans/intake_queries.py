@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from carefold.functions.ids import entity_uuid
 from carefold.operators import triage
 from carefold.plans.inputs import DOCUMENTS, ENTITIES, PAGE_FILES, Inputs, sql_select
-from carefold.plans.registry import query
+from carefold.plans.registry import framed, query
 from carefold.sources import documents, tables
 
 _FILES = f"SELECT *, octet_length(encode(html)) AS length FROM ({sql_select(PAGE_FILES, 'pages')}) f"
 
 
-@query("registered_documents", """
+@query("registered_documents", f"""
 WITH p AS (SELECT page_id, CAST(page_id % 50 AS VARCHAR) AS patient_id, 'page_' || CAST(page_id AS VARCHAR) || '.html' AS filename,
   octet_length(encode(html)) AS length FROM pages)
-SELECT md5('s3://intake/' || patient_id || '/' || filename) AS document_id, patient_id, filename,
+SELECT md5({framed("'s3://intake/' || patient_id || '/' || filename")}) AS document_id, patient_id, filename,
   's3://intake/' || patient_id || '/' || filename AS storage_path, 'unknown' AS document_type, 'queued' AS processing_status, length FROM p""")
 def registered_documents(i: Inputs) -> DataFrame:
     files = i.table("pages").select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carefold.operators import evaluation, evidence, insights, retrieval, verification
 from carefold.plans.inputs import ENTITIES, Inputs, sql_select
-from carefold.plans.registry import query, values_sql
+from carefold.plans.registry import framed, query, values_sql
 from carefold.plans.trend_queries import TREND_SQL, trend_table
 from carefold.sources import knowledge, tables
 from carefold.sources import knowledge_values as kv
@@ -192,12 +192,17 @@ def knowledge_items(i: Inputs) -> DataFrame:
     )
 
 
-@query("text_vectors")
+@query("text_vectors", r"""
+WITH w AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents),
+c AS (SELECT document_id, CAST(CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 64 AS INTEGER) AS bucket, count(*) AS tf FROM w WHERE word <> '' GROUP BY ALL),
+d AS (SELECT bucket, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM c GROUP BY bucket),
+r AS (SELECT document_id, bucket, tf * idf AS raw FROM c JOIN d USING (bucket)),
+n AS (SELECT document_id, sqrt(sum(raw * raw)) AS length FROM r GROUP BY document_id)
+SELECT document_id, bucket, round(raw / length, 6) AS weight FROM r JOIN n USING (document_id) WHERE length > 0""")
 def text_vectors(i: Inputs) -> DataFrame:
-    """Hashed TF-IDF vectors of all documents; unit length unless the text has no word."""
-    vectors = retrieval.hashed_vectors(i.texts(), features=64)
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    return vectors.select("document_id", F.round(length, 4).alias("length"))
+    """Hashed TF-IDF weights of all documents."""
+    weights = retrieval.hashed_weights(i.texts(), "document_id", features=64)
+    return weights.select("document_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 _PASSAGES = values_sql(
@@ -355,7 +360,7 @@ def insight_candidates(i: Inputs) -> DataFrame:
 
 
 @query("screened_insights", TREND_SQL + f""", {_SCREEN}
-SELECT patient_id, pos, md5(patient_id || '|' || pos || '|' || ct) AS draft_id, ct AS text, ids AS supporting_evidence_ids,
+SELECT patient_id, pos, md5({framed('patient_id', 'pos', 'ct')}) AS draft_id, ct AS text, ids AS supporting_evidence_ids,
   CASE WHEN severity = 'severe' THEN 'informational' ELSE severity END AS severity, round(confidence, 4) AS confidence FROM dr""")
 def screened_insights(i: Inputs) -> DataFrame:
     return insights.screen_candidates(insight_candidates(i), evidence_pool(i)).select(
@@ -398,8 +403,9 @@ _DRAFT = {
     "patient_facing_text": "'Plain ' || CAST(doc_id AS string)",
     "clinician_facing_text": "'Draft ' || CAST(doc_id AS string)",
     "severity": "CASE doc_id % 6 WHEN 0 THEN 'high' WHEN 1 THEN 'critical' WHEN 2 THEN 'low' ELSE 'moderate' END",
-    "e1": "'trend-' || " + _CODE_CASE("doc_id % 7"),
-    "e2": "'trend-' || " + _CODE_CASE("(doc_id + 5) % 7"),
+    # some drafts cite nothing that is known
+    "e1": "CASE WHEN doc_id % 29 = 0 THEN 'unknown-1' ELSE 'trend-' || " + _CODE_CASE("doc_id % 7") + " END",
+    "e2": "CASE WHEN doc_id % 29 = 0 THEN 'unknown-2' ELSE 'trend-' || " + _CODE_CASE("(doc_id + 5) % 7") + " END",
     "doc_id": "doc_id",
 }
 _CHECK = {

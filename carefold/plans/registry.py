@@ -26,6 +26,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def framed(*parts: str) -> str:
+    """The parts of a key in one string that tells them apart, as ``functions.ids`` builds it."""
+    text = [f"CAST({p} AS VARCHAR)" for p in parts]
+    return " || '|' || ".join(f"coalesce(length({t}) || ':' || {t}, '-')" for t in text)
+
+
 def values_sql(rows: list[tuple], names: str) -> str:
     """A VALUES table of constants."""
 

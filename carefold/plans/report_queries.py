@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carefold.operators import reports
 from carefold.plans.inputs import DOCUMENTS, ENTITIES, INSIGHTS, Inputs, sql_select
-from carefold.plans.registry import query, values_sql
+from carefold.plans.registry import framed, query, values_sql
 from carefold.plans.trend_queries import TREND_SQL, trend_table
 
 _DOCS = sql_select(DOCUMENTS, "orders")
@@ -206,8 +206,8 @@ def correction_queue(i: Inputs) -> DataFrame:
     )
 
 
-@query("audit_events", """
-SELECT event_id, sha256(CAST(event_id AS VARCHAR) || '|' || props) AS input_hash, sha256(CAST(value AS VARCHAR)) AS output_hash,
+@query("audit_events", f"""
+SELECT event_id, sha256({framed('event_id', 'props')}) AS input_hash, sha256({framed('value')}) AS output_hash,
   event_id % 900 AS duration_ms, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS status FROM events""")
 def audit_events(i: Inputs) -> DataFrame:
     return _audit(i).select(

@@ -5,9 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from carefold import settings
 
 
 def build_session(app: str = "carefold", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,6 +19,9 @@ def build_session(app: str = "carefold", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        # Streams with state of their own need column families.
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         # Call sites cost two extra calls per column expression while a plan is built.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
@@ -45,29 +45,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, so lost executors cost no recomputation."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def small_side(df: DataFrame, limit: int = settings.BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only when the planner's own upper estimate is below ``limit``.
-
-    Beyond the limit the frame is returned as it is and the join is left to
-    adaptive execution, which shuffles it and splits skewed partitions.
-    """
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
-
-
 def spread(scan: DataFrame) -> DataFrame:
     """Gives a scan at least one partition per core before row-local text work.
 

@@ -45,8 +45,6 @@ TOKEN_TTL_SECONDS = 3600
 # ---------------------------------------------------------------------------
 # Scale settings (ours).
 # ---------------------------------------------------------------------------
-# A side is only hinted for broadcast when the planner proves it smaller than this.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 # A series, document or category larger than this many rows is cut into chunks.
 HOT_GROUP_ROWS = 2_000_000
 # Rows per block of a blocked vector search and per page of nested output.

@@ -82,10 +82,10 @@ _ENTRY = (
 
 def load_ontology(spark: SparkSession, lab_path: str, drug_diagnosis_path: str) -> DataFrame:
     """Both ontology files as one table; a missing file contributes no rows."""
-    labs = _read_json(spark, lab_path, f"loinc_codes map<string,{_ENTRY}>")
+    labs = _read_json(spark, lab_path, f"loinc_codes map<string,{_ENTRY}>", optional=True)
     others = _read_json(
         spark, drug_diagnosis_path,
-        f"rxnorm_codes map<string,{_ENTRY}>, icd10_codes map<string,{_ENTRY}>",
+        f"rxnorm_codes map<string,{_ENTRY}>, icd10_codes map<string,{_ENTRY}>", optional=True,
     )
     parts = [
         (labs, "loinc_codes", "lab"),
@@ -104,11 +104,12 @@ def load_ontology(spark: SparkSession, lab_path: str, drug_diagnosis_path: str)
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
-def _read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _read_json(spark: SparkSession, path: str, schema: str, optional: bool = False) -> DataFrame:
+    """A missing file is an error: without its rules and ranges no alarm would ever be raised."""
     try:
         return spark.read.schema(schema).option("multiLine", True).json(path)
     except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error.getCondition()):
+        if not optional or "PATH_NOT_FOUND" not in str(error.getCondition()):
             raise
         return spark.createDataFrame([], schema)
 

@@ -119,17 +119,6 @@ def read_patient_vectors(
     spark: SparkSession, path: str, patient_id: str, buckets: int = 256
 ) -> DataFrame:
     """One patient's vectors; the scan opens that patient's bucket only."""
-    bucket = spark.range(1).select(patient_bucket(F.lit(patient_id), buckets).alias("b")).first()["b"]
     return spark.read.parquet(path).filter(
-        (F.col("patient_bucket") == bucket) & (F.col("patient_id") == patient_id)
-    )
-
-
-def write_by_date(df: DataFrame, path: str, ts: str, mode: str = "append") -> None:
-    """Parquet partitioned by month, so that date filters prune directories."""
-    (
-        df.withColumn("month", F.date_format(ts, "yyyy-MM"))
-        .write.mode(mode)
-        .partitionBy("month")
-        .parquet(path)
+        (F.col("patient_bucket") == patient_bucket(F.lit(patient_id), buckets)) & (F.col("patient_id") == patient_id)
     )

@@ -11,21 +11,26 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from carefold import settings
 
 
-def live_values(lookups: DataFrame, ttl_seconds: int = settings.TOKEN_TTL_SECONDS) -> DataFrame:
+def live_values(
+    lookups: DataFrame, ttl_seconds: int = settings.TOKEN_TTL_SECONDS, scope: tuple[str, ...] = ()
+) -> DataFrame:
     """Answers a stream of ``token, value`` rows with what the state knows.
 
+    ``scope`` names the string columns of the record a token belongs to; equal tokens of two records stay apart.
+
     A row with a value saves it for ``ttl_seconds``; a row without one asks for
     it and gets null once it has expired.
     """
-    return lookups.groupBy("token").transformWithStateInPandas(
-        statefulProcessor=_processor(ttl_seconds * 1000),
-        outputStructType="token string, value string",
+    keys = (*scope, "token")
+    return lookups.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_processor(ttl_seconds * 1000, keys),
+        outputStructType=", ".join(f"`{k}` string" for k in (*keys, "value")),
         outputMode="Update",
         timeMode="ProcessingTime",
     )
 
 
-def _processor(ttl_ms: int) -> StatefulProcessor:
+def _processor(ttl_ms: int, keys: tuple[str, ...]) -> StatefulProcessor:
     class TokenState(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.value = handle.getValueState("value", "value string", ttlDurationMs=ttl_ms)
@@ -36,7 +41,7 @@ def _processor(ttl_ms: int) -> StatefulProcessor:
                     if given is not None:
                         self.value.update((given,))
             known = self.value.get()[0] if self.value.exists() else None
-            yield pd.DataFrame({"token": [key[0]], "value": [known]})
+            yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "value": [known]})
 
         def close(self) -> None:
             pass

@@ -7,7 +7,7 @@ a failure leaves the tables as one run would.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,9 @@ from carefold.functions.ids import stable_key
 STEPS = ("queued", "ocr", "ner", "normalizing", "trend_analysis", "complete")
 
 
+Work = Callable[[DataFrame], dict[str, DataFrame]]
+
+
 def read_spans(spark: SparkSession, path: str, schema: str, max_files: int = 1000) -> DataFrame:
     """Span files as a stream; ``max_files`` bounds a micro-batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
@@ -57,40 +60,53 @@ def status_rows(documents: DataFrame, status: str, batch_id: int) -> DataFrame:
 
 
 def current_status(log: DataFrame) -> DataFrame:
+    """The last status of each document: of the rows that came last, the furthest step."""
+    order = [c for c in ("arrived_at", "batch_id", "step_pos") if c in log.columns]
     return log.groupBy("document_id").agg(
-        F.max_by("status", F.struct("batch_id", "step_pos")).alias("processing_status")
+        F.max_by("status", F.struct(*order)).alias("processing_status")
     )
 
 
-def _write_batch(df: DataFrame, folder: str, name: str, batch_id: int) -> None:
-    """A batch owns its directory and overwrites it when it runs again."""
-    df.write.mode("overwrite").parquet(os.path.join(folder, name, f"batch_id={batch_id}"))
+def _write_batch(df: DataFrame, folder: str, name: str, run: str, batch_id: int) -> None:
+    """A batch of a stream owns its directory and overwrites it when it runs again.
+
+    ``run`` is the id that the stream's checkpoint keeps, so a stream with a new checkpoint, whose batches count from 0
+    again, writes beside what is there. The time of arrival orders rows of different streams.
+    """
+    stamped = df.withColumn("arrived_at", F.current_timestamp())
+    stamped.write.mode("overwrite").parquet(os.path.join(folder, name, f"run={run}", f"batch_id={batch_id}"))
 
 
 def run_intake(
     spans: DataFrame,
     folder: str,
     checkpoint: str,
-    process: Callable[[DataFrame], dict[str, DataFrame]],
+    process: Work | Mapping[str, Work],
     problem,
     **trigger,
 ) -> StreamingQuery:
     """Runs ``process`` over the good spans of each micro-batch and writes its tables.
 
-    Failed documents go to ``quarantine``, and ``status`` gets their outcome.
+    ``process`` is one function or one for each step of ``STEPS``; the steps that ran are logged in ``status`` with the
+    outcome. Failed documents go to ``quarantine``.
     """
+    steps = process if isinstance(process, Mapping) else {"ocr": process}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        good, failed = split_failures(batch, "ocr", problem)
-        for name, table in process(good).items():
-            _write_batch(table, folder, name, batch_id)
-        _write_batch(failed, folder, "quarantine", batch_id)
-        log = (
-            status_rows(batch, "queued", batch_id)
-            .unionByName(status_rows(good, "complete", batch_id))
-            .unionByName(status_rows(failed, "failed", batch_id))
-        )
-        _write_batch(log, folder, "status", batch_id)
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch = batch.persist()
+        try:
+            good, failed = split_failures(batch, "ocr", problem)
+            _write_batch(failed, folder, "quarantine", run, batch_id)
+            log = status_rows(batch, "queued", batch_id).unionByName(status_rows(failed, "failed", batch_id))
+            for step, work in steps.items():
+                for name, table in work(good).items():
+                    _write_batch(table, folder, name, run, batch_id)
+                log = log.unionByName(status_rows(good, step, batch_id))
+            log = log.unionByName(status_rows(good, "complete", batch_id))
+            _write_batch(log, folder, "status", run, batch_id)
+        finally:
+            batch.unpersist()
 
     return (
         spans.writeStream.foreachBatch(handle)
@@ -101,11 +117,11 @@ def run_intake(
 
 
 def read_table(spark: SparkSession, folder: str, name: str, keys: list[str]) -> DataFrame:
-    """An intake table; of rows that arrived again the latest batch counts."""
+    """An intake table; of rows that arrived again those that came last count."""
     rows = spark.read.parquet(os.path.join(folder, name))
-    fields = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    fields = [c for c in rows.columns if c not in (*keys, "run", "batch_id", "arrived_at")]
     if not fields:
         return rows.select(*keys).distinct()
     return rows.groupBy(*keys).agg(
-        F.max_by(F.struct(*fields), F.col("batch_id")).alias("r")
+        F.max_by(F.struct(*fields), F.struct("arrived_at", "batch_id")).alias("r")
     ).select(*keys, "r.*")

@@ -15,8 +15,6 @@ def spark():
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "4",
         "spark.driver.memory": "6g",
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session

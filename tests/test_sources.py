@@ -3,10 +3,12 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from carefold.functions.ids import stable_key
 from carefold.operators import layout, reports, triage
-from carefold.session import cut_lineage, shared_folder, small_side
+from carefold.session import shared_folder
 from carefold.sources import documents, knowledge, tables
 
 
@@ -71,12 +73,6 @@ def test_patient_vectors_round_trip(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(patient_bucket" in one._jdf.queryExecution().toString()
 
 
-def test_broadcast_only_when_proven_small(spark):
-    small = knowledge.builtin_metrics(spark)
-    assert "strategy=broadcast" in small_side(small)._jdf.queryExecution().analyzed().toString()
-    assert small_side(small, limit=1) is small
-
-
 SIGNALS = ("document_id string, filename string, declared_type string, magic string, length long, pdf_status string, "
            "page_count int, mean_chars double, height int, width int, blur_variance double, brightness double, skew_degrees double")
 
@@ -135,9 +131,17 @@ def test_snapshot_pages_hold_everything(spark):
     assert all(r.page_count == 3 for r in state)
 
 
-def test_lineage_is_cut_in_the_shared_folder(spark):
-    df = spark.range(5).withColumn("x", F.col("id") * 2)
-    cut = cut_lineage(df)
-    assert cut.agg(F.sum("x")).first()[0] == 20
-    assert "Range" not in cut._jdf.queryExecution().logical().toString()
+def test_one_shared_folder_for_a_session(spark):
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_missing_rules_are_an_error(spark, tmp_path):
+    for load in (knowledge.load_critical_rules, knowledge.load_reference_ranges, knowledge.load_unit_factors, knowledge.load_guidelines):
+        with pytest.raises(AnalysisException):
+            load(spark, str(tmp_path / "none.json")).collect()
+
+
+def test_keys_tell_their_parts_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("", "x"), ("-", "x")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(stable_key(F.col("x"), F.col("y")).alias("k")).distinct().count() == len(rows)

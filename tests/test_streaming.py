@@ -86,6 +86,23 @@ def test_intake_quarantines_and_survives_a_rerun(spark, tmp_path):
         assert intake.read_table(spark, out, "token_map", ["document_id", "token"]).count() == 1
 
 
+def test_a_new_checkpoint_writes_beside_what_is_there(spark, tmp_path):
+    schema = "document_id string, span_pos int, text string, confidence double"
+    out = str(tmp_path / "out")
+    steps = {"ocr": lambda good: {"spans": good}, "ner": lambda good: {"words": good.select("document_id")}}
+    for run in ("old", "new"):
+        source = str(tmp_path / run)
+        spark.createDataFrame([(run, 0, f"text of {run}", 0.9), ("both", 0, f"text of {run}", 0.9)], schema).coalesce(1).write.parquet(source)
+        intake.run_intake(
+            intake.read_spans(spark, source, schema), out, str(tmp_path / f"cp-{run}"), steps, F.lit(None).cast("string")
+        ).awaitTermination()
+    spans = intake.read_table(spark, out, "spans", ["document_id", "span_pos"]).collect()
+    assert {r.document_id: r.text for r in spans} == {"old": "text of old", "new": "text of new", "both": "text of new"}
+    log = spark.read.parquet(f"{out}/status")
+    assert {r.status for r in log.collect()} == {"queued", "ocr", "ner", "complete"}
+    assert {r.processing_status for r in intake.current_status(log).collect()} == {"complete"}
+
+
 def test_tokens_expire_in_state(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([("t1", "v1"), ("t2", None)], "token string, value string").coalesce(1).write.parquet(source)
