@@ -7,9 +7,9 @@ once its next arrival is later than every component's earliest one; two signatur
 probability Jaccard similarity. ``BANDS`` bands of ``ROWS`` components give buckets; a pair of similarity 0.8 shares one with
 a probability above 0.9999.
 
-Within buckets no pairs are formed at first. Each bucket's most central node (largest sum of its buckets' sizes) is compared
-with the others, then a second one with the nodes that are still apart, and only nodes of a bucket in different components
-are then compared with each other, if at most ``FLIPPED`` of the bits that stand for the components differ (four standard
+Within buckets no pairs are formed at first. Each bucket has its most central node (largest sum of its buckets' sizes) for a
+leader, and a node is compared with the leader it shares most buckets with; then with a second one, if it is still apart
+from it. Only nodes of a bucket that are in different components after that are then compared with each other, if at most ``FLIPPED`` of the bits that stand for the components differ (four standard
 deviations above what 0.8 gives; a passage that many texts have in common does not pass). Compared pairs need ``LIKELY`` of the signature to agree (0.8 lies over four standard deviations above) and then an
 exact Jaccard similarity of the shingle sets of at least ``SIMILARITY``. Components of the
 verified links are the classes; a class is named by its smallest doc_id.
@@ -184,37 +184,54 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: only the components that a link joins are worked on, not their nodes."""
+    name = lambda side: F.coalesce(f"label_{side}", side)
+    ends = links.join(labels.toDF("a", "label_a"), "a", "left").join(labels.toDF("b", "label_b"), "b", "left")
+    joined = ends.select(name("a").alias("a"), name("b").alias("b")).filter("a <> b").distinct()
+    moved = components(joined).toDF("label", "to")
+    fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    known = labels.unionByName(fresh.withColumn("label", F.col("node")))
+    return common.store(known.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def nearest(leads: DataFrame) -> DataFrame:
+    """Of the rows (node, lead), one for each shared bucket, the pair of each node with the lead it shares most with."""
+    shared = leads.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("node").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
+    return best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+
 def node_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     """node and label of every node that has a link to another one."""
     nodes = common.store(
         found.filter("node IS NOT NULL").groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("marks").alias("marks")), "nodes")
+        .agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "keys", "bits", "marks")]), "nodes")
     placed = nodes.select(F.explode("keys").alias("key"), "node")
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = common.store(placed.join(sizes, "key"), "members")
     weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
     leaders = members.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
-    first = members.join(leaders, "key").filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    links = similar(first, nodes, docs)
-    tried = common.store(first, "tried")
+    tried = common.store(nearest(members.join(leaders, "key").filter("node <> lead").select("node", "lead")), "tried")
+    labels = components(similar(tried, nodes, docs))
     for turn in ("second", "rest"):
-        labels = components(links)
         known = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
         open_ = common.store(known.join(mixed, "key").join(nodes.select("node", "n", "bits"), "node"), "open-members")
         if turn == "second":
             other = open_.groupBy("key").agg(F.max_by(F.struct("node", "label"), F.xxhash64("node", "key")).alias("lead"))
-            pairs = open_.join(other, "key").filter(F.col("label") != F.col("lead.label")).select("node", F.col("lead.node").alias("lead"))
+            leads = open_.join(other, "key").filter(F.col("label") != F.col("lead.label")).select("node", F.col("lead.node").alias("lead"))
+            pairs = nearest(leads)
         else:
             right = open_.toDF("lead", "key_b", "label_b", "n_b", "bits_b")
             flipped = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(1, _WORDS)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bits_b")[0])))
             fits = (F.least("n", "n_b") >= SIMILARITY * F.greatest("n", "n_b")) & (flipped <= FLIPPED)
-            pairs = open_.join(right, (F.col("key") == F.col("key_b")) & (F.col("label") < F.col("label_b")) & fits).select("node", "lead")
-        pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = common.store(pairs, "tried")
-        links = links.unionAll(similar(pairs, nodes, docs))
+            both = open_.join(right, (F.col("key") == F.col("key_b")) & (F.col("label") < F.col("label_b")) & fits)
+            pairs = both.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        pairs = common.store(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        labels = merged(labels, similar(pairs, nodes, docs))
         tried = tried.unionAll(pairs)
-    return components(links)
+    return labels
 
 
 def classes(docs: DataFrame) -> DataFrame:
