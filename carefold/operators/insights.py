@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from carefold import settings
 from carefold.functions.ids import stable_key
+from carefold.functions.runs import run_keys
 from carefold.functions.text import exact_round
 
 # Severities, lowest first.
@@ -42,10 +43,11 @@ def screen_candidates(
 ) -> DataFrame:
     """Drafts that cite known evidence, are confident enough and carry both texts.
 
-    Only the first ``max_insights`` candidates of a patient count. Cited ids
-    outside the patient's pool are dropped, keeping the order of the rest.
+    Only the first ``max_insights`` candidates of a run count. Cited ids
+    outside the run's pool are dropped, keeping the order of the rest.
     """
-    first = Window.partitionBy("patient_id").orderBy("pos")
+    run = run_keys(candidates)
+    first = Window.partitionBy(*run).orderBy("pos")
     blank = F.lit(" \t\n\r\x0b\x0c")
     kept = (
         candidates.withColumn("rn", F.row_number().over(first))
@@ -59,28 +61,28 @@ def screen_candidates(
         )
     )
     cited = kept.select(
-        "patient_id", "pos", F.posexplode("evidence_ids").alias("cite_pos", "evidence_id")
+        *run, "pos", F.posexplode("evidence_ids").alias("cite_pos", "evidence_id")
     )
     found = (
         cited.join(
-            evidence.select("patient_id", "evidence_id", "entity_ids"),
-            ["patient_id", "evidence_id"],
+            evidence.select(*run, "evidence_id", "entity_ids"),
+            [*run, "evidence_id"],
         )
-        .groupBy("patient_id", "pos")
+        .groupBy(*run, "pos")
         .agg(
             F.array_sort(
                 F.collect_list(F.struct("cite_pos", "evidence_id", "entity_ids"))
             ).alias("f")
         )
         .select(
-            "patient_id", "pos",
+            *run, "pos",
             F.col("f.evidence_id").alias("supporting_evidence_ids"),
             F.array_distinct(F.flatten("f.entity_ids")).alias("supporting_entity_ids"),
         )
     )
-    return kept.join(found, ["patient_id", "pos"]).select(
-        "patient_id",
-        stable_key(F.col("patient_id"), F.col("pos"), F.col("clinician_facing_text")).alias(
+    return kept.join(found, [*run, "pos"]).select(
+        *run,
+        stable_key(*[F.col(k) for k in run], F.col("pos"), F.col("clinician_facing_text")).alias(
             "draft_id"
         ),
         "pos",
@@ -96,14 +98,16 @@ def screen_candidates(
 
 
 def dropped_citations(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Cited ids that are in no pool of the patient."""
-    cited = candidates.select("patient_id", "pos", F.explode("evidence_ids").alias("evidence_id"))
+    """Cited ids that are not in the run's pool."""
+    run = run_keys(candidates)
+    cited = candidates.select(*run, "pos", F.explode("evidence_ids").alias("evidence_id"))
     return cited.join(
-        evidence.select("patient_id", "evidence_id"), ["patient_id", "evidence_id"], "left_anti"
+        evidence.select(*run, "evidence_id"), [*run, "evidence_id"], "left_anti"
     ).distinct()
 
 
 def evidence_used(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
     """The part of the pool that a surviving draft cites."""
-    cited = drafts.select("patient_id", F.explode("supporting_evidence_ids").alias("evidence_id"))
-    return evidence.join(cited.distinct(), ["patient_id", "evidence_id"], "left_semi")
+    run = run_keys(drafts)
+    cited = drafts.select(*run, F.explode("supporting_evidence_ids").alias("evidence_id"))
+    return evidence.join(cited.distinct(), [*run, "evidence_id"], "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from carefold import settings
 from carefold.functions.text import empty_to_null, exact_round
+from carefold.functions.runs import run_keys
 
 # ---------------------------------------------------------------------------
 # Query categories and their priorities.
@@ -58,10 +59,10 @@ def _queries(df: DataFrame, branch: int | Column, *specs: tuple[Column, Column,
     )
     place = F.lit(branch) if isinstance(branch, int) else branch
     return df.select(
-        "patient_id", "source_entity_ids", "arrival", place.alias("branch"),
+        *run_keys(df), "source_entity_ids", "arrival", place.alias("branch"),
         F.explode(F.array_compact(options)).alias("q"),
     ).select(
-        "patient_id", F.col("q.text").alias("text"), F.col("q.category").alias("category"),
+        *run_keys(df), F.col("q.text").alias("text"), F.col("q.category").alias("category"),
         "source_entity_ids", F.col("q.priority").alias("priority"),
         F.struct(
             F.col("branch"), F.col("arrival"), F.col("q.part").alias("part"),
@@ -166,10 +167,10 @@ def context_queries(contexts: DataFrame) -> DataFrame:
 
 
 def plan_queries(*branches: DataFrame, max_queries: int = settings.MAX_QUERIES) -> DataFrame:
-    """Deduplicated queries, at most ``max_queries`` per patient by priority.
+    """Deduplicated queries, at most ``max_queries`` per run by priority.
 
     Equal category and text count once, with the highest priority and the
-    first position. The cut is a ranking per patient, which Spark limits map-side.
+    first position. The cut is a ranking per run, which Spark limits map-side.
     """
     union = branches[0]
     for branch in branches[1:]:
@@ -180,14 +181,15 @@ def plan_queries(*branches: DataFrame, max_queries: int = settings.MAX_QUERIES)
         F.struct("text", "category", "source_entity_ids", "priority"),
         F.struct((-F.col("priority")).alias("p"), F.col("pos")),
     )
-    unique = union.groupBy("patient_id", key.alias("query_key")).agg(
+    run = run_keys(union)
+    unique = union.groupBy(*run, key.alias("query_key")).agg(
         best.alias("q"), F.min("pos").alias("pos")
     )
-    order = Window.partitionBy("patient_id").orderBy(F.col("q.priority").desc(), "pos")
+    order = Window.partitionBy(*run).orderBy(F.col("q.priority").desc(), "pos")
     return (
         unique.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= max_queries)
-        .select("patient_id", "rank", "q.text", "q.category", "q.source_entity_ids", "q.priority")
+        .select(*run, "rank", "q.text", "q.category", "q.source_entity_ids", "q.priority")
     )
 
 
@@ -373,7 +375,7 @@ def to_candidates(hits: DataFrame) -> DataFrame:
         source,
     )
     return hits.filter(has("text").isNotNull()).select(
-        "patient_id",
+        *run_keys(hits),
         F.coalesce(has("guideline_id"), F.col("passage_id").cast("string")).alias("guideline_id"),
         title.alias("title"), source.alias("source"), section.alias("section"), "text",
         category.alias("category"), exact_round(F.col("score"), 4).alias("relevance_score"),
@@ -393,7 +395,8 @@ def rank_candidates(
     Every query counts for the lift, also below the floor; the score given out
     stays plain. Ties keep the order of arrival.
     """
-    keys = ["patient_id", "guideline_id"]
+    run = run_keys(candidates)
+    keys = [*run, "guideline_id"]
     eligible = (F.col("relevance_score") >= min_relevance) & F.col("text").rlike(r"\S")
     fields = [c for c in candidates.columns if c not in keys]
     by_passage = (
@@ -418,7 +421,7 @@ def rank_candidates(
         *keys, "best.*", "first_arrival", "query_count",
         (F.col("best.relevance_score") + lift).alias("boosted_score"),
     )
-    order = Window.partitionBy("patient_id").orderBy(
+    order = Window.partitionBy(*run).orderBy(
         F.col("boosted_score").desc(), "first_arrival"
     )
     return (
@@ -430,7 +433,7 @@ def rank_candidates(
 
 def to_knowledge_items(ranked: DataFrame) -> DataFrame:
     return ranked.select(
-        "patient_id", "rank", "guideline_id", "title", "source", "section", "text",
+        *run_keys(ranked), "rank", "guideline_id", "title", "source", "section", "text",
         "relevance_score", "category", "citation", "reference_range_low",
         "reference_range_high", "reference_range_unit", "retrieval_query",
     )
@@ -449,7 +452,7 @@ def retrieve(
     encode: Callable[[list[str]], np.ndarray],
     top_k: int = settings.SEARCH_TOP_K,
 ) -> DataFrame:
-    """Knowledge items of each patient from planned queries and embedded passages.
+    """Knowledge items of each run from planned queries and embedded passages.
 
     ``passages`` hold passage_id, category, vector and payload columns. Patients
     share many query texts, so each distinct text is embedded and searched once.
@@ -467,7 +470,7 @@ def retrieve(
           for c in PAYLOAD],
     )
     found = asked.select(
-        "patient_id", "query_id", "rank", F.col("category").alias("query_category"),
+        *run_keys(asked), "query_id", "rank", F.col("category").alias("query_category"),
         F.col("text").alias("query_text"),
     ).join(hits, "query_id").withColumn("arrival", F.struct("rank", "hit_rank"))
     return to_knowledge_items(rank_candidates(to_candidates(attach_payload(found, payload))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from carefold import settings
 from carefold.functions.text import exact_round, fixed_point, literal_map
+from carefold.functions.runs import run_keys
 
 # Verdict to stored status.
 STORED_STATUS = {
@@ -28,11 +29,12 @@ def stored_status(status: Column) -> Column:
 
 def resolvable(drafts: DataFrame, used: DataFrame) -> DataFrame:
     """Drafts with ``cited_ids``: their citations that exist in the evidence used."""
+    run = run_keys(drafts)
     cited = drafts.select(
-        "patient_id", "draft_id", F.explode("supporting_evidence_ids").alias("evidence_id")
+        *run, "draft_id", F.explode("supporting_evidence_ids").alias("evidence_id")
     )
     found = (
-        cited.join(used.select("patient_id", "evidence_id"), ["patient_id", "evidence_id"])
+        cited.join(used.select(*run, "evidence_id"), [*run, "evidence_id"])
         .groupBy("draft_id")
         .agg(F.sort_array(F.collect_set("evidence_id")).alias("cited_ids"))
     )
@@ -46,21 +48,22 @@ def screen_assertions(assertions: DataFrame, drafts: DataFrame, used: DataFrame)
     any evidence of the patient. The checker's verdict decides ``verified``.
     """
     # Citations (at position -1) and contradictions meet the evidence in one join.
-    owners = drafts.select("draft_id", "patient_id", "supporting_evidence_ids")
+    run = run_keys(drafts)
+    owners = drafts.select("draft_id", *run, "supporting_evidence_ids")
     cites = owners.select(
-        "patient_id", "draft_id", F.lit(-1).alias("pos"),
+        *run, "draft_id", F.lit(-1).alias("pos"),
         F.posexplode("supporting_evidence_ids").alias("cite_pos", "evidence_id"),
     )
     conflicts = assertions.select("draft_id", "pos", "contradicting_evidence_ids").join(
-        owners.select("draft_id", "patient_id"), "draft_id"
+        owners.select("draft_id", *run), "draft_id"
     ).select(
-        "patient_id", "draft_id", "pos",
+        *run, "draft_id", "pos",
         F.posexplode("contradicting_evidence_ids").alias("cite_pos", "evidence_id"),
     )
     known = (
         cites.unionByName(conflicts)
-        .join(used.select("patient_id", "evidence_id"), ["patient_id", "evidence_id"])
-        .groupBy("patient_id", "draft_id")
+        .join(used.select(*run, "evidence_id"), [*run, "evidence_id"])
+        .groupBy(*run, "draft_id")
         .agg(
             F.collect_set(F.when(F.col("pos") < 0, F.col("evidence_id"))).alias("cited_ids"),
             F.array_sort(
@@ -72,7 +75,7 @@ def screen_assertions(assertions: DataFrame, drafts: DataFrame, used: DataFrame)
         .filter(F.size("cited_ids") > 0)
     )
     return assertions.join(known, "draft_id").select(
-        "patient_id", "draft_id", "pos", "assertion_text",
+        *run, "draft_id", "pos", "assertion_text",
         F.coalesce(F.col("supported"), F.lit(False)).alias("verified"),
         F.filter(
             "supporting_evidence_ids", lambda e: F.array_contains(F.col("cited_ids"), e)
@@ -141,7 +144,7 @@ def verify(
             | F.col("severity").isin(*settings.ALWAYS_REVIEW_SEVERITIES),
         )
         .select(
-            "patient_id", "draft_id", F.col("text").alias("final_text"), "patient_facing_text",
+            *run_keys(drafts), "draft_id", F.col("text").alias("final_text"), "patient_facing_text",
             "clinician_facing_text", "verification_status", "stored_status",
             "verification_confidence", "verification_rationale", "verified_count", "total_count",
             "contradicted", "severity", "requires_clinician_review", "supporting_entity_ids",

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carefold.functions.runs import in_runs
 from carefold.operators import coding, evidence, layout, masking, retrieval, trends
 from carefold.operators import entities as ent
 
@@ -56,9 +57,13 @@ def process_spans(
         points = trends.merge_series(trends.history_points(history, points), points)
     points = keep("observations", points)
     trend = keep("trends", trends.analyse_trends(points, metrics, as_of))
+    # One run per document: its entities, with the trends and context of its patient.
+    coded = coded.withColumn("run_id", F.col("document_id"))
+    runs = coded.select("patient_id", "run_id").distinct()
+    trend = in_runs(trend, runs)
     branches = [retrieval.entity_queries(coded), retrieval.trend_queries(trend)]
     if contexts is not None:
-        branches.append(retrieval.context_queries(contexts))
+        branches.append(retrieval.context_queries(in_runs(contexts, runs)))
     planned = keep("queries", retrieval.plan_queries(*branches))
     items = [evidence.observation_evidence(coded), evidence.trend_evidence(trend)]
     if passages is not None and encode is not None:

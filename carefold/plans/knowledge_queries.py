@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carefold.functions.runs import run_keys
 from carefold.operators import evaluation, evidence, insights, retrieval, verification
 from carefold.plans.inputs import ENTITIES, Inputs, sql_select
 from carefold.plans.registry import framed, query, values_sql
@@ -42,6 +43,11 @@ def _flat(queries: DataFrame) -> DataFrame:
     )
 
 
+def _both(df: DataFrame) -> DataFrame:
+    """Rows of a patient in both runs."""
+    return df.withColumn("run_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+
+
 def _contexts(i: Inputs) -> DataFrame:
     return i.table("customer").selectExpr("c_custkey AS patient_id", f"{_CONTEXT} AS clinical_context")
 
@@ -62,18 +68,21 @@ for _name, _sql, _build in (
 
 
 @query("planned_queries", TREND_SQL + f""", {_USE},
-q AS ({_LAB_Q} UNION ALL {_DIS_Q} UNION ALL {_MED_Q} UNION ALL {_TREND_Q} UNION ALL {_CONTEXT_Q}),
+q AS (SELECT *, CAST(split_part(source, '-', 1) AS BIGINT) % 2 AS run_id FROM ({_LAB_Q} UNION ALL {_DIS_Q} UNION ALL {_MED_Q}) e
+  UNION ALL SELECT t.*, x.run_id FROM ({_TREND_Q} UNION ALL {_CONTEXT_Q}) t, (VALUES (0), (1)) x(run_id)),
 k AS (SELECT *, category || ':' || lower(trim(text)) AS key,
-  row_number() OVER (PARTITION BY patient_id, category || ':' || lower(trim(text)) ORDER BY priority DESC, branch, arrival, part) AS dup,
-  first_value((branch, arrival, part)) OVER (PARTITION BY patient_id, category || ':' || lower(trim(text)) ORDER BY branch, arrival, part) AS pos FROM q),
-r AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY priority DESC, pos) AS rank FROM k WHERE dup = 1)
-SELECT patient_id, rank, text, category, priority, source FROM r WHERE rank <= 6""")
+  row_number() OVER (PARTITION BY patient_id, run_id, category || ':' || lower(trim(text)) ORDER BY priority DESC, branch, arrival, part) AS dup,
+  first_value((branch, arrival, part)) OVER (PARTITION BY patient_id, run_id, category || ':' || lower(trim(text)) ORDER BY branch, arrival, part) AS pos FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY patient_id, run_id ORDER BY priority DESC, pos) AS rank FROM k WHERE dup = 1)
+SELECT patient_id, run_id, rank, text, category, priority, source FROM r WHERE rank <= 6""")
 def planned_queries(i: Inputs) -> DataFrame:
+    """Two documents, so two runs, of every patient, each with its own six queries."""
+    entities = i.entities().withColumn("run_id", F.col("document_id").cast("long") % 2)
     planned = retrieval.plan_queries(
-        retrieval.entity_queries(i.entities()), retrieval.trend_queries(trend_table(i)), retrieval.context_queries(_contexts(i)),
+        retrieval.entity_queries(entities), retrieval.trend_queries(_both(trend_table(i))), retrieval.context_queries(_both(_contexts(i))),
     )
     return planned.select(
-        "patient_id", "rank", "text", "category", "priority",
+        "patient_id", "run_id", "rank", "text", "category", "priority",
         F.array_join("source_entity_ids", ",").alias("source"),
     )
 
@@ -143,7 +152,7 @@ _PAYLOAD = {
     "reference_range_unit": "CAST(NULL AS string)",
 }
 _CANDIDATES = _HITS + f""", pl AS ({sql_select(_PAYLOAD, 'embeddings')}),
-cand AS (SELECT h.query_id % 25 AS patient_id, coalesce(guideline_id, CAST(h.passage_id AS VARCHAR)) AS guideline_id,
+cand AS (SELECT h.query_id % 25 AS patient_id, h.query_id // 25 % 2 AS run_id, coalesce(guideline_id, CAST(h.passage_id AS VARCHAR)) AS guideline_id,
   coalesce(nullif(source, ''), evidence_source, 'Clinical Guideline') AS source, coalesce(section, condition) AS section,
   coalesce(title, display_name, metric_name, condition, nullif(source, ''), evidence_source, 'Clinical Guideline') AS title, text,
   CASE WHEN category = 'monitoring' THEN category ELSE 'follow_up' END AS category, round(score, 4) AS relevance_score,
@@ -151,18 +160,18 @@ cand AS (SELECT h.query_id % 25 AS patient_id, coalesce(guideline_id, CAST(h.pas
     coalesce(nullif(source, ''), evidence_source, 'Clinical Guideline')) AS citation,
   'query ' || CAST(query_id AS VARCHAR) AS retrieval_query, query_id * 100 + hit_rank AS arrival
   FROM hits h JOIN pl ON pl.passage_id = h.passage_id WHERE text IS NOT NULL)"""
-_RANKED = _CANDIDATES + """, n AS (SELECT patient_id, guideline_id, count(DISTINCT retrieval_query) AS qc FROM cand GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY patient_id, guideline_id ORDER BY relevance_score DESC, arrival) AS rn,
-  min(arrival) OVER (PARTITION BY patient_id, guideline_id) AS fa FROM cand WHERE relevance_score >= 0.5),
-sc AS (SELECT b.*, qc, relevance_score + least(0.12::DOUBLE, (qc - 1) * 0.03::DOUBLE) AS boosted FROM b JOIN n USING (patient_id, guideline_id) WHERE rn = 1),
-rk AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY boosted DESC, fa) AS rank FROM sc)
+_RANKED = _CANDIDATES + """, n AS (SELECT patient_id, run_id, guideline_id, count(DISTINCT retrieval_query) AS qc FROM cand GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY patient_id, run_id, guideline_id ORDER BY relevance_score DESC, arrival) AS rn,
+  min(arrival) OVER (PARTITION BY patient_id, run_id, guideline_id) AS fa FROM cand WHERE relevance_score >= 0.5),
+sc AS (SELECT b.*, qc, relevance_score + least(0.12::DOUBLE, (qc - 1) * 0.03::DOUBLE) AS boosted FROM b JOIN n USING (patient_id, run_id, guideline_id) WHERE rn = 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY patient_id, run_id ORDER BY boosted DESC, fa) AS rank FROM sc)
 """
 
 
 def candidates(i: Inputs) -> DataFrame:
     payload = i.derive("embeddings", _PAYLOAD)
     found = hits(i).select(
-        (F.col("query_id") % 25).alias("patient_id"), "passage_id", "score",
+        (F.col("query_id") % 25).alias("patient_id"), F.floor(F.col("query_id") / 25 % 2).alias("run_id"), "passage_id", "score",
         F.lit("follow_up").alias("query_category"),
         F.concat(F.lit("query "), "query_id").alias("query_text"),
         (F.col("query_id") * 100 + F.col("hit_rank")).alias("arrival"),
@@ -170,24 +179,24 @@ def candidates(i: Inputs) -> DataFrame:
     return retrieval.to_candidates(retrieval.attach_payload(found, payload))
 
 
-@query("knowledge_candidates", f"WITH {_CANDIDATES} SELECT patient_id, guideline_id, title, source, section, text, category, relevance_score, citation, retrieval_query FROM cand")
+@query("knowledge_candidates", f"WITH {_CANDIDATES} SELECT patient_id, run_id, guideline_id, title, source, section, text, category, relevance_score, citation, retrieval_query FROM cand")
 def knowledge_candidates(i: Inputs) -> DataFrame:
     return candidates(i).drop(
         "arrival", "reference_range_low", "reference_range_high", "reference_range_unit"
     )
 
 
-@query("ranked_knowledge", f"WITH {_RANKED} SELECT patient_id, rank, guideline_id, relevance_score, qc AS query_count, retrieval_query FROM rk WHERE rank <= 10")
+@query("ranked_knowledge", f"WITH {_RANKED} SELECT patient_id, run_id, rank, guideline_id, relevance_score, qc AS query_count, retrieval_query FROM rk WHERE rank <= 10")
 def ranked_knowledge(i: Inputs) -> DataFrame:
     return retrieval.rank_candidates(candidates(i)).select(
-        "patient_id", "rank", "guideline_id", "relevance_score", "query_count", "retrieval_query"
+        "patient_id", "run_id", "rank", "guideline_id", "relevance_score", "query_count", "retrieval_query"
     )
 
 
-@query("knowledge_items", f"WITH {_RANKED} SELECT patient_id, rank, guideline_id, title, source, section, text, relevance_score, category, citation FROM rk WHERE rank <= 10")
+@query("knowledge_items", f"WITH {_RANKED} SELECT patient_id, run_id, rank, guideline_id, title, source, section, text, relevance_score, category, citation FROM rk WHERE rank <= 10")
 def knowledge_items(i: Inputs) -> DataFrame:
     return retrieval.to_knowledge_items(retrieval.rank_candidates(candidates(i))).select(
-        "patient_id", "rank", "guideline_id", "title", "source", "section", "text",
+        "patient_id", "run_id", "rank", "guideline_id", "title", "source", "section", "text",
         "relevance_score", "category", "citation",
     )
 
@@ -255,7 +264,7 @@ _GAP_EV = """SELECT patient_id, 'gap-' || code AS evidence_id, 'pso_entity' AS s
 
 def _flat_evidence(df: DataFrame) -> DataFrame:
     return df.select(
-        "patient_id", "evidence_id", "source_type", "source_ref", "text",
+        *run_keys(df), "evidence_id", "source_type", "source_ref", "text",
         F.round("relevance_score", 4).alias("relevance_score"),
     )
 
@@ -288,17 +297,18 @@ def gap_evidence(i: Inputs) -> DataFrame:
 
 
 @query("guideline_evidence", f"""WITH {_RANKED}
-SELECT patient_id, 'guideline-' || guideline_id AS evidence_id, 'guideline' AS source_type, citation AS source_ref, text,
+SELECT patient_id, run_id, 'guideline-' || guideline_id AS evidence_id, 'guideline' AS source_type, citation AS source_ref, text,
   greatest(0.0, least(1.0, relevance_score)) AS relevance_score FROM rk WHERE rank <= 10""")
 def guideline_evidence(i: Inputs) -> DataFrame:
     items = retrieval.to_knowledge_items(retrieval.rank_candidates(candidates(i)))
     return _flat_evidence(evidence.guideline_evidence(items))
 
 
-_POOL = f"""ev AS ({_TREND_EV} UNION ALL {_GAP_EV}
-  UNION ALL SELECT patient_id, 'trend-' || code, 'pso_entity', 'note:' || code, 'Noted again', 0.9, 3 FROM tr WHERE patient_id % 10 = 0),
-pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, evidence_id ORDER BY branch DESC) AS rn,
-  min(branch) OVER (PARTITION BY patient_id, evidence_id) AS first_branch FROM ev WHERE relevance_score >= 0.7) z WHERE rn = 1)"""
+_POOL = f"""ev AS (SELECT t.*, x.run_id FROM ({_TREND_EV} UNION ALL {_GAP_EV}
+  UNION ALL SELECT patient_id, 'trend-' || code, 'pso_entity', 'note:' || code, 'Noted again', 0.9, 3 FROM tr WHERE patient_id % 10 = 0) t, (VALUES (0), (1)) x(run_id)
+  WHERE x.run_id = 0 OR relevance_score >= 0.75),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, run_id, evidence_id ORDER BY branch DESC) AS rn,
+  min(branch) OVER (PARTITION BY patient_id, run_id, evidence_id) AS first_branch FROM ev WHERE relevance_score >= 0.7) z WHERE rn = 1)"""
 
 
 def evidence_pool(i: Inputs) -> DataFrame:
@@ -314,18 +324,20 @@ def evidence_pool(i: Inputs) -> DataFrame:
     both = items.withColumn(
         "v", F.explode(F.array_compact(F.array(own, F.when(repeated, again))))
     ).select("patient_id", "evidence_id", "source_type", "v.*", "entity_ids")
-    return evidence.pool(both, min_relevance=0.7)
+    # the second run of a patient saw the surer items only
+    runs = _both(both).filter("run_id = 0 OR relevance_score >= 0.75")
+    return evidence.pool(runs, min_relevance=0.7)
 
 
-@query("evidence_pool", TREND_SQL + f", {_POOL} SELECT patient_id, evidence_id, source_type, source_ref, text, round(relevance_score, 4) AS relevance_score FROM pool")
+@query("evidence_pool", TREND_SQL + f", {_POOL} SELECT patient_id, run_id, evidence_id, source_type, source_ref, text, round(relevance_score, 4) AS relevance_score FROM pool")
 def evidence_pool_rows(i: Inputs) -> DataFrame:
     """Evidence above the floor; a later item of the same id replaces the earlier one."""
     return _flat_evidence(evidence_pool(i))
 
 
-@query("evidence_blocks", TREND_SQL + f""", {_POOL} SELECT patient_id, string_agg(
+@query("evidence_blocks", TREND_SQL + f""", {_POOL} SELECT patient_id, run_id, string_agg(
   '- [' || evidence_id || '] (' || source_type || ', relevance=' || printf('%.2f', relevance_score) || ') ' || text, chr(10) ORDER BY first_branch, evidence_id) AS evidence_block
-FROM pool GROUP BY patient_id""")
+FROM pool GROUP BY patient_id, run_id""")
 def evidence_blocks(i: Inputs) -> DataFrame:
     return evidence.evidence_block(evidence_pool(i))
 
@@ -335,6 +347,7 @@ _CODES = ["2160-0", "33914-3", "718-7", "4548-4", "6690-2", "9999-9", "8888-8"]
 _CODE_CASE = lambda x: f"(CASE {x} " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_CODES)) + " END)"
 _CANDIDATE = {
     "patient_id": "doc_id % 150",
+    "run_id": "CAST(floor(doc_id / 150) AS bigint) % 2",
     "pos": "CAST(floor(doc_id / 150) AS int)",
     "insight_type": "'trend'",
     "severity": "CASE doc_id % 7 WHEN 0 THEN 'low' WHEN 1 THEN 'moderate' WHEN 2 THEN 'high' WHEN 3 THEN 'critical' WHEN 4 THEN 'severe' "
@@ -347,12 +360,12 @@ _CANDIDATE = {
     "e3": "'trend-' || " + _CODE_CASE("(doc_id + 2) % 7"),
 }
 _SCREEN = f"""{_POOL}, cd AS ({sql_select(_CANDIDATE, 'documents')}),
-cr AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY pos) AS rn FROM cd),
+cr AS (SELECT *, row_number() OVER (PARTITION BY patient_id, run_id ORDER BY pos) AS rn FROM cd),
 ck AS (SELECT *, trim(clinician_facing_text) AS ct, trim(patient_facing_text) AS pt FROM cr WHERE rn <= 8 AND confidence >= 0.55
   AND trim(clinician_facing_text) <> '' AND trim(patient_facing_text) <> ''),
-ci AS (SELECT patient_id, pos, ct, unnest([e1, e2, e3]) AS evidence_id, unnest([1, 2, 3]) AS k FROM ck),
-ok AS (SELECT ci.patient_id, ci.pos, string_agg(ci.evidence_id, ',' ORDER BY k) AS ids FROM ci JOIN pool USING (patient_id, evidence_id) GROUP BY ALL),
-dr AS (SELECT ck.*, ok.ids FROM ck JOIN ok USING (patient_id, pos))"""
+ci AS (SELECT patient_id, run_id, pos, ct, unnest([e1, e2, e3]) AS evidence_id, unnest([1, 2, 3]) AS k FROM ck),
+ok AS (SELECT ci.patient_id, ci.run_id, ci.pos, string_agg(ci.evidence_id, ',' ORDER BY k) AS ids FROM ci JOIN pool USING (patient_id, run_id, evidence_id) GROUP BY ALL),
+dr AS (SELECT ck.*, ok.ids FROM ck JOIN ok USING (patient_id, run_id, pos))"""
 
 
 def insight_candidates(i: Inputs) -> DataFrame:
@@ -360,39 +373,39 @@ def insight_candidates(i: Inputs) -> DataFrame:
 
 
 @query("screened_insights", TREND_SQL + f""", {_SCREEN}
-SELECT patient_id, pos, md5({framed('patient_id', 'pos', 'ct')}) AS draft_id, ct AS text, ids AS supporting_evidence_ids,
+SELECT patient_id, run_id, pos, md5({framed('patient_id', 'run_id', 'pos', 'ct')}) AS draft_id, ct AS text, ids AS supporting_evidence_ids,
   CASE WHEN severity = 'severe' THEN 'informational' ELSE severity END AS severity, round(confidence, 4) AS confidence FROM dr""")
 def screened_insights(i: Inputs) -> DataFrame:
     return insights.screen_candidates(insight_candidates(i), evidence_pool(i)).select(
-        "patient_id", "pos", "draft_id", "text",
+        "patient_id", "run_id", "pos", "draft_id", "text",
         F.array_join("supporting_evidence_ids", ",").alias("supporting_evidence_ids"), "severity",
         "confidence",
     )
 
 
 @query("supporting_entities", TREND_SQL + f""", {_SCREEN},
-se AS (SELECT DISTINCT ci.patient_id, ci.pos, regexp_replace(evidence_id, '^(gap|trend)-', 'trend:') AS entity
-  FROM ci JOIN pool USING (patient_id, evidence_id))
-SELECT dr.patient_id, dr.pos, string_agg(entity, ',' ORDER BY entity) AS entities FROM dr JOIN se USING (patient_id, pos) GROUP BY ALL""")
+se AS (SELECT DISTINCT ci.patient_id, ci.run_id, ci.pos, regexp_replace(evidence_id, '^(gap|trend)-', 'trend:') AS entity
+  FROM ci JOIN pool USING (patient_id, run_id, evidence_id))
+SELECT dr.patient_id, dr.run_id, dr.pos, string_agg(entity, ',' ORDER BY entity) AS entities FROM dr JOIN se USING (patient_id, run_id, pos) GROUP BY ALL""")
 def supporting_entities(i: Inputs) -> DataFrame:
     return insights.screen_candidates(insight_candidates(i), evidence_pool(i)).select(
-        "patient_id", "pos", F.array_join(F.sort_array("supporting_entity_ids"), ",").alias("entities")
+        "patient_id", "run_id", "pos", F.array_join(F.sort_array("supporting_entity_ids"), ",").alias("entities")
     )
 
 
 @query("dropped_citations", TREND_SQL + f""", {_SCREEN}
-SELECT DISTINCT c.patient_id, c.pos, c.evidence_id FROM (SELECT patient_id, pos, unnest([e1, e2, e3]) AS evidence_id FROM cd) c
-WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.patient_id = c.patient_id AND p.evidence_id = c.evidence_id)""")
+SELECT DISTINCT c.patient_id, c.run_id, c.pos, c.evidence_id FROM (SELECT patient_id, run_id, pos, unnest([e1, e2, e3]) AS evidence_id FROM cd) c
+WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.patient_id = c.patient_id AND p.run_id = c.run_id AND p.evidence_id = c.evidence_id)""")
 def dropped_citations(i: Inputs) -> DataFrame:
     return insights.dropped_citations(insight_candidates(i), evidence_pool(i))
 
 
 @query("evidence_used", TREND_SQL + f""", {_SCREEN}
-SELECT DISTINCT p.patient_id, p.evidence_id, p.text FROM pool p JOIN ci USING (patient_id, evidence_id) JOIN dr USING (patient_id, pos)""")
+SELECT DISTINCT p.patient_id, p.run_id, p.evidence_id, p.text FROM pool p JOIN ci USING (patient_id, run_id, evidence_id) JOIN dr USING (patient_id, run_id, pos)""")
 def evidence_used(i: Inputs) -> DataFrame:
     pool = evidence_pool(i)
     drafts = insights.screen_candidates(insight_candidates(i), pool)
-    return insights.evidence_used(drafts, pool).select("patient_id", "evidence_id", "text")
+    return insights.evidence_used(drafts, pool).select("patient_id", "run_id", "evidence_id", "text")
 
 
 # --------------------------------------------------------------------------- verification
