@@ -117,7 +117,7 @@ def tagged(docs: DataFrame, name: str) -> DataFrame:
 
 
 def remove(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` with the passages cut out of ``text``, every column and row kept; ``n_chars`` follows the text if present."""
+    """``docs`` with the passages cut out of ``text``, every column and row kept; ``n_chars``, if present, follows a cut text."""
     cuts = passages.groupBy(F.col("doc_id").alias("_cut_doc"), F.col("row").alias("_cut_row")).agg(
         F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_cuts"))
     names = docs.columns
@@ -127,6 +127,8 @@ def remove(docs: DataFrame, passages: DataFrame) -> DataFrame:
     begins = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda c: c["end"]))
     ends = F.concat(F.transform("_cuts", lambda c: c["begin"]), F.array(F.char_length("text")))
     kept = F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda s: F.substring(F.col("text"), s["a"] + 1, s["b"] - s["a"]))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    out = joined.withColumn("text", text).drop("_cuts")
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    whole = F.col("_cuts").isNull()
+    out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(kept, "")))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.drop("_cuts")
