@@ -184,6 +184,21 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
+def roots(links: DataFrame) -> DataFrame:
+    """node and label for links (a, b) of a node to its leader, one for each node.
+
+    A leader is larger by (weight, node) than what it leads, so the links form trees and a node's label is its root; each
+    round halves the way there. Roots have no row.
+    """
+    labels = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    while True:
+        step = common.store(
+            labels.join(labels.toDF("label", "next"), "label", "left").select("node", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")), "labels")
+        labels = step.select("node", "label")
+        if step.filter("moved").isEmpty():
+            return labels
+
+
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after further links: only the components that a link joins are worked on, not their nodes."""
     name = lambda side: F.coalesce(f"label_{side}", side)
@@ -196,10 +211,13 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def nearest(leads: DataFrame) -> DataFrame:
-    """Of the rows (node, lead), one for each shared bucket, the pair of each node with the lead it shares most with."""
+    """Of the rows (node, lead), one for each shared bucket, the pair (a, b) of each node with the lead it shares most with."""
     shared = leads.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("node").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
-    return best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    return shared.groupBy("node").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead")).toDF("a", "b")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def node_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -213,7 +231,8 @@ def node_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
     leaders = members.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
     tried = common.store(nearest(members.join(leaders, "key").filter("node <> lead").select("node", "lead")), "tried")
-    labels = components(similar(tried, nodes, docs))
+    labels = roots(similar(tried, nodes, docs))
+    tried = ordered(tried)
     for turn in ("second", "rest"):
         known = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
@@ -221,13 +240,13 @@ def node_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
         if turn == "second":
             other = open_.groupBy("key").agg(F.max_by(F.struct("node", "label"), F.xxhash64("node", "key")).alias("lead"))
             leads = open_.join(other, "key").filter(F.col("label") != F.col("lead.label")).select("node", F.col("lead.node").alias("lead"))
-            pairs = nearest(leads)
+            pairs = ordered(nearest(leads))
         else:
             right = open_.toDF("lead", "key_b", "label_b", "n_b", "bits_b")
             flipped = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(1, _WORDS)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bits_b")[0])))
             fits = (F.least("n", "n_b") >= SIMILARITY * F.greatest("n", "n_b")) & (flipped <= FLIPPED)
             both = open_.join(right, (F.col("key") == F.col("key_b")) & (F.col("label") < F.col("label_b")) & fits)
-            pairs = both.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+            pairs = ordered(both.select(F.col("node").alias("a"), F.col("lead").alias("b")))
         pairs = common.store(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
         labels = merged(labels, similar(pairs, nodes, docs))
         tried = tried.unionAll(pairs)
