@@ -90,12 +90,12 @@ def typed_text_layer(i: Inputs) -> DataFrame:
     return found.select("document_id", F.round("mean_chars", 4).alias("mean_chars"), "is_typed")
 
 
-@query("quality_scores", TRIAGE_SQL + "SELECT document_id, round(score, 4) AS score, flags FROM u WHERE height IS NOT NULL")
+@query("quality_scores", TRIAGE_SQL + "SELECT document_id, round(score, 4) AS score, flags FROM u")
 def quality_scores(i: Inputs) -> DataFrame:
     measured = triage.quality(
         F.col("height"), F.col("width"), F.col("blur_variance"), F.col("brightness"), F.col("skew_degrees")
     )
-    return i.files().filter("height IS NOT NULL").withColumn("q", measured).select(
+    return i.files().withColumn("q", measured).select(
         "document_id", F.round("q.score", 4).alias("score"), F.array_join("q.flags", ",").alias("flags")
     )
 
@@ -142,12 +142,12 @@ def pdf_failures(i: Inputs) -> DataFrame:
 
 @query("page_quality_labels", f"""
 SELECT document_id, CASE WHEN least(height, width) < 600 THEN 'too_small' WHEN blur_variance < 100 THEN 'blurry'
-  WHEN brightness < 60 THEN 'too_dark' ELSE 'ok' END AS label FROM ({_FILES}) f WHERE height IS NOT NULL""")
+  WHEN brightness < 60 THEN 'too_dark' ELSE 'ok' END AS label FROM ({_FILES}) f""")
 def page_quality_labels(i: Inputs) -> DataFrame:
     label = triage.page_quality_label(
         F.col("height"), F.col("width"), F.col("blur_variance"), F.col("brightness")
     )
-    return i.files().filter("height IS NOT NULL").select("document_id", label.alias("label"))
+    return i.files().select("document_id", label.alias("label"))
 
 
 # --------------------------------------------------------------------------- persisted tables
