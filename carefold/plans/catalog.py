@@ -6,6 +6,7 @@ from carefold.plans import (  # noqa: F401
     knowledge_queries,
     masking_queries,
     report_queries,
+    streaming_queries,
     trend_queries,
 )
 from carefold.plans.registry import QUERIES, SQL
