@@ -4,6 +4,7 @@ from carefold.plans import (  # noqa: F401
     extraction_queries,
     intake_queries,
     knowledge_queries,
+    loader_queries,
     masking_queries,
     report_queries,
     streaming_queries,
