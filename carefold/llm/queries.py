@@ -97,3 +97,33 @@ def op5_benchmark_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+SQL["op3_repeated_passages"] = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS l FROM texts),
+placed AS (SELECT doc_id, l, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,
+  string_split(regexp_replace(line, '([.!?])([ \\t\\v\\f\\r])', '\\1' || chr(2) || '\\2', 'g'), chr(2)) AS ps FROM lines),
+pieces AS (SELECT doc_id, l, base, unnest(ps) AS piece, generate_subscripts(ps, 1) AS p FROM placed),
+spans AS (SELECT doc_id, l, p, piece, base + coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, l ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place,
+  regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS words FROM pieces),
+units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY l, p) AS unit, len(words) AS n,
+  place + length(regexp_extract(piece, '^[^A-Za-z0-9\\x{{80}}-\\x{{10FFFF}}]*')) AS b, place + length(piece) AS e, array_to_string(words, ' ') AS digest
+  FROM spans WHERE len(words) > 0),
+firsts AS (SELECT *, min((doc_id, unit)) OVER (PARTITION BY digest) AS first FROM units),
+chained AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM firsts WHERE first <> (doc_id, unit))
+SELECT doc_id, CAST(min(b) AS INTEGER) AS "begin", CAST(max(e) AS INTEGER) AS "end", CAST(sum(n) AS BIGINT) AS n_words, arg_min(first[1], unit) AS first_doc_id
+FROM chained GROUP BY doc_id, run HAVING sum(n) >= {substrings.LEAST_WORDS}"""
+
+
+SQL["op6_prob_minhash"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {neardup.SHINGLE}
+  THEN list_transform(range(1, len(ws) - {neardup.SHINGLE} + 2), lambda k: array_to_string(ws[k:k + {neardup.SHINGLE - 1}], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {neardup.SIMILARITY} * (x.n + y.n - c)),
+sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, sym.b FROM r JOIN sym ON sym.a = r.reach)
+SELECT doc_id, min(reach) AS class_id FROM r GROUP BY doc_id"""
