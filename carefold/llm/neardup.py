@@ -8,8 +8,8 @@ probability Jaccard similarity. ``BANDS`` bands of ``ROWS`` components give buck
 a probability above 0.9999.
 
 Within buckets no pairs are formed at first. Each bucket has its most central node (largest sum of its buckets' sizes) for a
-leader, and a node is compared with the leader it shares most buckets with; then with a second one, if it is still apart
-from it. Only nodes of a bucket that are in different components after that are then compared with each other, if at most ``FLIPPED`` of the bits that stand for the components differ (four standard
+leader, and a node is compared with the leader it shares most buckets with; then with a second and third one, if it is still
+apart from them. Only nodes of a bucket that are in different components after that are then compared with each other, if at most ``FLIPPED`` of the bits that stand for the components differ (four standard
 deviations above what 0.8 gives; a passage that many texts have in common does not pass). Compared pairs need ``LIKELY`` of the signature to agree (0.8 lies over four standard deviations above) and then an
 exact Jaccard similarity of the shingle sets of at least ``SIMILARITY``. Components of the
 verified links are the classes; a class is named by its smallest doc_id.
@@ -233,19 +233,21 @@ def node_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     tried = common.store(nearest(members.join(leaders, "key").filter("node <> lead").select("node", "lead")), "tried")
     labels = roots(similar(tried, nodes, docs))
     tried = ordered(tried)
-    for turn in ("second", "rest"):
+    for turn in ("second", "third", "rest"):
         known = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        open_ = common.store(known.join(mixed, "key").join(nodes.select("node", "n", "bits"), "node"), "open-members")
-        if turn == "second":
-            other = open_.groupBy("key").agg(F.max_by(F.struct("node", "label"), F.xxhash64("node", "key")).alias("lead"))
+        open_ = common.store(known.join(mixed, "key").join(nodes.select("node", "n", "bits", "keys"), "node"), "open-members")
+        if turn != "rest":
+            other = open_.groupBy("key").agg(F.max_by(F.struct("node", "label"), F.xxhash64("node", "key", F.lit(turn))).alias("lead"))
             leads = open_.join(other, "key").filter(F.col("label") != F.col("lead.label")).select("node", F.col("lead.node").alias("lead"))
             pairs = ordered(nearest(leads))
         else:
-            right = open_.toDF("lead", "key_b", "label_b", "n_b", "bits_b")
+            right = open_.toDF("lead", "key_b", "label_b", "n_b", "bits_b", "keys_b")
             flipped = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(1, _WORDS)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bits_b")[0])))
             fits = (F.least("n", "n_b") >= SIMILARITY * F.greatest("n", "n_b")) & (flipped <= FLIPPED)
-            both = open_.join(right, (F.col("key") == F.col("key_b")) & (F.col("label") < F.col("label_b")) & fits)
+            # a pair counts in the first bucket that it shares only
+            once = F.col("key") == F.array_min(F.array_intersect("keys", "keys_b"))
+            both = open_.join(right, (F.col("key") == F.col("key_b")) & (F.col("label") < F.col("label_b")) & fits & once)
             pairs = ordered(both.select(F.col("node").alias("a"), F.col("lead").alias("b")))
         pairs = common.store(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
         labels = merged(labels, similar(pairs, nodes, docs))
