@@ -9,7 +9,7 @@ a probability above 0.9999.
 
 Within buckets no pairs are formed at first. Each bucket has its most central node (largest sum of its buckets' sizes) for a
 leader, and a node is compared with the leader it shares most buckets with; then with a second and third one, if it is still
-apart from them. Only nodes of a bucket that are in different components after that are then compared with each other, if at most ``FLIPPED`` of the bits that stand for the components differ (four standard
+apart from them. Only nodes of a bucket that are in different components after that are then compared with each other, if at most ``DIFFERING`` of four bits of each component differ (over four standard
 deviations above what 0.8 gives; a passage that many texts have in common does not pass). Compared pairs need ``LIKELY`` of the signature to agree (0.8 lies over four standard deviations above) and then an
 exact Jaccard similarity of the shingle sets of at least ``SIMILARITY``. Components of the
 verified links are the classes; a class is named by its smallest doc_id.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carefold.llm import common, substrings
@@ -37,9 +37,10 @@ BANDS, ROWS = 40, 6
 SIZE = BANDS * ROWS
 #: Least share of equal components for a pair to be verified.
 LIKELY = 0.68
-#: Of one bit of every component, two unlike components differ in half: so many bits may differ, 24 are expected at 0.8.
-FLIPPED = 45
-_WORDS = -(-SIZE // 64)
+#: Of four bits of every component, so many components may differ: 45 are expected at 0.8, and 27 more are 4.5 deviations.
+DIFFERING = 72
+_WORDS = -(-SIZE // 16)
+_LOWEST = 0x1111111111111111
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,10 +99,20 @@ def sketch(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _packed(signed: np.ndarray) -> np.ndarray:
-    """The lowest bit of every component, as 64-bit words."""
-    bits = np.zeros((len(signed), _WORDS * 64), np.uint8)
-    bits[:, :SIZE] = signed & np.uint64(1)
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(len(signed), _WORDS)
+    """The lowest four bits of every component, sixteen components to a 64-bit word."""
+    low = np.zeros((len(signed), _WORDS * 16), np.uint8)
+    low[:, :SIZE] = signed & np.uint64(15)
+    return (low[:, 0::2] | (low[:, 1::2] << 4)).copy().view("<i8").reshape(len(signed), _WORDS)
+
+
+def differing(left: Column, right: Column) -> Column:
+    """How many components of two packed signatures differ."""
+    total = F.lit(0)
+    for k in range(_WORDS):
+        x = left[k].bitwiseXOR(right[k])
+        any_bit = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
+        total = total + F.bit_count(any_bit.bitwiseAND(F.lit(_LOWEST)))
+    return total
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -243,8 +254,7 @@ def node_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
             pairs = ordered(nearest(leads))
         else:
             right = open_.toDF("lead", "key_b", "label_b", "n_b", "bits_b", "keys_b")
-            flipped = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(1, _WORDS)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bits_b")[0])))
-            fits = (F.least("n", "n_b") >= SIMILARITY * F.greatest("n", "n_b")) & (flipped <= FLIPPED)
+            fits = (F.least("n", "n_b") >= SIMILARITY * F.greatest("n", "n_b")) & (differing(F.col("bits"), F.col("bits_b")) <= DIFFERING)
             # a pair counts in the first bucket that it shares only
             once = F.col("key") == F.array_min(F.array_intersect("keys", "keys_b"))
             both = open_.join(right, (F.col("key") == F.col("key_b")) & (F.col("label") < F.col("label_b")) & fits & once)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from carefold.llm import decontaminate, neardup, substrings
 from carefold.llm.words import ALNUM, Words
@@ -263,3 +264,13 @@ def test_items_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEMS_PER_PASS", 4)
     assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, bench).collect()} == {(k, k) for k, _ in items}
     assert decontaminate.keep_clean(docs, bench).collect() == []
+
+
+def test_packed_signatures_count_what_differs(spark):
+    draw = np.random.default_rng(8)
+    left, right = (draw.integers(0, 2**63, (30, neardup.SIZE)).astype(np.uint64) for _ in range(2))
+    right[:, ::3] = left[:, ::3]
+    rows = [(k, a.tolist(), b.tolist()) for k, (a, b) in enumerate(zip(neardup._packed(left), neardup._packed(right), strict=True))]
+    got = spark.createDataFrame(rows, "k long, a array<long>, b array<long>").select("k", neardup.differing(F.col("a"), F.col("b")).alias("n")).collect()
+    want = ((left & np.uint64(15)) != (right & np.uint64(15))).sum(axis=1)
+    assert {r.k: r.n for r in got} == dict(enumerate(want.tolist()))
