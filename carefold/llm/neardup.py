@@ -34,11 +34,12 @@ from carefold.llm.words import ALNUM, Words, hash_groups, mix64, runs
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
-SIZE = BANDS * ROWS
+#: Components of a signature; the bands take the first ones, all count for the estimate.
+SIZE = 384
 #: Least share of equal components for a pair to be verified.
-LIKELY = 0.68
-#: Of four bits of every component, so many components may differ: 45 are expected at 0.8, and 27 more are 4.5 deviations.
-DIFFERING = 72
+LIKELY = 0.7
+#: Of four bits of every component, so many components may differ: 72 are expected at 0.8, and 35 more are 4.5 deviations.
+DIFFERING = 107
 _WORDS = -(-SIZE // 16)
 _LOWEST = 0x1111111111111111
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -89,8 +90,9 @@ def sketch(texts: pa.Array) -> dict[str, np.ndarray]:
     begin = np.searchsorted(rows, np.arange(words.rows + 1))
     node = hash_groups(found, begin[:-1], begin[1:], 7)
     keys = np.zeros((words.rows, BANDS), np.uint64)
+    banded = signed[:, : BANDS * ROWS].reshape(words.rows, BANDS, ROWS)
     for k in range(ROWS):
-        keys = mix64(keys + signed.reshape(words.rows, BANDS, ROWS)[:, :, k])
+        keys = mix64(keys + banded[:, :, k])
     keys = mix64(keys + np.arange(BANDS, dtype=np.uint64) * _STEP)
     return {
         "has": np.diff(begin) > 0, "node": node.view(np.int64), "n": np.diff(begin), "tag": substrings.row_tags(Words(texts, ALNUM)),
