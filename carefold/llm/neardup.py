@@ -134,9 +134,11 @@ def sketches(docs: DataFrame) -> DataFrame:
     return common.map_arrow(common.plain(docs, "doc_id", "text"), run, "doc_id long, tag int, node long, n int, keys array<long>, bits array<long>, marks binary")
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of nodes those whose shingle sets have a Jaccard similarity of at least ``SIMILARITY``."""
-    spark = docs.sparkSession
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, screened: bool = False) -> DataFrame:
+    """Of the pairs (a, b) of nodes those whose shingle sets have a Jaccard similarity of at least ``SIMILARITY``.
+
+    ``screened`` pairs have been held to their signatures already.
+    """
     marks = nodes.select("node", "n", "marks")
     likely = (
         pairs.join(marks.toDF("a", "n_a", "m_a"), "a").join(marks.toDF("b", "n_b", "m_b"), "b")
@@ -149,7 +151,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             keep = (left == right).mean(axis=1) >= LIKELY
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    asked = common.store(common.map_arrow(likely.select("a", "b", "m_a", "m_b"), screen, "a long, b long"), "likely-pairs")
+    asked = pairs if screened else common.store(common.map_arrow(likely.select("a", "b", "m_a", "m_b"), screen, "a long, b long"), "likely-pairs")
     needed = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
     texts = common.plain(docs, "doc_id", "text").join(needed.toDF("want", "rep"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "want")
 
@@ -262,7 +264,7 @@ def node_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
             both = open_.join(right, (F.col("key") == F.col("key_b")) & (F.col("label") < F.col("label_b")) & fits & once)
             pairs = ordered(both.select(F.col("node").alias("a"), F.col("lead").alias("b")))
         pairs = common.store(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        labels = merged(labels, similar(pairs, nodes, docs))
+        labels = merged(labels, similar(pairs, nodes, docs, screened=turn == "rest"))
         tried = tried.unionAll(pairs)
     return labels
 
