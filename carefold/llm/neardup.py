@@ -1,10 +1,11 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
 A text is the set of its 5-word shingles (letters and digits in lower case; a text of fewer words is one shingle), each with
-the weight 1 + ln(times it occurs). Texts with equal sets are one node from the start. A node's signature has ``SIZE``
+the weight 1 however often it occurs. Texts with equal sets are one node from the start. A node's signature has ``SIZE``
 components: every shingle sends arrivals of a Poisson process at its weight's rate, each to a random component, and stops
 once its next arrival is later than every component's earliest one; two signatures agree in a component with their
-probability Jaccard similarity. ``BANDS`` bands of ``ROWS`` components give buckets; a pair of similarity 0.8 shares one with
+probability Jaccard similarity, which for equal weights is the Jaccard similarity of the sets that links are defined by. So
+the signature is one of the node, whichever of its texts it is taken from. ``BANDS`` bands of ``ROWS`` components give buckets; a pair of similarity 0.8 shares one with
 a probability above 0.9999.
 
 Within buckets no pairs are formed at first. Each bucket has its most central node (largest sum of its buckets' sizes) for a
@@ -85,8 +86,9 @@ def signatures(elements: np.ndarray, weights: np.ndarray, rows: np.ndarray, n_ro
 def sketch(texts: pa.Array) -> dict[str, np.ndarray]:
     """Per text: node name, number of shingles, band keys and 8 bits of every component; only rows with a shingle."""
     words = Words(texts, ALNUM, lower=True)
-    found, times, rows = shingles(words)
-    signed = signatures(found, 1 + np.log(times), rows, words.rows)
+    found, _, rows = shingles(words)
+    # links are of sets: with weights by times, a text with a block repeated would miss its bands and screens
+    signed = signatures(found, np.ones(len(found)), rows, words.rows)
     begin = np.searchsorted(rows, np.arange(words.rows + 1))
     node = hash_groups(found, begin[:-1], begin[1:], 7)
     keys = np.zeros((words.rows, BANDS), np.uint64)

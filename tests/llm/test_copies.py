@@ -112,6 +112,26 @@ def test_one_of_each_class_stays(spark):
     assert neardup.keep_one(empty).collect() == [] and neardup.classes(empty).collect() == []
 
 
+def test_a_block_repeated_in_one_text_only_loses_no_link(spark):
+    draw, rows = random.Random(21), []
+    for times, edits in [(20, 0)] * 6 + [(5, 5)] * 6 + [(4, 6)] * 6:
+        words = prose(404, draw).split()
+        other = list(words)
+        for k in range(edits):
+            other[130 + 40 * k] = prose(1, draw)
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other[:120] * times + other[120:]))]
+    want = classes_by_hand(rows)
+    assert set(want.values()) == set(range(0, len(rows), 2))
+    assert {r.doc_id: r.class_id for r in neardup.classes(frame(spark, rows).repartition(5)).collect()} == want
+
+
+def test_texts_of_one_shingle_set_have_one_signature():
+    cycle = prose(9).split()
+    made = neardup.sketch(pa.array([" ".join(cycle * k) for k in (2, 3, 40)]))
+    assert len(set(made["node"].tolist())) == 1
+    assert all((made[k] == made[k][0]).all() for k in ("keys", "bits", "marks"))
+
+
 @pytest.mark.parametrize("overlap", [0.3, 0.6, 0.8, 0.95])
 def test_signatures_estimate_probability_jaccard(overlap):
     draw = np.random.default_rng(4)
