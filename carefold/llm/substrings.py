@@ -5,6 +5,10 @@ its words (letters and digits, ASCII letters in lower case) and digested to 128
 the occurrence of the smallest (doc_id, row, unit number) stays. Consecutive units of a document that are all repeats form
 a passage; passages of at least ``LEAST_WORDS`` words are removed. Offsets are code points of the original text.
 
+``repeated_lines`` has whole lines by the same digests, of ``LEAST_LINE_WORDS`` words or more: each but the first goes, however
+short. ``all_repeats`` has both, joined where they overlap; the pipeline cuts those. What goes has its words in a place
+before it, and the first such place stays.
+
 Null texts count as empty and hold no unit. A null doc_id ranks after all others. Rows with the same doc_id are told apart by
 a hash of their text; rows alike in both are one document and are treated alike. Repeats within a document count too. An
 empty table gives an empty result; other columns are ignored, or kept by ``remove``.
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from carefold.llm import common
 from carefold.llm.words import ALNUM, LOWER, Words, hash_groups, hash_spans
 
-LEAST_WORDS = 25
+LEAST_WORDS, LEAST_LINE_WORDS = 25, 3
 _STOPS = np.isin(np.arange(256), list(b".!?"))
 _WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _UNITS = "doc_id long, `row` int, unit int, begin int, end int, n_words int, h1 long, h2 long"
@@ -33,14 +37,15 @@ def row_tags(words: Words) -> np.ndarray:
     return (hash_spans(words.bytes, words.offsets[:-1], words.offsets[1:], 99) >> np.uint64(33)).astype(np.int32)
 
 
-def units_of(texts: pa.Array) -> dict[str, np.ndarray]:
-    """All units with a word: row of the slice, number, code point offsets, words, digest."""
+def units_of(texts: pa.Array, lines: bool = False) -> dict[str, np.ndarray]:
+    """All units, or whole lines, with a word: row of the slice, number, code point offsets, words, digest."""
     words = Words(texts, ALNUM)
     data = words.bytes
     if not len(words):
         return {k: np.zeros(0, np.int64) for k in ("at", "unit", "begin", "end", "n_words", "h1", "h2")}
     stop = data == 10
-    stop[:-1] |= _STOPS[data[:-1]] & _WHITE[data[1:]]
+    if not lines:
+        stop[:-1] |= _STOPS[data[:-1]] & _WHITE[data[1:]]
     stops = np.flatnonzero(stop)
     unit = np.searchsorted(stops, words.starts)
     new = np.flatnonzero(np.diff(unit, prepend=-1))
@@ -59,13 +64,13 @@ def units_of(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """One row for each unit of each text; the text does not leave the worker."""
+def units(docs: DataFrame, lines: bool = False) -> DataFrame:
+    """One row for each unit (or line) of each text; the text does not leave the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             texts = common.text_column(batch)
-            found = units_of(texts)
+            found = units_of(texts, lines)
             at = pa.array(found.pop("at"))
             tags = pa.array(row_tags(Words(texts, ALNUM)))
             whole = pa.table({"doc_id": batch.column(0).take(at), "row": tags.take(at)} | {k: pa.array(v if k[0] == "h" else v.astype(np.int32)) for k, v in found.items()})
@@ -74,27 +79,32 @@ def units(docs: DataFrame) -> DataFrame:
     return common.map_arrow(common.plain(docs, "doc_id", "text"), run, _UNITS)
 
 
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, row, begin, end and n_words of every removed passage, and first_doc_id, where its first unit stays.
+def repeats(found: DataFrame, name: str) -> DataFrame:
+    """The stored units that are not the first of their digest, each once, and first_doc_id, where that one stays.
 
     Grouping combines on the map side, so a unit of a third of all rows is one row per task; in the join back such a unit
-    is on the large side of a join that adaptive execution splits. Only repeated units go on to the windows, one document
-    each.
+    is on the large side of a join that adaptive execution splits.
     """
-    found = common.store(units(docs), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "unit")
     # stored, so that the join below has a shuffle of its own on both sides, which adaptive execution can split
     firsts = common.store(
         found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").select("h1", "h2", "first"), "repeated-units")
-    repeats = found.join(firsts, ["h1", "h2"]).filter(rank != F.col("first"))
+        .filter("n > 1").select("h1", "h2", "first"), name)
     # the rows of one document may be alike: each unit once
-    order = Window.partitionBy("doc_id", "row").orderBy("unit")
-    chained = (
-        repeats.select("doc_id", "row", "unit", "begin", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"))
+    return (
+        found.join(firsts, ["h1", "h2"]).filter(rank != F.col("first"))
+        .select("doc_id", "row", "unit", "begin", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"))
         .dropDuplicates(["doc_id", "row", "unit"])
-        .withColumn("run", F.col("unit") - F.row_number().over(order))
     )
+
+
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, row, begin, end and n_words of every removed passage, and first_doc_id, where its first unit stays.
+
+    Only repeated units go on to the windows, one document each.
+    """
+    order = Window.partitionBy("doc_id", "row").orderBy("unit")
+    chained = repeats(common.store(units(docs), "units"), "repeated-units").withColumn("run", F.col("unit") - F.row_number().over(order))
     return (
         chained.groupBy("doc_id", "row", "run")
         .agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min_by("first_doc_id", "unit").alias("first_doc_id"))
@@ -102,6 +112,22 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     )
 
 
+def repeated_lines(docs: DataFrame, least_words: int = LEAST_LINE_WORDS) -> DataFrame:
+    """doc_id, row, begin and end of every whole line that an earlier place holds already."""
+    lines = common.store(units(docs, lines=True).filter(F.col("n_words") >= least_words), "lines")
+    return repeats(lines, "repeated-lines").select("doc_id", "row", "begin", "end")
+
+
+def all_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, row, begin and end of what repeated passages and repeated lines cover together, without overlaps."""
+    both = repeated_passages(docs).select("doc_id", "row", "begin", "end").unionByName(repeated_lines(docs))
+    order = Window.partitionBy("doc_id", "row").orderBy("begin", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = F.coalesce((F.col("begin") > reached).cast("int"), F.lit(1))
+    grouped = both.withColumn("opened", opened).withColumn("part", F.sum("opened").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy("doc_id", "row", "part").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("part")
+
+
 def tagged(docs: DataFrame, name: str) -> DataFrame:
     """All columns of ``docs`` and the tag of the row's text, under a name of its own."""
     place = docs.columns.index("text")

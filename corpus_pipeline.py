@@ -26,8 +26,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that an earlier one holds; a text may become empty, the document stays."""
-    return substrings.remove(docs, substrings.repeated_passages(docs))
+    """All documents, without the passages and lines that an earlier one holds; a text may become empty, the document stays."""
+    return substrings.remove(docs, substrings.all_repeats(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -216,6 +216,36 @@ def test_removed_passages_leave_the_rest(spark):
     assert substrings.repeated_passages(docs.limit(0)).collect() == []
 
 
+def test_the_pipeline_cuts_whole_lines_of_any_length(spark):
+    import corpus_pipeline
+
+    draw = random.Random(13)
+    license_, footer, header = prose(9, draw), "All rights reserved. See below.", prose(14, draw) + ". " + prose(4, draw)
+    rows = passage_rows()
+    rows += [(100 + k, f"{header}\n{prose(12, draw)}\n{draw.choice([license_, license_.upper()])}\n{prose(11, draw)} {license_}\nok then\n{footer}") for k in range(20)]
+    rows += [(200, header.replace(". ", " ")), (201, None), (999, footer + "\n" + license_)]
+    covered = defaultdict(set)
+    for doc, begin, end, *_ in passages_by_hand(rows):
+        covered[doc].update(range(begin, end))
+    seen = set()
+    for doc, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        place = 0
+        for line in (text or "").split("\n"):
+            words = tuple(w.lower() if w.isascii() else w for w in re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", line))
+            if len(words) >= substrings.LEAST_LINE_WORDS:
+                if words in seen:
+                    covered[doc].update(range(place + re.search(r"[A-Za-z0-9\u0080-\U0010ffff]", line).start(), place + len(line)))
+                seen.add(words)
+            place += len(line) + 1
+    left = corpus_pipeline.cut_repeated_passages(spark, frame(spark, rows).repartition(5), "").collect()
+    want = [(d, None if t is None else "".join(c for i, c in enumerate(t) if i not in covered[d])) for d, t in rows]
+    assert Counter((r.doc_id, r.text) for r in left) == Counter(want)
+    # the first of each stays, the others are gone; a line inside another one stays
+    first = next(r.text for r in left if r.doc_id == 100)
+    assert header in first and footer in first and license_.lower() in first.lower()
+    assert not any(footer in r.text or header in r.text for r in left if r.doc_id in range(101, 120))
+
+
 # --- test items --------------------------------------------------------------------------------------------------------
 
 
