@@ -1,11 +1,12 @@
 """Languages of a text as a mixture: expectation-maximisation over n-gram likelihoods, a set chosen by penalised likelihood.
 
-Every language learned has a distribution over hashed byte trigrams of lower-case letters. For each document the
-proportions of the languages are estimated by expectation-maximisation; then languages are taken into the set one by one,
-the most useful first, as long as each raises the log-likelihood by more than ``PENALTY`` times the log of the number of
-trigrams. The prediction is the language with the largest proportion of the chosen set, the score that proportion.
+Every language learned has a distribution over hashed byte trigrams of lower-case letters. A document's set begins with the
+language that explains the whole text best alone. Then languages are taken in one by one: of all that are learned and not in
+the set yet, the one that gains most at a small share; the proportions of the set are estimated anew by
+expectation-maximisation. This ends when the log-likelihood does not rise by more than ``PENALTY`` times the log of the number
+of trigrams. The prediction is the language with the largest proportion of the chosen set, the score that proportion.
 
-Fitted on at most ``PER_LANGUAGE`` documents of each language of the learning folds. Null texts and texts without a letter
+Fitted on at most ``PER_LANGUAGE`` documents of each language of the learning folds, all languages that there are. Null texts and texts without a letter
 are ``und`` with score 0; with nothing learned every text is. Ties go to the language first by name. Repeated rows are
 predicted alike, an empty table gives an empty table, other columns are ignored.
 """
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from carefold.llm import common, features
 
-PER_LANGUAGE, LANGUAGES, BINS = 400, 512, 4096
-STEPS, CANDIDATES, PENALTY = 12, 6, 2.0
+PER_LANGUAGE, BINS = 400, 4096
+STEPS, PENALTY = 12, 2.0
+#: Languages whose sample is taken, and languages whose gains are worked out, at once.
+FIT_BLOCK, GAIN_BLOCK = 128, 64
 UNKNOWN = "und"
 
 
@@ -52,18 +55,18 @@ class Model:
         used = np.flatnonzero(row)
         n, logs = row[used].astype(np.float64), self.logs[:, used].astype(np.float64)
         alone = logs @ n
-        order = np.argsort(-alone, kind="stable")[:CANDIDATES]
+        order = np.argsort(-alone, kind="stable")
         chosen, best, shares = [int(order[0])], float(alone[order[0]]), np.ones(1)
         floor = logs.max(axis=0)
         chance = np.exp(logs - floor)
         base = float(floor @ n)
         price = PENALTY * np.log(max(n.sum(), 2.0))
-        rest = [int(k) for k in order[1:]]
-        while rest:
+        rest = order[1:]
+        while len(rest):
             # the language that gains most at a small share is tried next
-            mixed = shares @ chance[chosen]
-            gains = [(float((np.log(0.9 * mixed + 0.1 * chance[k]) * n).sum()), -i, k) for i, k in enumerate(rest)]
-            pick = max(gains)[2]
+            mixed = 0.9 * (shares @ chance[chosen])
+            gains = np.concatenate([np.log(mixed + 0.1 * chance[rest[k : k + GAIN_BLOCK]]) @ n for k in range(0, len(rest), GAIN_BLOCK)])
+            pick = int(rest[np.argmax(gains)])
             trial = [*chosen, pick]
             p = np.append(shares * 0.9, 0.1)
             for _ in range(STEPS):
@@ -73,7 +76,7 @@ class Model:
             if value - best <= price:
                 break
             chosen, shares, best = trial, p, value
-            rest.remove(pick)
+            rest = rest[rest != pick]
         return chosen, shares
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, list[dict[str, float]]]:
@@ -97,10 +100,17 @@ class Model:
 def fit(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int = PER_LANGUAGE) -> Model:
     """Sums the trigrams of a bounded sample per language in Spark; the driver gets one row of ``BINS`` sums a language."""
     learn = docs.select("doc_id", "lang").filter((common.fold(F.col("doc_id"), modulus) != held) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    # the most frequent languages: a bound for the model, far above the number of written languages with large corpora
-    known = {r.lang: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    known = sorted((r.lang, r["count"]) for r in learn.groupBy("lang").count().collect())
     if not known:
         return Model([], np.zeros((0, BINS), np.float32))
+    totals: dict[str, np.ndarray] = {}
+    for begin in range(0, len(known), FIT_BLOCK):
+        totals |= _sums(docs, learn, dict(known[begin : begin + FIT_BLOCK]), per_language)
+    return Model.fit(totals)
+
+
+def _sums(docs: DataFrame, learn: DataFrame, known: dict[str, int], per_language: int) -> dict[str, np.ndarray]:
+    """The summed trigrams of the samples of the languages in ``known``, given with their numbers of rows."""
     # each language is cut to its lowest hashes first, so that one with most rows gives few to its window
     key = F.xxhash64(F.col("doc_id"), F.lit(3))
     low = None
@@ -130,7 +140,7 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int = PE
     )
     for r in summed.toLocalIterator():
         totals.setdefault(r.learned, np.zeros(BINS))[r.bin] = round(r.n, 6)
-    return Model.fit(totals)
+    return totals
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

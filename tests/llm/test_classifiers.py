@@ -212,3 +212,29 @@ def test_the_mixture_raises_the_likelihood():
     chosen, shares = model.mixture(row)
     assert sorted(chosen) == [0, 2, 3] and abs(shares.sum() - 1) < 1e-9
     assert np.abs(np.array([shares[chosen.index(k)] for k in (0, 2, 3)]) - [0.5, 0.3, 0.2]).max() < 0.05
+
+
+def test_a_language_behind_many_related_ones_is_found():
+    draw = np.random.default_rng(5)
+    shared, own = np.zeros(language.BINS), np.zeros(language.BINS)
+    shared[:300], own[2000:2300] = draw.gamma(0.5, size=300), draw.gamma(0.5, size=300)
+    related = [shared * draw.uniform(0.3, 1.7, language.BINS) for _ in range(12)]
+    model = language.Model.fit({f"r{k:02}": v / v.sum() * 1e5 for k, v in enumerate(related)} | {"alone": own / own.sum() * 1e5})
+    chance = np.exp(model.logs.astype(float))
+    at = {n: k for k, n in enumerate(model.names)}
+    row = draw.multinomial(6000, (m := 0.45 * chance[at["alone"]] + 0.3 * chance[at["r03"]] + 0.25 * chance[at["r07"]]) / m.sum()).astype(np.float32)
+    chosen, shares = model.mixture(row)
+    found = {model.names[k]: s for k, s in zip(chosen, shares, strict=True)}
+    assert max(found, key=found.get) == "alone" and abs(found["alone"] - 0.45) < 0.03
+    assert {"r03", "r07"} <= set(found)
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(language, "FIT_BLOCK", 3, raising=False)
+    monkeypatch.setattr(language, "LANGUAGES", 4, raising=False)
+    draw = random.Random(17)
+    texts = {f"l{k:02}": ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(10)}
+    rows = [(k, prose(30, draw, texts[n]), n) for k, n in enumerate(list(texts) * 16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert language.fit(docs).names == list(texts)
+    assert {r.doc_id: r.lang_pred for r in language.classify(docs).collect()} == {k: n for k, _, n in rows}
