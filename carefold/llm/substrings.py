@@ -6,7 +6,8 @@ the occurrence of the smallest (doc_id, row, unit number) stays. Consecutive uni
 a passage; passages of at least ``LEAST_WORDS`` words are removed. Offsets are code points of the original text.
 
 ``repeated_lines`` has whole lines by the same digests, of ``LEAST_LINE_WORDS`` words or more: each but the first goes, however
-short. ``all_repeats`` has both, joined where they overlap; the pipeline cuts those. What goes has its words in a place
+short. ``all_repeats`` has both, joined where they overlap, and the pipeline cuts those; its sentences also end where marks or
+symbols stand between the stop and the white space, and its runs have ``LEAST_RUN_WORDS`` words. What goes has its words in a place
 before it, and the first such place stays.
 
 Null texts count as empty and hold no unit. A null doc_id ranks after all others. Rows with the same doc_id are told apart by
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from carefold.llm import common
 from carefold.llm.words import ALNUM, LOWER, Words, hash_groups, hash_spans
 
-LEAST_WORDS, LEAST_LINE_WORDS = 25, 3
+LEAST_WORDS, LEAST_LINE_WORDS, LEAST_RUN_WORDS = 25, 3, 8
 _STOPS = np.isin(np.arange(256), list(b".!?"))
 _WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _UNITS = "doc_id long, `row` int, unit int, begin int, end int, n_words int, h1 long, h2 long"
@@ -37,15 +38,23 @@ def row_tags(words: Words) -> np.ndarray:
     return (hash_spans(words.bytes, words.offsets[:-1], words.offsets[1:], 99) >> np.uint64(33)).astype(np.int32)
 
 
-def units_of(texts: pa.Array, lines: bool = False) -> dict[str, np.ndarray]:
-    """All units, or whole lines, with a word: row of the slice, number, code point offsets, words, digest."""
+def units_of(texts: pa.Array, lines: bool = False, marks: bool = False) -> dict[str, np.ndarray]:
+    """All units, or whole lines, with a word: row of the slice, number, code point offsets, words, digest.
+
+    With ``marks`` a unit also ends at white space after a stop and ASCII marks.
+    """
     words = Words(texts, ALNUM)
     data = words.bytes
     if not len(words):
         return {k: np.zeros(0, np.int64) for k in ("at", "unit", "begin", "end", "n_words", "h1", "h2")}
     stop = data == 10
     if not lines:
-        stop[:-1] |= _STOPS[data[:-1]] & _WHITE[data[1:]]
+        ends = _STOPS[data]
+        if marks:
+            place = np.arange(len(data))
+            other = np.maximum.accumulate(np.where(ALNUM[data] | _WHITE[data], place, -1))
+            ends = np.maximum.accumulate(np.where(ends, place, -1)) > other
+        stop[:-1] |= ends[:-1] & _WHITE[data[1:]]
     stops = np.flatnonzero(stop)
     unit = np.searchsorted(stops, words.starts)
     new = np.flatnonzero(np.diff(unit, prepend=-1))
@@ -64,13 +73,13 @@ def units_of(texts: pa.Array, lines: bool = False) -> dict[str, np.ndarray]:
     }
 
 
-def units(docs: DataFrame, lines: bool = False) -> DataFrame:
+def units(docs: DataFrame, lines: bool = False, marks: bool = False) -> DataFrame:
     """One row for each unit (or line) of each text; the text does not leave the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             texts = common.text_column(batch)
-            found = units_of(texts, lines)
+            found = units_of(texts, lines, marks)
             at = pa.array(found.pop("at"))
             tags = pa.array(row_tags(Words(texts, ALNUM)))
             whole = pa.table({"doc_id": batch.column(0).take(at), "row": tags.take(at)} | {k: pa.array(v if k[0] == "h" else v.astype(np.int32)) for k, v in found.items()})
@@ -98,13 +107,13 @@ def repeats(found: DataFrame, name: str) -> DataFrame:
     )
 
 
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, marks: bool = False) -> DataFrame:
     """doc_id, row, begin, end and n_words of every removed passage, and first_doc_id, where its first unit stays.
 
     Only repeated units go on to the windows, one document each.
     """
     order = Window.partitionBy("doc_id", "row").orderBy("unit")
-    chained = repeats(common.store(units(docs), "units"), "repeated-units").withColumn("run", F.col("unit") - F.row_number().over(order))
+    chained = repeats(common.store(units(docs, marks=marks), "units"), "repeated-units").withColumn("run", F.col("unit") - F.row_number().over(order))
     return (
         chained.groupBy("doc_id", "row", "run")
         .agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min_by("first_doc_id", "unit").alias("first_doc_id"))
@@ -120,7 +129,7 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_LINE_WORDS) -> Data
 
 def all_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, row, begin and end of what repeated passages and repeated lines cover together, without overlaps."""
-    both = repeated_passages(docs).select("doc_id", "row", "begin", "end").unionByName(repeated_lines(docs))
+    both = repeated_passages(docs, LEAST_RUN_WORDS, marks=True).select("doc_id", "row", "begin", "end").unionByName(repeated_lines(docs))
     order = Window.partitionBy("doc_id", "row").orderBy("begin", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = F.coalesce((F.col("begin") > reached).cast("int"), F.lit(1))

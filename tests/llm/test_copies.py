@@ -225,7 +225,7 @@ def test_the_pipeline_cuts_whole_lines_of_any_length(spark):
     rows += [(100 + k, f"{header}\n{prose(12, draw)}\n{draw.choice([license_, license_.upper()])}\n{prose(11, draw)} {license_}\nok then\n{footer}") for k in range(20)]
     rows += [(200, header.replace(". ", " ")), (201, None), (999, footer + "\n" + license_)]
     covered = defaultdict(set)
-    for doc, begin, end, *_ in passages_by_hand(rows):
+    for doc, begin, end, *_ in passages_by_hand(rows, substrings.LEAST_RUN_WORDS):
         covered[doc].update(range(begin, end))
     seen = set()
     for doc, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
@@ -246,6 +246,18 @@ def test_the_pipeline_cuts_whole_lines_of_any_length(spark):
     assert not any(footer in r.text or header in r.text for r in left if r.doc_id in range(101, 120))
 
 
+def test_closing_marks_end_a_sentence_and_short_runs_go(spark):
+    draw = random.Random(23)
+    inner, tail = prose(10, draw), prose(9, draw)
+    rows = [(k, f'{prose(12, draw)}{stop} {inner}{stop} {prose(13, draw)}. {tail}.) {prose(7, draw)}') for k, stop in enumerate([".", '."', ".)", "!***", "?'", ".***"])]
+    cuts = {k: set() for k, _ in rows}
+    for r in substrings.all_repeats(frame(spark, rows)).collect():
+        cuts[r.doc_id].update(range(r.begin, r.end))
+    for k, text in rows:
+        gone = "".join(c for i, c in enumerate(text) if i in cuts[k])
+        assert re.findall(r"[a-z]+", gone) == ([] if k == 0 else (inner + " " + tail).split())
+
+
 # --- test items --------------------------------------------------------------------------------------------------------
 
 
