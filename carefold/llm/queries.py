@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carefold.llm import bitplanes, bpe, chat, common, decontaminate, language, neardup, quality, rules, substrings, toxicity
+from carefold.llm import (
+    bitplanes, bpe, centroids, chat, common, decontaminate, fim, language, neardup, packing, quality, rules, substrings, toxicity,
+)
 from carefold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +129,63 @@ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, sym.b FROM r JOIN sym ON sym.a = r.reach)
 SELECT doc_id, min(reach) AS class_id FROM r GROUP BY doc_id"""
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_fill_in_middle"] = f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+    sha256('{fim.SALT}' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT *, len(units) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS b,
+  CASE WHEN text = '' OR contains(text, '{fim.PREFIX}') OR contains(text, '{fim.SUFFIX}') OR contains(text, '{fim.MIDDLE}')
+      OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= {fim.RATE} THEN 'plain'
+    WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < {fim.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM texts),
+parts AS (SELECT *, array_to_string(units[1:least(a, b)], '') AS prefix, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle,
+  array_to_string(units[greatest(a, b) + 1:], '') AS suffix FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{fim.PREFIX}' || prefix || '{fim.SUFFIX}' || suffix || '{fim.MIDDLE}' || middle
+    ELSE '{fim.SUFFIX}' || suffix || '{fim.PREFIX}' || prefix || '{fim.MIDDLE}' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts"""
+
+
+@query
+def op12_simplex_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.classify(table(spark, sf_dir, "embeddings"))
+
+
+def _centroid_sql() -> str:
+    """Every distance of every round, with lists of integers."""
+    rounds = ""
+    for k in range(centroids.ROUNDS + 1):
+        rounds += f""",
+d{k} AS (SELECT r, vec_id, v, c, list_sum(list_transform(range(1, {centroids.DIMENSIONS + 1}), lambda i: (v[i] - m[i]) * (v[i] - m[i]))) AS distance FROM kept, c{k}),
+a{k} AS (SELECT * FROM d{k} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, c) = 1)"""
+        if k < centroids.ROUNDS:
+            rounds += f""",
+s{k} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{k}, range(1, {centroids.DIMENSIONS + 1}) t(i) GROUP BY c, i),
+m{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM s{k} GROUP BY c),
+c{k + 1} AS (SELECT c{k}.c, coalesce(m{k}.m, c{k}.m) AS m FROM c{k} LEFT JOIN m{k} ON m{k}.c = c{k}.c)"""
+    last = centroids.ROUNDS
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m
+  FROM (SELECT v, sha256('{centroids.SALT}' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM kept ORDER BY h, v LIMIT {centroids.CLUSTERS})){rounds}
+SELECT vec_id, CAST(a{last}.c AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+  CAST(sum(distance) OVER (PARTITION BY a{last}.c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c{last}.m, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} ON a{last}.c = c{last}.c"""
+
+
+SQL["op12_simplex_centroids"] = _centroid_sql()
+
+
+@query
+def op13_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(table(spark, sf_dir, "documents"))
