@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 from carefold.llm import common
-from carefold.llm.words import hash_spans
+from carefold.llm.words import digest_spans
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Matches of the pattern that a worker remembers in each of two generations.
@@ -97,7 +97,7 @@ def build_tokenizer(ranks: dict[bytes, int], pattern: str = public_tokenizers.PA
 class PieceCache:
     """Ids of pieces already seen, in flat arrays: a slot per hash, overwritten by later pieces of the same slot.
 
-    A hit needs the same 64-bit hash, the same length and the same first 8 bytes.
+    A hit needs the same 128-bit digest and the same length.
     """
 
     def __init__(self, bits: int = CACHE_BITS):
@@ -107,7 +107,7 @@ class PieceCache:
 
     def clear(self) -> None:
         slots = int(self.mask) + 1
-        self.hash, self.head = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.hash, self.second = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
         self.size = np.full(slots, -1, np.int32)
         self.begin, self.count = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
@@ -116,16 +116,11 @@ class PieceCache:
         ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
         data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[: ends[-1]]
         starts, ends = ends[:-1], ends[1:]
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        head = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[starts]
-        size = ends - starts
-        head &= ~np.uint64(0) >> (np.uint64(8) * (8 - size.clip(1, 8)).astype(np.uint64))
-        head[size == 0] = 0
-        return hash_spans(data, starts, ends), head, size.astype(np.int32)
+        return digest_spans(data, starts, ends, 1), digest_spans(data, starts, ends, 2), (ends - starts).astype(np.int32)
 
     def missing(self, keys: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         slot = keys[0] & self.mask
-        return np.flatnonzero((self.hash[slot] != keys[0]) | (self.head[slot] != keys[1]) | (self.size[slot] != keys[2]))
+        return np.flatnonzero((self.hash[slot] != keys[0]) | (self.second[slot] != keys[1]) | (self.size[slot] != keys[2]))
 
     def put(self, keys: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, counts: np.ndarray) -> None:
         if self.used + len(ids) > self.limit:
@@ -137,7 +132,7 @@ class PieceCache:
         # of several pieces for one slot the last stays, in every array alike
         slot, last = np.unique(slot[::-1], return_index=True)
         last = len(keys[0]) - 1 - last
-        self.hash[slot], self.head[slot], self.size[slot] = keys[0][last], keys[1][last], keys[2][last]
+        self.hash[slot], self.second[slot], self.size[slot] = keys[0][last], keys[1][last], keys[2][last]
         self.begin[slot] = self.used + (np.cumsum(counts) - counts)[last]
         self.count[slot] = counts[last]
         self.used += len(ids)

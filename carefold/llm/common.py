@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,13 +30,41 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Lists the folders that are stored inside the block, so that its caller can delete them when they are read no more."""
+    _RECORDS.append([])
+    try:
+        yield _RECORDS[-1]
+    finally:
+        _RECORDS.pop()
+
+
+def delete_unread(folders: list[str], docs: DataFrame) -> list[str]:
+    """Deletes folders that ``docs`` does not read from; gives those that are left."""
+    read = [f.split(":", 1)[-1].lstrip("/") for f in docs.inputFiles()]
+    left = []
+    for folder in folders:
+        if any(f.startswith(folder.split(":", 1)[-1].lstrip("/") + "/") for f in read):
+            left.append(folder)
+            continue
+        path = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    return left
+
+
+def store(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again.
 
     This cuts the lineage without a local copy: a lost executor costs only the tasks it held.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
+    for folders in _RECORDS:
+        folders.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

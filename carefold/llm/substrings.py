@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carefold.llm import common
-from carefold.llm.words import ALNUM, LOWER, Words, hash_groups, hash_spans
+from carefold.llm.words import ALNUM, LOWER, Words, digest_groups, digest_spans
 
 LEAST_WORDS, LEAST_LINE_WORDS, LEAST_RUN_WORDS = 25, 3, 8
 _STOPS = np.isin(np.arange(256), list(b".!?"))
@@ -35,7 +35,7 @@ _UNITS = "doc_id long, `row` int, unit int, begin int, end int, n_words int, h1
 
 def row_tags(words: Words) -> np.ndarray:
     """32 bits of a hash of each whole text."""
-    return (hash_spans(words.bytes, words.offsets[:-1], words.offsets[1:], 99) >> np.uint64(33)).astype(np.int32)
+    return (digest_spans(words.bytes, words.offsets[:-1], words.offsets[1:], 99) >> np.uint64(33)).astype(np.int32)
 
 
 def units_of(texts: pa.Array, lines: bool = False, marks: bool = False) -> dict[str, np.ndarray]:
@@ -59,7 +59,8 @@ def units_of(texts: pa.Array, lines: bool = False, marks: bool = False) -> dict[
     unit = np.searchsorted(stops, words.starts)
     new = np.flatnonzero(np.diff(unit, prepend=-1))
     after = np.append(new[1:], len(words))
-    values = hash_spans(LOWER[data], words.starts, words.ends)
+    lowered = LOWER[data]
+    h1, h2 = (digest_groups(digest_spans(lowered, words.starts, words.ends, salt), new, after, salt).view(np.int64) for salt in (1, 2))
     at = words.doc[new]
     first = np.searchsorted(at, np.arange(words.rows))
     # a unit runs from its first word to its stop, a line break not included
@@ -69,7 +70,7 @@ def units_of(texts: pa.Array, lines: bool = False, marks: bool = False) -> dict[
     base = points[words.offsets[:-1]][at]
     return {
         "at": at, "unit": np.arange(len(new)) - first[at], "begin": points[words.starts[new]] - base, "end": points[last] - base,
-        "n_words": after - new, "h1": hash_groups(values, new, after, 1).view(np.int64), "h2": hash_groups(values, new, after, 2).view(np.int64),
+        "n_words": after - new, "h1": h1, "h2": h2,
     }
 
 
@@ -113,7 +114,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, marks: bo
     Only repeated units go on to the windows, one document each.
     """
     order = Window.partitionBy("doc_id", "row").orderBy("unit")
-    chained = repeats(common.store(units(docs, marks=marks), "units"), "repeated-units").withColumn("run", F.col("unit") - F.row_number().over(order))
+    chained = repeats(common.store(units(docs, marks=marks), "units", "zstd"), "repeated-units").withColumn("run", F.col("unit") - F.row_number().over(order))
     return (
         chained.groupBy("doc_id", "row", "run")
         .agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min_by("first_doc_id", "unit").alias("first_doc_id"))
@@ -123,7 +124,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, marks: bo
 
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_LINE_WORDS) -> DataFrame:
     """doc_id, row, begin and end of every whole line that an earlier place holds already."""
-    lines = common.store(units(docs, lines=True).filter(F.col("n_words") >= least_words), "lines")
+    lines = common.store(units(docs, lines=True).filter(F.col("n_words") >= least_words), "lines", "zstd")
     return repeats(lines, "repeated-lines").select("doc_id", "row", "begin", "end")
 
 

@@ -44,7 +44,11 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; the spans begin in ascending order. Worked on by segments of about 1 MB."""
+    """A 64-bit hash of each span of bytes; the spans begin in ascending order. Worked on by segments of about 1 MB.
+
+    A polynomial over bytes: good for features and candidates, which are counted or checked again. Texts built for it collide;
+    what is taken for equal by its hash alone goes by ``digest_spans`` and ``digest_groups``.
+    """
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -60,6 +64,43 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int
     return mix64(out + np.uint64(salt))
 
 
+def _summed(mixed: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums modulo 2^64 of consecutive groups of so many values; a group may be empty."""
+    out = np.zeros(len(counts), np.uint64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        out[some] = np.add.reduceat(mixed, (np.cumsum(counts) - counts)[some])
+    return out
+
+
+def digest_groups(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits of each group values[begin:end]: every value is mixed with its place and the salt before it is added.
+
+    Unlike a polynomial over the values, no order of two of them collides by its form, and groups equal under one salt
+    need not be so under another: two salts give 128 bits.
+    """
+    counts = (ends - begins).astype(np.int64)
+    places = _places(begins, counts)
+    inside = (places - np.repeat(begins, counts)).astype(np.uint64)
+    mixed = mix64(mix64(inside * np.uint64(_BASE) + np.uint64((salt * 0xD6E8FEB86659FD93 + 1) & 0xFFFFFFFFFFFFFFFF)) ^ values[places].astype(np.uint64))
+    return mix64(_summed(mixed, counts) + counts.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def digest_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits of each span of bytes, from blocks of 8 bytes, the last one filled with zeros, and the length."""
+    sizes = (ends - starts).astype(np.int64)
+    counts = (sizes + 7) >> 3
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    view = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    blocks = view[np.repeat(starts, counts) + 8 * inside]
+    last = (np.cumsum(counts) - 1)[sizes > 0]
+    blocks[last] &= ~np.uint64(0) >> (np.uint64(8) * ((-sizes[sizes > 0]) % 8).astype(np.uint64))
+    seed = np.uint64((salt * 0xD6E8FEB86659FD93 + 1) & 0xFFFFFFFFFFFFFFFF)
+    mixed = mix64(mix64(inside.astype(np.uint64) * np.uint64(_BASE) + seed) ^ blocks)
+    return mix64(_summed(mixed, counts) + sizes.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+
+
 class Words:
     """The words of a slice: ``starts``, ``ends`` (bytes), ``doc`` (row) and ``first`` (first word of each row, n+1)."""
 

@@ -336,3 +336,12 @@ def test_packed_signatures_count_what_differs(spark):
     got = spark.createDataFrame(rows, "k long, a array<long>, b array<long>").select("k", neardup.differing(F.col("a"), F.col("b")).alias("n")).collect()
     want = ((left & np.uint64(15)) != (right & np.uint64(15))).sum(axis=1)
     assert {r.k: r.n for r in got} == dict(enumerate(want.tolist()))
+
+
+def test_sentences_that_collide_in_a_polynomial_are_not_repeats(spark):
+    ones = [bin(k).count("1") % 2 for k in range(1024)]
+    texts = [" ".join("yes" if x == side else "no" for x in ones) + "." for side in (0, 1)]
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[1])], "doc_id long, text string")
+    assert substrings.repeated_passages(docs).collect() == [] and substrings.all_repeats(docs).collect() == []
+    assert {r.text for r in substrings.remove(docs, substrings.all_repeats(docs)).collect()} == set(texts)
+    assert substrings.row_tags(substrings.Words(pa.array(texts), substrings.ALNUM)).tolist()[0] != substrings.row_tags(substrings.Words(pa.array(texts[1:]), substrings.ALNUM)).tolist()[0]

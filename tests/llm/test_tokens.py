@@ -126,3 +126,35 @@ def test_round_trip_in_order(spark):
     for key, made in want.items():
         assert sorted((r.n_tokens, r.ids_crc32) for r in got if r.doc_id == key) == sorted(made)
     assert bitplanes.round_trip(docs.limit(0)).collect() == []
+
+
+def thue_morse(a, b, bits):
+    """A sequence and its complement, which polynomials modulo a power of two cannot tell apart."""
+    ones = [bin(k).count("1") % 2 for k in range(1 << bits)]
+    return [b if x else a for x in ones], [a if x else b for x in ones]
+
+
+def test_sequences_that_collide_in_a_polynomial_have_ids_of_their_own():
+    for head in ("", "same head"):
+        first, second = ("".join(x) for x in thue_morse("a", "b", 11))
+        for path, reference in ((bpe.RANKS, REFERENCE.encode_ordinary), (bitplanes.TOKENIZER, lambda t: WHOLE.encode(t, add_special_tokens=False).ids)):
+            encoder = bpe.Encoder(bpe.build_tokenizer(bpe.load_ranks())) if path == bpe.RANKS else bpe.Encoder(Tokenizer.from_file(path), own_split=True)
+            for text in (first, second):
+                assert lists(encoder, [f"x {head}{text}"]) == [reference(f"x {head}{text}")]
+
+
+def test_digests_tell_orders_lengths_and_salts_apart():
+    from carefold.llm.words import digest_groups, digest_spans
+
+    first, second = thue_morse(3, 5, 10)
+    values = np.array(first + second, np.uint64)
+    begins, ends = np.array([0, 1024]), np.array([1024, 2048])
+    for salt in (1, 2):
+        a, b = digest_groups(values, begins, ends, salt)
+        assert a != b
+    data = np.frombuffer(b"aaaaaaaabbbbbbbb" + b"bbbbbbbbaaaaaaaa" + b"ab\0" + b"ab" + b"", np.uint8)
+    starts, stops = np.array([0, 16, 32, 35, 37]), np.array([16, 32, 35, 37, 37])
+    assert len(set(digest_spans(data, starts, stops, 1).tolist() + digest_spans(data, starts, stops, 2).tolist())) == 9  # the empty span has one digest
+    again = np.frombuffer(b"zab", np.uint8)
+    assert digest_spans(again, np.array([1]), np.array([3]), 1)[0] == digest_spans(data, starts, stops, 1)[3]
+    assert digest_spans(data, starts[:0], stops[:0], 1).tolist() == []
