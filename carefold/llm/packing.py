@@ -18,26 +18,33 @@ of their own; an empty table gives no pieces; other columns are left out.
 
 from __future__ import annotations
 
+import json
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from carefold.llm import common
+from carefold.llm.bpe import PieceCache
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 CAPACITY = 4096
 #: Rows of a bucket at most, on average, and buckets at least.
 BUCKET_ROWS, LEAST_BUCKETS = 1 << 18, 1024
-#: Words whose ids a worker remembers in each of two generations.
-CACHED_WORDS = 200_000
+#: Matches whose ids a worker remembers in each of two generations.
+CACHED_MATCHES = 150_000
+#: Whether a piece holds only characters whose normal form, lower case and kind are the same everywhere.
+PLAIN = regex.compile(r"[!-~\u00c0-\u024f]*").fullmatch
 
 _LOADED: dict[str, "WordEncoder"] = {}
 
@@ -45,8 +52,9 @@ _LOADED: dict[str, "WordEncoder"] = {}
 class WordEncoder:
     """Ids of whole texts from a tokenizer that drops white space and never joins words over it.
 
-    Texts are cut at spaces, tabs and line ends by Arrow; every piece goes through the library (normaliser, split, merges)
-    once and is then found by its own text.
+    Texts are cut at spaces, tabs and line ends by Arrow, and a piece is worked on when it is not remembered. A piece of
+    printable ASCII and Latin letters is lower-cased and split here, as its normal form is itself, and only its new matches go
+    through the library's merges; any other piece goes through the whole library.
     """
 
     def __init__(self, path: str):
@@ -54,8 +62,15 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.young: dict[str, np.ndarray] = {"": np.zeros(0, "<u4")}
-        self.old: dict[str, np.ndarray] = {}
+        with open(path, encoding="utf-8") as file:
+            split = json.load(file)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.find = regex.compile(split).findall
+        #: The same merges for strings that are one match already.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pieces = PieceCache()
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -63,22 +78,28 @@ class WordEncoder:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def _words(self, words: list[str]) -> list[np.ndarray]:
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row and their counts."""
+        split = [self.find(p.lower()) if PLAIN(p) else None for p in pieces]
         known, new = {}, []
-        for word in words:
-            ids = self.young.get(word)
-            if ids is None and (ids := self.old.get(word)) is None:
-                new.append(word)
+        for match in set(chain.from_iterable(m for m in split if m is not None)):
+            ids = self.young.get(match)
+            if ids is None and (ids := self.old.get(match)) is None:
+                new.append(match)
             else:
-                known[word] = ids
+                known[match] = ids
         for at in range(0, len(new), 8192):
             part = new[at : at + 8192]
-            for word, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(made.ids, "<u4")
+            for match, made in zip(part, self.merges.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[match] = array("I", made.ids).tobytes()
         self.young.update(known)
-        if len(self.young) > CACHED_WORDS:
+        if len(self.young) > CACHED_MATCHES:
             self.old, self.young = self.young, {}
-        return [known[w] for w in words]
+        out = [
+            array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes() if found is None else b"".join([known[m] for m in found])
+            for p, found in zip(pieces, split, strict=True)
+        ]
+        return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has."""
@@ -88,11 +109,17 @@ class WordEncoder:
             texts = pc.replace_substring(texts, mark, " ")
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
-        index = coded.indices.to_numpy()
-        ids = self._words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        begins = np.cumsum(sizes) - sizes
-        pool = np.concatenate(ids)
+        index, names, cache = coded.indices.to_numpy(), coded.dictionary, self.pieces
+        keys = cache.keys(names)
+        missing = cache.missing(keys)
+        new_ids, new_counts = self._new(names.take(pa.array(missing)).to_pylist())
+        slot = keys[0] & cache.mask
+        # the ids of new pieces lie behind those remembered
+        begins, sizes = cache.begin[slot].astype(np.int64), cache.count[slot].astype(np.int64)
+        begins[missing] = cache.used + np.cumsum(new_counts) - new_counts
+        sizes[missing] = new_counts
+        pool = np.concatenate([cache.ids[: cache.used], new_ids])
+        cache.put(tuple(k[missing] for k in keys), new_ids, new_counts)
         counts = sizes[index]
         ends = np.cumsum(counts)
         places = np.repeat(begins[index] - (ends - counts), counts)
@@ -278,7 +305,7 @@ def pack(df: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, en
 
     :func:`sequences` puts the pieces of a sequence together.
     """
-    stored = common.store(tokens(df, tokenizer, end_id), "packing-ids")
+    stored = common.store(tokens(df, tokenizer, end_id), "packing-ids", "zstd")
     buckets = max(LEAST_BUCKETS, -(-stored.count() // BUCKET_ROWS))
     counts, rows = ranked(stored, capacity, buckets)
     counts = common.store(counts, "packing-counts")
