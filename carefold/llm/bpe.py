@@ -35,7 +35,8 @@ CACHE_BITS = 21
 _WS = r"[\s\v\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]"
 #: A space with other white space, or an end of the text, on both sides: a cut there could part one match.
 UNSAFE = rf"{_WS} (?:{_WS}|$)|^ (?:{_WS}|$)"
-LATIN = "\u024f"
+#: Finds a character beyond Latin.
+BEYOND = regex.compile("[^\\x00-\\u024f]").search
 
 _LOADED: dict[str, "Encoder"] = {}
 _DECODERS: dict[str, "Decoder"] = {}
@@ -172,14 +173,10 @@ class Encoder:
 
     def _strings(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of any strings in a row and their counts: split by the pattern, unseen matches through the library."""
-        found: list[list[str]] = []
-        whole: list[int] = []
-        for at, string in enumerate(strings):
-            if self.own_split and not string.isascii() and max(string) > LATIN:
-                whole.append(at)
-                found.append([])
-            else:
-                found.append(self.find(string))
+        whole = [at for at, string in enumerate(strings) if BEYOND(string)] if self.own_split else []
+        found = [self.find(string) for string in strings]
+        for at in whole:
+            found[at] = []
         known = {}
         new = []
         for match in set().union(*found) if found else ():
