@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from carefold import settings
@@ -19,7 +21,7 @@ def live_values(
     ``scope`` names the string columns of the record a token belongs to; equal tokens of two records stay apart.
 
     A row with a value saves it for ``ttl_seconds``; a row without one asks for
-    it and gets null once it has expired.
+    it and gets null once it has expired. Time is the clock of the cluster; ``values_as_of`` goes by the rows' own time.
     """
     keys = (*scope, "token")
     return lookups.groupBy(*keys).transformWithStateInPandas(
@@ -47,3 +49,84 @@ def _processor(ttl_ms: int, keys: tuple[str, ...]) -> StatefulProcessor:
             pass
 
     return TokenState()
+
+
+def values_as_of(
+    events: DataFrame, lateness: str, ttl_seconds: int = settings.TOKEN_TTL_SECONDS, scope: tuple[str, ...] = ()
+) -> DataFrame:
+    """Answers each lookup with the value that its token had at the lookup's own time, in append mode.
+
+    ``events``: the string columns of ``scope``, ``token``, ``event_id`` (long), ``ts`` and ``value``. A row with a value
+    saves it at ``ts`` for ``ttl_seconds``; one without a value asks for it. Of several values saved up to the lookup's
+    time the last counts, of equal times the one of the larger event id; a value saved at the very time of a lookup is
+    known to it, one whose time to live has just ended is not.
+
+    A lookup waits until the watermark (the latest time seen less ``lateness``) has passed its time, so rows may come in any
+    order within ``lateness``; later ones are left out. Rows without a token, id or time are left out. Event-time timers
+    give the answers and clear values: of those that the watermark has passed only the last is kept, and only while it lives.
+    """
+    keys = (*scope, "token")
+    given = events.select(*keys, "event_id", "ts", "value").filter("token IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL")
+    timed = given.withWatermark("ts", lateness).withColumn("micros", F.unix_micros("ts"))
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=AsOfState(ttl_seconds * 1_000_000, keys),
+        outputStructType=", ".join(f"`{k}` string" for k in keys) + ", event_id long, value string",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
+class AsOfState(StatefulProcessor):
+    """Values and open lookups of one token, by (time, event id); times in microseconds, timers in milliseconds."""
+
+    def __init__(self, ttl: int, keys: tuple[str, ...]):
+        self.ttl, self.keys = ttl, keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "saved string, asked string")
+
+    def _get(self) -> tuple[list, list]:
+        saved, asked = self.held.get() if self.held.exists() else ("[]", "[]")
+        return json.loads(saved), json.loads(asked)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        saved, asked = self._get()
+        for batch in rows:
+            for r in batch.itertuples(index=False):
+                at = int(r.micros)
+                if isinstance(r.value, str):
+                    saved.append([at, int(r.event_id), r.value])
+                    self.handle.registerTimer(-(-(at + self.ttl) // 1000))
+                else:
+                    asked.append([at, int(r.event_id)])
+                    self.handle.registerTimer(at // 1000 + 1)
+        self.held.update((json.dumps(sorted(saved)), json.dumps(sorted(asked))))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        saved, asked = self._get()
+        # rows at the watermark itself may still come
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due = [a for a in asked if a[0] < passed]
+        answers, at, last = [], 0, None
+        for time, event in due:
+            while at < len(saved) and saved[at][0] <= time:
+                last, at = saved[at], at + 1
+            answers.append((event, last[2] if last is not None and time - last[0] < self.ttl else None))
+        before = sum(s[0] < passed for s in saved)
+        kept = [s for s in saved[max(before - 1, 0) :] if s[0] + self.ttl > passed]
+        left = asked[len(due) :]
+        if kept or left:
+            self.held.update((json.dumps(kept), json.dumps(left)))
+        else:
+            self.held.clear()
+        if answers:
+            count = len(answers)
+            yield pd.DataFrame({
+                **{k: [v] * count for k, v in zip(self.keys, key, strict=True)},
+                "event_id": [a[0] for a in answers], "value": [a[1] for a in answers],
+            })
+
+    def close(self) -> None:
+        pass

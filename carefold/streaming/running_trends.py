@@ -1,99 +1,125 @@
 """Running trends over a stream of observations.
 
-State is kept per (patient, code, slice), a slice being a fixed span of time: a
-point, late or not, touches the points of its own slice only, and a series with
-very many points is many keys. Each micro-batch gives the slice rows it changed;
-``stitch_slices`` turns the latest slice rows of a series into its trend, just
-as it does for batch slices.
+State is kept per (patient, code, slice), a slice being a fixed span of time, so a
+series with very many points is many keys. Within a slice, points lie in ordered
+pages (see :mod:`carefold.streaming.ordered_pages`): an arrival, late or not, touches
+the pages next to it, never the whole slice. Each micro-batch gives the slice rows
+it changed; ``stitch_slices`` turns the latest slice rows of a series into its trend,
+just as it does for batch slices.
+
+With ``lateness`` the stream has a watermark. When it passes the end of a slice, a
+timer clears the slice's state: the row given last stands, and points that come
+later than that are left out, as are repeated ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from carefold.streaming import ordered_pages
+
 SLICE_ROW = (
     "patient_id long, code string, slice int, points long, confidence_sum double, "
     "first_point struct<ts:timestamp,ord:int,entity_id:string,value:double,low:double,high:double,unit:string>, "
     "tail array<struct<ts:timestamp,ord:int,entity_id:string,value:double,low:double,high:double,unit:string>>, "
     "max_gap double, crossings long"
 )
-_POINT = (
-    "entity_id string, ts timestamp, ord int, value double, low double, high double, unit string, "
-    "confidence double"
-)
+DAY_MICROS = 86_400_000_000
 
 
 def slice_of(ts, days: int):
     """Number of the time span a point falls into."""
-    return F.floor(F.unix_micros(ts) / (days * 86_400_000_000)).cast("int")
-
-
-def slice_updates(observations: DataFrame, days: int = 30) -> DataFrame:
-    """A stream of changed slice rows, in update mode."""
-    keyed = observations.withColumn("slice", slice_of(F.col("ts"), days)).select(
-        "patient_id", "code", "slice", "entity_id", "ts", "ord", "value", "low", "high", "unit",
-        "confidence",
-    )
+    return F.floor(F.unix_micros(ts) / (days * DAY_MICROS)).cast("int")
+
+
+def slice_updates(observations: DataFrame, days: int = 30, lateness: str | None = None) -> DataFrame:
+    """A stream of changed slice rows, in update mode.
+
+    ``lateness`` is how far a point may lag behind the latest one seen, such as ``"10 days"``; without it no state ends.
+    A point is known by its entity id: one that comes again replaces the one before. Rows without a patient, code, id,
+    time or value are no points and are left out; a null confidence counts as 0, a null ``ord`` as 0.
+    """
+    named = observations.select(
+        "patient_id", "code", "entity_id", "ts", "ord", "value", "low", "high", "unit", "confidence",
+    ).filter("patient_id IS NOT NULL AND code IS NOT NULL AND entity_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL")
+    if lateness is not None:
+        named = named.withWatermark("ts", lateness)
+    keyed = named.withColumn("slice", slice_of(F.col("ts"), days)).withColumn("micros", F.unix_micros("ts"))
     return keyed.groupBy("patient_id", "code", "slice").transformWithStateInPandas(
-        statefulProcessor=_processor(),
+        statefulProcessor=SliceState(days, lateness is not None),
         outputStructType=SLICE_ROW,
         outputMode="Update",
-        timeMode="None",
+        timeMode="None" if lateness is None else "EventTime",
     )
 
 
-def _processor() -> StatefulProcessor:
-    # Built here so that workers get the class by value.
-    point_schema = _POINT
-
-    class SliceState(StatefulProcessor):
-        """Points of one slice by entity id; a point that arrives again replaces itself."""
-
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.points = handle.getMapState("points", "id string", point_schema)
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            for batch in rows:
-                for r in batch.itertuples(index=False):
-                    self.points.updateValue(
-                        (r.entity_id,),
-                        (r.entity_id, r.ts.to_pydatetime(), int(r.ord), float(r.value),
-                         clean(r.low), clean(r.high), r.unit, float(r.confidence)),
-                    )
-            items = sorted((tuple(v) for _, v in self.points.iterator()), key=lambda p: (p[1], p[2], p[0]))
-            frame = [
-                dict(ts=p[1], ord=p[2], entity_id=p[0], value=p[3], low=p[4], high=p[5], unit=p[6])
-                for p in items
-            ]
-            gaps, crossings = [], 0
-            for a, b in zip(frame, frame[1:]):
-                gaps.append((b["ts"] - a["ts"]).total_seconds() / 86400.0)
-                crossings += inside(a["value"], b) != inside(b["value"], b)
-            yield pd.DataFrame(
-                {
-                    "patient_id": [key[0]], "code": [key[1]], "slice": [key[2]],
-                    "points": [len(items)], "confidence_sum": [sum(p[7] for p in items)],
-                    "first_point": [frame[0]], "tail": [frame[-3:]],
-                    "max_gap": [max(gaps) if gaps else None], "crossings": [crossings],
-                }
-            )
-
-        def close(self) -> None:
-            pass
-
-    def clean(value):
-        return None if value is None or value != value else float(value)
-
-    def inside(value, point) -> bool:
-        low, high = point["low"], point["high"]
-        return not ((low is not None and value < low) or (high is not None and value > high))
-
-    return SliceState()
+class SliceState(StatefulProcessor):
+    """Pages of one slice by their number, and the key that each entity id has in them."""
+
+    def __init__(self, days: int, expires: bool):
+        self.days, self.expires = days, expires
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pages = handle.getMapState("pages", "page long", "text string")
+        self.keys = handle.getMapState("keys", "entity_id string", "ts long, ord int")
+
+    def _read(self, number: int) -> str | None:
+        return self.pages.getValue((number,))[0] if self.pages.containsKey((number,)) else None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = ordered_pages.OrderedPages(
+            self._read, lambda number, text: self.pages.updateValue((number,), (text,)), lambda number: self.pages.removeKey((number,))
+        )
+        end = (int(key[2]) + 1) * self.days * DAY_MICROS // 1000
+        if self.expires:
+            if timerValues.getCurrentWatermarkInMs() >= end:
+                return
+            self.handle.registerTimer(end)
+        for batch in rows:
+            for r in batch.itertuples(index=False):
+                point = ordered_pages.Point(
+                    int(r.micros), int(_given(r.ord) or 0), r.entity_id, float(r.value),
+                    _given(r.low), _given(r.high), r.unit if isinstance(r.unit, str) else None, float(_given(r.confidence) or 0.0),
+                )
+                if self.keys.containsKey((r.entity_id,)):
+                    known = self.keys.getValue((r.entity_id,))
+                    held.remove((int(known[0]), int(known[1]), r.entity_id))
+                held.put(point)
+                self.keys.updateValue((r.entity_id,), (point.ts, point.ord))
+        held.flush()
+        total = held.summary()
+        yield pd.DataFrame(
+            {
+                "patient_id": [key[0]], "code": [key[1]], "slice": [key[2]],
+                "points": [total.points], "confidence_sum": [total.confidence],
+                "first_point": [_row(total.first)], "tail": [[_row(p) for p in total.tail]],
+                "max_gap": [None if total.gap is None else total.gap / DAY_MICROS], "crossings": [total.crossings],
+            }
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.pages.clear()
+        self.keys.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def _given(value):
+    return None if value is None or value != value else float(value)
+
+
+def _row(p: ordered_pages.Point) -> dict:
+    at = datetime.fromtimestamp(0, timezone.utc) + pd.Timedelta(p.ts, "us").to_pytimedelta()
+    return dict(ts=at, ord=p.ord, entity_id=p.entity_id, value=p.value, low=p.low, high=p.high, unit=p.unit)
 
 
 def latest_slices(updates: DataFrame) -> DataFrame:
