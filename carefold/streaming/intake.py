@@ -9,11 +9,13 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from carefold.functions.ids import stable_key
+from carefold.operators import containment
 
 # Steps of a document in order.
 STEPS = ("queued", "ocr", "ner", "normalizing", "trend_analysis", "complete")
@@ -77,6 +79,61 @@ def _write_batch(df: DataFrame, folder: str, name: str, run: str, batch_id: int)
     stamped.write.mode("overwrite").parquet(os.path.join(folder, name, f"run={run}", f"batch_id={batch_id}"))
 
 
+FAILURE = "document_id string, step string, error_type string, message string"
+
+
+def run_step(
+    good: DataFrame, step: str, work: Work, write: Callable[[DataFrame, str], None], staged: Callable[[DataFrame, str], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
+    """Writes the step's tables for the documents it does not fail on; gives these documents' rows and the failures.
+
+    Tables with an ``error`` column are staged first, so that each row is worked on once. If the step raises, the documents
+    that make it raise are found by halves and the step runs again without them.
+    """
+    try:
+        return _written(good, step, work, write, staged)
+    except AnalysisException:
+        raise
+    except Exception:
+        bad = containment.poisoned(good, lambda part: _tried(work(part)), step)
+        if not bad:
+            # none of the documents raises by itself: what failed was the run, which is tried once more
+            return _written(good, step, work, write, staged)
+    lost = good.sparkSession.createDataFrame(bad, FAILURE)
+    rest = _without(good, lost)
+    left, more = _written(rest, step, work, write, staged)
+    return left, lost.unionByName(more)
+
+
+def _tried(tables: Mapping[str, DataFrame]) -> None:
+    for table in tables.values():
+        table.write.format("noop").mode("overwrite").save()
+
+
+def _without(rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """Rows of other documents; a null id is an id like others."""
+    gone = failed.select(F.col("document_id").alias("_failed"))
+    return rows.join(gone, F.col("document_id").eqNullSafe(F.col("_failed")), "left_anti")
+
+
+def _written(
+    good: DataFrame, step: str, work: Work, write: Callable[[DataFrame, str], None], staged: Callable[[DataFrame, str], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
+    tables = {name: staged(t, f"{step}-{name}") if "error" in t.columns else t for name, t in work(good).items()}
+    lost = good.sparkSession.createDataFrame([], FAILURE)
+    for table in tables.values():
+        if "error" in table.columns:
+            lost = lost.unionByName(containment.failures(table).select("document_id", F.lit(step).alias("step"), "error_type", "message"))
+    if any("error" in t.columns for t in tables.values()):
+        # a document that two tables fail on is one failure
+        lost = lost.groupBy("document_id").agg(F.min(F.struct("step", "error_type", "message")).alias("e")).select("document_id", "e.*")
+        tables = {name: _without(t.drop("error"), lost) for name, t in tables.items()}
+        good = _without(good, lost)
+    for name, table in tables.items():
+        write(table, name)
+    return good, lost
+
+
 def run_intake(
     spans: DataFrame,
     folder: str,
@@ -88,23 +145,34 @@ def run_intake(
     """Runs ``process`` over the good spans of each micro-batch and writes its tables.
 
     ``process`` is one function or one for each step of ``STEPS``; the steps that ran are logged in ``status`` with the
-    outcome. Failed documents go to ``quarantine``.
+    outcome. A document that a step fails on goes to ``quarantine`` with step, type and message, and later steps do not
+    see it; the others go on. A step fails on a document if one of its tables has a row of that document with an
+    ``error`` (see :mod:`carefold.operators.containment`), or if it raises while that document is in the batch.
     """
     steps = process if isinstance(process, Mapping) else {"ocr": process}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         batch = batch.persist()
+
+        def write(table: DataFrame, name: str) -> None:
+            _write_batch(table, folder, name, run, batch_id)
+
+        def staged(table: DataFrame, name: str) -> DataFrame:
+            path = os.path.join(folder, "_staged", f"run={run}", f"batch_id={batch_id}", name)
+            table.write.mode("overwrite").parquet(path)
+            return table.sparkSession.read.schema(table.schema).parquet(path)
+
         try:
             good, failed = split_failures(batch, "ocr", problem)
-            _write_batch(failed, folder, "quarantine", run, batch_id)
-            log = status_rows(batch, "queued", batch_id).unionByName(status_rows(failed, "failed", batch_id))
+            log = status_rows(batch, "queued", batch_id)
             for step, work in steps.items():
-                for name, table in work(good).items():
-                    _write_batch(table, folder, name, run, batch_id)
+                good, lost = run_step(good, step, work, write, staged)
+                failed = failed.unionByName(lost)
                 log = log.unionByName(status_rows(good, step, batch_id))
-            log = log.unionByName(status_rows(good, "complete", batch_id))
-            _write_batch(log, folder, "status", run, batch_id)
+            write(failed, "quarantine")
+            log = log.unionByName(status_rows(failed, "failed", batch_id)).unionByName(status_rows(good, "complete", batch_id))
+            write(log, "status")
         finally:
             batch.unpersist()
 
