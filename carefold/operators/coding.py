@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from carefold import settings
 from carefold.functions import units as un
-from carefold.functions.similarity import best_alias
+from carefold.functions.similarity import best_alias, close_names
 from carefold.functions.text import exact_round, strict_number
 from carefold.operators.entities import Dictionary
+from carefold.operators.table_dictionary import TableDictionary
 from carefold.sources.knowledge import local_frame
 
 # Coding systems, and the readings that name the normal band.
@@ -30,7 +31,7 @@ def domain_of(entity_type: Column) -> Column:
 
 
 def with_codes(
-    entities: DataFrame, dictionary: Dictionary, cutoff: float = settings.FUZZY_MATCH_CUTOFF
+    entities: DataFrame, dictionary: Dictionary | TableDictionary, cutoff: float = settings.FUZZY_MATCH_CUTOFF
 ) -> DataFrame:
     """Adds the ontology entry, coding method and confidence.
 
@@ -38,11 +39,9 @@ def with_codes(
     approximate match: a lab by its label, drugs and diagnoses by their value.
     """
     spark = entities.sparkSession
-    entries = (
-        dictionary.ontology(spark).select(
-            F.col("domain"), F.col("key"), F.col("code"), F.col("display"),
-            F.col("unit_canonical"),
-        )
+    compiled = isinstance(dictionary, Dictionary)
+    entries = (dictionary.ontology(spark) if compiled else dictionary.entries()).select(
+        "domain", "key", "code", "display", "unit_canonical"
     )
     typed = entities.withColumn("domain", domain_of(F.col("entity_type")))
     exact = typed.alias("_entity").join(
@@ -51,31 +50,12 @@ def with_codes(
         "left",
     ).select("_entity.*", *[F.col(f"_entry.{c}").alias(f"x_{c}") for c in ("code", "display", "unit_canonical")],
              F.col("_entry.key").alias("x_key"))
-    key_of: dict[str, dict[str, str]] = {}
-    for entry in dictionary.entries:
-        for alias in [entry["key"], *entry["aliases"]]:
-            key_of.setdefault(entry["domain"], {})[alias.lower()] = entry["key"]
-    score = best_alias({d: list(names) for d, names in key_of.items()}, cutoff)
     wanted = F.when(
         F.col("x_key").isNull(),
         F.lower(F.when(F.col("domain") == "lab", F.col("entity_label")).otherwise(F.col("raw_value"))),
     )
-    scored = exact.withColumn("near", score(F.col("domain"), wanted))
-    near_rows = [
-        dict(domain=d, alias=a, key=k) for d, names in key_of.items() for a, k in names.items()
-    ]
-    near_entries = (
-        local_frame(spark, near_rows, "domain string, alias string, key string")
-        .join(entries, ["domain", "key"])
-        .select(F.col("domain").alias("n_domain"), F.col("alias").alias("n_alias"),
-                F.col("code").alias("n_code"), F.col("display").alias("n_display"),
-                F.col("unit_canonical").alias("n_unit"))
-    )
-    joined = scored.join(
-        near_entries,
-        (F.col("domain") == F.col("n_domain")) & (F.col("near.alias") == F.col("n_alias")),
-        "left",
-    )
+    near = _near_by_table if not compiled else _near_by_function
+    joined = near(exact.withColumn("wanted", wanted), dictionary, entries, cutoff)
     return joined.select(
         *entities.columns, "domain",
         F.coalesce("x_code", "n_code").alias("code"),
@@ -90,6 +70,38 @@ def with_codes(
     )
 
 
+def _with_entries(keys: DataFrame, entries: DataFrame) -> DataFrame:
+    return keys.join(entries, ["domain", "key"]).select(
+        F.col("domain").alias("n_domain"), F.col("alias").alias("n_alias"), F.col("code").alias("n_code"),
+        F.col("display").alias("n_display"), F.col("unit_canonical").alias("n_unit"),
+    )
+
+
+def _near_by_function(rows: DataFrame, dictionary: Dictionary, entries: DataFrame, cutoff: float) -> DataFrame:
+    """The closest alias of ``wanted`` by comparing with every alias of a compiled dictionary, row by row."""
+    key_of: dict[str, dict[str, str]] = {}
+    for entry in dictionary.entries:
+        for alias in [entry["key"], *entry["aliases"]]:
+            key_of.setdefault(entry["domain"], {})[alias.lower()] = entry["key"]
+    score = best_alias({d: list(names) for d, names in key_of.items()}, cutoff)
+    keys = [dict(domain=d, alias=a, key=k) for d, names in key_of.items() for a, k in names.items()]
+    near = _with_entries(local_frame(rows.sparkSession, keys, "domain string, alias string, key string"), entries)
+    return rows.withColumn("near", score(F.col("domain"), F.col("wanted"))).join(
+        near, (F.col("domain") == F.col("n_domain")) & (F.col("near.alias") == F.col("n_alias")), "left"
+    )
+
+
+def _near_by_table(rows: DataFrame, dictionary: TableDictionary, entries: DataFrame, cutoff: float) -> DataFrame:
+    """The closest alias of each distinct ``wanted``, by a similarity join with the aliases of a table."""
+    keys = dictionary.lowered()
+    closest = close_names(rows.select("domain", F.col("wanted").alias("text")), keys, cutoff)
+    found = closest.join(keys, ["domain", "alias"]).join(entries, ["domain", "key"]).select(
+        F.col("domain").alias("n_domain"), F.col("text").alias("n_text"), F.struct("alias", "score").alias("near"),
+        F.col("code").alias("n_code"), F.col("display").alias("n_display"), F.col("unit_canonical").alias("n_unit"),
+    )
+    return rows.join(found, (F.col("domain") == F.col("n_domain")) & (F.col("wanted") == F.col("n_text")), "left")
+
+
 # --------------------------------------------------------------------------- bands
 def bands_by_code(bands: DataFrame) -> DataFrame:
     """One row per code with its bands in file order."""
@@ -190,7 +202,7 @@ def with_patient_context(
 # --------------------------------------------------------------------------- assembly
 def code_entities(
     entities: DataFrame,
-    dictionary: Dictionary,
+    dictionary: Dictionary | TableDictionary,
     bands: DataFrame,
     patients: DataFrame | None = None,
     as_of: Column | None = None,

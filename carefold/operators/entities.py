@@ -186,8 +186,11 @@ def mentions(spans: DataFrame, dictionary: Dictionary, keep: list[str]) -> DataF
 
     A row carries the few characters around its mention instead of the text,
     so a long text is not repeated per mention. The three domains are matched
-    independently, so one text range may give a lab and a diagnosis.
+    independently, so one text range may give a lab and a diagnosis. A ``table_dictionary.TableDictionary`` may stand
+    for the dictionary.
     """
+    if not isinstance(dictionary, Dictionary):
+        return dictionary.mentions(spans, keep)
     hits = spans
     for domain in DOMAINS:
         hits = hits.withColumn(f"_{domain}", alias_hits(F.col("text"), dictionary, domain))
