@@ -301,7 +301,7 @@ def analyse_trends(
     hot_rows: int = settings.HOT_GROUP_ROWS,
 ) -> DataFrame:
     """The trend of every (patient, code) series."""
-    sliced = series.cut_series(observations, KEYS, "ts", hot_rows)
+    sliced = series.cut_series(observations, KEYS, ORDER, hot_rows)
     return finish_trends(stitch_slices(summarise_slices(sliced)), metrics, as_of)
 
 
@@ -310,7 +310,7 @@ def linked_points(
     observations: DataFrame, hot_rows: int = settings.HOT_GROUP_ROWS
 ) -> DataFrame:
     """Every point with the value and time before it in its series."""
-    sliced = series.cut_series(observations, KEYS, "ts", hot_rows)
+    sliced = series.cut_series(observations, KEYS, ORDER, hot_rows)
     w = series.slice_window(KEYS, ORDER)
     previous = F.struct("value", "ts")
     inner = sliced.withColumn("_prev", F.lag(previous).over(w))
@@ -356,7 +356,7 @@ def trend_points(
     observations: DataFrame, hot_rows: int = settings.HOT_GROUP_ROWS
 ) -> DataFrame:
     """Chronological points of every series, numbered from 1."""
-    return series.number_rows(observations, KEYS, ORDER, "ts", hot_rows).select(
+    return series.number_rows(observations, KEYS, ORDER, hot_rows).select(
         *KEYS, "seq", "entity_id", "document_id", "value",
         F.coalesce("unit", F.lit("")).alias("unit"), "ts", "confidence",
     )

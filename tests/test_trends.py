@@ -98,11 +98,27 @@ def test_a_hot_series_is_cut(spark):
     start = datetime(2024, 1, 1)
     hot = [(1, "c", f"e{k}", "d", 1.0, "u", start + timedelta(hours=k), 1.0, None, None, 0) for k in range(500)]
     cold = [(2, "c", "x", "d", 1.0, "u", start, 1.0, None, None, 0)]
-    cut = series.cut_series(spark.createDataFrame(hot + cold, SCHEMA), ["patient_id", "code"], "ts", 50)
+    cut = series.cut_series(spark.createDataFrame(hot + cold, SCHEMA), ["patient_id", "code"], ["ts", "ord", "entity_id"], 50)
     sizes = {(r.patient_id, r.slice): r["count"] for r in cut.groupBy("patient_id", "slice").count().collect()}
     assert max(sizes.values()) <= 50 and len(sizes) >= 11 and sizes[(2, 0)] == 1
 
 
+def test_points_of_one_time_are_cut_too(spark):
+    start, draw = datetime(2024, 1, 1), random.Random(2)
+    rows = [(1, "718-7", f"e{k:03}", "d", draw.uniform(0, 20), "u", start, 1.0, 5.0, 12.0, k % 2) for k in range(400)]
+    points = spark.createDataFrame(rows, SCHEMA)
+    cut = series.cut_series(points, ["patient_id", "code"], ["ts", "ord", "entity_id"], 40)
+    parts = cut.groupBy("slice").agg(F.min(F.struct("ord", "entity_id")).alias("a"), F.max(F.struct("ord", "entity_id")).alias("b"), F.count("*").alias("n"))
+    found = sorted(parts.collect(), key=lambda r: r["slice"])
+    assert len(found) > 8 and max(r.n for r in found) <= 60
+    assert all(x.b < y.a for x, y in zip(found, found[1:]))
+    as_of, metrics = F.lit("2024-05-01").cast("timestamp"), knowledge.builtin_metrics(spark)
+    whole, sliced = (trends.analyse_trends(points, metrics, as_of, n).collect() for n in (1_000_000, 40))
+    assert [r.asDict() for r in whole] == [r.asDict() for r in sliced] and whole[0].crossing_count > 50
+    for form in (trends.threshold_crossings, trends.trend_points):
+        assert {tuple(r) for r in form(points, 1_000_000).collect()} == {tuple(r) for r in form(points, 40).collect()}
+
+
 def test_undated_points(spark):
     e = spark.createDataFrame(
         [("d", 1, "t1", "5.5 mg", None), ("d", 1, "t2", "none", None), ("d", 1, "t3", "7", "2024-01-01 00:00:00")],
