@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from carefold.functions import similarity, units
 from carefold.operators import coding, entities, layout
+from carefold.operators.table_dictionary import TableDictionary
 from carefold.plans.inputs import DOCUMENT_LINE, ENTITIES, NOTES, SPANS, Inputs, sql_select
 from carefold.plans.registry import query, values_sql
 from carefold.sources import knowledge
@@ -246,6 +247,42 @@ def alias_mentions(i: Inputs) -> DataFrame:
     )
 
 
+# Every line names its aliases twice, and a part by an alias of its own.
+_TWICE = f"""
+WITH n AS (SELECT x.document_id, x.span_pos, x.text || '; again ' || x.text || ' and ' || upper(p.p_name) || ' ' || p.p_partkey || '.' AS text
+  FROM ({sql_select(NOTES, 'events')}) x JOIN part p ON p.p_partkey = x.span_pos % 1000),
+aliases AS (SELECT domain, alias, short, key FROM {values_sql(_ALIAS_ROWS, 'domain, alias, short, key')}
+  UNION ALL SELECT 'diagnosis', lower(p_name) || ' ' || p_partkey, FALSE, 'part ' || p_partkey FROM part),
+raw AS (SELECT n.*, a.*, unnest(list_filter(range(0, length(text)),
+    lambda p: substr(CASE WHEN a.short THEN text ELSE lower(text) END, p + 1, length(a.alias)) = a.alias)) AS ms
+  FROM n JOIN aliases a ON (CASE WHEN a.short THEN contains(text, a.alias) ELSE contains(lower(text), a.alias) END)),
+bounded AS (SELECT *, ms + length(alias) AS me FROM raw
+  WHERE (ms = 0 OR NOT regexp_matches(substr(text, ms, 1), '[A-Za-z0-9]'))
+    AND NOT regexp_matches(substr(text, ms + length(alias) + 1, 1), '[A-Za-z0-9]'))
+SELECT document_id, span_pos, domain, key, CAST(ms AS INTEGER) AS mention_start, CAST(me AS INTEGER) AS mention_end,
+  substr(text, ms + 1, me - ms) AS matched_text FROM bounded b WHERE NOT EXISTS (
+    SELECT 1 FROM bounded o WHERE o.document_id = b.document_id AND o.span_pos = b.span_pos AND o.domain = b.domain
+      AND o.ms < b.me AND o.me > b.ms AND length(o.alias) > length(b.alias))"""
+
+
+@query("table_mentions", _TWICE)
+def table_mentions(i: Inputs) -> DataFrame:
+    """Mentions of an ontology that is a table: the built-in entries and one for every part."""
+    parts = i.table("part").select("p_partkey", F.concat_ws(" ", F.col("p_name"), F.col("p_partkey").cast("string")).alias("part"))
+    ontology = knowledge.builtin_ontology(i.spark).unionByName(
+        parts.select(
+            F.lit("diagnosis").alias("domain"), F.lit(1_000_000).alias("ordinal"), F.concat(F.lit("part "), F.col("p_partkey")).alias("key"),
+            F.array("part").alias("aliases"),
+        ), allowMissingColumns=True,
+    )
+    lines = i.derive("events", NOTES).join(parts, F.col("span_pos") % 1000 == F.col("p_partkey")).select(
+        "document_id", "span_pos", F.concat("text", F.lit("; again "), "text", F.lit(" and "), F.upper("part"), F.lit(".")).alias("text")
+    )
+    return entities.mentions(lines, TableDictionary(ontology), ["document_id", "span_pos"]).select(
+        "document_id", "span_pos", "domain", "key", "mention_start", "mention_end", "matched_text"
+    )
+
+
 @query("document_mentions", REPORT_SQL.replace("ent AS (", "ignored AS (") + """
 SELECT document_id, domain, key, base + ms AS mention_start, base + me AS mention_end, matched AS matched_text FROM mentions""")
 def document_mentions(i: Inputs) -> DataFrame:

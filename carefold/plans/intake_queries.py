@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +12,8 @@ from carefold.functions.ids import entity_uuid
 from carefold.operators import triage
 from carefold.plans.inputs import DOCUMENTS, ENTITIES, PAGE_FILES, Inputs, sql_select
 from carefold.plans.registry import framed, query
-from carefold.sources import documents, tables
+from carefold.session import shared_folder
+from carefold.sources import documents, snapshots, tables
 
 _FILES = f"SELECT *, octet_length(encode(html)) AS length FROM ({sql_select(PAGE_FILES, 'pages')}) f"
 
@@ -217,3 +221,58 @@ def upserted_vectors(i: Inputs) -> DataFrame:
     return tables.upsert_vectors(stored, new).select(
         "passage_id", "label", F.round(F.col("embedding")[0], 5).alias("first_value")
     )
+
+
+_VERSIONS = ("SELECT o_orderkey, 1 AS version FROM orders UNION ALL SELECT o_orderkey, 2 FROM orders WHERE o_orderkey % 4 = 0 "
+             "UNION ALL SELECT o_orderkey, 3 FROM orders WHERE o_orderkey % 6 = 0")
+
+
+@query("snapshot_merges", f"""
+WITH v AS ({_VERSIONS})
+SELECT CAST(o_orderkey AS VARCHAR) AS document_id, CAST(max(version) AS INTEGER) AS version, 'status ' || max(version) AS processing_status, 2 AS tables
+FROM v WHERE o_orderkey % 10 <> 0 GROUP BY o_orderkey""")
+def snapshot_merges(i: Inputs) -> DataFrame:
+    """Documents whose versions are merged in three batches, once by version and once mixed, then deleted by key.
+
+    Every batch is merged a second time under its mark, as after a failure. ``tables`` counts the two tables a row is in.
+    """
+    orders = i.table("orders").select("o_orderkey")
+    versions = reduce(DataFrame.unionAll, [
+        orders.filter(f"{each} = 1 OR o_orderkey % {every} = 0").select("o_orderkey", F.lit(each).alias("version")) for each, every in ((1, 1), (2, 4), (3, 6))
+    ])
+    rows = versions.select(
+        F.col("o_orderkey").cast("string").alias("document_id"), "version", F.concat(F.lit("status "), F.col("version")).alias("processing_status"),
+        (F.col("version") - 1).alias("by_version"), F.pmod(F.col("o_orderkey") + F.col("version"), F.lit(3)).alias("mixed"),
+    )
+    gone = rows.filter(F.col("document_id").cast("long") % 10 == 0).select("document_id").distinct()
+    plain = rows.drop("by_version", "mixed")
+    buckets = max(8, -(-orders.count() // snapshots.BUCKET_ROWS))
+    merged = []
+    for split in ("by_version", "mixed"):
+        table = snapshots.SnapshotTable.create(
+            i.spark, f"{shared_folder(i.spark)}/snapshots-{uuid.uuid4().hex}", plain.schema, ["document_id"], buckets
+        )
+        for k in (0, 1, 2):
+            batch = rows.filter(F.col(split) == k).drop("by_version", "mixed")
+            for _ in range(2):
+                table.upsert(batch, order="version", mark=("intake", k))
+        table.delete(gone)
+        merged.append(table.read())
+    return merged[0].unionByName(merged[1]).groupBy("document_id", "version", "processing_status").agg(F.count("*").cast("int").alias("tables"))
+
+
+@query("patient_vectors", """
+SELECT vec_id % 5 AS patient, count(*) AS vectors, round(sum(CAST(embedding[1] AS DOUBLE)), 4) AS first_sum FROM embeddings GROUP BY ALL""")
+def patient_vectors(i: Inputs) -> DataFrame:
+    """Vectors stored by bucket of the patient and read back one patient at a time, each from one bucket."""
+    vectors = i.table("embeddings").select(
+        F.col("vec_id").alias("passage_id"), F.concat(F.lit("p"), F.col("vec_id") % 5).alias("patient_id"), "embedding"
+    )
+    path = f"{shared_folder(i.spark)}/patient-vectors-{uuid.uuid4().hex}"
+    tables.write_patient_vectors(vectors, path, buckets=16)
+    read = [
+        tables.read_patient_vectors(i.spark, path, f"p{k}", buckets=16).select(F.lit(k).cast("long").alias("patient"), "embedding") for k in range(5)
+    ]
+    return reduce(DataFrame.unionAll, read).groupBy("patient").agg(
+        F.count("*").alias("vectors"), F.round(F.sum(F.col("embedding")[0].cast("double")), 4).alias("first_sum")
+    )

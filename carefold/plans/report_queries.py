@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from carefold.operators import reports
 from carefold.plans.inputs import DOCUMENTS, ENTITIES, INSIGHTS, Inputs, sql_select
 from carefold.plans.registry import framed, query, values_sql
 from carefold.plans.trend_queries import TREND_SQL, trend_table
+from carefold.session import shared_folder
+from carefold.sources.rank_index import RankIndex
 
 _DOCS = sql_select(DOCUMENTS, "orders")
 _ENTS = sql_select(ENTITIES, "lineitem")
@@ -126,6 +130,21 @@ def document_page(i: Inputs) -> DataFrame:
     )
 
 
+@query("deep_page", f"""
+WITH d AS ({_DOCS}), r AS (SELECT document_id, patient_id, row_number() OVER (ORDER BY uploaded_at DESC, document_id) AS rank FROM d),
+t AS (SELECT count(*) AS total, CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM d)
+SELECT document_id, patient_id, rank, total, CAST(greatest(pages - 1, 1) AS INTEGER) AS page, pages FROM r, t
+WHERE rank > (greatest(pages - 1, 1) - 1) * 25 AND rank <= greatest(pages - 1, 1) * 25""")
+def deep_page(i: Inputs) -> DataFrame:
+    """The last page but one, from an index that is built over all documents and read where the page lies."""
+    records = i.records()
+    index = RankIndex.build(
+        records, f"{shared_folder(i.spark)}/rank-index-{uuid.uuid4().hex}", [F.col("uploaded_at").desc(), F.col("document_id")], range_rows=500
+    )
+    pages = -(-records.count() // 25)
+    return index.page(max(pages - 1, 1), 25).select("document_id", "patient_id", F.col("rank").cast("long").alias("rank"), "total", "page", "pages")
+
+
 @query("filtered_entities", f"""
 SELECT temp_id FROM ({_ENTS}) e WHERE entity_date >= TIMESTAMP '1997-01-01' AND entity_date <= TIMESTAMP '1999-06-30'
   AND entity_type IN ('medication', 'diagnosis') AND contains(lower(raw_value), 'item 1') AND combined_confidence >= 0.5""")

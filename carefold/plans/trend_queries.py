@@ -81,7 +81,7 @@ def _r(name: str):
     return F.round(name, 4).alias(name)
 
 
-@query("trend_summary", TREND_SQL + """
+SUMMARY_SQL = TREND_SQL + """
 SELECT patient_id, code, metric_name, n AS data_point_count, direction, clinical_trend,
   round(last_value - prev_value, 4) AS absolute_change,
   round((last_value - prev_value) / nullif(abs(prev_value), 0) * 100.0, 4) AS percentage_change,
@@ -89,9 +89,11 @@ SELECT patient_id, code, metric_name, n AS data_point_count, direction, clinical
   confidence AS statistical_confidence, reason IS NOT NULL AS is_clinically_significant,
   reason AS clinical_significance_reason, crossings AS crossing_count,
   persistent AS abnormal_persistence, gap AS monitoring_gap_detected, interval_days AS expected_interval_days
-FROM tr""")
-def trend_summary(i: Inputs) -> DataFrame:
-    return trend_table(i).select(
+FROM tr"""
+
+
+def summary_columns(trend: DataFrame) -> DataFrame:
+    return trend.select(
         "patient_id", "code", "metric_name", "data_point_count", "direction", "clinical_trend",
         _r("absolute_change"), _r("percentage_change"), _r("rate_of_change"),
         "statistical_confidence", "is_clinically_significant", "clinical_significance_reason",
@@ -100,6 +102,11 @@ def trend_summary(i: Inputs) -> DataFrame:
     )
 
 
+@query("trend_summary", SUMMARY_SQL)
+def trend_summary(i: Inputs) -> DataFrame:
+    return summary_columns(trend_table(i))
+
+
 @query("trend_points", f"""
 SELECT patient_id, code, row_number() OVER (PARTITION BY patient_id, code ORDER BY ts, ord, entity_id) AS seq,
   entity_id, round(value, 4) AS value, unit, round(confidence, 4) AS confidence FROM ({_OBS}) o""")
@@ -270,7 +277,7 @@ FROM (SELECT *, CAST(strftime(ts, '%d') AS INTEGER) AS event_day FROM ({_OBS}) o
 def series_numbering(i: Inputs) -> DataFrame:
     """Positions within a patient with every series of over 32 rows cut into slices."""
     rows = i.observations().withColumn("event_day", F.dayofmonth("ts"))
-    return series.number_rows(rows, ["patient_id"], ["ts", "entity_id"], "ts", hot_rows=32).select(
+    return series.number_rows(rows, ["patient_id"], ["ts", "entity_id"], hot_rows=32).select(
         "patient_id", "event_day", "seq", "entity_id"
     )
 
@@ -403,3 +410,18 @@ def unit_conversion(i: Inputs) -> DataFrame:
     return monitoring.convert_units(
         i.derive("lineitem", _CONVERT), knowledge.builtin_unit_factors(i.spark)
     ).select("row_id", "analyte", "value", _r("converted_value"))
+
+
+_ONE_TIME = f"SELECT * REPLACE (date_trunc('month', ts) AS ts) FROM ({_OBS}) o"
+
+
+@query("equal_time_trends", TREND_SQL.replace(f"obs AS ({_OBS})", f"obs AS ({_ONE_TIME})") + """
+SELECT patient_id, code, n AS data_point_count, direction, crossings AS crossing_count, persistent AS abnormal_persistence,
+  round(last_value - prev_value, 4) AS absolute_change FROM tr""")
+def equal_time_trends(i: Inputs) -> DataFrame:
+    """Trends of series whose points all carry one time, each of over 8 points cut into slices by what comes after the time."""
+    points = i.observations().withColumn("ts", F.date_trunc("month", "ts"))
+    found = trends.analyse_trends(points, knowledge.builtin_metrics(i.spark), i.as_of(), hot_rows=8)
+    return found.select(
+        "patient_id", "code", "data_point_count", "direction", "crossing_count", "abnormal_persistence", _r("absolute_change")
+    )

@@ -4,11 +4,14 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from carefold.operators import masking, trends
+from carefold.operators import containment, masking, trends
 from carefold.sources import knowledge
-from carefold.streaming import expiring_tokens, intake, running_trends
+from carefold.streaming import expiring_tokens, intake, ordered_pages, running_trends
 
 OBS = ("patient_id long, code string, entity_id string, document_id string, value double, "
        "unit string, ts timestamp, confidence double, low double, high double, ord int")
@@ -118,3 +121,189 @@ def test_tokens_expire_in_state(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert {(r.token, r.value) for r in spark.table("live_tokens").collect()} == {("t1", "v1"), ("t2", None)}
+
+
+# --------------------------------------------------------------------------- ordered pages
+def _pages(store):
+    return ordered_pages.OrderedPages(store.get, store.__setitem__, lambda number: store.pop(number, None))
+
+
+def _point(ts, key, value=1.0):
+    return ordered_pages.Point(ts, 0, key, value, 2.0, 8.0, "u", 0.5)
+
+
+def _by_hand(points):
+    ordered = sorted(points, key=lambda p: p.key)
+    steps = list(zip(ordered, ordered[1:]))
+    return (
+        len(ordered), ordered[0], tuple(ordered[-3:]), max((b.ts - a.ts for a, b in steps), default=None),
+        sum((2.0 <= a.value <= 8.0) != (2.0 <= b.value <= 8.0) for a, b in steps),
+    )
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 60), st.floats(0, 10), st.booleans()), min_size=1, max_size=300), st.integers(1, 50))
+def test_pages_hold_what_a_sorted_list_holds(changes, batch):
+    store, there = {}, {}
+    held = _pages(store)
+    for k, (ts, name, value, gone) in enumerate(changes):
+        if name in there:
+            held.remove(there.pop(name).key)
+        if not gone:
+            there[name] = _point(ts, f"e{name}", value)
+            held.put(there[name])
+        if k % batch == 0:
+            held.flush()
+            held = _pages(store)
+    held.flush()
+    total = _pages(store).summary()
+    if not there:
+        assert total is None
+        return
+    assert (total.points, total.first, total.tail, total.gap, total.crossings) == _by_hand(there.values())
+    assert abs(total.confidence - 0.5 * len(there)) < 1e-9
+
+
+@pytest.mark.parametrize("same_time", [False, True])
+def test_an_arrival_reads_few_pages_however_many_points_there_are(same_time):
+    store, draw = {}, random.Random(7)
+    reads = {}
+    for n in range(1, 20_001):
+        held = _pages(store)
+        held.put(_point(5 if same_time else draw.randint(0, 10**9), f"e{draw.random()}"))
+        held.flush()
+        reads[n] = held.pages_read
+    assert max(reads[n] for n in range(9_000, 20_001)) <= 5
+    assert _pages(store).summary().points == 20_000
+    assert all(len(text) < 400 * (ordered_pages.PAGE + 1) * 2 for text in store.values())
+
+
+def _run_trends(spark, tmp_path, parts, lateness, days=30):
+    source, updates = str(tmp_path / "points"), str(tmp_path / "slices")
+
+    def save(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{updates}/batch_id={batch_id}")
+
+    for rows in parts:
+        spark.createDataFrame(rows, OBS).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(OBS).parquet(source)
+        running_trends.slice_updates(stream, days, lateness).writeStream.outputMode("update").foreachBatch(save).option(
+            "checkpointLocation", str(tmp_path / "trends-cp")
+        ).trigger(availableNow=True).start().awaitTermination()
+    return running_trends.latest_slices(spark.read.schema(f"{running_trends.SLICE_ROW}, batch_id long").parquet(updates))
+
+
+def test_slices_end_with_the_watermark_and_late_points_stay_out(spark, tmp_path):
+    def row(day, key, value=1.0, patient=1):
+        return (patient, "718-7", key, "d", value, "u", datetime(2024, 1, 1) + timedelta(days=day), 0.9, None, None, 0)
+
+    parts = [
+        [row(0, "a"), row(2, "b")],
+        [row(1, "late but in time"), row(2, "b", 5.0), row(60, "c")],
+        [row(3, "too late"), row(61, "d"), (None, "718-7", "no patient", "d", 1.0, "u", datetime(2024, 3, 2), 0.9, None, None, 0)],
+        [row(62, "e"), row(2, "b", 7.0)],
+    ]
+    slices = {r["slice"]: r for r in _run_trends(spark, tmp_path, parts, "5 days").collect()}
+    counts = sorted(r.points for r in slices.values())
+    assert counts == [3, 3]
+    first = slices[min(slices)]
+    assert [p.entity_id for p in first.tail] == ["a", "late but in time", "b"] and first.tail[-1].value == 5.0
+    assert first.max_gap == 1.0
+
+
+# --------------------------------------------------------------------------- token values as of a time
+def test_lookups_see_the_value_of_their_own_time(spark, tmp_path):
+    start, rng = datetime(2024, 1, 1), random.Random(5)
+    rows = []
+    for k in range(400):
+        token = rng.choice("abc")
+        rows.append((rng.choice(["r1", "r2"]), token, k, start + timedelta(minutes=rng.randint(0, 3000)), f"v{k}" if rng.random() < 0.3 else None))
+    rows += [("r1", "edge", 1000, start, "v"), ("r1", "edge", 1001, start, None), ("r1", "edge", 1002, start + timedelta(hours=1), None),
+             ("r1", "edge", 1003, start + timedelta(minutes=59), None), ("r1", None, 1004, start, None), ("r1", "never saved", 1005, start, None)]
+
+    def known(record, token, at):
+        saved = [(t, k, v) for r, n, k, t, v in rows if (r, n) == (record, token) and v is not None and t <= at]
+        last = max(saved, default=None)
+        return last[2] if last and at - last[0] < timedelta(hours=1) else None
+
+    wanted = {(r, n, k, known(r, n, t)) for r, n, k, t, v in rows if v is None and n is not None}
+    schema = "record string, token string, event_id long, ts timestamp, value string"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows.sort(key=lambda r: r[3] + timedelta(minutes=rng.randint(0, 300)))
+    parts = [rows[k : k + 70] for k in range(0, len(rows), 70)] + [[("", "", -1, start + timedelta(days=99), "end")]]
+    answers = None
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        answers = expiring_tokens.values_as_of(spark.readStream.schema(schema).parquet(source), "6 hours", 3600, ("record",))
+        answers.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(
+            availableNow=True
+        ).start().awaitTermination()
+    found = [tuple(r) for r in spark.read.schema(answers.schema).parquet(out).select("record", "token", "event_id", "value").collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted
+
+
+# --------------------------------------------------------------------------- containment
+def test_a_row_that_raises_costs_only_itself(spark):
+    def raises(rows):
+        if rows["text"].isna().any():
+            raise TypeError("no text")
+        return rows.assign(n=rows["text"].str.len()).loc[lambda r: r["n"] > 0]
+
+    rows = [(None if k == 7 else f"d{k}", None if k % 50 == 9 else "x" * (k % 4)) for k in range(500)]
+    df = spark.createDataFrame(rows, "document_id string, text string").repartition(3)
+    found = containment.run_extractors(df, {"a": raises, "b": lambda r: r.assign(n=1)}, "n long").collect()
+    ok = sorted((str(r.document_id), r.n) for r in found if r.extractor == "a" and r.error is None)
+    assert ok == sorted((str(k), len(t)) for k, t in rows if t)
+    bad = {(r.document_id, r.n, *r.error) for r in found if r.error is not None}
+    assert bad == {(k, None, "a", "TypeError", "no text") for k, t in rows if t is None}
+    assert sum(r.extractor == "b" for r in found) == 500
+    assert containment.contained(df.limit(0), "a", raises, "n long").collect() == []
+    good, failed = containment.quarantine(containment.checked(df, "s", F.when(F.col("text") == "", "empty")))
+    assert failed.count() == sum(t == "" for _, t in rows) and good.count() == sum(t != "" for _, t in rows)
+
+
+def test_documents_that_break_a_job_are_found_by_halves(spark):
+    docs = spark.range(300).select(F.concat(F.lit("d"), "id").alias("document_id"), "id")
+    runs = []
+
+    def run(part):
+        runs.append(1)
+        value = F.when(F.col("id").isin(17, 204), F.raise_error(F.concat(F.lit("bad "), "id"))).otherwise(F.col("id"))
+        part.select(value.alias("v")).write.format("noop").mode("overwrite").save()
+
+    found = containment.poisoned(docs, run, "ner")
+    assert sorted(found) == [("d17", "ner", "USER_RAISED_EXCEPTION", "bad 17"), ("d204", "ner", "USER_RAISED_EXCEPTION", "bad 204")]
+    assert len(runs) < 50
+
+    def always(part):
+        raise RuntimeError("no space left")
+
+    with pytest.raises(RuntimeError):
+        containment.poisoned(docs, always, "ner")
+
+
+def test_a_failing_step_skips_its_documents_and_a_broken_plan_stops(spark, tmp_path):
+    schema = "document_id string, span_pos int, text string, confidence double"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(f"d{k}", 0, "t" * k, 0.9) for k in range(40)] + [("d3", 1, "more", 0.9)], schema).write.parquet(source)
+    seen = F.when(F.length("text") == 5, F.raise_error(F.lit("five"))).otherwise(F.length("text"))
+    steps = {
+        "ocr": lambda good: {"checked": containment.checked(good, "ocr", F.when(F.length("text") == 3, "three"))},
+        "ner": lambda good: {"native": good.select("document_id", seen.alias("n")), "plain": good.select("document_id")},
+        "normalizing": lambda good: {"last": good.select("document_id", "span_pos")},
+    }
+    none = F.lit(None).cast("string")
+    intake.run_intake(intake.read_spans(spark, source, schema), out, str(tmp_path / "cp"), steps, none).awaitTermination()
+    failed = intake.read_table(spark, out, "quarantine", ["document_id"]).collect()
+    assert {(r.document_id, r.step, r.error_type, r.message) for r in failed} == {
+        ("d3", "ocr", "InvalidInput", "three"), ("d5", "ner", "USER_RAISED_EXCEPTION", "five")
+    }
+    ids = lambda name: {r.document_id for r in spark.read.parquet(f"{out}/{name}").collect()}
+    assert ids("checked") == {f"d{k}" for k in range(40)} - {"d3"}
+    assert ids("native") == ids("plain") == ids("last") == {f"d{k}" for k in range(40)} - {"d3", "d5"}
+    status = {r.document_id: r.processing_status for r in intake.current_status(spark.read.parquet(f"{out}/status")).collect()}
+    assert {k for k, v in status.items() if v == "failed"} == {"d3", "d5"} and len(status) == 40
+    broken = {"ocr": lambda good: {"x": good.select("no such column")}}
+    query = intake.run_intake(intake.read_spans(spark, source, schema), str(tmp_path / "o2"), str(tmp_path / "c2"), broken, none)
+    with pytest.raises(Exception, match="no such column"):
+        query.awaitTermination()
