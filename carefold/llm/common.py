@@ -107,3 +107,15 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 def plain(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; columns of other names cannot clash with derived ones."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column of ``df`` has it, in upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found

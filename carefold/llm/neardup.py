@@ -119,8 +119,13 @@ def differing(left: Column, right: Column) -> Column:
     return total
 
 
+def named_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text, by which a row is found again even where many rows have one doc_id, or none."""
+    return common.plain(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, tag of the text, node (null without a shingle), n, keys, bits and marks of every document."""
+    """doc_id, tag and hash of the text, node (null without a shingle), n, keys, bits and marks of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -129,11 +134,11 @@ def sketches(docs: DataFrame) -> DataFrame:
             keys, bits = (
                 pa.FixedSizeListArray.from_arrays(pa.array(made[k].reshape(-1)), made[k].shape[1]).cast(pa.list_(pa.int64())) for k in ("keys", "bits"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(made["tag"]), pa.array(made["node"], mask=~made["has"]), pa.array(made["n"].astype(np.int32)), keys, bits,
+                [batch.column(0), batch.column(2), pa.array(made["tag"]), pa.array(made["node"], mask=~made["has"]), pa.array(made["n"].astype(np.int32)), keys, bits,
                  pa.array([m.tobytes() for m in made["marks"]], pa.binary())],
-                ["doc_id", "tag", "node", "n", "keys", "bits", "marks"])
+                ["doc_id", "text_hash", "tag", "node", "n", "keys", "bits", "marks"])
 
-    return common.map_arrow(common.plain(docs, "doc_id", "text"), run, "doc_id long, tag int, node long, n int, keys array<long>, bits array<long>, marks binary")
+    return common.map_arrow(named_texts(docs), run, "doc_id long, text_hash long, tag int, node long, n int, keys array<long>, bits array<long>, marks binary")
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, screened: bool = False) -> DataFrame:
@@ -154,8 +159,13 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, screened: bool
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     asked = pairs if screened else common.store(common.map_arrow(likely.select("a", "b", "m_a", "m_b"), screen, "a long, b long"), "likely-pairs")
-    needed = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    texts = common.plain(docs, "doc_id", "text").join(needed.toDF("want", "rep"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "want")
+    # the nodes themselves are asked for, one row each, however many pairs they are in
+    named = nodes.select("node", "rep")
+    first = named.join(asked.select(F.col("a").alias("node")), "node", "left_semi")
+    second = named.join(asked.select(F.col("b").alias("node")), "node", "left_semi")
+    needed = first.unionAll(second).distinct().select(F.col("node").alias("want"), F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"))
+    texts = named_texts(docs).join(
+        needed, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("text", "want")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -163,7 +173,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, screened: bool
             found, _, rows = shingles(words)
             begin = np.searchsorted(rows, np.arange(words.rows + 1))
             node = hash_groups(found, begin[:-1], begin[1:], 7).view(np.int64)
-            # a doc_id may belong to several texts; only the text of the wanted node counts
+            # texts of one doc_id and one hash may still differ; only the text of the wanted node counts
             right = np.flatnonzero(node == batch.column(1).to_numpy())
             packed = [np.unique((found[begin[k] : begin[k + 1]] >> np.uint64(32)).astype("<u4")).tobytes() for k in right.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(node[right]), pa.array(packed, pa.binary())], ["node", "set"])
@@ -222,7 +232,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.join(labels.toDF("a", "label_a"), "a", "left").join(labels.toDF("b", "label_b"), "b", "left")
     joined = ends.select(name("a").alias("a"), name("b").alias("b")).filter("a <> b").distinct()
     moved = components(joined).toDF("label", "to")
-    fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    fresh = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti")
     known = labels.unionByName(fresh.withColumn("label", F.col("node")))
     return common.store(known.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
@@ -241,7 +251,7 @@ def node_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     """node and label of every node that has a link to another one."""
     nodes = common.store(
         found.filter("node IS NOT NULL").groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "keys", "bits", "marks")]), "nodes")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "keys", "bits", "marks")]), "nodes")
     placed = nodes.select(F.explode("keys").alias("key"), "node")
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = common.store(placed.join(sizes, "key"), "members")
@@ -287,9 +297,11 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """All columns of one document of each class, the one of the smallest doc_id; documents without a word all stay."""
     names = docs.columns
-    chosen = classes(docs).groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(
-        F.max("stays").alias("_stays"), F.count(F.lit(1)).alias("_rows"), F.max("wordless").alias("_wordless"))
-    chosen = chosen.filter("_stays")
-    joined = substrings.tagged(docs, "_row_tag").join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_tag") == F.col("_tag")))
-    alone = (F.col("_rows") == 1) | F.col("_wordless")
-    return joined.filter(alone).select(*names).unionAll(joined.filter(~alone).dropDuplicates(["_id", "_tag"]).select(*names))
+    doc, tag, rows, stays, wordless, row_tag = common.fresh(docs, "_id", "_tag", "_rows", "_stays", "_wordless", "_row_tag")
+    chosen = classes(docs).groupBy(F.col("doc_id").alias(doc), F.col("tag").alias(tag)).agg(
+        F.max("stays").alias(stays), F.count(F.lit(1)).alias(rows), F.max("wordless").alias(wordless))
+    chosen = chosen.filter(F.col(stays))
+    joined = substrings.tagged(docs, row_tag).join(chosen, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(row_tag) == F.col(tag)))
+    alone = (F.col(rows) == 1) | F.col(wordless)
+    kept = [F.col(f"`{n}`") for n in names]
+    return joined.filter(alone).select(*kept).unionAll(joined.filter(~alone).dropDuplicates([doc, tag]).select(*kept))

@@ -154,17 +154,18 @@ def tagged(docs: DataFrame, name: str) -> DataFrame:
 
 def remove(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``docs`` with the passages cut out of ``text``, every column and row kept; ``n_chars``, if present, follows a cut text."""
-    cuts = passages.groupBy(F.col("doc_id").alias("_cut_doc"), F.col("row").alias("_cut_row")).agg(
-        F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_cuts"))
+    cut_doc, cut_row, cuts, row_tag = common.fresh(docs, "_cut_doc", "_cut_row", "_cuts", "_row_tag")
+    listed = passages.groupBy(F.col("doc_id").alias(cut_doc), F.col("row").alias(cut_row)).agg(
+        F.sort_array(F.collect_list(F.struct("begin", "end"))).alias(cuts))
     names = docs.columns
-    joined = tagged(docs, "_row_tag").join(
-        cuts, F.col("doc_id").eqNullSafe(F.col("_cut_doc")) & (F.col("_row_tag") == F.col("_cut_row")), "left").select(*names, "_cuts")
+    joined = tagged(docs, row_tag).join(
+        listed, F.col("doc_id").eqNullSafe(F.col(cut_doc)) & (F.col(row_tag) == F.col(cut_row)), "left").select(*[F.col(f"`{n}`") for n in names], cuts)
     # the kept stretches lie between the end of one passage and the begin of the next
-    begins = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda c: c["end"]))
-    ends = F.concat(F.transform("_cuts", lambda c: c["begin"]), F.array(F.char_length("text")))
+    begins = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["end"]))
+    ends = F.concat(F.transform(cuts, lambda c: c["begin"]), F.array(F.char_length("text")))
     kept = F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda s: F.substring(F.col("text"), s["a"] + 1, s["b"] - s["a"]))
-    whole = F.col("_cuts").isNull()
+    whole = F.col(cuts).isNull()
     out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(kept, "")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.drop("_cuts")
+    return out.drop(cuts)

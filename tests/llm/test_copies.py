@@ -345,3 +345,25 @@ def test_sentences_that_collide_in_a_polynomial_are_not_repeats(spark):
     assert substrings.repeated_passages(docs).collect() == [] and substrings.all_repeats(docs).collect() == []
     assert {r.text for r in substrings.remove(docs, substrings.all_repeats(docs)).collect()} == set(texts)
     assert substrings.row_tags(substrings.Words(pa.array(texts), substrings.ALNUM)).tolist()[0] != substrings.row_tags(substrings.Words(pa.array(texts[1:]), substrings.ALNUM)).tolist()[0]
+
+
+def test_columns_with_derived_names_are_kept(spark):
+    names = ["_id", "_tag", "_rows", "_stays", "_wordless", "_row_tag", "_cuts", "_cut_doc", "_cut_row", "_ROW_TAG_", "text_hash", "node", "label"]
+    body = "one two three four five six seven eight nine ten eleven twelve."
+    rows = [(k, body if k < 3 else f"text number {k} of its own words here", *[k] * len(names)) for k in range(6)]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {r for r in rows if r[0] not in (1, 2)}
+    cut = substrings.remove(docs, substrings.all_repeats(docs))
+    assert cut.columns == docs.columns and {tuple(r)[2:] for r in cut.collect()} == {r[2:] for r in rows}
+    assert {r.doc_id: r.text for r in cut.collect()}[1] == ""
+
+
+def test_many_rows_without_an_id(spark):
+    base = [f"w{k} a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k} i{k} j{k} k{k}" for k in range(500)]
+    rows = [(None, t) for t in base] + [(None, f"{t} tail{k}") for k, t in enumerate(base)] + [(7, t) for t in base[:200]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in neardup.keep_one(docs).collect()]
+    assert len(kept) == 500 and len({t.split()[0] for _, t in kept}) == 500
+    assert all(k == 7 for k, t in kept if int(t.split()[0][1:]) < 200)
