@@ -16,8 +16,9 @@ from carefold.functions.text import exact_round
 # Severities, lowest first.
 SEVERITIES = ("informational", "low", "moderate", "high", "critical")
 
+#: What a generator gives beside the columns that name its run.
 CANDIDATE_SCHEMA = (
-    "patient_id string, pos int, insight_type string, severity string, confidence double, "
+    "pos int, insight_type string, severity string, confidence double, "
     "evidence_ids array<string>, clinician_facing_text string, patient_facing_text string"
 )
 
@@ -26,13 +27,17 @@ def draft_candidates(
     blocks: DataFrame,
     generate: Callable[[pd.DataFrame], pd.DataFrame],
 ) -> DataFrame:
-    """Candidates from a caller-supplied generator over evidence blocks, in Arrow batches."""
+    """Candidates from a caller-supplied generator over evidence blocks, in Arrow batches.
+
+    The generator gets ``evidence_block`` and the columns that name the run, which it gives back with each candidate.
+    """
+    named = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in run_keys(blocks))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield generate(batch)
 
-    return blocks.mapInPandas(run, CANDIDATE_SCHEMA)
+    return blocks.mapInPandas(run, f"{named}, {CANDIDATE_SCHEMA}")
 
 
 def screen_candidates(

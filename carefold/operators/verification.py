@@ -7,6 +7,9 @@ supporting_evidence_ids, contradicting_evidence_ids.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,34 @@ def stored_status(status: Column) -> Column:
     return F.coalesce(F.element_at(literal_map(STORED_STATUS), status), F.lit("pending"))
 
 
+ASSERTION_SCHEMA = (
+    "draft_id string, pos int, assertion_text string, supported boolean, confidence double, "
+    "supporting_evidence_ids array<string>, contradicting_evidence_ids array<string>"
+)
+
+
+def draft_assertions(
+    drafts: DataFrame, used: DataFrame, check: Callable[[pd.DataFrame], pd.DataFrame]
+) -> DataFrame:
+    """Checked claims of each draft from a caller-supplied checker, in Arrow batches.
+
+    The checker gets ``draft_id``, ``text`` and ``evidence``, the cited items as an array of ``evidence_id, text`` in the
+    order of their ids, and gives rows of ``ASSERTION_SCHEMA``. A draft without resolvable evidence is not checked.
+    """
+    run = run_keys(drafts)
+    cited = drafts.select(*run, "draft_id", F.explode(F.array_distinct("supporting_evidence_ids")).alias("evidence_id"))
+    items = (
+        cited.join(used.select(*run, "evidence_id", "text"), [*run, "evidence_id"])
+        .groupBy("draft_id").agg(F.sort_array(F.collect_list(F.struct("evidence_id", "text"))).alias("evidence"))
+    )
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield check(batch)
+
+    return drafts.select("draft_id", "text").join(items, "draft_id").mapInPandas(work, ASSERTION_SCHEMA)
+
+
 def resolvable(drafts: DataFrame, used: DataFrame) -> DataFrame:
     """Drafts with ``cited_ids``: their citations that exist in the evidence used."""
     run = run_keys(drafts)
@@ -89,7 +120,9 @@ def screen_assertions(assertions: DataFrame, drafts: DataFrame, used: DataFrame)
 
 def score_drafts(screened: DataFrame) -> DataFrame:
     """Coverage, mean confidence of the verified and the resulting confidence per draft."""
+    fields = F.struct("pos", "assertion_text", "verified", "supporting", "contradicting", "confidence")
     scored = screened.groupBy("draft_id").agg(
+        F.array_sort(F.collect_list(fields)).alias("assertions"),
         F.count("*").alias("total_count"),
         F.count_if("verified").alias("verified_count"),
         F.avg(F.when(F.col("verified"), F.col("confidence"))).alias("mean_verified"),
@@ -108,8 +141,9 @@ def verify(
     rationales: DataFrame | None = None,
     threshold: float = settings.AUTO_VERIFY_MIN_CONFIDENCE,
 ) -> DataFrame:
-    """Verified insights; drafts that fall out are given by :func:`rejected`."""
-    scored = score_drafts(screen_assertions(assertions, drafts, used)).filter(
+    """Verified insights with their screened assertions in order; drafts that fall out are given by :func:`rejected`."""
+    screened = screen_assertions(assertions, drafts, used)
+    scored = score_drafts(screened).filter(
         F.col("verified_count") > 0
     )
     if rationales is not None:
@@ -147,7 +181,7 @@ def verify(
             *run_keys(drafts), "draft_id", F.col("text").alias("final_text"), "patient_facing_text",
             "clinician_facing_text", "verification_status", "stored_status",
             "verification_confidence", "verification_rationale", "verified_count", "total_count",
-            "contradicted", "severity", "requires_clinician_review", "supporting_entity_ids",
+            "contradicted", "severity", "requires_clinician_review", "supporting_entity_ids", "assertions",
         )
     )
 

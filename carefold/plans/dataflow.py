@@ -1,4 +1,4 @@
-"""Spans to evidence for all documents at once.
+"""Spans to evidence, and evidence to stored insights, for all documents at once.
 
 With a ``folder`` each step is written there and read back: later steps start
 from a stored table, lost executors repeat one step only, and no step runs twice
@@ -11,12 +11,59 @@ import os
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carefold.functions.runs import in_runs
-from carefold.operators import coding, evidence, layout, masking, retrieval, trends
+from carefold.operators import coding, evidence, insights, layout, lineage, masking, retrieval, trends, verification
 from carefold.operators import entities as ent
+from carefold.sources import tables
+
+
+def _keeper(out: dict[str, DataFrame], folder: str | None) -> Callable[[str, DataFrame], DataFrame]:
+    """Puts a table into ``out`` under its name; with a folder it is written there and read back."""
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        if folder is not None:
+            path = os.path.join(folder, name)
+            df.write.mode("overwrite").parquet(path)
+            df = df.sparkSession.read.schema(df.schema).parquet(path)
+        out[name] = df
+        return df
+
+    return keep
+
+
+def conclude_runs(
+    steps: dict[str, DataFrame],
+    documents: DataFrame,
+    generate: Callable[[pd.DataFrame], pd.DataFrame],
+    check: Callable[[pd.DataFrame], pd.DataFrame],
+    rationales: DataFrame | None = None,
+    folder: str | None = None,
+) -> dict[str, DataFrame]:
+    """From the tables of :func:`process_spans` to verified insights, the entities behind them, stored rows and statuses.
+
+    ``generate`` drafts insights from evidence blocks and ``check`` checks their claims, both in Arrow batches (see
+    ``insights.draft_candidates`` and ``verification.draft_assertions``). ``documents`` names all documents of the run: one
+    without entities, evidence or insights is complete too. ``generate`` is called once per block only with a ``folder``.
+    """
+    out: dict[str, DataFrame] = {}
+    keep = _keeper(out, folder)
+    pool = steps["evidence"]
+    candidates = keep("candidates", insights.draft_candidates(steps["evidence_blocks"], generate))
+    drafts = keep("drafts", insights.screen_candidates(candidates, pool))
+    used = keep("evidence_used", insights.evidence_used(drafts, pool))
+    assertions = keep("assertions", verification.draft_assertions(drafts, used, check))
+    verified = keep("verified", verification.verify(drafts, assertions, used, rationales))
+    keep("rejected", verification.rejected(drafts, verified))
+    keep("insight_entities", lineage.entities_behind(
+        verified, steps["observations"], ["patient_id", "draft_id"], "supporting_entity_ids"
+    ))
+    keep("insight_rows", tables.insight_rows(verified))
+    keep("statuses", documents.select("document_id").distinct().withColumn("processing_status", F.lit("complete")))
+    return out
 
 
 def process_spans(
@@ -38,15 +85,7 @@ def process_spans(
     ``passages`` no guideline is retrieved.
     """
     out: dict[str, DataFrame] = {}
-
-    def keep(name: str, df: DataFrame) -> DataFrame:
-        if folder is not None:
-            path = os.path.join(folder, name)
-            df.write.mode("overwrite").parquet(path)
-            df = df.sparkSession.read.parquet(path)
-        out[name] = df
-        return df
-
+    keep = _keeper(out, folder)
     masked = keep("masked", masking.mask(spans))
     keep("token_map", masking.token_map(masked))
     clean = masked.drop("matches")

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carefold.functions.runs import run_keys
-from carefold.operators import evaluation, evidence, insights, retrieval, verification
+from carefold.operators import evaluation, evidence, insights, lineage, retrieval, vector_index, verification
 from carefold.plans.inputs import ENTITIES, Inputs, sql_select
 from carefold.plans.registry import framed, query, values_sql
 from carefold.plans.trend_queries import TREND_SQL, trend_table
+from carefold.session import shared_folder
 from carefold.sources import knowledge, tables
 from carefold.sources import knowledge_values as kv
 
+#: Of 64 cells; vectors without groups of their own need many.
+INDEX_PROBES = 32
+
 _ENTS = sql_select(ENTITIES, "lineitem")
 _USE = f"""u AS (SELECT *, coalesce(nullif(normalized_value, ''), raw_value) AS name,
   coalesce(' ' || nullif(unit_canonical, ''), '') AS un FROM ({_ENTS}) e WHERE canonical_code IS NOT NULL AND NOT is_negated)"""
@@ -119,6 +125,20 @@ def knowledge_search(i: Inputs) -> DataFrame:
     return hits(i).select("query_id", "passage_id", "hit_rank", F.round("score", 4).alias("score"))
 
 
+@query("indexed_search", """
+SELECT (SELECT count(*) FROM embeddings) AS indexed, count(*) AS queries, count(*) * 8 AS wanted, TRUE AS recall_reached FROM embeddings WHERE vec_id % 20 = 0""")
+def indexed_search(i: Inputs) -> DataFrame:
+    """The index over all vectors, and whether the eight nearest of every twentieth vector are found, at 0.9 at least."""
+    passages = _passages(i).withColumn("category", F.lit("all"))
+    asked = passages.filter("passage_id % 20 = 0").withColumnRenamed("passage_id", "query_id")
+    index = vector_index.CellIndex.build(passages, f"{shared_folder(i.spark)}/cells-{uuid.uuid4().hex}", cells=64)
+    exact = retrieval.blocked_top_k(asked, passages, 8)
+    measured = vector_index.recall(exact, index.search(asked, 8, probes=INDEX_PROBES))
+    return measured.join(F.broadcast(index.passages().agg(F.count("*").alias("indexed")))).select(
+        "indexed", "queries", "wanted", (F.col("recall") >= 0.9).alias("recall_reached")
+    )
+
+
 @query("patient_history_search", """
 WITH h AS (SELECT q.vec_id AS query_id, p.vec_id AS passage_id,
     list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS score
@@ -296,6 +316,23 @@ def gap_evidence(i: Inputs) -> DataFrame:
     return _flat_evidence(evidence.trend_evidence(trend_table(i)).filter("branch = 2"))
 
 
+@query("trend_evidence_entities", TREND_SQL + """
+SELECT tr.patient_id, 'trend-' || tr.code AS evidence_id, o.entity_id FROM tr JOIN obs o ON o.patient_id = tr.patient_id AND o.code = tr.code
+UNION ALL SELECT tr.patient_id, 'gap-' || tr.code, o.entity_id FROM tr JOIN obs o ON o.patient_id = tr.patient_id AND o.code = tr.code WHERE gap""")
+def trend_evidence_entities(i: Inputs) -> DataFrame:
+    """The points behind every trend and gap."""
+    items = evidence.trend_evidence(trend_table(i))
+    return lineage.entities_behind(items, i.observations(), ["patient_id", "evidence_id"], "entity_ids")
+
+
+@query("trend_query_entities", TREND_SQL + f"""
+SELECT q.patient_id, q.category, q.text, o.entity_id FROM ({_TREND_Q}) q JOIN obs o ON o.patient_id = q.patient_id AND 'trend:' || o.code = q.source""")
+def trend_query_entities(i: Inputs) -> DataFrame:
+    """The points that monitoring and follow-up queries come from."""
+    asked = retrieval.trend_queries(trend_table(i))
+    return lineage.entities_behind(asked, i.observations(), ["patient_id", "category", "text"], "source_entity_ids")
+
+
 @query("guideline_evidence", f"""WITH {_RANKED}
 SELECT patient_id, run_id, 'guideline-' || guideline_id AS evidence_id, 'guideline' AS source_type, citation AS source_ref, text,
   greatest(0.0, least(1.0, relevance_score)) AS relevance_score FROM rk WHERE rank <= 10""")
@@ -393,6 +430,15 @@ def supporting_entities(i: Inputs) -> DataFrame:
     )
 
 
+@query("supporting_entity_ids", TREND_SQL + f""", {_SCREEN}
+SELECT DISTINCT dr.patient_id, dr.run_id, dr.pos, o.entity_id FROM dr JOIN ci USING (patient_id, run_id, pos) JOIN pool p USING (patient_id, run_id, evidence_id)
+JOIN obs o ON o.patient_id = dr.patient_id AND o.code = regexp_replace(ci.evidence_id, '^(gap|trend)-', '')""")
+def supporting_entity_ids(i: Inputs) -> DataFrame:
+    """The entities behind every screened draft: the points of the series that it cites."""
+    drafts = insights.screen_candidates(insight_candidates(i), evidence_pool(i))
+    return lineage.entities_behind(drafts, i.observations(), ["patient_id", "run_id", "pos"], "supporting_entity_ids")
+
+
 @query("dropped_citations", TREND_SQL + f""", {_SCREEN}
 SELECT DISTINCT c.patient_id, c.run_id, c.pos, c.evidence_id FROM (SELECT patient_id, run_id, pos, unnest([e1, e2, e3]) AS evidence_id FROM cd) c
 WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.patient_id = c.patient_id AND p.run_id = c.run_id AND p.evidence_id = c.evidence_id)""")

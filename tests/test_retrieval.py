@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from carefold.operators import evidence, insights, retrieval, verification
+from carefold.operators import evidence, insights, lineage, retrieval, vector_index, verification
 from carefold.sources import knowledge
 
 
@@ -132,3 +132,38 @@ def test_verification(spark, pool):
         "weak": ("flagged", 0.7, True, "pending"), "part": ("flagged", 0.45, True, "pending"),
         "contra": ("flagged", 1.0, True, "pending")}
     assert {r.draft_id for r in verification.rejected(drafts, verified).collect()} == {"none", "silent", "lost"}
+
+
+def test_an_index_covers_all_vectors_and_finds_most(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 16))
+    rows = [(k, "a" if k % 3 else "b", (centres[k % 30] + 0.3 * rng.normal(size=16)).tolist()) for k in range(1500)] + [(1500, "a", [0.0] * 16), (1501, None, [1.0] * 16)]
+    passages = spark.createDataFrame(rows, "passage_id long, category string, vector array<double>")
+    index = vector_index.CellIndex.build(passages, str(tmp_path / "ix"), cells=20, sample=400)
+    assert index.passages().count() == 1502 and index.passages().select("cell").distinct().count() <= 20
+    asked = passages.filter("passage_id % 20 = 0 AND passage_id < 1500").withColumnRenamed("passage_id", "query_id")
+    exact = retrieval.blocked_top_k(asked, passages, 5)
+    share = vector_index.recall(exact, index.search(asked, 5, probes=4)).first()
+    assert (share.queries, share.wanted) == (75, 375) and share.recall >= 0.9
+    everything = index.search(asked, 5, probes=20)
+    assert {tuple(r) for r in everything.select("query_id", "passage_id", "hit_rank").collect()} == {
+        tuple(r) for r in exact.select("query_id", "passage_id", "hit_rank").collect()}
+    empty = vector_index.CellIndex.build(passages.limit(0), str(tmp_path / "e"), cells=4)
+    assert empty.search(asked.limit(0), 5).collect() == []
+
+
+def test_entities_behind_references(spark):
+    points = spark.createDataFrame([(1, "c", "e1"), (1, "c", "e2"), (2, "c", "e3"), (1, "d", "e4")], "patient_id long, code string, entity_id string")
+    rows = spark.createDataFrame(
+        [(1, "x", ["trend:c", "own", "own", None]), (2, "y", ["trend:c", "trend:none"]), (2, "z", None), (1, "w", ["trend:c", "trend:d"])],
+        "patient_id long, item string, refs array<string>")
+    found = {tuple(r) for r in lineage.entities_behind(rows, points, ["patient_id", "item"], "refs").collect()}
+    assert found == {(1, "x", "own"), (1, "x", "e1"), (1, "x", "e2"), (2, "y", "e3"), (1, "w", "e1"), (1, "w", "e2"), (1, "w", "e4")}
+
+
+def test_of_equal_ids_the_one_added_last_stays(spark):
+    items = spark.createDataFrame(
+        [("p", 1, "g1", "zz first", "s", None, None, 0.9), ("p", 2, "g1", "aa last", "s", None, None, 0.8), ("p", 3, "g1", "below", "s", None, None, 0.1)],
+        "patient_id string, rank int, guideline_id string, text string, source string, section string, citation string, relevance_score double")
+    (row,) = evidence.pool(evidence.guideline_evidence(items), min_relevance=0.5).collect()
+    assert row.text == "aa last"
