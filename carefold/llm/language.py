@@ -35,6 +35,9 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Counts of hashed trigrams of letters, words set apart by one space, and whether a text has a letter."""
     lower = pc.utf8_lower(texts)
     spaced = pc.replace_substring_regex(lower, r"[^\pL]+", " ")
+    # a text too short for a trigram is a word with a space on both sides
+    short = pc.less(pc.binary_length(spaced), 3)
+    spaced = pc.if_else(short, pc.binary_join_element_wise(pa.scalar(" "), spaced, pa.scalar(" "), ""), spaced)
     lettered = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
     return features.counts(spaced, BINS, 0), lettered
 
@@ -85,7 +88,7 @@ class Model:
             return [UNKNOWN] * len(texts), scores, [{} for _ in range(len(texts))]
         counts, lettered = trigrams(texts)
         for row in range(len(texts)):
-            if not lettered[row] or not counts[row].any():
+            if not lettered[row]:
                 names.append(UNKNOWN)
                 sets.append({})
                 continue

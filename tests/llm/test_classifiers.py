@@ -238,3 +238,13 @@ def test_no_language_is_left_out(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
     assert language.fit(docs).names == list(texts)
     assert {r.doc_id: r.lang_pred for r in language.classify(docs).collect()} == {k: n for k, _, n in rows}
+
+
+def test_one_letter_is_a_language_of_its_word():
+    words = {"en": "a cat and a dog saw a bird", "de": "o hund o katze o vogel", "fr": "y chat y chien y oiseau"}
+    model = language.Model.fit({k: 1000 * language.trigrams(pa.array([v]))[0][0].astype(np.float64) for k, v in words.items()})
+    names, scores, sets = model.predict(pa.array(["a", "A", " y ", "o.", "", "1", "é"]))
+    assert names[:4] == ["en", "en", "fr", "de"] and names[4:6] == ["und", "und"]
+    assert names[6] in words
+    assert all(0 < s <= 1 for s in [*scores[:4], *scores[6:]]) and scores[4] == scores[5] == 0
+    assert all(len(s) >= 1 for s in sets[:4]) and sets[4] == {}
