@@ -145,3 +145,17 @@ def test_keys_tell_their_parts_apart(spark):
     rows = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("", "x"), ("-", "x")]
     df = spark.createDataFrame(rows, "x string, y string")
     assert df.select(stable_key(F.col("x"), F.col("y")).alias("k")).distinct().count() == len(rows)
+
+
+def test_a_folder_of_documents_loads_like_one(spark):
+    from carefold.plans import loader_queries
+    from carefold.plans.inputs import Inputs
+
+    inputs = Inputs(spark, "/root/testdata/sf0.001")
+    content = "named_struct('critical_value_rules', collect_list(named_struct('metric_code', concat('C-', s_suppkey), 'condition', 'low')))"
+    few, one = (
+        knowledge.load_critical_rules(spark, loader_queries._folder(inputs, "supplier", "s_suppkey", content, rows)).select("metric_code", "condition")
+        for rows in (3, 1_000_000)
+    )
+    assert sorted(few.collect()) == sorted(one.collect()) and one.count() == inputs.table("supplier").count()
+    assert len(few.inputFiles()) > 1 and len(one.inputFiles()) == 1
