@@ -98,3 +98,12 @@ def significant(value: Column, digits: int = 4) -> Column:
         )
         .otherwise(trim(fixed))
     )
+
+
+def filled(sentence: str, *columns: Column | str) -> Column:
+    """``sentence`` with the columns in place of its ``{}``, in order; null if one of them is null."""
+    parts = sentence.split("{}")
+    pieces = [F.lit(parts[0])]
+    for column, part in zip(columns, parts[1:], strict=True):
+        pieces += [F.col(column) if isinstance(column, str) else column, F.lit(part)]
+    return F.concat(*pieces)

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carefold import settings
-from carefold.functions.text import empty_to_null, exact_round
+from carefold.functions.text import empty_to_null, exact_round, filled
 from carefold.functions.runs import run_keys
 
 # ---------------------------------------------------------------------------
-# Query categories and their priorities.
+# Query categories with their priorities, and the sentences that are asked: an encoder gives other hits for
+# other wording, so they have to be these. ``{}`` stands for the columns named where they are used.
 # ---------------------------------------------------------------------------
 CATEGORIES = (
     "lab_interpretation", "reference_range", "disease_guideline", "diagnostic_criteria",
@@ -22,6 +23,14 @@ CATEGORIES = (
 )
 GENERAL = "general"
 DISEASE_TYPES = ("diagnosis", "procedure")
+LAB_SENTENCE = "clinical interpretation of {}{} lab result"
+RANGE_SENTENCE = "normal reference range for {}"
+DISEASE_SENTENCE = "clinical practice guideline for {} management"
+CRITERIA_SENTENCE = "diagnostic criteria for {}"
+MEDICATION_SENTENCE = "dosing and monitoring guidance for {}"
+CONTRAINDICATION_SENTENCE = "contraindications and precautions for {}"
+MONITORING_SENTENCE = "monitoring frequency recommendations for {}"
+FOLLOW_UP_SENTENCE = "follow-up recommendations for {} {}"
 
 _QUERY_COLUMNS = ["patient_id", "text", "category", "source_entity_ids", "priority", "pos"]
 
@@ -75,9 +84,9 @@ def _lab_specs() -> list[tuple[Column, Column, str, int]]:
     unit = F.coalesce(F.concat(F.lit(" "), empty_to_null(F.col("unit_canonical"))), F.lit(""))
     open_range = F.col("reference_range_low").isNull() | F.col("reference_range_high").isNull()
     return [
-        (is_lab, F.concat(F.lit("clinical interpretation of "), "name", unit, F.lit(" lab result")),
+        (is_lab, filled(LAB_SENTENCE, "name", unit),
          "lab_interpretation", 2),
-        (is_lab & open_range, F.concat(F.lit("normal reference range for "), "name"),
+        (is_lab & open_range, filled(RANGE_SENTENCE, "name"),
          "reference_range", 1),
     ]
 
@@ -85,18 +94,18 @@ def _lab_specs() -> list[tuple[Column, Column, str, int]]:
 def _disease_specs() -> list[tuple[Column, Column, str, int]]:
     is_disease = F.col("entity_type").isin(*DISEASE_TYPES)
     return [
-        (is_disease, F.concat(F.lit("clinical practice guideline for "), "name", F.lit(" management")),
+        (is_disease, filled(DISEASE_SENTENCE, "name"),
          "disease_guideline", 3),
-        (is_disease, F.concat(F.lit("diagnostic criteria for "), "name"), "diagnostic_criteria", 1),
+        (is_disease, filled(CRITERIA_SENTENCE, "name"), "diagnostic_criteria", 1),
     ]
 
 
 def _medication_specs() -> list[tuple[Column, Column, str, int]]:
     is_drug = F.col("entity_type") == "medication"
     return [
-        (is_drug, F.concat(F.lit("dosing and monitoring guidance for "), "name"),
+        (is_drug, filled(MEDICATION_SENTENCE, "name"),
          "medication_guidance", 2),
-        (is_drug, F.concat(F.lit("contraindications and precautions for "), "name"),
+        (is_drug, filled(CONTRAINDICATION_SENTENCE, "name"),
          "contraindication", 1),
     ]
 
@@ -147,11 +156,10 @@ def trend_queries(trends: DataFrame) -> DataFrame:
     return _queries(
         rows, 3,
         (F.col("monitoring_gap_detected"),
-         F.concat(F.lit("monitoring frequency recommendations for "), "metric_name"),
+         filled(MONITORING_SENTENCE, "metric_name"),
          "monitoring", 2),
         (follow,
-         F.concat(F.lit("follow-up recommendations for "), "clinical_trend", F.lit(" "),
-                  "metric_name"),
+         filled(FOLLOW_UP_SENTENCE, "clinical_trend", "metric_name"),
          "follow_up", 3),
     )
 

@@ -11,7 +11,7 @@ from carefold.operators import containment, masking, trends
 from carefold.plans.inputs import Inputs
 from carefold.plans.registry import query
 from carefold.plans.trend_queries import SUMMARY_SQL, summary_columns
-from carefold.session import shared_folder
+from carefold.session import shared_folder, stateful_session
 from carefold.sources import knowledge
 from carefold.streaming import expiring_tokens, intake, running_trends
 
@@ -51,6 +51,8 @@ def _late(ts: str, number: str) -> Column:
 @query("running_trend_summary", SUMMARY_SQL)
 def running_trend_summary(i: Inputs) -> DataFrame:
     """The trends of a stream of observations, late and repeated ones among them, at its end."""
+    own = i
+    i = Inputs(stateful_session(own.spark), own.folder)
     points, width = replay(i, i.observations(), _late("ts", "entity_id"), F.col("entity_id").cast("long") % 50 == 0)
     updates = _folder(i, "slices")
 
@@ -61,8 +63,8 @@ def running_trend_summary(i: Inputs) -> DataFrame:
     running_trends.slice_updates(points, days=10, lateness=f"{width + 2 * DAY_SECONDS + 1} seconds").writeStream.outputMode("update").foreachBatch(
         save
     ).option("checkpointLocation", _folder(i, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    slices = running_trends.latest_slices(i.spark.read.schema(f"{running_trends.SLICE_ROW}, batch_id long").parquet(updates))
-    return summary_columns(trends.finish_trends(trends.stitch_slices(slices), knowledge.builtin_metrics(i.spark), i.as_of()))
+    slices = running_trends.latest_slices(own.spark.read.schema(f"{running_trends.SLICE_ROW}, batch_id long").parquet(updates))
+    return summary_columns(trends.finish_trends(trends.stitch_slices(slices), knowledge.builtin_metrics(own.spark), own.as_of()))
 
 
 TOKEN_TTL = DAY_SECONDS
@@ -76,6 +78,8 @@ SELECT event_id, 'u' || asked.user_id AS token,
 FROM asked ASOF LEFT JOIN saved ON asked.user_id = saved.user_id AND asked.ts >= saved.ts""")
 def streamed_token_values(i: Inputs) -> DataFrame:
     """What each lookup of a token finds at its own time, while saves and lookups arrive late and out of order."""
+    own = i
+    i = Inputs(stateful_session(own.spark), own.folder)
     rows = i.table("events").select(
         F.concat(F.lit("u"), F.col("user_id")).alias("token"), "event_id", "ts",
         F.when(F.col("event_type").isin("signup", "click"), F.concat(F.lit("v"), F.col("event_id"))).alias("value"),
@@ -90,7 +94,7 @@ def streamed_token_values(i: Inputs) -> DataFrame:
     answers.writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(i, "checkpoint")).trigger(
         availableNow=True
     ).start().awaitTermination()
-    return i.spark.read.schema(answers.schema).parquet(out)
+    return own.spark.read.schema(answers.schema).parquet(out)
 
 
 def _lengths(rows):

@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The state store that streams with state of their own need: it has column families and timers.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "carefold", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC timestamps and Arrow transfer."""
     builder = SparkSession.builder.appName(app)
@@ -19,9 +23,7 @@ def build_session(app: str = "carefold", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
-        # Streams with state of their own need column families.
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
         # Call sites cost two extra calls per column expression while a plan is built.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
@@ -30,6 +32,21 @@ def build_session(app: str = "carefold", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session for streams with state of their own; the settings of ``spark`` itself stay as they are.
+
+    ``spark`` is given back where it has the state store already. The new session has its shuffle partitions and time zone.
+    """
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(name, None) == STATE_STORE:
+        return spark
+    other = spark.newSession()
+    other.conf.set(name, STATE_STORE)
+    for kept in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        other.conf.set(kept, spark.conf.get(kept))
+    return other
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir`` as the cluster names it.
 

@@ -258,13 +258,16 @@ def load_stage_intervals(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# Fixed value: the text of a passage; what is encoded and found depends on its wording.
+PASSAGE_SENTENCE = "Condition: %s. Metric: %s (LOINC: %s). Interval: %s. Source: %s."
+
+
 def guideline_passages(guidelines: DataFrame, category: str | None = "monitoring") -> DataFrame:
     """One retrievable passage per condition and metric, ids from 1 in file order."""
     from pyspark.sql import Window
 
     snippet = F.format_string(
-        "Condition: %s. Metric: %s (LOINC: %s). Interval: %s. Source: %s.",
-        "display_name", "metric_name", "metric_code", "interval_description", "evidence_source",
+        PASSAGE_SENTENCE, "display_name", "metric_name", "metric_code", "interval_description", "evidence_source",
     )
     # The guideline file is a few rows, so numbering it in one task is safe.
     order = Window.partitionBy(F.lit(0)).orderBy("condition_pos", "metric_pos")
