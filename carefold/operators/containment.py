@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -21,6 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Runs of a failing step at a time while its documents are looked for.
+PARALLEL_RUNS = 8
+
 #: Takes rows, gives rows; what it gives for a row must not depend on the other rows.
 Rows = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -100,28 +104,35 @@ def poisoned(docs: DataFrame, run: Callable[[DataFrame], None], step: str, key:
     """
     bits = F.xxhash64(key)
     run(docs.limit(0))
-    found: list[tuple] = []
 
-    def look(part: DataFrame, level: int) -> None:
+    def raised(part: DataFrame) -> Exception | None:
         try:
             run(part)
-            return
         except AnalysisException:
             raise
         except Exception as error:  # noqa: BLE001  the documents that raise it are looked for
-            raised = error
-        few = part.select(key).distinct().limit(2).collect()
-        if not few:
-            raise raised
-        if len(few) == 1 or level == 64:
-            kind, message = described(raised)
-            found.extend((row[0], step, kind, message) for row in part.select(key).distinct().collect())
-            return
-        bit = F.shiftrightunsigned(bits, level).bitwiseAND(F.lit(1))
-        look(part.filter(bit == 0), level + 1)
-        look(part.filter(bit == 1), level + 1)
+            return error
+        return None
 
-    look(docs, 0)
+    found: list[tuple] = []
+    parts, level = [docs], 0
+    # the parts of a level are runs of their own, some at a time
+    with ThreadPoolExecutor(PARALLEL_RUNS) as pool:
+        while parts:
+            halves = []
+            for part, error in zip(parts, pool.map(raised, parts), strict=True):
+                if error is None:
+                    continue
+                few = part.select(key).distinct().limit(2).collect()
+                if not few:
+                    raise error
+                if len(few) == 1 or level == 64:
+                    kind, message = described(error)
+                    found.extend((row[0], step, kind, message) for row in part.select(key).distinct().collect())
+                    continue
+                bit = F.shiftrightunsigned(bits, level).bitwiseAND(F.lit(1))
+                halves += [part.filter(bit == 0), part.filter(bit == 1)]
+            parts, level = halves, level + 1
     return found
 
 
