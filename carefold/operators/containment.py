@@ -6,13 +6,14 @@ Two ways lead to the same ``error`` column (step, type, message; null where all
   row that raises is alone; it becomes an error row. A row costs at most twice the logarithm of its batch in repeats.
 * ``checked`` takes a column that holds a message where a row cannot be processed, such as one built on ``try_*`` functions.
 
-``poisoned`` is for steps that are plans of their own and fail as a whole job: it halves the documents until those that
-raise are alone.
+``poisoned`` is for steps that are plans of their own and fail as a whole job: it stores the documents in buckets and halves
+those that raise until the documents that raise are alone.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
@@ -20,10 +21,14 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
+
+from carefold.session import shared_folder
 
 #: Runs of a failing step at a time while its documents are looked for.
 PARALLEL_RUNS = 8
+#: Documents of a bucket, about.
+BUCKET_DOCS = 512
 
 #: Takes rows, gives rows; what it gives for a row must not depend on the other rows.
 Rows = Callable[[pd.DataFrame], pd.DataFrame]
@@ -95,15 +100,27 @@ def quarantine(df: DataFrame, key: str = "document_id") -> tuple[DataFrame, Data
     return df.drop("error").join(failed.select(F.col(key).alias("_failed")), F.col(key).eqNullSafe(F.col("_failed")), "left_anti"), failed
 
 
-def poisoned(docs: DataFrame, run: Callable[[DataFrame], None], step: str, key: str = "document_id") -> list[tuple]:
-    """(key, step, error_type, message) of the documents on which ``run`` raises, found by halving the documents.
+def poisoned(
+    docs: DataFrame, run: Callable[[DataFrame], None], step: str, key: str = "document_id", folder: str | None = None, bucket: int = BUCKET_DOCS,
+) -> list[tuple]:
+    """(key, step, error_type, message) of the documents on which ``run`` raises.
 
-    Halves are taken by the bits of a hash of the key, so a half is a filter over ``docs`` and no list of keys reaches the
-    driver; a run is repeated about twice the logarithm of their number for each document that raises. An error that also
-    arises without any document, or while a plan is built, is none of the documents': it is raised again.
+    The documents are stored once, below ``folder`` or the shared folder, in buckets of about ``bucket`` by a hash of the key. A
+    run over a part of a bucket reads that bucket alone, so a run costs the same however many documents there are. Buckets
+    that raise are halved by the bits of another hash; of two halves of a part that raises, the second one is not run as a whole
+    where the first one passes. Each document found was run by itself; it costs about the logarithm of its bucket in runs. An error
+    that also arises without any document, or while a plan is built, is none of the documents': it is raised again.
     """
-    bits = F.xxhash64(key)
     run(docs.limit(0))
+    spark = docs.sparkSession
+    path = f"{folder or shared_folder(spark)}/buckets-{uuid.uuid4().hex}"
+    n_buckets = docs.count() // bucket + 1
+    stored = docs.withColumn("_bucket", F.pmod(F.xxhash64(key, F.lit("bucket")), F.lit(n_buckets)).cast("int"))
+    stored.repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+    # the buckets' folders are listed once; a filter by their number leaves one
+    schema = StructType(docs.schema.fields).add("_bucket", IntegerType())
+    stored = spark.read.schema(schema).parquet(path)
+    place = F.xxhash64(key)
 
     def raised(part: DataFrame) -> Exception | None:
         try:
@@ -114,26 +131,38 @@ def poisoned(docs: DataFrame, run: Callable[[DataFrame], None], step: str, key:
             return error
         return None
 
-    found: list[tuple] = []
-    parts, level = [docs], 0
-    # the parts of a level are runs of their own, some at a time
+    def searched(number: int) -> list[tuple]:
+        whole = stored.filter(F.col("_bucket") == number).drop("_bucket")
+        if (error := raised(whole)) is None:
+            return []
+        keys = [tuple(r) for r in whole.select(place, key).distinct().collect()]
+        return halved(whole, keys, 0, 0, error)
+
+    def halved(whole: DataFrame, keys: list[tuple], level: int, low: int, error: Exception | None) -> list[tuple]:
+        """The documents among ``keys`` that raise; ``error`` is what they raise together, None where that was not run."""
+
+        def part(level: int, low: int) -> DataFrame:
+            return whole.filter(place.bitwiseAND(F.lit((1 << level) - 1)) == F.lit(low)) if level else whole
+
+        if len(keys) == 1 or level == 63:
+            error = error or raised(part(level, low))
+            return [] if error is None else [(k, step, *described(error)) for _, k in keys]
+        halves = [([x for x in keys if (x[0] >> level) & 1 == bit], low | (bit << level)) for bit in (0, 1)]
+        if not all(mine for mine, _ in halves):
+            return halved(whole, *next((mine, level + 1, at) for mine, at in halves if mine), error)
+        (first, first_at), (second, second_at) = halves
+        seen = raised(part(level + 1, first_at))
+        if seen is None:
+            # a document that raises must then be in the second half
+            return halved(whole, second, level + 1, second_at, None)
+        found = halved(whole, first, level + 1, first_at, seen)
+        seen = raised(part(level + 1, second_at))
+        return found if seen is None else found + halved(whole, second, level + 1, second_at, seen)
+
+    numbers = [r[0] for r in stored.select("_bucket").distinct().collect()]
+    # the buckets are runs of their own, some at a time
     with ThreadPoolExecutor(PARALLEL_RUNS) as pool:
-        while parts:
-            halves = []
-            for part, error in zip(parts, pool.map(raised, parts), strict=True):
-                if error is None:
-                    continue
-                few = part.select(key).distinct().limit(2).collect()
-                if not few:
-                    raise error
-                if len(few) == 1 or level == 64:
-                    kind, message = described(error)
-                    found.extend((row[0], step, kind, message) for row in part.select(key).distinct().collect())
-                    continue
-                bit = F.shiftrightunsigned(bits, level).bitwiseAND(F.lit(1))
-                halves += [part.filter(bit == 0), part.filter(bit == 1)]
-            parts, level = halves, level + 1
-    return found
+        return [row for rows in pool.map(searched, numbers) for row in rows]
 
 
 _PYTHON = re.compile(r"^(?:\w+\.)*(\w*(?:Error|Exception)): (.*)$", re.M)

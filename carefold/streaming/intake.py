@@ -83,19 +83,20 @@ FAILURE = "document_id string, step string, error_type string, message string"
 
 
 def run_step(
-    good: DataFrame, step: str, work: Work, write: Callable[[DataFrame, str], None], staged: Callable[[DataFrame, str], DataFrame]
+    good: DataFrame, step: str, work: Work, write: Callable[[DataFrame, str], None], staged: Callable[[DataFrame, str], DataFrame],
+    scratch: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Writes the step's tables for the documents it does not fail on; gives these documents' rows and the failures.
 
     Tables with an ``error`` column are staged first, so that each row is worked on once. If the step raises, the documents
-    that make it raise are found by halves and the step runs again without them.
+    that make it raise are found by halves of buckets below ``scratch`` and the step runs again without them.
     """
     try:
         return _written(good, step, work, write, staged)
     except AnalysisException:
         raise
     except Exception:
-        bad = containment.poisoned(good, lambda part: _tried(work(part)), step)
+        bad = containment.poisoned(good, lambda part: _tried(work(part)), step, folder=scratch)
         if not bad:
             # none of the documents raises by itself: what failed was the run, which is tried once more
             return _written(good, step, work, write, staged)
@@ -167,7 +168,7 @@ def run_intake(
             good, failed = split_failures(batch, "ocr", problem)
             log = status_rows(batch, "queued", batch_id)
             for step, work in steps.items():
-                good, lost = run_step(good, step, work, write, staged)
+                good, lost = run_step(good, step, work, write, staged, os.path.join(folder, "_staged", f"run={run}", f"batch_id={batch_id}"))
                 failed = failed.unionByName(lost)
                 log = log.unionByName(status_rows(good, step, batch_id))
             write(failed, "quarantine")

@@ -282,6 +282,22 @@ def test_documents_that_break_a_job_are_found_by_halves(spark):
         containment.poisoned(docs, always, "ner")
 
 
+def test_documents_that_break_a_job_cost_runs_over_their_bucket_only(spark):
+    docs = spark.range(600).select(F.concat(F.lit("d"), "id").alias("document_id"), "id")
+    docs = docs.unionByName(docs.filter("id % 3 = 0")).unionByName(docs.limit(1).select(F.lit(None).cast("string").alias("document_id"), F.lit(40).alias("id")))
+    bad, sizes = (17, 40, 204, 205, 206, 511), []
+
+    def run(part):
+        sizes.append(part.count())
+        value = F.when(F.col("id").isin(*bad), F.raise_error(F.concat(F.lit("bad "), "id"))).otherwise(F.col("id"))
+        part.select(value.alias("v")).write.format("noop").mode("overwrite").save()
+
+    found = containment.poisoned(docs, run, "ner", bucket=100)
+    wanted = [(f"d{k}", f"bad {k}") for k in bad] + [(None, "bad 40")]
+    assert sorted(((r[0], r[3]) for r in found), key=str) == sorted(wanted, key=str)
+    assert max(sizes) < 250 and len(sizes) < 150
+
+
 def test_a_failing_step_skips_its_documents_and_a_broken_plan_stops(spark, tmp_path):
     schema = "document_id string, span_pos int, text string, confidence double"
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
