@@ -128,6 +128,11 @@ class OrderedPages:
         """Of all points; reads the root alone."""
         return self._summary(ROOT)
 
+    def root_points(self) -> list[Point] | None:
+        """All points while the root page holds them itself, else None."""
+        leaf, _, entries = self._page(ROOT)
+        return entries if leaf else None
+
     # ------------------------------------------------------------------ changes
     def put(self, point: Point) -> None:
         """Takes in a point; one of the same key is replaced."""

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from carefold.operators import containment, masking, trends
@@ -242,6 +243,62 @@ def test_lookups_see_the_value_of_their_own_time(spark, tmp_path):
     assert len(found) == len(set(found)) and set(found) == wanted
 
 
+def test_a_slice_of_many_patients_is_read_and_written_in_few_state_calls():
+    calls = []
+
+    class Held(dict):
+        def getValue(self, key):
+            calls.append("get")
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            calls.append("put")
+            self[key] = value
+
+        def removeKey(self, key):
+            self.pop(key, None)
+
+    class One:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("put")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return One()
+
+        def getMapState(self, *_):
+            return Held()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    def arrivals(n, patients):
+        return [Row(patient_id=p, entity_id=f"e{k}", micros=k * 1000 + 1, ord=0, value=float(k % 9), low=2.0, high=None, unit="u", confidence=0.5)
+                for p in patients for k in range(n)]
+
+    state = running_trends.SliceState(30, True)
+    state.init(Handle())
+    for again in range(2):
+        found = list(state.handleInputRows((0, "c", 0), iter(arrivals(20, range(16))), Times()))
+        assert {(r.patient_id, r.points) for r in found} == {(p, 20) for p in range(16)}
+    assert calls.count("get") == calls.count("put") == 2 and calls.count("timer") == 1
+    # one series grows beyond a page; points that come again still count once
+    for again in range(2):
+        found = list(state.handleInputRows((0, "c", 0), iter(arrivals(300, [5])), Times()))
+        assert [(r.patient_id, r.points, r.tail[-1]["entity_id"]) for r in found] == [(5, 300, "e299")]
+
+
 # --------------------------------------------------------------------------- containment
 def test_a_row_that_raises_costs_only_itself(spark):
     def raises(rows):
