@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 MATCH_TYPE = "array<struct<start:int,end:int,value:string>>"
 # Items per block where an array is worked on in two levels.
 BLOCK = 256
+# Stands for a match while a text is split; a text that holds it is split by the pattern itself.
+MARK = "\u0001"
 
 
 def empty_array(ddl: str) -> Column:
@@ -69,6 +71,15 @@ def _larger(a: Column, b: Column) -> Column:
     return F.greatest(a, b)
 
 
+def split_at(text: Column, pattern: str) -> Column:
+    """The texts around the matches of ``pattern``, as ``split`` with all empty ones; a match must not be empty.
+
+    ``split`` compiles its pattern anew for every row, ``regexp_replace`` once.
+    """
+    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(MARK)), MARK, -1)
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, pattern, -1)).otherwise(marked)
+
+
 def cut(text: Column, pattern: str) -> Column:
     """The gaps around the matches of ``pattern`` and the matches, or null without a match.
 
@@ -77,7 +88,7 @@ def cut(text: Column, pattern: str) -> Column:
     return F.when(
         text.rlike(pattern),
         F.struct(
-            F.split(text, pattern, -1).alias("gaps"),
+            split_at(text, pattern).alias("gaps"),
             F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
         ),
     )
@@ -125,7 +136,7 @@ def pieces_between(text: Column, pattern: str) -> Column:
         return F.struct((end - F.length(x["gap"])).alias("start"), end.alias("end"), x["gap"].alias("value"))
 
     pieces = F.struct(
-        F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+        split_at(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
     return F.transform(placed(pieces), piece)
 
 

@@ -84,7 +84,36 @@ LAB_VALUE = rf"(?iU)^\s*[:\-=]?\s*({NUMBER})\s*({_UNITS})?"
 
 
 def _any_of(patterns: Iterable[str]) -> str:
-    return "(?iU)" + "|".join(patterns)
+    """One pattern for all: phrases between word boundaries share them, and a look at the first letter rules most places out."""
+    patterns = list(patterns)
+    phrases = [m[1] for m in map(re.compile(r"\\b([a-zA-Z].*)\\b").fullmatch, patterns) if m and not re.search(r"\||\\b", re.sub(r"\(\?:[^()]*\)", "", m[1]))]
+    if len(phrases) < len([p for p in patterns if p.startswith(r"\b")]):
+        return "(?iU)" + "|".join(patterns)
+    others = [p for p in patterns if not p.startswith(r"\b")]
+    first = "".join(sorted({p[0].lower() for p in phrases}))
+    return "(?iU)" + "|".join([rf"\b(?=[{first}])(?:{'|'.join(phrases)})\b", *others])
+
+
+def _one_of(options: Iterable[str]) -> str:
+    """A pattern for any of the ASCII texts ``options``, the longest that fits first, with shared beginnings written once.
+
+    Texts that fit at one place begin with each other, so the longest is the one that goes on longest.
+    """
+    tree: dict = {}
+    for option in options:
+        node = tree
+        for char in option:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        parts = [_escape(char) + written(below) for char, below in sorted(node.items()) if char]
+        if "" in node:
+            return f"(?:{'|'.join(parts)})?" if parts else ""
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    first = "".join(c if c.isalnum() else "\\" + c for c in sorted(c for c in tree if c))
+    return f"(?=[{first}])(?:{written(tree)})"
 
 
 # --------------------------------------------------------------------------- dictionary
@@ -143,13 +172,15 @@ class Dictionary:
         """Case-insensitive pattern of the long aliases, exact one of the short ones."""
         names = list(dict.fromkeys(self.aliases[domain]))
         ordered = sorted(names, key=len, reverse=True)
-        long = [_escape(a) for a in ordered if len(a) > SHORT_ALIAS]
-        short = [_escape(a) for a in ordered if len(a) <= SHORT_ALIAS]
+        long = [a for a in ordered if len(a) > SHORT_ALIAS]
+        short = [a for a in ordered if len(a) <= SHORT_ALIAS]
 
         def bounded(options: list[str], flags: str) -> str | None:
             if not options:
                 return None
-            return f"{flags}(?<![A-Za-z0-9])(?:{'|'.join(options)})(?![A-Za-z0-9])"
+            # letters beyond ASCII have case rules of their own
+            one = _one_of(o.lower() if flags else o for o in options) if all(options) and "".join(options).isascii() else f"(?:{'|'.join(map(_escape, options))})"
+            return f"{flags}(?<![A-Za-z0-9]){one}(?![A-Za-z0-9])"
 
         return bounded(long, "(?iu)"), bounded(short, "")
 
@@ -178,7 +209,11 @@ def alias_hits(text: Column, dictionary: Dictionary, domain: str) -> Column:
             text_after(text, m["end"]).alias("after"),
         ),
     )
-    return F.concat(tag(first, "lower"), tag(sp.drop_claimed(second, first), "exact"))
+    # both are searched for once: an expression within a lambda runs again for every item
+    return sp.bound(
+        F.struct(first.alias("first"), second.alias("second")),
+        lambda hits: F.concat(tag(hits["first"], "lower"), tag(sp.drop_claimed(hits["second"], hits["first"]), "exact")),
+    )
 
 
 def mentions(spans: DataFrame, dictionary: Dictionary, keep: list[str]) -> DataFrame:
@@ -255,7 +290,7 @@ def frequency(near: Column) -> Column:
 # --------------------------------------------------------------------------- assertion
 def before_in_sentence(before: Column) -> Column:
     """The part of the text before a mention that lies in its sentence."""
-    return F.element_at(F.split(before, SENTENCE_BREAK, -1), -1)
+    return F.element_at(sp.split_at(before, SENTENCE_BREAK), -1)
 
 
 def after_in_sentence(matched: Column, after: Column, length: Column) -> Column:
@@ -265,7 +300,7 @@ def after_in_sentence(matched: Column, after: Column, length: Column) -> Column:
     """
     reach = F.substring(F.concat(matched, after), F.lit(1), length + AFTER_WINDOW)
     return F.substring(
-        F.split(reach, SENTENCE_BREAK, -1)[0], length + 1, F.lit(AFTER_WINDOW)
+        sp.split_at(reach, SENTENCE_BREAK)[0], length + 1, F.lit(AFTER_WINDOW)
     )
 
 

@@ -63,6 +63,9 @@ NOTES = {
             + " ".join(f"WHEN {i} THEN {line}" for i, line in enumerate(NOTE_LINES)) + " END",
 }
 
+# Bytes of events for one task: about 200,000 lines, half a minute of extraction.
+NOTE_TASK_BYTES = 4 << 20
+
 # documents with a report line at their end
 DOCUMENT_LINE = (
     NOTES["text"].replace("event_id", "doc_id").replace("user_id", "(doc_id % 150)")
@@ -197,7 +200,8 @@ class Inputs:
         return self.derive("events", OBSERVATIONS)
 
     def notes(self) -> DataFrame:
-        return spread(self.derive("events", NOTES))
+        # a line is made where it is read: what is dealt out are the few columns of its event
+        return spread(self.table("events").select("event_id", "user_id", "value"), NOTE_TASK_BYTES).selectExpr(*select_list(NOTES))
 
     def spans(self) -> DataFrame:
         return spread(self.derive("conversations", SPANS))

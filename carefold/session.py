@@ -67,12 +67,15 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, task_bytes: int | None = None) -> DataFrame:
     """Gives a scan at least one partition per core before row-local text work.
 
     A table that comes in fewer splits than the cluster has cores would leave
     cores idle. Tables of ordinary size have more splits and pass unchanged, so
-    no shuffle is added where it would cost anything.
+    no shuffle is added where it would cost anything. ``task_bytes`` bounds what one task is given by the optimizer's
+    estimate, for narrow rows that stand for much work.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    wanted = scan.sparkSession.sparkContext.defaultParallelism
+    if task_bytes is not None:
+        wanted = max(wanted, -(-estimated_bytes(scan) // task_bytes))
+    return scan.repartition(wanted) if scan.rdd.getNumPartitions() < wanted else scan

@@ -1,8 +1,13 @@
 """Extraction rules on sentences of each kind."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from carefold.functions import spans as sp
 from carefold.operators import entities, layout
+from carefold.session import spread
 
 DICTIONARY = entities.Dictionary.builtin()
 
@@ -118,3 +123,36 @@ def test_sentences_and_fallback(spark):
 def test_too_many_aliases_are_refused():
     with pytest.raises(ValueError):
         entities.Dictionary(DICTIONARY.entries, 10)
+
+
+def test_shared_beginnings_find_what_the_plain_alternation_finds(spark):
+    dictionary = entities.Dictionary.builtin()
+    rng = random.Random(4)
+    words = [a for d in entities.DOMAINS for a in dictionary.aliases[d]] + ["x", "9", "\u212a+", "K", "metforminx", "low", "HDL", "hdl"]
+    texts = [rng.choice(["", " "]).join(
+        "".join(rng.choice([c, c.upper(), c.lower()]) for c in rng.choice(words)) + rng.choice(["", " ", ", ", "-", "\n"]) for _ in range(8)
+    ) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for domain in entities.DOMAINS:
+        ordered = sorted(dict.fromkeys(dictionary.aliases[domain]), key=len, reverse=True)
+        flat = [
+            flags + "(?<![A-Za-z0-9])(?:" + "|".join(map(entities._escape, [a for a in ordered if (len(a) > 3) == (flags != "")])) + ")(?![A-Za-z0-9])"
+            for flags in ("(?iu)", "")
+        ]
+        for new, old in zip(dictionary.patterns(domain), flat, strict=True):
+            assert len(new) < len(old) + 60
+            both = df.select(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (new, old)]).collect()
+            assert all(a == b for a, b in both) and any(a for a, _ in both)
+
+
+def test_texts_are_split_as_by_the_pattern(spark):
+    texts = ["", "a. b", ". a\n\nb. ", "one", "x\u0001y. z", "\n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select(sp.split_at(F.col("text"), entities.SENTENCE_BREAK).alias("a"), F.split("text", entities.SENTENCE_BREAK, -1).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+
+
+def test_narrow_rows_are_dealt_out_by_their_bytes(spark):
+    rows = spark.range(0, 1 << 20, 1, 2)
+    assert spread(rows, 1 << 20).rdd.getNumPartitions() >= 8
+    assert spread(rows).rdd.getNumPartitions() <= max(2, spark.sparkContext.defaultParallelism)
