@@ -1,6 +1,9 @@
 """Search, ranking, screening and verification on small tables."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +170,23 @@ def test_of_equal_ids_the_one_added_last_stays(spark):
         "patient_id string, rank int, guideline_id string, text string, source string, section string, citation string, relevance_score double")
     (row,) = evidence.pool(evidence.guideline_evidence(items), min_relevance=0.5).collect()
     assert row.text == "aa last"
+
+
+def test_a_full_cell_is_scored_in_little_memory():
+    n, draw = 4096, np.random.default_rng(3)
+    vectors = draw.normal(size=(n, 16))
+    vectors[100:120] = vectors[7]
+    side = lambda key: pd.DataFrame({key: np.arange(n), "vector": list(vectors)})
+    search, queries, passages = retrieval._cell_search(8), side("query_id"), side("passage_id").sample(frac=1, random_state=1)
+    tracemalloc.start()
+    found = search(queries, passages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = unit @ unit.T
+    assert len(found) == n * 8 and (found.groupby("query_id").size() == 8).all()
+    best = np.sort(scores, axis=1)[:, ::-1][:, :8]
+    assert np.allclose(found["score"].to_numpy().reshape(n, 8), best)
+    assert np.allclose(scores[found["query_id"], found["passage_id"]], found["score"])
+    assert search(queries.head(0), passages).empty
