@@ -61,14 +61,18 @@ def run_extractors(df: DataFrame, extractors: Mapping[str, Rows], schema: str, k
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, work in extractors.items():
-                for part, error in _halved(batch, work) if len(batch) else ():
-                    out = part[[key]].copy()
-                    for column in given:
-                        out[column] = part[column] if error is None else None
-                    out["extractor"] = name
-                    out["_type"] = None if error is None else type(error).__name__
-                    out["_message"] = None if error is None else _text(error)
-                    yield out[names]
+                if not len(batch):
+                    continue
+                # one table for a batch, as each given table is a message of its own
+                parts = []
+                for part, error in _halved(batch, work):
+                    out = {key: part[key], **{column: part[column] if error is None else None for column in given}}
+                    parts.append(pd.DataFrame({
+                        **out, "_type": None if error is None else type(error).__name__, "_message": None if error is None else _text(error),
+                    }, index=part.index))
+                whole = pd.concat(parts, ignore_index=True)
+                whole["extractor"] = name
+                yield whole[names]
 
     found = df.mapInPandas(run, f"`{key}` {kind}, extractor string, {schema}, _type string, _message string")
     error = F.struct(F.col("extractor").alias("step"), F.col("_type").alias("error_type"), F.col("_message").alias("message"))

@@ -4,6 +4,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -380,3 +381,35 @@ def test_a_failing_step_skips_its_documents_and_a_broken_plan_stops(spark, tmp_p
     query = intake.run_intake(intake.read_spans(spark, source, schema), str(tmp_path / "o2"), str(tmp_path / "c2"), broken, none)
     with pytest.raises(Exception, match="no such column"):
         query.awaitTermination()
+
+
+def test_errors_of_a_batch_come_in_one_table(spark):
+    def raises(rows):
+        if (rows["n"] % 5 == 0).any():
+            raise ValueError("five")
+        return rows.assign(v=rows["n"])
+
+    df = spark.range(2_000).select(F.concat(F.lit("d"), "id").alias("document_id"), F.col("id").alias("n")).coalesce(1)
+    numbered = containment.run_extractors(df, {"a": raises}, "v long").withColumn("part", F.monotonically_increasing_id())
+    found = numbered.collect()
+    assert sorted(r.v for r in found if r.error is None) == [k for k in range(2_000) if k % 5]
+    assert sorted(r.document_id for r in found if r.error is not None) == sorted(f"d{k}" for k in range(0, 2_000, 5))
+    handed = []
+    real = pd.concat
+    pd.concat = lambda parts, **k: handed.append(len(parts)) or real(parts, **k)
+    try:
+        run = {}
+
+        class Frame:
+            schema = df.schema
+
+            def mapInPandas(self, work, _):
+                run["work"] = work
+                raise StopIteration
+
+        with pytest.raises(StopIteration):
+            containment.run_extractors(Frame(), {"a": raises}, "v long")
+        tables = list(run["work"](iter([df.toPandas()])))
+    finally:
+        pd.concat = real
+    assert len(tables) == 1 and len(tables[0]) == 2_000 and max(handed) > 400
