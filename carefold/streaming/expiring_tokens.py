@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -68,7 +68,7 @@ def values_as_of(
     keys = (*scope, "token")
     given = events.select(*keys, "event_id", "ts", "value").filter("token IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL")
     timed = given.withWatermark("ts", lateness).withColumn("micros", F.unix_micros("ts"))
-    return timed.groupBy(*keys).transformWithStateInPandas(
+    return timed.groupBy(*keys).transformWithState(
         statefulProcessor=AsOfState(ttl_seconds * 1_000_000, keys),
         outputStructType=", ".join(f"`{k}` string" for k in keys) + ", event_id long, value string",
         outputMode="Append",
@@ -87,24 +87,24 @@ class AsOfState(StatefulProcessor):
         self.held = handle.getValueState("held", "saved string, asked string")
 
     def _get(self) -> tuple[list, list]:
-        saved, asked = self.held.get() if self.held.exists() else ("[]", "[]")
+        held = self.held.get()
+        saved, asked = ("[]", "[]") if held is None else held
         return json.loads(saved), json.loads(asked)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         saved, asked = self._get()
-        for batch in rows:
-            for r in batch.itertuples(index=False):
-                at = int(r.micros)
-                if isinstance(r.value, str):
-                    saved.append([at, int(r.event_id), r.value])
-                    self.handle.registerTimer(-(-(at + self.ttl) // 1000))
-                else:
-                    asked.append([at, int(r.event_id)])
-                    self.handle.registerTimer(at // 1000 + 1)
+        for r in rows:
+            at = int(r.micros)
+            if r.value is not None:
+                saved.append([at, int(r.event_id), r.value])
+                self.handle.registerTimer(-(-(at + self.ttl) // 1000))
+            else:
+                asked.append([at, int(r.event_id)])
+                self.handle.registerTimer(at // 1000 + 1)
         self.held.update((json.dumps(sorted(saved)), json.dumps(sorted(asked))))
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         saved, asked = self._get()
         # rows at the watermark itself may still come
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -121,12 +121,8 @@ class AsOfState(StatefulProcessor):
             self.held.update((json.dumps(kept), json.dumps(left)))
         else:
             self.held.clear()
-        if answers:
-            count = len(answers)
-            yield pd.DataFrame({
-                **{k: [v] * count for k, v in zip(self.keys, key, strict=True)},
-                "event_id": [a[0] for a in answers], "value": [a[1] for a in answers],
-            })
+        for event, value in answers:
+            yield Row(**dict(zip(self.keys, key, strict=True)), event_id=event, value=value)
 
     def close(self) -> None:
         pass

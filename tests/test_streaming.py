@@ -413,3 +413,27 @@ def test_errors_of_a_batch_come_in_one_table(spark):
     finally:
         pd.concat = real
     assert len(tables) == 1 and len(tables[0]) == 2_000 and max(handed) > 400
+
+
+def test_lookups_of_a_token_read_their_state_once():
+    calls = []
+
+    class Held:
+        def get(self):
+            calls.append("get")
+
+        def update(self, value):
+            calls.append("put")
+
+    class Handle:
+        def getValueState(self, *_):
+            return Held()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    state = expiring_tokens.AsOfState(1_000_000, ("token",))
+    state.init(Handle())
+    rows = [Row(token="t", event_id=k, micros=5_000 * k, value=None if k else "v") for k in range(3)]
+    assert list(state.handleInputRows(("t",), iter(rows), None)) == []
+    assert calls == ["get", "timer", "timer", "timer", "put"]
