@@ -163,7 +163,7 @@ def write(df: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int =
             sink.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "n_docs": [len(writer.keys)], "n_ids": [total]})
 
-    made = common.store(common.map_arrow(dealt, run, "shard long, file string, n_docs long, n_ids long"), "id-files")
+    made = common.store(common.map_arrow(dealt, run, "shard long, file string, n_docs long, n_ids long", bpe.KEEPS), "id-files")
     index, before = [], 0
     for row in made.orderBy("shard").toLocalIterator():
         index.append({"file": row.file, "start": before, "n_docs": row.n_docs, "n_ids": row.n_ids})
@@ -199,7 +199,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
                             rows = []
                     yield _batch(rows)
 
-    return common.map_arrow(files, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return common.map_arrow(files, run, "doc_id long, start long, n_tokens long, ids_crc32 long", bpe.KEEPS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

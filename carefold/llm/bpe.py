@@ -38,8 +38,8 @@ UNSAFE = rf"{_WS} (?:{_WS}|$)|^ (?:{_WS}|$)"
 #: Finds a character beyond Latin.
 BEYOND = regex.compile("[^\\x00-\\u024f]").search
 
-_LOADED: dict[str, "Encoder"] = {}
-_DECODERS: dict[str, "Decoder"] = {}
+#: The kind of tasks that keep encoders and decoders.
+KEEPS = "byte-bpe"
 
 
 def byte_characters() -> list[str]:
@@ -164,12 +164,12 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> "Encoder":
         """One encoder per worker and vocabulary file, built from ranks or read from a tokenizer file."""
-        if path not in _LOADED:
+        def build() -> "Encoder":
             if path.endswith(".json"):
-                _LOADED[path] = cls(Tokenizer.from_file(path), own_split=True)
-            else:
-                _LOADED[path] = cls(build_tokenizer(load_ranks(path)))
-        return _LOADED[path]
+                return cls(Tokenizer.from_file(path), own_split=True)
+            return cls(build_tokenizer(load_ranks(path)))
+
+        return common.kept(KEEPS, f"encoder:{path}", build)
 
     def _strings(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of any strings in a row and their counts: split by the pattern, unseen matches through the library."""
@@ -250,9 +250,7 @@ class Decoder:
 
     @classmethod
     def of(cls, path: str) -> "Decoder":
-        if path not in _DECODERS:
-            _DECODERS[path] = cls(path)
-        return _DECODERS[path]
+        return common.kept(KEEPS, f"decoder:{path}", lambda: cls(path))
 
     def bytes_of(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -308,7 +306,7 @@ def encode(
                 columns["decoded"] = decoder.lists(columns["ids"])
             yield pa.RecordBatch.from_pydict(columns)
 
-    return common.map_arrow(source, run, schema)
+    return common.map_arrow(source, run, schema, KEEPS)
 
 
 def decode(df: DataFrame, path: str = RANKS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -321,7 +319,7 @@ def decode(df: DataFrame, path: str = RANKS, keep: tuple[str, ...] = ("doc_id",)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, decoder.lists(batch.column(len(keep)))], [*keep, "ids", "decoded"])
 
-    return common.map_arrow(source, run, schema)
+    return common.map_arrow(source, run, schema, KEEPS)
 
 
 def digests(df: DataFrame, path: str = RANKS) -> DataFrame:

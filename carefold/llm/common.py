@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -98,10 +100,46 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = S
         yield batch.slice(begin)
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` over batches of bounded bytes, so that long rows do not make large batches."""
+#: What this process has built and keeps from one task to the next, by the kind of tasks that use it.
+_KEPT: dict[str, dict[str, Any]] = {}
+
+
+def kept(kind: str, name: str, build: Callable[[], Any]) -> Any:
+    """What ``build`` gives, built once and kept until a task of another kind runs in this process."""
+    built = _KEPT.setdefault(kind, {})
+    if name not in built:
+        built[name] = build()
+    return built[name]
+
+
+def drop_kept(keeps: str | None) -> None:
+    """Drops what is kept for other kinds than ``keeps``, and gives freed memory back to the machine.
+
+    Workers outlive their stage; what they keep would lie beside what the next stage needs.
+    """
+    others = [k for k in _KEPT if k != keeps]
+    for kind in others:
+        del _KEPT[kind]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if others else None
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, keeps: str | None = None
+) -> DataFrame:
+    """``mapInArrow`` over batches of bounded bytes, so that long rows do not make large batches.
+
+    ``keeps`` is the kind of ``kept`` objects that the tasks use, or that tasks between them use.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept(keeps)
+        yield from run(batches)
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
 
 
 def plain(df: DataFrame, *names: str) -> DataFrame:

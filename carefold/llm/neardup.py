@@ -42,6 +42,8 @@ LIKELY = 0.7
 #: Of four bits of every component, so many components may differ: 72 are expected at 0.8, and 35 more are 4.5 deviations.
 DIFFERING = 107
 _WORDS = -(-SIZE // 16)
+#: Bytes of text worked on at once: a slice takes some 25 times that in arrays, beside all that the executor holds by then.
+_SLICE_BYTES = common.SLICE_BYTES // 4
 _LOWEST = 0x1111111111111111
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,7 +130,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, tag and hash of the text, node (null without a shingle), n, keys, bits and marks of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, limit=_SLICE_BYTES):
             made = sketch(common.text_column(batch))
             none = pa.array(~made["has"])
             keys, bits = (
@@ -168,7 +170,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, screened: bool
         needed, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("text", "want")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, limit=_SLICE_BYTES):
             words = Words(common.text_column(batch), ALNUM, lower=True)
             found, _, rows = shingles(words)
             begin = np.searchsorted(rows, np.arange(words.rows + 1))

@@ -46,7 +46,8 @@ CACHED_MATCHES = 150_000
 #: Whether a piece holds only characters whose normal form, lower case and kind are the same everywhere.
 PLAIN = regex.compile(r"[!-~\u00c0-\u024f]*").fullmatch
 
-_LOADED: dict[str, "WordEncoder"] = {}
+#: The kind of tasks that keep an encoder.
+KEEPS = "word-bpe"
 
 
 class WordEncoder:
@@ -74,9 +75,7 @@ class WordEncoder:
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
-        if path not in _LOADED:
-            _LOADED[path] = cls(path)
-        return _LOADED[path]
+        return common.kept(KEEPS, path, lambda: cls(path))
 
     def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces in a row and their counts."""
@@ -142,7 +141,7 @@ def tokens(df: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts + 1), packed], ["row", "doc_id", "n_tokens", "ids"])
 
     numbered = common.plain(df, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return common.map_arrow(numbered, run, "row long, doc_id long, n_tokens long, ids binary")
+    return common.map_arrow(numbered, run, "row long, doc_id long, n_tokens long, ids binary", KEEPS)
 
 
 class Step(NamedTuple):
@@ -322,7 +321,7 @@ def pack(df: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, en
             (F.col("full_before") + F.coalesce("full_base", F.lit(0))).alias("full_before"),
         )
     )
-    pieces = common.map_arrow(placed, _placer(steps, capacity, n_full), "row long, doc_tokens long, start long, length long, sequence_id long, offset long")
+    pieces = common.map_arrow(placed, _placer(steps, capacity, n_full), "row long, doc_tokens long, start long, length long, sequence_id long, offset long", KEEPS)
     found = pieces.join(stored.select("row", "doc_id", "ids"), "row")
     return found.select(
         "doc_id", "start", "length",
