@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-#: Rows of a range, on average.
-RANGE_ROWS = 100_000
+#: Rows of a range, on average; from so many ranges on, smaller ranges grow up to it.
+RANGE_ROWS, MANY_RANGES = 100_000, 256
 
 
 class RankIndex:
@@ -30,8 +30,10 @@ class RankIndex:
 
     @classmethod
     def build(cls, df: DataFrame, path: str, order: list[Column], range_rows: int = RANGE_ROWS) -> "RankIndex":
+        """Ranges have ``range_rows`` rows on average, as long as that makes few folders; those of a large table have up to ``RANGE_ROWS``."""
         index = cls(df.sparkSession, path, df.schema, order)
-        ranges = max(1, -(-df.count() // range_rows))
+        rows = df.count()
+        ranges = max(1, -(-rows // max(range_rows, min(RANGE_ROWS, -(-rows // MANY_RANGES)))))
         dealt = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
         dealt.sortWithinPartitions("_range", *order).write.mode("overwrite").partitionBy("_range").parquet(f"{index.path}/rows")
         # one row per range

@@ -104,3 +104,11 @@ def test_a_page_is_read_from_the_ranges_it_lies_in(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[isnotnull\(_range#\d+\), \(_range#\d+ = 9\)\]", plan)
     empty = rank_index.RankIndex.build(df.limit(0).drop("rank"), str(tmp_path / "e"), order)
     assert empty.page(1, 25).collect() == []
+
+
+def test_a_large_table_has_few_ranges_however_small_they_were_asked_for(spark, tmp_path):
+    df = spark.range(2000).select("id")
+    index = rank_index.RankIndex.build(df, str(tmp_path / "i"), [F.col("id").desc()], range_rows=2)
+    folders = [p for p in (tmp_path / "i" / "rows").iterdir() if p.name.startswith("_range=")]
+    assert 200 <= len(folders) <= rank_index.MANY_RANGES
+    assert [r.id for r in sorted(index.page(79, 25).collect(), key=lambda r: r.rank)] == list(range(49, 24, -1))
