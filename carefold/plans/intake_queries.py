@@ -193,7 +193,7 @@ SELECT e.temp_id, e.normalized_value, e.canonical_code, round(coalesce(e.coding_
   strftime(coalesce(e.entity_date, d.document_date, d.uploaded_at), '%Y-%m-%d') AS entity_date, 'unverified' AS verification_status
 FROM e LEFT JOIN d ON d.document_id = e.document_id""")
 def stored_entities(i: Inputs) -> DataFrame:
-    """Rows as persisted; the id is tied back to its temp id for the comparison."""
+    """Rows as persisted; the id is tied back to the temp id beside it for the comparison."""
     e = i.entities()
     plain = e.select(
         "document_id", "patient_id", "temp_id", "entity_type", "raw_value", "entity_label",
@@ -201,8 +201,8 @@ def stored_entities(i: Inputs) -> DataFrame:
         "ner_confidence", "combined_confidence", "is_negated", "assertion_status",
     )
     rows = tables.clinical_entities(plain, e, i.records())
-    ids = e.select(entity_uuid(F.col("document_id"), F.col("temp_id")).alias("id"), "temp_id")
-    return rows.join(ids, "id").select(
+    tied = rows.filter(F.col("id") == entity_uuid(F.col("document_id"), F.col("temp_id")))
+    return tied.select(
         "temp_id", "normalized_value", "canonical_code", F.round("confidence", 4).alias("confidence"),
         F.date_format("entity_date", "yyyy-MM-dd").alias("entity_date"), "verification_status",
     )

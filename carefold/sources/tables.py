@@ -14,7 +14,8 @@ def clinical_entities(entities: DataFrame, coded: DataFrame, documents: DataFram
     """Entities merged with their codes as stored rows; none is lost without a code.
 
     The coding confidence counts where there is one, and an undated entity takes
-    the document's date or, failing that, its upload time.
+    the document's date or, failing that, its upload time. ``temp_id`` stays beside
+    the id that is made of it, so that no one has to join to find it again.
     """
     codes = coded.filter(F.col("canonical_code").isNotNull()).select(
         "document_id", "temp_id", "normalized_value", "unit_canonical", "canonical_code",
@@ -28,7 +29,7 @@ def clinical_entities(entities: DataFrame, coded: DataFrame, documents: DataFram
         entities.join(codes, ["document_id", "temp_id"], "left")
         .join(dates, "document_id", "left")
         .select(
-            entity_uuid(F.col("document_id"), F.col("temp_id")).alias("id"),
+            entity_uuid(F.col("document_id"), F.col("temp_id")).alias("id"), "temp_id",
             "document_id", "patient_id", "entity_type", "raw_value", "entity_label",
             "normalized_value", "unit_raw", "unit_canonical", "canonical_code", "coding_system",
             F.coalesce("coding_confidence", "combined_confidence").alias("confidence"),

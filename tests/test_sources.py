@@ -1,6 +1,7 @@
 """Knowledge files, stored tables, triage and text assembly."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -159,3 +160,21 @@ def test_a_folder_of_documents_loads_like_one(spark):
     )
     assert sorted(few.collect()) == sorted(one.collect()) and one.count() == inputs.table("supplier").count()
     assert len(few.inputFiles()) > 1 and len(one.inputFiles()) == 1
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="needs the driver's tables")
+def test_stored_rows_keep_the_temp_id_beside_the_id(spark):
+    from carefold.functions.ids import entity_uuid
+    from carefold.plans import catalog
+    from carefold.plans.inputs import Inputs
+
+    kinds = "document_id string, patient_id string, temp_id string, entity_type string, raw_value string, entity_label string, unit_raw string, entity_date timestamp, " \
+        "source_span_start int, source_span_end int, ocr_confidence double, ner_confidence double, combined_confidence double, is_negated boolean, assertion_status string"
+    entities = spark.createDataFrame([("d", "p", t, *[None] * 12) for t in ("t1", "t2")], kinds)
+    coded = spark.createDataFrame([], "document_id string, temp_id string, normalized_value string, unit_canonical string, canonical_code string, coding_system string, "
+                                  "coding_confidence double, reference_range_low double, reference_range_high double, reference_range_unit string")
+    documents = spark.createDataFrame([("d", None, None)], "document_id string, document_date timestamp, uploaded_at timestamp")
+    rows = tables.clinical_entities(entities, coded, documents).withColumn("want", entity_uuid(F.col("document_id"), F.col("temp_id")))
+    assert {r.temp_id for r in rows.filter("id = want").collect()} == {"t1", "t2"}
+    plan = catalog.QUERIES["stored_entities"](Inputs(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
