@@ -17,26 +17,47 @@ def rebuild_lines(words: DataFrame, min_words: int = 10) -> DataFrame:
     Words share a line when their vertical centre rounds (half to even) to the
     same multiple of five; lines are read top to bottom, words left to right.
     Pages with no more than ``min_words`` words are left to recognition.
+
+    Words are dealt out by page once, as one list per column: lists of plain values shuffle in little more than the text.
+    Nulls, which lists leave out, are filled and marked in ``blank``. Lines are cut where the bucket changes in the sorted
+    words of a page. A word without a text adds nothing to its line; ``line_count`` counts lines, as words may hold line
+    breaks of their own.
     """
-    placed = words.select(
-        "document_id", "page",
-        (F.bround((F.col("y0") + F.col("y1")) / 2 / 5) * 5).alias("bucket"),
-        F.struct(
-            ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.col("word_pos"), F.col("text")
-        ).alias("word"),
-    )
-    lines = placed.groupBy("document_id", "page", "bucket").agg(
-        F.array_sort(F.collect_list("word")).alias("words")
-    )
-    pages = lines.groupBy("document_id", "page").agg(
-        F.sum(F.size("words")).alias("word_count"),
-        F.array_sort(
-            F.collect_list(F.struct("bucket", F.array_join("words.text", " ").alias("line")))
-        ).alias("lines"),
+    fields = {
+        "bucket": F.bround((F.col("y0") + F.col("y1")) / 2 / 5) * 5,
+        "x": (F.col("x0") + F.col("x1")) / 2,
+        "word_pos": F.col("word_pos"),
+        "text": F.col("text"),
+    }
+    marks = [F.when(F.col(f).isNull(), 1 << k).otherwise(0) for k, f in enumerate(fields)]
+    placed = words.select("document_id", "page", *[c.alias(f) for f, c in fields.items()])
+    filled = [
+        F.coalesce(f.name, F.lit("" if f.name == "text" else "0").cast(f.dataType)).alias(f.name) for f in placed.schema if f.name in fields
+    ]
+    pages = (
+        placed.select("document_id", "page", *filled, sum(marks, F.lit(0)).cast("byte").alias("blank"))
+        .groupBy("document_id", "page").agg(*[F.collect_list(f).alias(f) for f in (*fields, "blank")])
+        .filter(F.size("blank") > min_words)
     )
-    return pages.filter(F.col("word_count") > min_words).select(
+
+    def present(w: Column, name: str) -> Column:
+        return F.when(w["blank"].bitwiseAND(F.lit(1 << list(fields).index(name)).cast("byte")) == 0, w[name])
+
+    ordered = F.array_sort(F.transform(F.arrays_zip(*fields, "blank"), lambda w: F.struct(
+        present(w, "bucket").alias("bucket"), present(w, "text").isNull().alias("silent"),
+        present(w, "x").alias("x"), present(w, "word_pos").alias("word_pos"), w["text"].alias("text"),
+    )))
+
+    def starts(w: Column, k: Column) -> Column:
+        return (k == 0) | ~w["bucket"].eqNullSafe(F.get("words", k - 1)["bucket"])
+
+    parts = F.transform("words", lambda w, k: F.concat(
+        F.when(k == 0, "").when(starts(w, k), "\n").when(w["silent"], "").otherwise(" "), w["text"]
+    ))
+    return pages.select("document_id", "page", ordered.alias("words")).select(
         "document_id", "page",
-        F.array_join("lines.line", "\n").alias("text"),
+        F.array_join(parts, "").alias("text"),
+        F.size(F.filter("words", starts)).cast("long").alias("line_count"),
         F.lit(1.0).alias("confidence"),
         F.lit("text").alias("span_type"),
     )

@@ -10,6 +10,7 @@ from carefold.operators import coding, entities, layout
 from carefold.operators.table_dictionary import TableDictionary
 from carefold.plans.inputs import DOCUMENT_LINE, ENTITIES, NOTES, SPANS, Inputs, sql_select
 from carefold.plans.registry import query, values_sql
+from carefold.session import spread
 from carefold.sources import knowledge
 from carefold.sources import knowledge_values as kv
 
@@ -63,11 +64,16 @@ SELECT doc_id, CAST(k AS INTEGER) AS word_pos, w AS text, CAST((k % 12) * 40 AS
   FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM documents) a) b"""
 
 
+# Bytes of documents whose words one task makes.
+WORD_TASK_BYTES = 4 << 20
+
+
 def words(i: Inputs) -> DataFrame:
     split = F.filter(F.split("text", " "), lambda w: w != "")
     k = F.col("word_pos")
+    # a text makes some ninety bytes of boxes a word: tasks of few texts keep them in memory
     return (
-        i.table("documents").select(
+        spread(i.table("documents").select("doc_id", "text"), WORD_TASK_BYTES).select(
             F.col("doc_id").alias("document_id"), F.lit(1).alias("page"),
             F.posexplode(split).alias("word_pos", "text"),
         )
@@ -84,14 +90,7 @@ l AS (SELECT doc_id, bucket, count(*) AS n, string_agg(text, ' ' ORDER BY xc, wo
 SELECT doc_id AS document_id, md5(string_agg(line, chr(10) ORDER BY bucket)) AS text_md5, count(*) AS line_count
 FROM l GROUP BY doc_id HAVING sum(n) > 10""")
 def line_rebuild(i: Inputs) -> DataFrame:
-    pages = layout.rebuild_lines(words(i))
-    # Words hold line breaks of their own, so the lines are counted by their buckets.
-    buckets = words(i).groupBy("document_id").agg(
-        F.countDistinct(F.bround((F.col("y0") + F.col("y1")) / 2 / 5)).alias("line_count")
-    )
-    return pages.join(buckets, "document_id").select(
-        "document_id", F.md5("text").alias("text_md5"), "line_count"
-    )
+    return layout.rebuild_lines(words(i)).select("document_id", F.md5("text").alias("text_md5"), "line_count")
 
 
 @query("polygon_boxes", """

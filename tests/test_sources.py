@@ -162,6 +162,21 @@ def test_a_folder_of_documents_loads_like_one(spark):
     assert len(few.inputFiles()) > 1 and len(one.inputFiles()) == 1
 
 
+def test_words_are_dealt_out_once_and_nulls_keep_their_places(spark):
+    nan = float("nan")
+    boxes = [  # word_pos, x0, y0, text
+        (0, 9.0, 0.0, "b"), (1, 0.0, 0.0, "a"), (2, 0.0, 20.0, None), (3, 0.0, 40.0, "z"), (4, None, 40.0, "y"), (5, nan, 40.0, "last"),
+        (6, 5.0, 40.0, None), (7, 0.0, None, "first\nline"), (None, 0.0, 60.0, ""), (8, 0.0, 60.0, "c"), (9, 0.0, nan, "end"),
+    ]
+    df = spark.createDataFrame(
+        [("d", 1, k, x, y, 0.0, y, t) for k, x, y, t in boxes], "document_id string, page int, word_pos int, x0 double, y0 double, x1 double, y1 double, text string")
+    lines = layout.rebuild_lines(df)
+    (row,) = lines.collect()
+    assert row.text == "first\nline\na b\n\ny z last\n c\nend" and row.line_count == 6
+    plan = layout.rebuild_lines(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="needs the driver's tables")
 def test_stored_rows_keep_the_temp_id_beside_the_id(spark):
     from carefold.functions.ids import entity_uuid
