@@ -7,7 +7,8 @@ Two ways lead to the same ``error`` column (step, type, message; null where all
 * ``checked`` takes a column that holds a message where a row cannot be processed, such as one built on ``try_*`` functions.
 
 ``poisoned`` is for steps that are plans of their own and fail as a whole job: it stores the documents in buckets and halves
-those that raise until the documents that raise are alone.
+those that raise until the documents that raise are alone. ``poisoned_parts`` gives the same for tables that work on each
+partition of the documents by itself: one plan for all parts of a size, and a job of one task for each part.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ import re
 import uuid
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from carefold.session import shared_folder
 
@@ -29,6 +31,10 @@ from carefold.session import shared_folder
 PARALLEL_RUNS = 8
 #: Documents of a bucket, about.
 BUCKET_DOCS = 512
+#: Parts into which a part that raises is cut. A run that raises is tried again by the cluster, so few levels cost least.
+FAN_OUT = 8
+#: A sampled fraction that leaves no row; the sampler reads all of them.
+NO_ROWS = 1e-12
 
 #: Takes rows, gives rows; what it gives for a row must not depend on the other rows.
 Rows = Callable[[pd.DataFrame], pd.DataFrame]
@@ -169,6 +175,147 @@ def poisoned(
         return [row for rows in pool.map(searched, numbers) for row in rows]
 
 
+Tables = Callable[[DataFrame], Mapping[str, DataFrame]]
+
+
+def poisoned_parts(docs: DataFrame, work: Tables, step: str, key: str = "document_id", bucket: int = BUCKET_DOCS) -> list[tuple] | None:
+    """(key, step, error_type, message) of the documents on which a table of ``work`` raises; the first such table counts.
+
+    None where a table is not made partition by partition (see ``_by_partition``). The documents are dealt into partitions of
+    about ``bucket`` documents. Where the tables are projections, one pass tells the documents to be run by themselves
+    (see ``_suspects``). If the others still raise, they are looked for by parts (see ``_searched``). An error that arises
+    without documents is raised again.
+    """
+
+    def tried(part: DataFrame) -> None:
+        for table in work(part).values():
+            table.write.format("noop").mode("overwrite").save()
+
+    tried(docs.limit(0))
+    spark = docs.sparkSession
+    # two at least, as a plan over one partition shows no shuffle
+    n = docs.count() // bucket + 2
+    placed, source = _placed(docs.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n)
+    whole = placed.drop("_part")
+    if any(_by_partition(table, source) is None for table in work(whole).values()):
+        return None
+    found: list[tuple] = []
+    suspects = _suspects(whole, work, key)
+    if suspects:
+        numbered = spark.createDataFrame([(k, number) for number, k in enumerate(suspects)], StructType([docs.schema[key], StructField("_part", IntegerType())]))
+        alone = whole.join(numbered.withColumnRenamed(key, "_suspect"), F.col(key).eqNullSafe(F.col("_suspect"))).drop("_suspect")
+        found = _searched(alone, len(suspects), work, step, key)
+        gone = spark.createDataFrame([(r[0],) for r in found], StructType([docs.schema[key]])).withColumnRenamed(key, "_gone")
+        placed = placed.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+        try:
+            tried(placed.drop("_part"))
+            return found
+        except AnalysisException:
+            raise
+        except Exception:  # noqa: BLE001  others raise as well
+            pass
+    return found + _searched(placed, n, work, step, key)
+
+
+def _placed(dealt: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """The rows in ``n`` partitions by ``_part``, shuffled once for all that is made of them, and the number of their RDD."""
+    spark = dealt.sparkSession
+    rows = dealt.repartitionById(n, "_part")._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, dealt._jdf.schema(), False), spark), rows.id()
+
+
+def _searched(dealt: DataFrame, n: int, work: Tables, step: str, key: str) -> list[tuple]:
+    """The documents that raise among those dealt into ``n`` parts by ``_part``.
+
+    A part is a partition, and each partition of the tables is a job of one task. The parts that raise are cut into ``FAN_OUT``
+    parts of equal size, which are the partitions of the next round, until a part is one document. So a round costs one
+    shuffle and one plan, and a part one task.
+    """
+    spark = dealt.sparkSession
+    gateway = spark.sparkContext._gateway
+    columns = [c for c in dealt.columns if c != "_part"]
+    while True:
+        placed, source = _placed(dealt, n)
+        tables = [_by_partition(table, source) for table in work(placed.select(columns)).values()]
+
+        def raised(part: int) -> Exception | None:
+            only = gateway.new_array(gateway.jvm.int, 1)
+            only[0] = part
+            try:
+                for table in tables:
+                    # an RDD of its own, as a job that fails takes those along that run on the same RDD
+                    table.sample(False, NO_ROWS).collectPartitions(only)
+            except Exception as error:  # noqa: BLE001  the documents that raise it are looked for
+                return error
+            return None
+
+        with ThreadPoolExecutor(PARALLEL_RUNS) as pool:
+            errors = {part: described(error) for part, error in enumerate(pool.map(raised, range(n))) if error is not None}
+        if not errors:
+            return []
+        numbers = spark.createDataFrame([(part, k) for k, part in enumerate(errors)], "_part int, _number int")
+        few = placed.coalesce(4 * spark.sparkContext.defaultParallelism)
+        ranked = few.join(numbers, "_part").withColumn("_place", F.dense_rank().over(Window.partitionBy("_part").orderBy(key)))
+        sizes = dict(ranked.groupBy("_number").agg(F.max("_place")).collect())
+        most = max(sizes.values())
+        if most == 1:
+            return [(k, step, *errors[part]) for part, k in ranked.select("_part", key).distinct().collect()]
+        # a part of up to twice the fan-out is cut into its documents
+        cuts = most if most <= 2 * FAN_OUT else FAN_OUT
+        ends = list(accumulate(min(sizes[k], cuts) for k in range(len(sizes))))
+        starts = spark.createDataFrame([(k, end - min(sizes[k], cuts)) for k, end in enumerate(ends)], "_number int, _start int")
+        n, within = ends[-1], (F.col("_place") - 1) % cuts
+        dealt = ranked.join(starts, "_number").select(*columns, (F.col("_start") + within).cast("int").alias("_part"))
+
+
+def _by_partition(table: DataFrame, source: int):
+    """The table's rows as an RDD, or None unless each partition comes from the same partition of RDD ``source`` alone.
+
+    Nothing that shuffles, unites or regroups partitions lies between them, and nothing else in the plan may read the documents.
+    """
+    execution = table._jdf.queryExecution()
+    plan = execution.optimizedPlan().toString()
+    if plan.count("LogicalRDD [") != 1 or "subquery" in plan.lower() or _SHUFFLE.search(execution.executedPlan().toString()):
+        return None
+    try:
+        rows = execution.toRdd()
+    except Exception:  # noqa: BLE001  what is broadcast raises
+        return None
+    below = rows
+    while below.id() != source:
+        lines = below.dependencies()
+        if lines.size() != 1 or lines.apply(0).getClass().getSimpleName() != "OneToOneDependency":
+            return None
+        below = lines.apply(0).rdd()
+    return rows.toJavaRDD()
+
+
+def _suspects(docs: DataFrame, work: Tables, key: str) -> list | None:
+    """Keys of the documents on which columns of a table raise, by one pass that catches errors row by row.
+
+    Only where every table is a projection of the documents' rows, with a filter below it or not; else None. It is a hint: what
+    a document raises is learned by running it.
+    """
+    sql = docs.sparkSession._jvm.org.apache.spark.sql
+    of, fails = sql.classic.ExpressionUtils, F.lit(False)
+    for table in work(docs).values():
+        node, columns, kept = table._jdf.queryExecution().optimizedPlan(), [], F.lit(True)
+        if node.getClass().getSimpleName() == "Project":
+            listed = node.projectList()
+            columns, node = [Column(of.column(listed.apply(k))) for k in range(listed.size())], node.child()
+        if node.getClass().getSimpleName() == "Filter":
+            kept, node = Column(of.column(node.condition())), node.child()
+        if node.getClass().getSimpleName() != "LogicalRDD":
+            return None
+        given = F.struct(kept.alias("kept"), F.when(kept, F.struct(*columns, F.lit(1))))
+        fails = fails | Column(of.column(sql.catalyst.expressions.TryEval(of.expression(given._jc)))).isNull()
+    try:
+        return [r[0] for r in docs.filter(fails).select(key).distinct().collect()]
+    except Exception:  # noqa: BLE001  it is looked for by parts
+        return None
+
+
+_SHUFFLE = re.compile(r"(?<!Broadcast)Exchange")
 _PYTHON = re.compile(r"^(?:\w+\.)*(\w*(?:Error|Exception)): (.*)$", re.M)
 _CONDITION = re.compile(r"\[([A-Z][A-Z0-9_.]+)\] (.*)")
 # Conditions that only say that a task or a write failed.

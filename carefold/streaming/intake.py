@@ -89,14 +89,16 @@ def run_step(
     """Writes the step's tables for the documents it does not fail on; gives these documents' rows and the failures.
 
     Tables with an ``error`` column are staged first, so that each row is worked on once. If the step raises, the documents
-    that make it raise are found by halves of buckets below ``scratch`` and the step runs again without them.
+    that make it raise are found by parts, or by halves of buckets below ``scratch``, and the step runs again without them.
     """
     try:
         return _written(good, step, work, write, staged)
     except AnalysisException:
         raise
     except Exception:
-        bad = containment.poisoned(good, lambda part: _tried(work(part)), step, folder=scratch)
+        bad = containment.poisoned_parts(good, work, step)
+        if bad is None:
+            bad = containment.poisoned(good, lambda part: _tried(work(part)), step, folder=scratch)
         if not bad:
             # none of the documents raises by itself: what failed was the run, which is tried once more
             return _written(good, step, work, write, staged)

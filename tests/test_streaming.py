@@ -356,6 +356,50 @@ def test_documents_that_break_a_job_cost_runs_over_their_bucket_only(spark):
     assert max(sizes) < 250 and len(sizes) < 150
 
 
+@pytest.mark.parametrize("python", [False, True])
+def test_a_step_that_fails_on_many_documents_is_planned_a_few_times(spark, tmp_path, python):
+    docs = spark.range(900).select(F.concat(F.lit("d"), "id").alias("document_id"), "id")
+    docs = docs.unionByName(docs.filter("id % 3 = 0")).unionByName(docs.limit(1).select(F.lit(None).cast("string").alias("document_id"), F.lit(45).alias("id")))
+    bad, plans = set(range(5, 900, 40)), []
+
+    def rows(batches):
+        for batch in batches:
+            for k in batch["id"]:
+                if k in bad:
+                    raise ValueError(f"bad {k}")
+            yield batch[["document_id", "id"]]
+
+    def work(good):
+        plans.append(1)
+        value = F.when(F.col("id").isin(*bad) & (F.col("id") % 3 > 0), F.raise_error(F.concat(F.lit("bad "), "id"))).otherwise(F.col("id"))
+        other = F.when(F.col("id").isin(*bad), F.raise_error(F.concat(F.lit("odd "), "id"))).otherwise(F.col("id"))
+        native = {"plain": good.filter("id >= 0"), "a": good.select("document_id", value.alias("v")), "b": good.select(other.alias("v"))}
+        return {"p": good.mapInPandas(rows, "document_id string, id long")} if python else native
+
+    write = lambda table, name: table.write.parquet(f"{tmp_path}/{len(plans)}-{name}")
+    left, failed = intake.run_step(docs, "ner", work, write, None, str(tmp_path))
+    found = sorted((r.document_id, r.error_type, r.message) for r in failed.filter("document_id IS NOT NULL").collect())
+    kind = "ValueError" if python else "USER_RAISED_EXCEPTION"
+    assert found == sorted((f"d{k}", kind, f"{'bad' if python or k % 3 else 'odd'} {k}") for k in bad)
+    assert [(r.document_id, r.message[4:]) for r in failed.filter("document_id IS NULL").collect()] == [(None, "45")]
+    assert left.count() == 1_201 - sum(2 - (k % 3 > 0) for k in bad) - 1
+    assert len(plans) < 20
+
+
+def test_only_tables_of_single_partitions_are_searched_by_parts(spark):
+    docs = spark.range(50).select(F.concat(F.lit("d"), "id").alias("document_id"), "id")
+    raising = F.when(F.col("id") == 7, F.raise_error(F.lit("seven"))).otherwise(F.col("id")).alias("id")
+    assert containment.poisoned_parts(docs, lambda good: {"t": good.select(raising)}, "ner") == [("d7", "ner", "USER_RAISED_EXCEPTION", "seven")]
+    assert [r[0] for r in containment.poisoned_parts(docs, lambda good: {"t": good.select("id").filter(raising >= 0)}, "ner")] == ["d7"]
+    for wide in (
+        lambda good: {"t": good.select(raising).groupBy("id").count()},
+        lambda good: {"t": good.select(raising).coalesce(1)},
+        lambda good: {"t": good.select("document_id", raising).join(good.select("document_id"), "document_id")},
+        lambda good: {"s": good, "t": good.select(raising).limit(3)},
+    ):
+        assert containment.poisoned_parts(docs, wide, "ner") is None
+
+
 def test_a_failing_step_skips_its_documents_and_a_broken_plan_stops(spark, tmp_path):
     schema = "document_id string, span_pos int, text string, confidence double"
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
