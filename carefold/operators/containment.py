@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from carefold.session import shared_folder
+from carefold.session import local_table, shared_folder
 
 #: Runs of a failing step at a time while its documents are looked for.
 PARALLEL_RUNS = 8
@@ -202,10 +202,11 @@ def poisoned_parts(docs: DataFrame, work: Tables, step: str, key: str = "documen
     found: list[tuple] = []
     suspects = _suspects(whole, work, key)
     if suspects:
-        numbered = spark.createDataFrame([(k, number) for number, k in enumerate(suspects)], StructType([docs.schema[key], StructField("_part", IntegerType())]))
-        alone = whole.join(numbered.withColumnRenamed(key, "_suspect"), F.col(key).eqNullSafe(F.col("_suspect"))).drop("_suspect")
+        kind = docs.schema[key].dataType
+        numbered = local_table(spark, [(k, number) for number, k in enumerate(suspects)], StructType([StructField("_suspect", kind), StructField("_part", IntegerType())]))
+        alone = whole.join(numbered, F.col(key).eqNullSafe(F.col("_suspect"))).drop("_suspect")
         found = _searched(alone, len(suspects), work, step, key)
-        gone = spark.createDataFrame([(r[0],) for r in found], StructType([docs.schema[key]])).withColumnRenamed(key, "_gone")
+        gone = local_table(spark, [r[:1] for r in found], StructType([StructField("_gone", kind)]))
         placed = placed.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
         try:
             tried(placed.drop("_part"))
@@ -253,7 +254,7 @@ def _searched(dealt: DataFrame, n: int, work: Tables, step: str, key: str) -> li
             errors = {part: described(error) for part, error in enumerate(pool.map(raised, range(n))) if error is not None}
         if not errors:
             return []
-        numbers = spark.createDataFrame([(part, k) for k, part in enumerate(errors)], "_part int, _number int")
+        numbers = local_table(spark, [(part, k) for k, part in enumerate(errors)], "_part int, _number int")
         few = placed.coalesce(4 * spark.sparkContext.defaultParallelism)
         ranked = few.join(numbers, "_part").withColumn("_place", F.dense_rank().over(Window.partitionBy("_part").orderBy(key)))
         sizes = dict(ranked.groupBy("_number").agg(F.max("_place")).collect())
@@ -263,7 +264,7 @@ def _searched(dealt: DataFrame, n: int, work: Tables, step: str, key: str) -> li
         # a part of up to twice the fan-out is cut into its documents
         cuts = most if most <= 2 * FAN_OUT else FAN_OUT
         ends = list(accumulate(min(sizes[k], cuts) for k in range(len(sizes))))
-        starts = spark.createDataFrame([(k, end - min(sizes[k], cuts)) for k, end in enumerate(ends)], "_number int, _start int")
+        starts = local_table(spark, [(k, end - min(sizes[k], cuts)) for k, end in enumerate(ends)], "_number int, _start int")
         n, within = ends[-1], (F.col("_place") - 1) % cuts
         dealt = ranked.join(starts, "_number").select(*columns, (F.col("_start") + within).cast("int").alias("_part"))
 

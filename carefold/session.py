@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 #: The state store that streams with state of their own need: it has column families and timers.
@@ -67,6 +69,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: StructType | str) -> DataFrame:
+    """Few rows as a local relation: the planner knows its exact size, where rows given as a list have none."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.createDataFrame(pa.table({f.name: [r[k] for r in rows] for k, f in enumerate(kind.fields)}), kind)
+
+
 def spread(scan: DataFrame, task_bytes: int | None = None) -> DataFrame:
     """Gives a scan at least one partition per core before row-local text work.
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from carefold.functions.ids import stable_key
 from carefold.operators import containment
+from carefold.session import local_table
 
 # Steps of a document in order.
 STEPS = ("queued", "ocr", "ner", "normalizing", "trend_analysis", "complete")
@@ -29,12 +30,14 @@ def read_spans(spark: SparkSession, path: str, schema: str, max_files: int = 100
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def split_failures(df: DataFrame, step: str, problem) -> tuple[DataFrame, DataFrame]:
+def split_failures(
+    df: DataFrame, step: str, problem, staged: Callable[[DataFrame, str], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Good rows, and one quarantine row per failed document.
 
     ``problem`` is a column that holds a message where a row cannot be
     processed. A document with any failed row is failed as a whole; the other
-    documents go on.
+    documents go on. With ``staged`` the failures are stored first: joins then know how few they are and need not shuffle the texts.
     """
     marked = df.withColumn("_problem", problem)
     failed = (
@@ -46,6 +49,8 @@ def split_failures(df: DataFrame, step: str, problem) -> tuple[DataFrame, DataFr
             "message",
         )
     )
+    if staged is not None:
+        failed = staged(failed, f"{step}-failed")
     good = marked.drop("_problem").join(failed.select("document_id"), "document_id", "left_anti")
     return good, failed
 
@@ -102,7 +107,7 @@ def run_step(
         if not bad:
             # none of the documents raises by itself: what failed was the run, which is tried once more
             return _written(good, step, work, write, staged)
-    lost = good.sparkSession.createDataFrame(bad, FAILURE)
+    lost = local_table(good.sparkSession, bad, FAILURE)
     rest = _without(good, lost)
     left, more = _written(rest, step, work, write, staged)
     return left, lost.unionByName(more)
@@ -130,6 +135,7 @@ def _written(
     if any("error" in t.columns for t in tables.values()):
         # a document that two tables fail on is one failure
         lost = lost.groupBy("document_id").agg(F.min(F.struct("step", "error_type", "message")).alias("e")).select("document_id", "e.*")
+        lost = staged(lost, f"{step}-lost")
         tables = {name: _without(t.drop("error"), lost) for name, t in tables.items()}
         good = _without(good, lost)
     for name, table in tables.items():
@@ -167,7 +173,7 @@ def run_intake(
             return table.sparkSession.read.schema(table.schema).parquet(path)
 
         try:
-            good, failed = split_failures(batch, "ocr", problem)
+            good, failed = split_failures(batch, "ocr", problem, staged)
             log = status_rows(batch, "queued", batch_id)
             for step, work in steps.items():
                 good, lost = run_step(good, step, work, write, staged, os.path.join(folder, "_staged", f"run={run}", f"batch_id={batch_id}"))
