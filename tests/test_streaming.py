@@ -5,6 +5,7 @@ import time
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -481,3 +482,95 @@ def test_lookups_of_a_token_read_their_state_once():
     rows = [Row(token="t", event_id=k, micros=5_000 * k, value=None if k else "v") for k in range(3)]
     assert list(state.handleInputRows(("t",), iter(rows), None)) == []
     assert calls == ["get", "timer", "timer", "timer", "put"]
+
+
+def test_a_block_of_many_tokens_is_read_and_written_in_few_state_calls():
+    calls = []
+
+    class One:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("put")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Many:
+        rows = ()
+
+        def get(self):
+            calls.append("get")
+            return iter(self.rows)
+
+        def appendValue(self, value):
+            calls.append("put")
+            self.rows = [*self.rows, value]
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = rows
+
+        def clear(self):
+            self.rows = ()
+
+    class Handle:
+        def getValueState(self, *_):
+            return One()
+
+        def getListState(self, *_):
+            return Many()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            self.at = at
+
+    class Times:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    handle, state = Handle(), expiring_tokens.BlockState(1_000_000, ("token",))
+    state.init(handle)
+    events = [(f"t{k % 200}", k, 10_000 * (k // 200), f"v{k}" if k < 200 else None) for k in range(2_000)]
+    batch = pd.DataFrame(events, columns=["token", "event_id", "micros", "value"])
+    assert list(state.handleInputRows((0,), iter([batch[:1_000], batch[1_000:]]), Times(0))) == []
+    assert len(calls) == 4 and handle.at == 11
+    (first,) = state.handleExpiredTimer((0,), Times(50), None)
+    assert sorted(first["event_id"]) == list(range(200, 1_000)) and list(first["value"]) == [f"v{k % 200}" for k in first["event_id"]]
+    assert list(state.handleExpiredTimer((0,), Times(50), None)) == []
+    (rest,) = state.handleExpiredTimer((0,), Times(2_000), None)
+    assert sorted(rest["event_id"]) == list(range(1_000, 2_000)) and state.pieces.rows == () and state.timer.value is None
+    assert len(calls) < 14
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_answers_and_what_is_kept_equal_a_search_through_all_rows(seed):
+    rng = random.Random(seed)
+    columns = ("record", "token", "event_id", "micros", "value")
+    rows = [(rng.choice([None, "r"]), rng.choice("ab"), k, rng.randint(0, 12), f"v{k}" if rng.random() < 0.5 else None) for k in range(rng.randint(0, 20))]
+    rng.shuffle(rows)
+    passed, ttl = rng.randint(0, 13), rng.randint(1, 8)
+    kind = pa.schema([(c, pa.int64() if c in ("event_id", "micros") else pa.string()) for c in columns])
+    answers, left = expiring_tokens.as_of(pa.Table.from_pylist([dict(zip(columns, r)) for r in rows], schema=kind), ("record", "token"), passed, ttl)
+
+    def last(record, token, at):
+        return max(((r[3], r[2], r) for r in rows if r[:2] == (record, token) and r[4] is not None and r[3] <= at), default=None)
+
+    def known(r):
+        found = last(r[0], r[1], r[3])
+        return found[2][4] if found and r[3] - found[0] < ttl else None
+
+    assert sorted(answers.to_pylist(), key=lambda r: r["event_id"]) == sorted(
+        ({"record": r[0], "token": r[1], "event_id": r[2], "value": known(r)} for r in rows if r[4] is None and r[3] < passed), key=lambda r: r["event_id"])
+    kept = {r for r in rows if r[3] >= passed and (r[4] is None or r[3] + ttl > passed)}
+    ends = [last(*of, passed - 1) for of in {r[:2] for r in rows}]
+    kept |= {found[2] for found in ends if found and found[0] + ttl > passed}
+    assert sorted(r["event_id"] for r in left.to_pylist()) == sorted(r[2] for r in kept)
